@@ -4,6 +4,7 @@ from areaindex.functions.bands import (
     band_bounds,
     band_floor,
     band_fraction,
+    count_under,
     recode,
 )
 from areaindex.functions.expr import (

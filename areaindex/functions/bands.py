@@ -68,11 +68,12 @@ def recode(c: ColumnLike, mapping: dict) -> Column:
     return F.element_at(literal_map, col_of(c))
 
 
+def band_floors(fix_band_75: bool = False) -> dict[int, int]:
+    return {**INCOME_BAND_FLOORS, 74999: 60000} if fix_band_75 else INCOME_BAND_FLOORS
+
+
 def band_floor(hi: ColumnLike, fix_band_75: bool = False) -> Column:
-    floors = dict(INCOME_BAND_FLOORS)
-    if fix_band_75:
-        floors[74999] = 60000
-    return recode(col_of(hi).cast("int"), floors).cast("double")
+    return recode(col_of(hi).cast("int"), band_floors(fix_band_75)).cast("double")
 
 
 def band_bounds(code: ColumnLike) -> tuple[Column, Column]:
@@ -90,3 +91,15 @@ def band_fraction(threshold: ColumnLike, lo: ColumnLike, hi: ColumnLike) -> Colu
     t, lo, hi = col_of(threshold), col_of(lo), col_of(hi)
     inside = F.try_divide(t - lo, hi - lo)
     return F.when(t >= hi, F.lit(1.0)).when(t >= lo, inside).otherwise(F.lit(0.0))
+
+
+def count_under(threshold: str, bands: dict[str, int], fix_band_75: bool = False) -> Column:
+    """Count under a threshold column from one count column per band (name -> upper bound); missing
+    counts are skipped.  Written as one SQL expression, since the terms are many and alike."""
+    floors = band_floors(fix_band_75)
+    terms = [
+        f"coalesce(`{name}` * CASE WHEN `{threshold}` >= {hi} THEN 1D WHEN `{threshold}` >= {floors[hi]} "
+        f"THEN (`{threshold}` - {floors[hi]}) / {hi - floors[hi]}D ELSE 0D END, 0D)"
+        for name, hi in bands.items()
+    ]
+    return F.expr(" + ".join(terms))

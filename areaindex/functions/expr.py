@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
+# Digits kept of shares of interpolated counts, above the noise of adding in another order.
+SHARE_DIGITS = 12
+
 
 def col_of(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -62,11 +62,8 @@ def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
     each round, so the candidates of a round stay linear in the number of points.
     """
     ids = points.select(F.col(point_id).alias("id"), "x", "y")
-    sizes = ids.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     places = land(
-        sizes.join(_lowest(ids, ["x", "y"], "id", k + 1, "ids"), ["x", "y"]).withColumn(
-            "need", F.greatest(F.lit(k) - F.col("n") + 1, F.lit(0)).cast("int")
-        ),
+        _lowest(ids, ["x", "y"], "id", k + 1, "ids").withColumn("need", F.lit(k + 1) - F.size("ids")),
         "places",
     )
     side, extent = _start_cell(places)

@@ -21,14 +21,12 @@ def salted_join(
     join.  No pair is lost either way."""
     keys = list(keys)
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = land(
-        counts.filter(F.col("_rows") > chunk).select(
-            *keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("_salts")
-        ),
-        "hot-keys",
+    hot = counts.filter(F.col("_rows") > chunk).select(
+        *keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("_salts")
     )
     if hot.isEmpty():
         return left.join(right, keys)
+    hot = land(hot, "hot-keys")
     salts = F.coalesce("_salts", F.lit(1))
     dealt = (
         left.join(hot, keys, "left")

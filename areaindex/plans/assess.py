@@ -101,12 +101,13 @@ def assess(
     t: Thresholds = DEFAULT,
     by: str = "county",
     area_id: str = "geoid",
+    band: float | None = None,
 ) -> DataFrame:
     """One scored row per area.
 
     ``wide`` one row per area with the named estimates, medrent12 and the group; ``burden`` the long
     income x burden cells; ``points`` the label points (area id, x, y); ``neighbour_edges`` the
-    contiguity edges.  Tables used by more than one later step are landed once, which also bounds
+    contiguity edges; ``band`` the distance band if it is already known.  Tables used by more than one later step are landed once, which also bounds
     the lineage and lets Catalyst see the true size of group tables before it joins them.
     """
     income = land(income_shares(wide, area_id, [by]), "income")
@@ -121,7 +122,7 @@ def assess(
         base = natural_left_join(base, neigh_type, [area_id])
     base = land(natural_left_join(base, points, [area_id]), "base")
 
-    d2 = band_limit(points, band_factor, area_id)
+    d2 = band_limit(points, band_factor, area_id) if band is None else band
     lagged = band_lag(base, d2, LAGGED).withColumnRenamed("medrent_lag", "tr_medrent_lag")
     profiled = area_profile(rent_gap(lagged, "medrent", "tr_medrent_lag")).withColumn(
         "tr_medrent", F.col("medrent")

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.functions.bands import INCOME_BANDS, band_floor, band_fraction
-from areaindex.functions.expr import row_sum0, share
+from areaindex.functions.bands import INCOME_BANDS, count_under
+from areaindex.functions.expr import SHARE_DIGITS, row_sum0, share
 from areaindex.operators.groups import INCOME_LIMITS, income_limits
 
 
@@ -37,13 +37,9 @@ def income_shares(
     shuffle is the group median."""
     out = income_limits(df.select(area_id, *by, income, *bands), by, income, fractions=fractions)
     total = row_sum0(*bands).cast("double")
-    counts, shares = {}, {}
-    for k in fractions:
-        under = [
-            band_fraction(f"co_{k}_val", band_floor(F.lit(hi), fix_band_75), F.lit(float(hi))) * F.col(name)
-            for name, hi in bands.items()
-        ]
-        counts[f"tr_{k}_count"] = row_sum0(*under)
-        shares[f"tr_{k}_prop"] = share(f"tr_{k}_count", "tr_totinc_count")
+    counts = {f"tr_{k}_count": count_under(f"co_{k}_val", bands, fix_band_75) for k in fractions}
+    shares = {
+        f"tr_{k}_prop": F.round(share(f"tr_{k}_count", "tr_totinc_count"), SHARE_DIGITS) for k in fractions
+    }
     out = out.withColumns({"tr_totinc_count": total, **counts}).withColumns(shares)
     return out.drop(*bands)

@@ -8,10 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.functions.bands import band_bounds, band_fraction
-from areaindex.functions.expr import above, change, proportional_change, share, sum0
+from areaindex.functions.expr import (
+    SHARE_DIGITS,
+    above,
+    change,
+    proportional_change,
+    share,
+    sum0,
+)
 from areaindex.operators.columns import separate
 from areaindex.operators.groups import INCOME_LIMITS, impute_group_median, with_group_median
 from areaindex.operators.joins import natural_left_join
+from areaindex.sources.landing import land
 
 # Burden classes of at least 30 % and at least 50 % of income.
 BURDEN_30 = ["349", "399", "499", "5plus"]
@@ -66,6 +74,10 @@ def rent_burden_measures(
 
     ``totals`` has the area id, the group and tot_ir.  As published, the 50 % measures qualify cells
     by the other income limit than the one they sum; ``fix_50`` uses the same limit for both.
+
+    The measures are sums of fractions, whose last digit depends on the order of addition.  Shares
+    are rounded well above that digit, so equal areas compare as equal, and landed, so the medians
+    do not evaluate the cells again.
     """
     li, vli = F.col("LI") > 0, F.col("VLI") > 0
     at_30, at_50 = F.col("rb").isin(*BURDEN_30), F.col("rb").isin(*BURDEN_50)
@@ -79,8 +91,9 @@ def rent_burden_measures(
         *[_qualified_sum(q, f"tr_{k}_ir_count").alias(f"tr_ir{m}rb_ct") for m, (q, k) in qualified.items()]
     )
     out = natural_left_join(totals, sums, [area_id]).withColumns(
-        {f"tr_ir{m}p": share(f"tr_ir{m}rb_ct", "tot_ir") for m in qualified}
+        {f"tr_ir{m}p": F.round(share(f"tr_ir{m}rb_ct", "tot_ir"), SHARE_DIGITS) for m in qualified}
     )
+    out = land(out, "burden-measures")
     out = with_group_median(out, by, {f"co_ir{m}_med": f"tr_ir{m}p" for m in qualified})
     return out.withColumns({f"v_rb{m}rb": above(f"tr_ir{m}p", f"co_ir{m}_med") for m in qualified})
 
