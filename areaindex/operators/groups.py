@@ -1,7 +1,8 @@
 """Aggregations and group-relative operators.
 
-Group results are aggregated once (map-side combined) and joined back on the group key; no window
-runs over a whole group.
+Group results are aggregated once (map-side combined), landed, and joined back on the group key: no
+window runs over a whole group, and the rows are not shuffled to meet a small group table.  Calls
+that write group results back therefore run a job; land a frame that is costly to evaluate first.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.functions.expr import above, row_sum0, share, sum0
-from areaindex.operators.joins import natural_left_join
+from areaindex.operators.joins import lookup_join
 from areaindex.operators.order_stats import group_medians, group_quantiles
 
 
 def attach_group(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Write group-level columns back on every row; a missing group key is a group of its own."""
-    return natural_left_join(df, stats, by)
+    return lookup_join(df, stats, by)
 
 
 def group_sums(df: DataFrame, by: Sequence[str], outputs: dict[str, str]) -> DataFrame:

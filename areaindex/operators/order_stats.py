@@ -2,7 +2,8 @@
 
 Spark's own ``median`` keeps every distinct value of a group in one task.  Here a bounded sketch
 only decides how a group is cut into value ranges; the answers come from exact counts, so no task
-ever holds a whole group, and every value is counted.
+ever holds a whole group, and every value is counted.  The sketch is computed and landed when the
+function is called, the rest when the result is used.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from areaindex.operators.joins import natural_left_join
+from areaindex.operators.joins import lookup_join, natural_left_join
 
 SKETCH_ACCURACY = 10_000
 # Half width of the kept bracket around a wanted rank, as a share of the group.  It must exceed the
@@ -75,7 +76,7 @@ def _long_quantiles(
         inside = inside | v.between(F.col(f"_e{i}"), F.col(f"_e{i + 1}"))
         stretch = stretch + (v > F.col(f"_e{i + 1}")).cast("int")
     counted = (
-        natural_left_join(long, bounds, keys)
+        lookup_join(long, bounds, keys)
         .withColumns({"_kept": F.when(inside, v), "_stretch": F.when(inside, -1).otherwise(stretch)})
         .groupBy(*keys, "_n", "_kept", "_stretch")
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"))
@@ -125,7 +126,7 @@ def group_medians(
     )
 
 
-def rank_share(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+def rank_share(df: DataFrame, by: str, value: str, name: str, ranges: int = RANK_RANGES) -> DataFrame:
     """Ascending rank (ties share their average) over the group's row count, missing values counted
     in the denominator and themselves unranked.
 
@@ -136,11 +137,11 @@ def rank_share(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
     sizes = rows.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_size"),
         F.percentile_approx(
-            "_v", [i / RANK_RANGES for i in range(1, RANK_RANGES)], SKETCH_ACCURACY
+            "_v", [i / ranges for i in range(1, ranges)], SKETCH_ACCURACY
         ).alias("_cuts"),
     )
     counts = rows.filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranged = natural_left_join(counts, sizes, ["_g"]).select(
+    ranged = lookup_join(counts, sizes, ["_g"]).select(
         "_g",
         "_v",
         "_c",

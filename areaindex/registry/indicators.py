@@ -9,6 +9,7 @@ from areaindex import operators as op
 from areaindex.plans import disadvantage, income, profile, rent
 from areaindex.registry import core
 from areaindex.registry.core import VARIABLES, R, fraction, query, rounded
+from areaindex.sources import land
 
 
 @query(
@@ -25,15 +26,21 @@ def low_quality_areas(spark, sf):
 
 
 def area_bands(spark, sf):
-    """One row per area: county, median income and the 16 band counts."""
-    return (
+    """One row per area: county, median income and the 16 band counts, evaluated once."""
+    return land(
         core.areas(spark, sf)
         .select("area_key", "geoid", "county")
         .join(core.area_income(spark, sf), "area_key", "left")
-        .join(core.income_wide(spark, sf), "area_key", "left")
+        .join(core.income_wide(spark, sf), "area_key", "left"),
+        "bands",
     )
 
 
+def area_incomes(spark, sf):
+    df = core.areas(spark, sf).select("area_key", "geoid", "county")
+    return land(df.join(core.area_income(spark, sf), "area_key", "left"), "incomes")
+
+
 _BAND_CASE = "CASE band " + " ".join(f"WHEN '{name}' THEN {hi}" for name, hi in fn.INCOME_BANDS.items()) + " END"
 
 
@@ -70,9 +77,7 @@ def band_columns(spark, sf):
     ["limits"],
 )
 def income_limits(spark, sf):
-    df = core.areas(spark, sf).select("area_key", "geoid", "county")
-    joined = df.join(core.area_income(spark, sf), "area_key", "left")
-    return rounded(op.income_limits(joined, ["county"], "mhhinc").drop("area_key"))
+    return rounded(op.income_limits(area_incomes(spark, sf), ["county"], "mhhinc").drop("area_key"))
 
 
 @query(
@@ -84,8 +89,7 @@ FROM income_long i JOIN limits l ON i.area_key = l.area_key JOIN income_bands b
     ["income_long", "limits", "income_bands"],
 )
 def band_share(spark, sf):
-    df = core.areas(spark, sf).select("area_key", "county")
-    limits = op.income_limits(df.join(core.area_income(spark, sf), "area_key", "left"), ["county"], "mhhinc")
+    limits = op.income_limits(area_incomes(spark, sf), ["county"], "mhhinc")
     bands = core.income_long(spark, sf).withColumn("lo", fn.band_floor("hi")).join(limits, "area_key")
     return rounded(
         bands.withColumns(
@@ -109,7 +113,7 @@ FROM income_long i JOIN (SELECT area_key, sum(n) AS total FROM income_long GROUP
     ["income_long"],
 )
 def group_sum_back(spark, sf):
-    out = op.with_group_sum(core.income_long(spark, sf), ["area_key"], {"total": "n"})
+    out = op.with_group_sum(land(core.income_long(spark, sf), "income"), ["area_key"], {"total": "n"})
     return rounded(out.withColumn("p", fn.share("n", "total")))
 
 
@@ -127,10 +131,10 @@ def income_shares(spark, sf):
 
 
 def burden_cells(spark, sf):
-    df = core.areas(spark, sf).select("area_key", "county")
-    group = op.with_group_median(
-        df.join(core.area_income(spark, sf), "area_key", "left"), ["county"], {"co_mhhinc": "mhhinc"}
-    ).select("area_key", "county", "co_mhhinc")
+    incomes = area_incomes(spark, sf)
+    group = op.with_group_median(incomes, ["county"], {"co_mhhinc": "mhhinc"}).select(
+        "area_key", "county", "co_mhhinc"
+    )
     return rent.rent_burden_cells(rent.split_cells(core.burden_long(spark, sf)), group, "area_key")
 
 
@@ -217,7 +221,7 @@ def vintage_change(spark, sf):
 
 def rents(spark, sf):
     df = core.area_rent(spark, sf).withColumnRenamed("medrent17", "medrent")
-    return rent.rent_change(df)
+    return rent.rent_change(land(df, "rents"))
 
 
 @query(
@@ -326,7 +330,7 @@ LEFT JOIN (SELECT county, median(pstudents) AS a, median(prenters) AS b, median(
     ["profile"],
 )
 def group_benchmarks(spark, sf):
-    df = profile.area_profile(profile_inputs(core.area_wide(spark, sf)))
+    df = profile.area_profile(profile_inputs(land(core.area_wide(spark, sf), "areas")))
     chosen = {k: profile.BENCHMARKS[k] for k in ("co_pstudents", "co_prenters", "co_pPOC")}
     out = profile.group_benchmarks(df, "county", chosen)
     return rounded(out.select("geoid", "tr_POC_rank", *chosen))
@@ -391,7 +395,7 @@ LEFT JOIN (SELECT county, median(round(vli / nullif(tot, 0), 12)) AS m FROM inco
 def variant_flags(spark, sf):
     df = profile.area_profile(profile_inputs(core.area_wide(spark, sf)))
     shares = income.income_shares(area_bands(spark, sf), "area_key").select("area_key", "tr_VLI_prop")
-    out = profile.variant_flags(df.join(shares, "area_key", "left"))
+    out = profile.variant_flags(land(df.join(shares, "area_key", "left"), "profile"))
     return out.select("geoid", "v_renters_40p", "v_VLI_med")
 
 
@@ -466,7 +470,7 @@ core.SQL_VIEWS["wide_even"] = (
 )
 def disadvantage_index(spark, sf):
     """-999 as missing, subset by id, then scored over the subset."""
-    coded = core.wide(spark, sf).fillna(-999.0)
+    coded = land(core.wide(spark, sf), "wide").fillna(-999.0)
     members = core.areas(spark, sf).filter(F.col("neigh_type") != "BUILDING")
     return rounded(
         disadvantage.disadvantage_index(coded, _PERIODS, members, "area_key", sentinel=-999.0)
@@ -480,4 +484,6 @@ def disadvantage_index(spark, sf):
 )
 def disadvantage_index_acs(spark, sf):
     shares = disadvantage.disadvantage_inputs(core.wide(spark, sf), _SPEC, "area_key")
-    return rounded(disadvantage.disadvantage_index(shares, {"dis": list(_SPEC)}, area_id="area_key"))
+    return rounded(
+        disadvantage.disadvantage_index(land(shares, "shares"), {"dis": list(_SPEC)}, area_id="area_key")
+    )

@@ -13,6 +13,7 @@ from areaindex.registry.core import VARIABLES, R, query, rounded, table
 from areaindex.sources import (
     apply_dict,
     estimates_from,
+    land,
     read_csv_clean,
     read_estimates,
     scratch_dir,
@@ -57,7 +58,7 @@ def estimates_tidy(spark, sf):
     vintages = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(s).alias("s")) for y, s in [(2017, "06"), (2012, "06"), (2017, "53")]]))
     stored = recent.withColumn("v", vintages).withColumns({"year": F.col("v.y"), "state": F.col("v.s")}).drop("v")
     path = scratch_dir(spark, "estimates")
-    write_estimates(stored, path, files_per_partition=1)
+    write_estimates(stored, path)
     return rounded(read_estimates(spark, path, NAMED, state="06", year=2017))
 
 
@@ -420,6 +421,11 @@ def label_text(spark, sf):
 # ------------------------------------------------------------------- groups
 
 
+def landed_areas(spark, sf):
+    """The joined base, evaluated once for the passes a group statistic makes over it."""
+    return land(core.area_wide(spark, sf), "areas")
+
+
 @query(
     "group_median",
     "SELECT county, " + R(*[f"med_{v}=median({v})" for v in VARIABLES]) + " FROM area_wide GROUP BY county",
@@ -427,7 +433,7 @@ def label_text(spark, sf):
 )
 def group_median(spark, sf):
     return rounded(
-        op.group_medians(core.area_wide(spark, sf), ["county"], {f"med_{v}": v for v in VARIABLES})
+        op.group_medians(landed_areas(spark, sf), ["county"], {f"med_{v}": v for v in VARIABLES})
     )
 
 
@@ -438,7 +444,7 @@ LEFT JOIN (SELECT county, median(v3) AS m3, median(v5) AS m5 FROM area_wide GROU
     ["area_wide"],
 )
 def group_median_back(spark, sf):
-    out = op.with_group_median(core.area_wide(spark, sf), ["county"], {"co_v3": "v3", "co_v5": "v5"})
+    out = op.with_group_median(landed_areas(spark, sf), ["county"], {"co_v3": "v3", "co_v5": "v5"})
     return rounded(out.select("geoid", "county", "v3", "co_v3", "co_v5"))
 
 
@@ -449,7 +455,7 @@ LEFT JOIN (SELECT county, median(v3) AS m3 FROM area_wide GROUP BY county) m ON
     ["area_wide"],
 )
 def impute_median(spark, sf):
-    out = op.impute_group_median(core.area_wide(spark, sf), ["county"], {"v3": "v3"})
+    out = op.impute_group_median(landed_areas(spark, sf), ["county"], {"v3": "v3"})
     return rounded(out.select("geoid", "v3"))
 
 
@@ -462,7 +468,7 @@ FROM (SELECT geoid, v3, rank() OVER (PARTITION BY county ORDER BY v3 ASC NULLS L
     ["area_wide"],
 )
 def rank_share(spark, sf):
-    out = op.rank_share(core.area_wide(spark, sf), "county", "v3", "rank_share")
+    out = op.rank_share(landed_areas(spark, sf), "county", "v3", "rank_share")
     return rounded(out.select("geoid", "rank_share"))
 
 
@@ -473,7 +479,7 @@ LEFT JOIN (SELECT county, median(v1) AS m1 FROM area_wide GROUP BY county) m ON
     ["area_wide"],
 )
 def above_group_median(spark, sf):
-    out = op.above_group(core.area_wide(spark, sf), ["county"], "v1", "co_v1", "above")
+    out = op.above_group(landed_areas(spark, sf), ["county"], "v1", "co_v1", "above")
     return rounded(out.select("geoid", "co_v1", "above"))
 
 
@@ -484,7 +490,7 @@ LEFT JOIN (SELECT county, sum(v1) / nullif(sum(v2), 0) AS s FROM area_wide GROUP
     ["area_wide"],
 )
 def group_share(spark, sf):
-    out = op.group_share(core.area_wide(spark, sf), ["county"], "v1", "v2", "co_share")
+    out = op.group_share(landed_areas(spark, sf), ["county"], "v1", "v2", "co_share")
     return rounded(out.select("geoid", "co_share"))
 
 
@@ -511,7 +517,7 @@ def left_join_suffix(spark, sf):
     ["wide"],
 )
 def six_number_summary(spark, sf):
-    return rounded(op.describe_cols(core.wide(spark, sf), VARIABLES))
+    return rounded(op.describe_cols(land(core.wide(spark, sf), "wide"), VARIABLES))
 
 
 @query(
@@ -527,7 +533,7 @@ def six_number_summary(spark, sf):
 )
 def strict_summary(spark, sf):
     subset = core.wide(spark, sf).filter(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-    return rounded(op.strict_agg(subset, {v: v for v in ["v1", "v2", "v3"]}))
+    return rounded(op.strict_agg(land(subset, "wide"), {v: v for v in ["v1", "v2", "v3"]}))
 
 
 def _z(c: str, source: str = "wide") -> str:
@@ -538,7 +544,7 @@ def _z(c: str, source: str = "wide") -> str:
 
 @query("zscore_cols", "SELECT area_key, " + R(*[f"{v}={_z(v)}" for v in VARIABLES]) + " FROM wide", ["wide"])
 def zscore_cols(spark, sf):
-    return rounded(op.zscore(core.wide(spark, sf), VARIABLES))
+    return rounded(op.zscore(land(core.wide(spark, sf), "wide"), VARIABLES))
 
 
 # ---------------------------------------------------------- keys and chains
@@ -617,6 +623,6 @@ GROUP BY nt""",
 def type_summary(spark, sf):
     """Median by collapsed category, the summary the result table is read back for."""
     groups = {next(iter(TYPE_GROUPS)): ["BUILDING", "HOUSEHOLD"]}
-    typed = op.collapse(core.area_wide(spark, sf), "neigh_type", groups, "nt")
+    typed = op.collapse(landed_areas(spark, sf), "neigh_type", groups, "nt")
     counts = typed.groupBy("nt").agg(F.count(F.lit(1)).alias("n"))
     return rounded(op.attach_group(counts, op.group_medians(typed, ["nt"], {"med": "v1"}), ["nt"]))

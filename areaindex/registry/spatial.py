@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areaindex.functions import share
 from areaindex.operators import geometry as geo
 from areaindex.operators import neighbours as nb
 from areaindex.plans.assess import big_city_ids as find_big_city_ids

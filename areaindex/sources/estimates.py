@@ -70,8 +70,7 @@ def read_estimates(
     return estimates_from(df, names_to_codes, output, keep_moe)
 
 
-def write_estimates(df: DataFrame, path: str, files_per_partition: int = 8) -> None:
-    """Landing copy in the layout ``read_estimates`` prunes on.  Rows of one (year, state) are dealt
-    over several tasks, so a dominant state is not written by one."""
-    dealt = df.withColumn("_deal", F.pmod(F.xxhash64("geoid"), F.lit(files_per_partition)))
-    dealt.repartition("year", "state", "_deal").drop("_deal").write.partitionBy("year", "state").parquet(path)
+def write_estimates(df: DataFrame, path: str) -> None:
+    """Landing copy in the layout ``read_estimates`` prunes on.  Rows are rebalanced by partition and
+    a dominant state is split over as many tasks as its size asks for."""
+    df.hint("rebalance", "year", "state").write.partitionBy("year", "state").parquet(path)
