@@ -2,8 +2,9 @@
 
 Spark's own ``median`` keeps every distinct value of a group in one task.  Here a bounded sketch
 only decides how a group is cut into value ranges; the answers come from exact counts, so no task
-ever holds a whole group, and every value is counted.  The sketch is computed and landed when the
-function is called, the rest when the result is used.
+ever holds a whole large group, and every value is counted.  The sketch is computed and landed when
+the function is called, and tells the largest group's size: where all groups are small, Spark's own
+aggregate or window does the rest.
 """
 
 from __future__ import annotations
@@ -15,23 +16,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areaindex.operators.joins import lookup_join, natural_left_join
+from areaindex.sources.landing import land
 
 SKETCH_ACCURACY = 10_000
 # Half width of the kept bracket around a wanted rank, as a share of the group.  It must exceed the
 # sketch's rank error (1 / SKETCH_ACCURACY) by two ranks for every group above WHOLE_GROUP.
 BRACKET = 0.0005
-# Groups up to this many values are kept whole.
+# Groups up to this many values may be held by one task.
 WHOLE_GROUP = 10_000
 RANK_RANGES = 200
 
 
+def _number(c: str) -> Column:
+    value = F.col(c).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _long(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    values = df.select(*by, *[_number(c).alias(c) for c in cols])
     if len(cols) == 1:
         long = values.select(*by, F.lit(cols[0]).alias("_m"), F.col(cols[0]).alias("_v"))
     else:
         long = values.unpivot(list(by), list(cols), "_m", "_v")
-    return long.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return long.filter(F.col("_v").isNotNull())
 
 
 def _ranks(n: Column, p: float) -> tuple[Column, Column, Column]:
@@ -39,25 +46,32 @@ def _ranks(n: Column, p: float) -> tuple[Column, Column, Column]:
     return F.floor(h) + 1, F.ceil(h) + 1, h - F.floor(h)
 
 
-def _long_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    cols: Sequence[str],
-    probs: Sequence[float],
-    whole_group: int,
-) -> DataFrame:
-    """One row per (by, _m) with columns _q0, _q1, ... in the order of ``probs``."""
-    by = list(by)
-    keys = [*by, "_m"]
-    long = _long(df, by, cols)
-
-    edges = [min(max(p + side * BRACKET, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    sketch = long.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_edges"),
+def _sketch(long: DataFrame, keys: Sequence[str], edges: Sequence[float]) -> DataFrame:
+    """Size, extremes and approximate bracket edges per group, landed."""
+    return land(
+        long.groupBy(*keys).agg(
+            F.count("_v").alias("_n"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+            F.percentile_approx("_v", list(edges), SKETCH_ACCURACY).alias("_edges"),
+        ),
+        "sketch",
     )
+
+
+def _largest(sizes: DataFrame, n: str = "_n") -> int:
+    return sizes.agg(F.max(n)).first()[0] or 0
+
+
+def _edges(probs: Sequence[float]) -> list[float]:
+    return [min(max(p + side * BRACKET, 0.0), 1.0) for p in probs for side in (-1, 1)]
+
+
+def _bracketed_quantiles(
+    long: DataFrame, sketch: DataFrame, keys: Sequence[str], probs: Sequence[float], whole_group: int
+) -> DataFrame:
+    """One row per key with columns _q0, _q1, ... in the order of ``probs``."""
+    edges = _edges(probs)
     whole = F.col("_n") <= whole_group
     bounds = sketch.select(
         *keys,
@@ -112,34 +126,57 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) skipping missing values, long form: by, measure,
     q0, q1, ...  A (group, measure) without values has no row."""
-    long = _long_quantiles(df, by, cols, probs, whole_group)
-    return long.withColumnsRenamed({"_m": "measure", **{f"_q{i}": f"q{i}" for i in range(len(probs))}})
+    keys = [*by, "_m"]
+    long = _long(df, by, cols)
+    sketch = _sketch(long, keys, _edges(probs))
+    if _largest(sketch) <= whole_group:
+        exact = long.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias("_q"))
+        out = exact.select(*keys, *[F.col("_q")[i].alias(f"_q{i}") for i in range(len(probs))])
+    else:
+        out = _bracketed_quantiles(long, sketch, keys, probs, whole_group)
+    return out.withColumnsRenamed({"_m": "measure", **{f"_q{i}": f"q{i}" for i in range(len(probs))}})
 
 
 def group_medians(
     df: DataFrame, by: Sequence[str], outputs: dict[str, str], whole_group: int = WHOLE_GROUP
 ) -> DataFrame:
     """One row per group that has any value, ``{output name: column}``, all columns in one pass."""
-    long = _long_quantiles(df, by, list(dict.fromkeys(outputs.values())), [0.5], whole_group)
-    return long.groupBy(*by).agg(
+    cols = list(dict.fromkeys(outputs.values()))
+    long = _long(df, by, cols)
+    sketch = _sketch(long, [*by, "_m"], _edges([0.5]))
+    if _largest(sketch) <= whole_group:
+        medians = df.groupBy(*by).agg(*[F.median(_number(c)).alias(name) for name, c in outputs.items()])
+        return medians.filter(F.coalesce(*outputs).isNotNull())
+    exact = _bracketed_quantiles(long, sketch, [*by, "_m"], [0.5], whole_group)
+    return exact.groupBy(*by).agg(
         *[F.max(F.when(F.col("_m") == c, F.col("_q0"))).alias(name) for name, c in outputs.items()]
     )
 
 
-def rank_share(df: DataFrame, by: str, value: str, name: str, ranges: int = RANK_RANGES) -> DataFrame:
+def rank_share(
+    df: DataFrame, by: str, value: str, name: str, ranges: int = RANK_RANGES, whole_group: int = WHOLE_GROUP
+) -> DataFrame:
     """Ascending rank (ties share their average) over the group's row count, missing values counted
     in the denominator and themselves unranked.
 
-    Each group is cut into value ranges; ranks inside a range are offset by the exact number of
-    values in the ranges before it.
+    Groups known to be small are ranked by a window.  Otherwise each group is cut into value ranges;
+    ranks inside a range are offset by the exact number of values in the ranges before it.
     """
-    rows = df.select(F.col(by).alias("_g"), F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("_size"),
-        F.percentile_approx(
-            "_v", [i / ranges for i in range(1, ranges)], SKETCH_ACCURACY
-        ).alias("_cuts"),
+    rows = df.select(F.col(by).alias("_g"), _number(value).alias("_v"))
+    sizes = land(
+        rows.groupBy("_g").agg(
+            F.count(F.lit(1)).alias("_size"),
+            F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], SKETCH_ACCURACY).alias("_cuts"),
+        ),
+        "sizes",
     )
+    if _largest(sizes, "_size") <= whole_group:
+        group = W.partitionBy(by)
+        key = _number(value)
+        tied = F.count(F.lit(1)).over(W.partitionBy(by, key))
+        average = F.rank().over(group.orderBy(key.asc_nulls_last())) + (tied - 1) / F.lit(2.0)
+        return df.withColumn(name, F.when(key.isNotNull(), average / F.count(F.lit(1)).over(group)))
+
     counts = rows.filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranged = lookup_join(counts, sizes, ["_g"]).select(
         "_g",
@@ -164,5 +201,5 @@ def rank_share(df: DataFrame, by: str, value: str, name: str, ranges: int = RANK
             (F.col("_offset") + F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)) / F.col("_size")
         ).alias(name),
     )
-    keyed = df.withColumn("_rank_key", F.col(value).cast("double"))
+    keyed = df.withColumn("_rank_key", _number(value))
     return natural_left_join(keyed, ranks, [by, "_rank_key"]).drop("_rank_key")

@@ -52,7 +52,9 @@ def test_rank_share_against_a_window(spark, rows):
     random.seed(1)
     data = [(random.choice("aab"), random.choice([None, 1.0, 2.5, random.random()])) for _ in range(3000)]
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)], "id int, g string, v double")
-    got = rows(op.rank_share(df, "g", "v", "r", ranges=7).select("id", F.round("r", 9)))
+    cut = rows(op.rank_share(df, "g", "v", "r", ranges=7, whole_group=10).select("id", F.round("r", 9)))
+    got = rows(op.rank_share(df, "g", "v", "r").select("id", F.round("r", 9)))
+    assert got == cut
     df.createOrReplaceTempView("ranked")
     want = rows(
         spark.sql(
@@ -100,7 +102,7 @@ def quantile(values, p):
     return lo + (hi - lo) * (h - math.floor(h))
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.floats(-1e6, 1e6))), min_size=1, max_size=60))
 def test_quantiles_of_small_groups(spark, data):
     df = spark.createDataFrame(data, "g string, v double")
@@ -126,6 +128,20 @@ def test_quantiles_of_large_groups_use_brackets(spark, shape):
     assert (got.q0, got.q1, got.q2) == pytest.approx(tuple(quantile(values, p) for p in (0.25, 0.5, 0.75)))
 
 
+def test_small_and_large_groups_together(spark):
+    """Groups under the limit stay whole inside the brackets of a large one."""
+    df = spark.range(30_050).select(
+        F.when(F.col("id") < 30_000, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
+        (F.col("id") * 7919 % 10007).cast("double").alias("v"),
+        F.when(F.col("id") % 3 == 0, F.sqrt("id")).alias("w"),
+    )
+    got = {r.g: (r.a, r.b) for r in op.group_medians(df, ["g"], {"a": "v", "b": "w"}).collect()}
+    want = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(F.median("v").alias("a"), F.median("w").alias("b")).collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g])
+
+
 def test_group_medians_with_missing_group_keys(spark, rows):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("b", None)], "g string, v double")
     out = op.with_group_median(df, ["g"], {"m": "v"})
