@@ -103,15 +103,17 @@ def strict_agg(df: DataFrame, cols: dict[str, str]) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"),
         *[F.avg(c).alias(f"_avg_{c}") for c in names],
         *[F.count(c).alias(f"_n_{c}") for c in names],
-    ).withColumn("_one", F.lit(1))
-    medians = group_medians(df.withColumn("_one", F.lit(1)), ["_one"], {f"_med_{c}": c for c in names})
-    both = totals.join(medians, "_one", "left")
+    )
+    medians = group_medians(df, [], {f"_med_{c}": c for c in names}).select(
+        F.struct(*[f"_med_{c}" for c in names])
+    )
+    median = medians.scalar()
     out = []
     for name, c in cols.items():
         complete = F.col("_rows") == F.col(f"_n_{c}")
         out.append(F.when(complete, F.col(f"_avg_{c}")).alias(f"p{name}"))
-        out.append(F.when(complete, F.col(f"_med_{c}")).alias(f"m{name}"))
-    return both.select(*out)
+        out.append(F.when(complete, median.getField(f"_med_{c}")).alias(f"m{name}"))
+    return totals.select(*out)
 
 
 def describe_cols(df: DataFrame, cols: Sequence[str]) -> DataFrame:
