@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,9 +13,9 @@ from areaindex.functions.expr import idw, proportional_change
 from areaindex.operators.pairs import near_pairs
 from areaindex.sources.landing import land
 
-# Points per grid cell at which the nearest-neighbour search starts.
-START_OCCUPANCY = 500
-MAX_HALVINGS = 60
+# Points in the fullest grid cell at which the nearest-neighbour search starts.
+START_OCCUPANCY = 32
+MAX_REFINEMENTS = 30
 
 
 def _lowest(df: DataFrame, by: Sequence[str], item: str, k: int, name: str) -> DataFrame:
@@ -31,8 +32,9 @@ def _lowest(df: DataFrame, by: Sequence[str], item: str, k: int, name: str) -> D
 
 
 def _start_cell(places: DataFrame) -> tuple[float, float]:
-    """(cell side, extent): a side with about one place per cell overall, halved until the fullest
-    cell is within START_OCCUPANCY."""
+    """(cell side, extent): a side with about one place per cell overall, refined until the fullest
+    cell is within START_OCCUPANCY.  Halving a side quarters an evenly filled cell, which tells how
+    often to halve before looking again."""
     box = places.agg(
         F.count(F.lit(1)).alias("n"),
         F.min("x").alias("xmin"),
@@ -45,11 +47,12 @@ def _start_cell(places: DataFrame) -> tuple[float, float]:
     width, height = box.xmax - box.xmin, box.ymax - box.ymin
     extent = max(width, height)
     side = max((width * height / box.n) ** 0.5, extent / box.n)
-    for _ in range(MAX_HALVINGS):
+    for _ in range(MAX_REFINEMENTS):
         cells = places.groupBy(F.floor(F.col("x") / side), F.floor(F.col("y") / side)).count()
-        if cells.agg(F.max("count")).first()[0] <= START_OCCUPANCY:
+        fullest = cells.agg(F.max("count")).first()[0]
+        if fullest <= START_OCCUPANCY:
             break
-        side /= 2
+        side /= 2 ** max(1, round(math.log(fullest / START_OCCUPANCY, 4)))
     return side, extent
 
 

@@ -19,12 +19,13 @@ from areaindex.operators.joins import lookup_join, natural_left_join
 from areaindex.sources.landing import land
 
 SKETCH_ACCURACY = 10_000
-# Half width of the kept bracket around a wanted rank, as a share of the group.  It must exceed the
-# sketch's rank error (1 / SKETCH_ACCURACY) by two ranks for every group above WHOLE_GROUP.
-BRACKET = 0.0005
-# Groups up to this many values may be held by one task.
+# Half width of the kept bracket around a wanted rank, as a share of the group, for groups above a
+# size.  It must exceed the sketch's rank error (1 / SKETCH_ACCURACY) by two ranks from that size on.
+# Smaller groups are kept whole.
+BRACKETS = [(500, 0.005), (10_000, 0.0005)]
+# Where no group is larger than this, one task may hold each of them.
 WHOLE_GROUP = 10_000
-RANK_RANGES = 200
+RANK_RANGES = 256
 
 
 def _number(c: str) -> Column:
@@ -64,29 +65,36 @@ def _largest(sizes: DataFrame, n: str = "_n") -> int:
 
 
 def _edges(probs: Sequence[float]) -> list[float]:
-    return [min(max(p + side * BRACKET, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    """Ranks to sketch: per probability a lower and an upper edge for each bracket width."""
+    return [
+        min(max(p + side * width, 0.0), 1.0) for p in probs for side in (-1, 1) for _, width in BRACKETS
+    ]
+
+
+def _bracket_bounds(sketch: DataFrame, keys: Sequence[str], n_probs: int) -> DataFrame:
+    """Per key the size _n and for each probability the bracket from _e<2i> to _e<2i+1>."""
+    out = []
+    for i in range(2 * n_probs):
+        edge = F.when(F.col("_n") <= BRACKETS[0][0], F.col("_max" if i % 2 else "_min"))
+        for j in range(len(BRACKETS)):
+            value = F.col("_edges")[i * len(BRACKETS) + j]
+            last = j + 1 == len(BRACKETS)
+            edge = edge.otherwise(value) if last else edge.when(F.col("_n") <= BRACKETS[j + 1][0], value)
+        out.append(edge.alias(f"_e{i}"))
+    return sketch.select(*keys, "_n", *out)
 
 
 def _bracketed_quantiles(
-    long: DataFrame, sketch: DataFrame, keys: Sequence[str], probs: Sequence[float], whole_group: int
+    long: DataFrame, sketch: DataFrame, keys: Sequence[str], probs: Sequence[float]
 ) -> DataFrame:
     """One row per key with columns _q0, _q1, ... in the order of ``probs``."""
-    edges = _edges(probs)
-    whole = F.col("_n") <= whole_group
-    bounds = sketch.select(
-        *keys,
-        "_n",
-        *[
-            F.when(whole, F.col("_min" if i % 2 == 0 else "_max")).otherwise(F.col("_edges")[i]).alias(f"_e{i}")
-            for i in range(len(edges))
-        ],
-    )
+    bounds = _bracket_bounds(sketch, keys, len(probs))
 
     # Values inside a bracket stay as they are; each stretch between brackets shrinks to a count.
     v = F.col("_v")
     inside = F.lit(False)
     stretch = F.lit(0)
-    for i in range(0, len(edges), 2):
+    for i in range(0, 2 * len(probs), 2):
         inside = inside | v.between(F.col(f"_e{i}"), F.col(f"_e{i + 1}"))
         stretch = stretch + (v > F.col(f"_e{i + 1}")).cast("int")
     counted = (
@@ -133,7 +141,7 @@ def group_quantiles(
         exact = long.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias("_q"))
         out = exact.select(*keys, *[F.col("_q")[i].alias(f"_q{i}") for i in range(len(probs))])
     else:
-        out = _bracketed_quantiles(long, sketch, keys, probs, whole_group)
+        out = _bracketed_quantiles(long, sketch, keys, probs)
     return out.withColumnsRenamed({"_m": "measure", **{f"_q{i}": f"q{i}" for i in range(len(probs))}})
 
 
@@ -147,12 +155,23 @@ def group_medians(
     if _largest(sketch) <= whole_group:
         medians = df.groupBy(*by).agg(*[F.median(_number(c)).alias(name) for name, c in outputs.items()])
         return medians.filter(F.coalesce(*outputs).isNotNull())
-    exact = _bracketed_quantiles(long, sketch, [*by, "_m"], [0.5], whole_group)
+    exact = _bracketed_quantiles(long, sketch, [*by, "_m"], [0.5])
     return exact.groupBy(*by).agg(
         *[F.max(F.when(F.col("_m") == c, F.col("_q0"))).alias(name) for name, c in outputs.items()]
     )
 
 
+def _cuts_below(cuts: str, value: str, ranges: int) -> Column:
+    """How many of the sorted cuts are below the value, by bisection; beyond the array's end counts
+    as not below."""
+    steps = [1 << i for i in reversed(range(max(ranges - 1, 1).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(step) for step in steps]),
+        F.lit(0),
+        lambda at, step: at + F.when(F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0),
+    )
+
+
 def rank_share(
     df: DataFrame, by: str, value: str, name: str, ranges: int = RANK_RANGES, whole_group: int = WHOLE_GROUP
 ) -> DataFrame:
@@ -163,12 +182,10 @@ def rank_share(
     ranks inside a range are offset by the exact number of values in the ranges before it.
     """
     rows = df.select(F.col(by).alias("_g"), _number(value).alias("_v"))
+    cuts = F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], SKETCH_ACCURACY)
+    size = F.count(F.lit(1))
     sizes = land(
-        rows.groupBy("_g").agg(
-            F.count(F.lit(1)).alias("_size"),
-            F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], SKETCH_ACCURACY).alias("_cuts"),
-        ),
-        "sizes",
+        rows.groupBy("_g").agg(size.alias("_size"), F.when(size > whole_group, cuts).alias("_cuts")), "sizes"
     )
     if _largest(sizes, "_size") <= whole_group:
         group = W.partitionBy(by)
@@ -183,7 +200,7 @@ def rank_share(
         "_v",
         "_c",
         "_size",
-        F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))).alias("_range"),
+        _cuts_below("_cuts", "_v", ranges).alias("_range"),
     )
     before = W.partitionBy("_g").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -131,7 +131,10 @@ def test_quantiles_of_large_groups_use_brackets(spark, shape):
 def test_small_and_large_groups_together(spark):
     """Groups under the limit stay whole inside the brackets of a large one."""
     df = spark.range(30_050).select(
-        F.when(F.col("id") < 30_000, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
+        F.when(F.col("id") < 20_000, "hot")
+        .when(F.col("id") < 30_000, F.concat(F.lit("mid"), (F.col("id") % 4).cast("string")))
+        .otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string")))
+        .alias("g"),
         (F.col("id") * 7919 % 10007).cast("double").alias("v"),
         F.when(F.col("id") % 3 == 0, F.sqrt("id")).alias("w"),
     )
@@ -168,5 +171,5 @@ def test_impute_keeps_groups_without_values_missing(spark, rows):
 
 
 def test_bracket_is_wider_than_the_sketch_error():
-    n = order_stats.WHOLE_GROUP
-    assert order_stats.BRACKET * n >= n / order_stats.SKETCH_ACCURACY + 2
+    for n, width in order_stats.BRACKETS:
+        assert width * n >= n / order_stats.SKETCH_ACCURACY + 2
