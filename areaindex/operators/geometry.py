@@ -162,12 +162,10 @@ def contiguity(poly_vertex: DataFrame, snap: float = 0.0) -> DataFrame:
     corners = poly_vertex.select("geo_id", "x", "y").distinct()
     if snap > 0:
         pairs = near_pairs(corners, corners, snap)
-        other = "geo_id_2"
     else:
         pairs = salted_join(corners, corners.withColumnRenamed("geo_id", "geo_id_2"), ["x", "y"])
-        other = "geo_id_2"
     return (
-        pairs.filter(F.col("geo_id") != F.col(other))
-        .select(F.col("geo_id").alias("src"), F.col(other).alias("dst"))
+        pairs.filter(F.col("geo_id") != F.col("geo_id_2"))
+        .select(F.col("geo_id").alias("src"), F.col("geo_id_2").alias("dst"))
         .distinct()
     )

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areaindex.functions.expr import idw, proportional_change
-from areaindex.operators.pairs import near_pairs
+from areaindex.operators.pairs import near_pairs, salted_join
 from areaindex.sources.landing import land
 
 # Points in the fullest grid cell at which the nearest-neighbour search starts.
@@ -92,17 +93,15 @@ def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
         open_places = state.filter(~enough).select("x", "y", "need")
         side *= 2
 
-    out = ids.join(places.select("x", "y", "ids"), ["x", "y"])
-    empty = F.array().cast(f"array<struct<dist:double,id:{dict(ids.dtypes)['id']}>>")
+    # Places meet their partners first, so that points, of which many may share a place, join once.
+    none = F.array().cast(f"array<struct<dist:double,id:{dict(ids.dtypes)['id']}>>")
+    known = places.select("x", "y", "ids")
     if rounds:
-        others = rounds[0]
-        for r in rounds[1:]:
-            others = others.unionByName(r)
-        out = out.join(others.select("x", "y", "others"), ["x", "y"], "left").withColumn(
-            "others", F.coalesce("others", empty)
-        )
+        partners = reduce(DataFrame.unionByName, rounds).select("x", "y", "others")
+        known = known.join(partners, ["x", "y"], "left").withColumn("others", F.coalesce("others", none))
     else:
-        out = out.withColumn("others", empty)
+        known = known.withColumn("others", none)
+    out = ids.join(land(known, "partners"), ["x", "y"])
     stacked = F.transform(
         F.filter("ids", lambda i: i != F.col("id")),
         lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id")),
@@ -151,12 +150,11 @@ def idw_weights(edges: DataFrame, power: int = 2) -> DataFrame:
 
 def row_standardise(edges: DataFrame) -> DataFrame:
     """Weights summing to 1 per source; without a ``w`` column all neighbours weigh the same.  Totals
-    are aggregated and joined back, so a hub's edges stay spread out."""
+    are aggregated and joined back, a hub's edges dealt over several tasks."""
     weighted = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     totals = weighted.groupBy("src").agg(F.sum("w").alias("_total"))
-    return (
-        weighted.join(totals, "src").withColumn("w", F.try_divide("w", "_total")).drop("_total")
-    )
+    joined = salted_join(weighted, totals, ["src"])
+    return joined.withColumn("w", F.try_divide("w", "_total")).drop("_total")
 
 
 def _lag_columns(cols: Sequence[str], zero_policy: bool, on_null: str) -> dict:
@@ -215,7 +213,7 @@ def band_lag(
     """Inverse-distance lag over the distance band for areas with coordinates x, y: the result of
     ``spatial_lag`` over ``idw_weights(distance_band(...))`` without listing pairs of areas.  Values
     are summed per place first, so coincident areas cost one pair, and the weights are never
-    stored."""
+    stored; the sums per place are landed, so that a crowded place can be split when areas join."""
     places = areas.groupBy("x", "y").agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         *[F.sum(c).alias(f"sum_{c}") for c in cols],
@@ -227,7 +225,7 @@ def band_lag(
         *[F.sum(F.col("w") * F.col(f"sum_{c}_2")).alias(f"_sum_{c}") for c in cols],
         *[F.sum(f"nulls_{c}_2").alias(f"_nulls_{c}") for c in cols],
     )
-    return _with_lags(areas, sums, ["x", "y"], cols, zero_policy, on_null)
+    return _with_lags(areas, land(sums, "lags"), ["x", "y"], cols, zero_policy, on_null)
 
 
 def _place_value_pairs(places: DataFrame, d2: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from areaindex.functions.bands import recode
 from areaindex.operators.reshape import spread
+from areaindex.sources.landing import land
 
 ESTIMATES_SCHEMA = T.StructType(
     [
@@ -59,15 +60,18 @@ def read_estimates(
     year: int,
     output: str = "tidy",
     keep_moe: bool = False,
+    cache: bool = False,
 ) -> DataFrame:
-    """Estimates from a table partitioned by year and state; both filters prune partitions."""
+    """Estimates from a table partitioned by year and state; both filters prune partitions.  ``cache``
+    lands a copy of the selection for reuse."""
     states = [state] if isinstance(state, str) else list(state)
     df = (
         spark.read.schema(ESTIMATES_SCHEMA)
         .parquet(path)
         .filter((F.col("year") == year) & F.col("state").isin(*states))
     )
-    return estimates_from(df, names_to_codes, output, keep_moe)
+    out = estimates_from(df, names_to_codes, output, keep_moe)
+    return land(out, "estimates") if cache else out
 
 
 def write_estimates(df: DataFrame, path: str) -> None:

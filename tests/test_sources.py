@@ -43,6 +43,8 @@ def test_estimates_prune_to_one_partition(spark):
     wide = read_estimates(spark, path, names, "06", 2017, output="wide", keep_moe=True)
     assert wide.columns == ["geoid", "name", "totrent_e", "totrent_m", "totten_e", "totten_m"] and wide.count() == 8
     assert read_estimates(spark, path, names, ["06", "53"], 2017, output="wide").columns[2:] == list(names)
+    kept = read_estimates(spark, path, names, "06", 2017, cache=True)
+    assert kept.count() == 16 and not set(kept.inputFiles()) & set(tidy.inputFiles())
 
 
 def test_csv_tokens_and_leading_zeros(spark, tmp_path):
