@@ -146,20 +146,23 @@ def feature_layers(
     popup_column: Column | None = None,
 ) -> DataFrame:
     """One JSON feature per area and layer: all areas by tier 1, tier 2 areas, transit buffers by
-    label.  Columns layer, area id, label, color, popup, feature."""
+    label.  Columns area id, label, color, popup, layer, feature.  One pass over the result gives
+    both tier layers."""
     text = popup() if popup_column is None else popup_column
-    shown = result.withColumn("popup", text)
 
-    def tier_layer(df, tier, colours):
-        return df.select(
-            area_id, F.col(tier).alias("label"), palette(tier, colours).alias("color"), "popup"
+    def layer(name, tier, colours):
+        return F.struct(
+            F.col(tier).alias("label"), palette(tier, colours).alias("color"), F.lit(name).alias("layer")
         )
 
-    layers = union_layers(
-        {
-            "Heightened Sensitivity": tier_layer(shown, "tier1", TIER_COLOURS),
-            "Vulnerable": tier_layer(shown.filter(F.col("tier2").isNotNull()), "tier2", VULNERABLE_COLOURS),
-        }
+    shown = F.array_compact(
+        F.array(
+            layer("Heightened Sensitivity", "tier1", TIER_COLOURS),
+            F.when(F.col("tier2").isNotNull(), layer("Vulnerable", "tier2", VULNERABLE_COLOURS)),
+        )
+    )
+    layers = result.select(area_id, text.alias("popup"), F.explode(shown).alias("shown")).select(
+        area_id, "shown.label", "shown.color", "popup", "shown.layer"
     )
     out = feature_lines(layers, poly_vertex, area_id)
     if transit is None:
