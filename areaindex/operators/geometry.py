@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.operators.pairs import near_pairs, salted_join
+from areaindex.sources.landing import land
 
 RING = ["geo_id", "part_no", "ring_no"]
 
@@ -159,7 +160,7 @@ def points_in_polygons(points: DataFrame, poly_vertex: DataFrame, point_id: str
 
 def contiguity(poly_vertex: DataFrame, snap: float = 0.0) -> DataFrame:
     """Directed edges (src, dst) between areas sharing a boundary vertex, within ``snap``."""
-    corners = poly_vertex.select("geo_id", "x", "y").distinct()
+    corners = land(poly_vertex.select("geo_id", "x", "y").distinct(), "corners")
     if snap > 0:
         pairs = near_pairs(corners, corners, snap)
     else:

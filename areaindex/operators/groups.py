@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.functions.expr import above, row_sum0, share, sum0
-from areaindex.operators.joins import lookup_join
 from areaindex.operators.order_stats import group_medians, group_quantiles
+from areaindex.operators.pairs import lookup_join
 
 
 def attach_group(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,7 +1,6 @@
 """Join operators.  Physical strategy is left to Catalyst: a side is broadcast only when its
 measured size is under the session's threshold, otherwise the join is sort-merge with AQE skew
-splitting.  Joins to group tables, where one group may hold much of the data, check the table's size
-themselves."""
+splitting.  ``operators.pairs`` has the joins that look for hot keys themselves."""
 
 from __future__ import annotations
 
@@ -12,12 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.operators.columns import ids
-from areaindex.sources.landing import land
-
-# Group tables up to this many rows are broadcast.
-BROADCAST_ROWS = 100_000
-# Tasks a hot group is dealt over where its table is too large to broadcast.
-SALTS = 32
 
 
 def natural_left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
@@ -28,23 +21,6 @@ def natural_left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Non
     return left.join(renamed, cond, "left").drop(*[f"_right_{k}" for k in keys])
 
 
-def lookup_join(
-    left: DataFrame, groups: DataFrame, on: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Natural left join to a table with one row per group, for groups of any size.
-
-    The group table is landed and counted.  A small one is broadcast, so the rows are not shuffled.
-    A larger one is copied to every salt and the rows are dealt over the salts by their content, so
-    no task holds a whole group.
-    """
-    stats = land(groups, "groups")
-    if stats.count() <= broadcast_rows:
-        return natural_left_join(left, F.broadcast(stats), on)
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    return natural_left_join(dealt, stats.withColumn("_salt", salts).hint("merge"), [*on, "_salt"]).drop("_salt")
-
-
 def left_join(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], suffix: tuple[str, str] = ("_x", "_y")
 ) -> DataFrame:

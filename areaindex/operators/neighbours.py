@@ -125,7 +125,7 @@ def band_limit(points: DataFrame, factor: float = 0.1, point_id: str = "geo_id")
 
 
 def _place_pairs(points: DataFrame, d2: float) -> DataFrame:
-    places = points.select("x", "y").distinct()
+    places = land(points.select("x", "y").distinct(), "places")
     if not d2 > 0:
         return near_pairs(places, places, 1.0, chunk=None).filter(F.lit(False))
     return near_pairs(places, places, d2).filter(F.col("dist") > 0)
@@ -150,8 +150,9 @@ def idw_weights(edges: DataFrame, power: int = 2) -> DataFrame:
 
 def row_standardise(edges: DataFrame) -> DataFrame:
     """Weights summing to 1 per source; without a ``w`` column all neighbours weigh the same.  Totals
-    are aggregated and joined back, a hub's edges dealt over several tasks."""
-    weighted = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
+    are aggregated and joined back, a hub's edges dealt over several tasks; the edges are landed for
+    the passes this takes."""
+    weighted = land(edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0)), "edges")
     totals = weighted.groupBy("src").agg(F.sum("w").alias("_total"))
     joined = salted_join(weighted, totals, ["src"])
     return joined.withColumn("w", F.try_divide("w", "_total")).drop("_total")
@@ -214,10 +215,13 @@ def band_lag(
     ``spatial_lag`` over ``idw_weights(distance_band(...))`` without listing pairs of areas.  Values
     are summed per place first, so coincident areas cost one pair, and the weights are never
     stored; the sums per place are landed, so that a crowded place can be split when areas join."""
-    places = areas.groupBy("x", "y").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(c).alias(f"sum_{c}") for c in cols],
-        *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in cols],
+    places = land(
+        areas.groupBy("x", "y").agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            *[F.sum(c).alias(f"sum_{c}") for c in cols],
+            *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in cols],
+        ),
+        "places",
     )
     pairs = _place_value_pairs(places, d2).withColumn("w", idw("dist", power))
     sums = pairs.groupBy("x", "y").agg(

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from areaindex.operators.joins import lookup_join, natural_left_join
+from areaindex.operators.joins import natural_left_join
+from areaindex.operators.pairs import lookup_join
 from areaindex.sources.landing import land
 
 SKETCH_ACCURACY = 10_000

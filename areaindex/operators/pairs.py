@@ -7,38 +7,65 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areaindex.operators.joins import natural_left_join
 from areaindex.sources.landing import land
 
 # Left rows of one key that one task may hold against that key's right rows.
 CHUNK = 20_000
+# The same where each left row meets a single right row.
+LOOKUP_CHUNK = 1_000_000
+# Group tables up to this many rows are broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int = CHUNK
-) -> DataFrame:
-    """Inner join on ``keys``.  A key with more than ``chunk`` left rows is dealt over
-    ``rows / chunk`` salts and its right rows are copied to each; without such a key it is a plain
-    join.  No pair is lost either way."""
-    keys = list(keys)
+def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int):
+    """Both sides with a ``_salt``, or None where no key has more than ``chunk`` left rows.  A hot
+    key's left rows are dealt over ``rows / chunk`` salts and its right rows copied to each."""
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = counts.filter(F.col("_rows") > chunk).select(
         *keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("_salts")
     )
     if hot.isEmpty():
-        return left.join(right, keys)
+        return None
     hot = land(hot, "hot-keys")
     salts = F.coalesce("_salts", F.lit(1))
-    dealt = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
-        .drop("_salts")
+    dealt = natural_left_join(left, hot, keys).withColumn(
+        "_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")
     )
-    copied = (
-        right.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
+    copied = natural_left_join(right, hot, keys).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+    return dealt.drop("_salts"), copied.drop("_salts")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """Inner join on ``keys``, hot keys split; without a hot key a plain join.  No pair is lost
+    either way."""
+    sides = _deal(left, right, keys, chunk)
+    if sides is None:
+        return left.join(right, list(keys))
+    return sides[0].join(sides[1], [*keys, "_salt"]).drop("_salt")
+
+
+def lookup_join(
+    left: DataFrame,
+    groups: DataFrame,
+    on: Sequence[str],
+    broadcast_rows: int = BROADCAST_ROWS,
+    chunk: int = LOOKUP_CHUNK,
+) -> DataFrame:
+    """Natural left join to a table with one row per group, for groups of any size.
+
+    The group table is landed and counted.  A small one is broadcast, so the rows are not shuffled;
+    for a larger one the hot groups are split.
+    """
+    stats = land(groups, "groups")
+    if stats.count() <= broadcast_rows:
+        return natural_left_join(left, F.broadcast(stats), on)
+    sides = _deal(left, stats, on, chunk)
+    if sides is None:
+        return natural_left_join(left, stats, on)
+    return natural_left_join(sides[0], sides[1], [*on, "_salt"]).drop("_salt")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, chunk: int | None = CHUNK) -> DataFrame:

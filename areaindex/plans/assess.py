@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from areaindex.functions.expr import parent_id
 from areaindex.operators.columns import ids, scale_col, semi_filter
 from areaindex.operators.geometry import centroid, contiguity, label_point, points_in_polygons
-from areaindex.operators.groups import attach_group
-from areaindex.operators.joins import flag_in, left_join, natural_left_join, reduce_left_join
+from areaindex.operators.joins import flag_in, natural_left_join, reduce_left_join
 from areaindex.operators.neighbours import band_lag, band_limit, neighbour_share
 from areaindex.operators.reshape import spread
 from areaindex.plans.income import income_shares, low_quality

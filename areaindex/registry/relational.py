@@ -9,7 +9,7 @@ from areaindex import functions as fn
 from areaindex import operators as op
 from areaindex.plans.export import TYPE_GROUPS
 from areaindex.registry import core
-from areaindex.registry.core import VARIABLES, R, query, rounded, table
+from areaindex.registry.core import VARIABLES, R, query, rounded
 from areaindex.sources import (
     apply_dict,
     estimates_from,

@@ -6,11 +6,13 @@ from areaindex.plans import assess
 from areaindex.plans.export import final_projection
 from areaindex.plans.variables import AREA_VARIABLES, burden_variables
 from areaindex.sources import (
+    apply_dict,
     land,
     read_csv_clean,
     read_estimates,
     read_polygons,
     scratch_dir,
+    variable_dict,
     write_estimates,
     write_features,
     write_table,
@@ -47,6 +49,12 @@ def test_estimates_prune_to_one_partition(spark):
     assert kept.count() == 16 and not set(kept.inputFiles()) & set(tidy.inputFiles())
 
 
+def test_variable_dictionary_as_a_table(spark, rows):
+    names = {"totrent": "B25003_003", "totten": "B25003_001"}
+    assert rows(variable_dict(spark, names)) == sorted(names.items())
+    assert {r.variable for r in apply_dict(estimates(spark), names).collect()} == set(names)
+
+
 def test_csv_tokens_and_leading_zeros(spark, tmp_path):
     (tmp_path / "a.csv").write_text("geoid,v,w\n06001, 3 ,NA\n06003,NA, \n06005,,x\n")
     schema = T.StructType([T.StructField("geoid", T.StringType()), T.StructField("v", T.DoubleType()), T.StructField("w", T.StringType())])
