@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from areaindex import functions as fn
 from areaindex import operators as op
-from areaindex.plans import disadvantage, income, profile, rent
+from areaindex.plans import disadvantage, income, profile, rent, scoring
 from areaindex.registry import core
 from areaindex.registry.core import VARIABLES, R, fraction, query, rounded
 from areaindex.sources import land
@@ -319,6 +319,10 @@ def area_profile(spark, sf):
     return rounded(out.select("geoid", *PROFILE_COLUMNS))
 
 
+def profiled(spark, sf, *cols):
+    return profile.area_profile(profile_inputs(core.area_wide(spark, sf))).select(*cols)
+
+
 @query(
     "group_benchmarks",
     f"""SELECT p.geoid, {R("tr_POC_rank=CASE WHEN p.ppoc IS NULL THEN NULL ELSE (p.r + (p.same - 1) / 2e0) / p.size END",
@@ -330,7 +334,7 @@ LEFT JOIN (SELECT county, median(pstudents) AS a, median(prenters) AS b, median(
     ["profile"],
 )
 def group_benchmarks(spark, sf):
-    df = profile.area_profile(profile_inputs(land(core.area_wide(spark, sf), "areas")))
+    df = land(profiled(spark, sf, "geoid", "county", "tr_pstudents", "tr_prenters", "tr_pPOC"), "profile")
     chosen = {k: profile.BENCHMARKS[k] for k in ("co_pstudents", "co_prenters", "co_pPOC")}
     out = profile.group_benchmarks(df, "county", chosen)
     return rounded(out.select("geoid", "tr_POC_rank", *chosen))
@@ -393,7 +397,7 @@ LEFT JOIN (SELECT county, median(round(vli / nullif(tot, 0), 12)) AS m FROM inco
     ["profile", "income"],
 )
 def variant_flags(spark, sf):
-    df = profile.area_profile(profile_inputs(core.area_wide(spark, sf)))
+    df = profiled(spark, sf, "area_key", "geoid", "county", "tr_pstudents", "tr_prenters")
     shares = income.income_shares(area_bands(spark, sf), "area_key").select("area_key", "tr_VLI_prop")
     out = profile.variant_flags(land(df.join(shares, "area_key", "left"), "profile"))
     return out.select("geoid", "v_renters_40p", "v_VLI_med")
@@ -411,12 +415,10 @@ FROM profile p LEFT JOIN income i ON p.area_key = i.area_key LEFT JOIN measures
     ["profile", "income", "measures"],
 )
 def vulnerability_flags(spark, sf):
-    from areaindex.plans.scoring import vulnerability_flags as flags
-
-    df = profile.area_profile(profile_inputs(core.area_wide(spark, sf)))
+    df = profiled(spark, sf, "area_key", "geoid", "tr_pstudents", "tr_prenters", "tr_pPOC")
     shares = income.income_shares(area_bands(spark, sf), "area_key").select("area_key", "tr_VLI_prop")
     measures = burden_measures(spark, sf).drop("county")
-    out = flags(df.join(shares, "area_key", "left").join(measures, "area_key", "left"))
+    out = scoring.vulnerability_flags(df.join(shares, "area_key", "left").join(measures, "area_key", "left"))
     return out.select(
         "geoid", "v_VLI", "v_Renters", "v_RB30LI", "v_RB50LI", "v_RB30VLI", "v_RB50VLI", "v_POC"
     )
