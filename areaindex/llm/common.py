@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from areaindex.sources.landing import land
 
-#: Landed rows of this many are broadcast at most, so the sent size is bounded; beyond it a shuffle join does the same.
-BROADCAST_ROWS = 500_000
+#: Landed frames of at most this many cells (rows, or list entries of rows) are broadcast, some 64 MB;
+#: beyond it a shuffle join does the same.
+BROADCAST_CELLS = 1_000_000
 
 #: A-Z to a-z; every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -41,12 +42,11 @@ def crc_of_id(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a landed ``small`` frame to ``big``: broadcast when a count shows at most BROADCAST_ROWS
-    rows, else a shuffle join, so that what is sent never grows with the data."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", cells=None) -> DataFrame:
+    """Join a landed ``small`` frame to ``big``: broadcast when its cells, one a row or as counted by
+    ``cells``, are at most BROADCAST_CELLS, else by a shuffle, so what is sent never grows with the data."""
+    size = small.agg(F.sum(cells if cells is not None else F.lit(1)).alias("n")).first()["n"] or 0
+    return big.join(F.broadcast(small) if size <= BROADCAST_CELLS else small, on, how)
 
 
 def rebatch(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -59,4 +59,4 @@ def rebatch(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> It
             yield batch.slice(i, step)
 
 
-__all__ = ["BROADCAST_ROWS", "LOWER", "WORD_BYTES", "crc_of_id", "documents", "join_small", "land", "rebatch", "space_words", "texts"]
+__all__ = ["BROADCAST_CELLS", "LOWER", "WORD_BYTES", "crc_of_id", "documents", "join_small", "land", "rebatch", "space_words", "texts"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import WORD_BYTES, land, rebatch
+from areaindex.llm.common import WORD_BYTES, join_small, land, rebatch
 
 WINDOW = 13
 
@@ -188,4 +188,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all their columns, without the contaminated ones; rows with a null id stay."""
     bad = land(contamination(docs, benchmark, **options).filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti")
+    return join_small(docs, bad, ["doc_id"], "left_anti").select(*docs.columns)

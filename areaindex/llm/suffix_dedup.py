@@ -185,7 +185,7 @@ def _rank(ranked: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     )
     same = kept.filter("fresh").join(classes.filter("n > 1").select("core", "span").hint("merge"), ["core", "span"], "left_semi")
     covered = same.select("doc_id", (F.col("anchor") - F.col("high")).alias("a"), (F.col("anchor") - F.col("low") + length).alias("b"))
-    open_cores = classes.filter("n = 1 and fresh").select("core").distinct()
+    open_cores = land(classes.filter("n = 1 and fresh").select("core").distinct(), "open")
     # Members of a class have the same offsets too, as a window's text alone decides its anchor.
     again = classes.join(open_cores.hint("merge"), "core", "left_semi").select("one.*", ((F.col("n") == 1) & F.col("fresh")).alias("fresh"))
     return covered, again
@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = land(
         again.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "low", "high", "fresh")).alias("wanted")), "wanted"
     )
-    with_text = join_small(rows, wanted, ["doc_id"]).select("doc_id", "text", "wanted")
+    with_text = join_small(rows, wanted, ["doc_id"], cells=F.size("wanted")).select("doc_id", "text", "wanted")
     snippets = land(with_text.mapInArrow(lambda it: _snippets(it, length), SNIPPET), "snippets")
     surroundings = snippets.select("doc_id", "anchor", "before", "bytes").dropDuplicates(["doc_id", "anchor"])
     for k, ranges in enumerate(rounds[1:]):
@@ -260,7 +260,7 @@ def _digests(batches):
 def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay."""
     spans = repeated_spans(docs, length)
-    joined = join_small(docs.select("doc_id", "text"), spans, ["doc_id"], "left")
+    joined = join_small(docs.select("doc_id", "text"), spans, ["doc_id"], "left", F.size("spans"))
     return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -278,5 +278,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all their columns, with every repeated passage cut out of ``text``.  A character
     of which only some bytes are cut goes too; a document that is cut whole keeps an empty text."""
     spans = repeated_spans(docs, length).withColumnRenamed("spans", "_spans")
-    joined = join_small(docs, spans, ["doc_id"], "left").select(*docs.columns, "_spans")
+    joined = join_small(docs, spans, ["doc_id"], "left", F.size("_spans")).select(*docs.columns, "_spans")
     return joined.mapInArrow(_kept_texts, docs.schema)
