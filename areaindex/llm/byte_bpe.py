@@ -1,9 +1,9 @@
 """Byte-level BPE by a shuffle of distinct words.
 
-Every text is cut into pre-tokens; the distinct pre-tokens of each block of documents (see
-wordblocks.py) meet in one shuffle, each distinct one is encoded once, its ids are joined back to the
-blocks, and documents are put together again by position inside their block.  Decoding joins the
-token-byte table, whose size the vocabulary bounds.
+Every text is cut into pre-tokens, and a document becomes a row of ranks in its block's dictionary (see
+wordblocks.py), its positions.  The distinct pre-tokens of all blocks meet in one shuffle by word, where
+each distinct one is encoded once; the ids go back to the blocks, and documents are put together
+by position.  Decoding joins the token-byte table, whose size the vocabulary bounds.
 
 Defined cases: a null text is empty and has no ids; every row of the input gives one row, also with a
 null or repeated doc_id; other columns are ignored; an empty table gives no rows.
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import base64
 import re
+from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -22,7 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.llm.common import rebatch
-from areaindex.llm.wordblocks import BLOCK_WORDS, check_of, unpack, word_blocks
+from areaindex.llm.wordblocks import (
+    BLOCK_WORDS,
+    PACKED,
+    by_word,
+    gather,
+    need_words,
+    pack_by_block,
+    unpack,
+    unpack_block,
+    whole_words,
+    word_blocks,
+)
 
 #: Characters with the property White_Space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,7 +49,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def splitter(pattern: str):
     """(split, units): ``split`` cuts text bytes into white space and words with the one space before
-    them, between which no match of ``pattern`` reaches; ``units`` cuts such a unit into the matches."""
+    them, between which no match of ``pattern`` reaches; ``units`` cuts such a unit into the matches,
+    at sight for letters alone or with one mark behind them, where the pattern is the usual one."""
+    plain = pattern == public_tokenizers.PATTERN
 
     def split(text: bytes, state={}):  # noqa: B006
         cut = state.get("cut")
@@ -45,64 +60,68 @@ def splitter(pattern: str):
         return cut(text.decode("utf-8"))
 
     def units(unit: str, state={}):  # noqa: B006
+        if plain:
+            word = unit[1:] if unit[0] == " " else unit
+            if word.isalpha():
+                return (unit,)
+            if word[:-1].isalpha() and word[-1] in ",.;:!?":
+                return unit[:-1], unit[-1]
         cut = state.get("cut")
         if cut is None:
             by_property = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
             cut = state["cut"] = regex.compile(by_property).findall
-        return [m.encode("utf-8") for m in cut(unit)]
+        return cut(unit)
 
     return split, units
 
 
 def _encode_words(batches, ranks):
-    # Each word is one match of the caller's pattern already; here a match is the whole word.
+    """Ids of each distinct word, once, packed by the blocks that hold it."""
+    # A word is one match of the caller's pattern already; here a match is the whole word.
     encode = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    for batch in batches:
-        words = batch.column("word")
-        ids = [encode(w.decode("utf-8")) for w in words.to_pylist()]
-        yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+    for table, firsts in whole_words(batches):
+        words = table.column("word").take(pa.array(firsts)).to_pylist()
+        ids = [encode(w.decode("utf-8")) for w in words]
+        size = np.array([len(i) for i in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+        times = np.diff(np.concatenate([firsts, [table.num_rows]]))
+        word = np.repeat(np.arange(len(ids)), times)
+        lists, _ = gather(flat, np.cumsum(size) - size, size, word)
+        yield pack_by_block(table.column("block").to_numpy(), table.column("code").to_numpy(), sizes=size[word], flat=lists)
 
 
 ENCODED = "doc_id long, ids array<int>"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _reassemble(sequences: pa.Table, words: pa.Table):
-    order = np.argsort(words.column("code").to_numpy(), kind="stable")
-    words = words.take(pa.array(order)).combine_chunks()
-    check = check_of(words.column("word").to_pylist())
-    if any(c != check for c in set(sequences.column("check").to_pylist())):
-        raise ValueError("blocks differ between the passes: the documents must be a repeatable file scan")
-    lists = words.column("ids").combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-    size, ids, rows = np.diff(ends), sequences.column("doc_id").to_pylist(), sequences.column("words").to_pylist()
-    del words, lists
+def _put_together(sequences, packed):
+    """Documents of a block from the ids of its words."""
+    size, flat = unpack_block(packed.column("columns").to_pylist(), 0, True)
+    starts = np.cumsum(size) - size
+    ids, rows, out = sequences.column("doc_id").to_pylist(), sequences.column("words").to_pylist(), []
     for i in range(0, len(rows), 2000):
-        parts = [unpack(r).astype(np.int64) for r in rows[i : i + 2000]]
+        parts = [unpack(r)[0].astype(np.int64) for r in rows[i : i + 2000]]
+        need_words(parts, len(size))
         codes = np.concatenate(parts)
-        n = size[codes]
-        stops = np.cumsum(n)
-        at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(ends[codes] - (stops - n), n)
-        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        offsets = np.concatenate([[0], stops])[bounds].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 2000], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at].astype(np.int32)))], schema=_ENCODED)
+        joined, stops = gather(flat, starts, size, codes)
+        bounds = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(joined.astype(np.int32)))
+        out.append(pa.RecordBatch.from_arrays([pa.array(ids[i : i + 2000], pa.int64()), lists], schema=_ENCODED))
+    return pa.Table.from_batches(out, schema=_ENCODED)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id and ``ids``, array of int, without special tokens."""
     split, units = splitter(pattern)
     dictionary, sequences = word_blocks(docs, split, units, size=block_words)
-    words = dictionary.select("block", "code", "word")
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, not data
-    ids = words.select("word").distinct().mapInArrow(lambda it: _encode_words(it, sent.value), "word binary, ids array<int>")
-    back = words.join(ids.hint("merge"), "word").select("block", "code", "word", "ids")
+    words = by_word(dictionary.select("block", "code", "word"))
+    packed = words.mapInArrow(lambda it: _encode_words(it, sent.value), PACKED)
 
     def put_together(s: pa.Table, w: pa.Table) -> pa.Table:
-        out = list(_reassemble(s, w))
-        return pa.Table.from_batches(out, schema=_ENCODED)
+        return _put_together(s, w)
 
-    return sequences.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(put_together, ENCODED)
+    return sequences.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(put_together, ENCODED)
 
 
 def _decode_batches(batches, table):

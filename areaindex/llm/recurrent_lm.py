@@ -27,12 +27,23 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.llm.common import crc_of_id, land, rebatch, space_words, texts
-from areaindex.llm.wordblocks import check_of, unpack, word_blocks
+from areaindex.llm.wordblocks import (
+    CHUNK_ROWS,
+    PACKED,
+    by_word,
+    need_words,
+    pack_by_block,
+    unpack,
+    unpack_block,
+    whole_words,
+    word_blocks,
+)
 
 END = b""
 ITEMS = 4096
@@ -299,30 +310,64 @@ SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score_block(sequences: pa.Table, words: pa.Table, model, total: int, distinct: int) -> pa.Table:
+def _score_block(sequences, packed, model, total: int, distinct: int):
     which, weights, class_sums = model["classes"], model["weights"], model["sums"]
-    order = np.argsort(words.column("code").to_numpy(), kind="stable")
-    words = words.take(pa.array(order))
-    names = words.column("word").to_pylist()
-    check = check_of(names)
-    if any(c != check for c in set(sequences.column("check").to_pylist())):
-        raise ValueError("blocks differ between the passes: the documents must be a repeatable file scan")
-    c = words.column("c").to_numpy()
-    items_of = Items(model["words"])
-    item = np.fromiter(map(items_of.__getitem__, names), np.int64, len(names))
+    c, item = unpack_block(packed.column("columns").to_pylist(), 2, False)
     base = np.log10((c + 1) / (total + distinct + 1))
     inside = np.log10((c + 1) / class_sums[which[item]])
     ids = sequences.column("doc_id").to_pylist()
-    rows = [unpack(r) for r in sequences.column("words").to_pylist()]
+    rows = [unpack(r)[0] for r in sequences.column("words").to_pylist()]
+    need_words(rows, len(c))
     sizes = np.array([len(r) for r in rows], np.int64)
-    stops = np.cumsum(sizes)
-    codes = np.concatenate(rows).astype(np.int64)
-    starts = stops - sizes  # every document has its end, so none is empty
-    add = lambda x: np.add.reduceat(x[codes], starts)
+    codes = np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes  # every document has its end, so none is empty
+    add = lambda x: np.add.reduceat(x[codes], starts) if len(rows) else np.zeros(0, x.dtype)
     score = add(inside) + class_scores(weights, which, item[codes], starts, sizes)
     return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))), pa.array(add(base)), pa.array(score)], schema=_SCORES)
 
 
+WORDS = "word binary, c long, blocks array<long>, codes array<int>"
+
+
+def _count_words(batches):
+    """A row per distinct word: its count in training documents, and the blocks that hold it."""
+    for table, firsts in whole_words(batches):
+        learned = np.add.reduceat(table.column("learned").to_numpy(), firsts)
+        offsets = pa.array(np.concatenate([firsts, [table.num_rows]]), pa.int32())
+        blocks, codes = (table.column(k).combine_chunks() for k in ("block", "code"))
+        blocks, codes = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (blocks, codes))
+        columns = [
+            table.column("word").combine_chunks().take(pa.array(firsts)),
+            pa.array(learned),
+            pa.ListArray.from_arrays(offsets, blocks),
+            pa.ListArray.from_arrays(offsets, codes),
+        ]
+        whole = pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["word", "c", "blocks", "codes"])
+        yield from whole.to_batches(max_chunksize=50_000)
+
+
+def _send_back(batches, words):
+    """Count and item of each word, packed by the blocks that hold it."""
+    items = Items(words)
+
+    def packed(held):
+        item = np.fromiter((items[w] for b in held for w in b.column("word").to_pylist()), np.int64)
+        c = np.concatenate([b.column("c").to_numpy() for b in held])
+        times = np.concatenate([pc.list_value_length(b.column("blocks")).to_numpy() for b in held])
+        blocks, codes = (np.concatenate([b.column(k).flatten().to_numpy() for b in held]) for k in ("blocks", "codes"))
+        return pack_by_block(blocks, codes, np.repeat(np.minimum(c, 0xFFFFFFFF), times), np.repeat(item, times))
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch.column("blocks").flatten())
+        if rows >= CHUNK_ROWS:
+            yield packed(held)
+            held, rows = [], 0
+    if held:
+        yield packed(held)
+
+
 def _class_of_counts(batches, words, which, classes):
     items = Items(words)
     n, v = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
@@ -338,9 +383,8 @@ def score_documents(docs: DataFrame, items: int = ITEMS, classes: int = CLASSES,
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary, sequences = word_blocks(rows, tokens, learns=learns)
-    dictionary = land(dictionary.select("block", "code", "word", "learned"), "dictionary")
-    counts = land(dictionary.groupBy("word").agg(F.sum("learned").alias("c")), "counts")
-    known = counts.filter("c > 0")
+    counts = land(by_word(dictionary).mapInArrow(_count_words, WORDS), "words")
+    known = counts.filter("c > 0").select("word", "c")
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = [bytes(r["word"]) for r in known.orderBy(F.desc("c"), "word").limit(items).select("word").collect()]
 
@@ -361,11 +405,11 @@ def score_documents(docs: DataFrame, items: int = ITEMS, classes: int = CLASSES,
     which, weights = train(rows.filter(F.coalesce(crc_of_id() % 7 != 2, F.lit(False))), words, class_share, hidden, classes)
     model = {"words": words, "classes": which, "weights": weights, "sums": tables[-1].sum(0) + 1}
     sent = spark.sparkContext.broadcast(model)
-    counted = dictionary.select("block", "code", "word").join(counts.hint("merge"), "word").select("block", "code", "word", "c")
+    back = counts.mapInArrow(lambda it: _send_back(it, sent.value["words"]), PACKED)
 
     def score(s: pa.Table, w: pa.Table) -> pa.Table:
         return _score_block(s, w, sent.value, total, distinct)
 
-    scored = sequences.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, SCORES)
+    scored = sequences.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORES)
     held_out = F.coalesce(crc_of_id() % 7 == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,19 +1,23 @@
 """Blocks of documents with a dictionary each: the compact form of exploding words with positions.
 
 A block is a run of documents of one input partition, about BLOCK_WORDS words long.  Its distinct words
-are ranked by frequency, ties by the word; a document's words are then a row of ranks, in order.
-So what meets a word table in a join is each word once per block, not once per occurrence, and the
-positions never leave the block.  Both passes derive the blocks from the same input partitions; each
-carries a checksum of the dictionary, and joining blocks whose checksums differ is an error instead
-of a wrong result.
+are ranked by frequency, ties by first appearance; a document's words are then a row of ranks, in order.  So the
+word shuffle moves each word once per block, not once per occurrence, and positions never leave
+the block.  Two passes derive the same blocks from the same input partitions; a block's key is a hash
+of its place and its dictionary, so blocks that differ between the passes don't meet, which is an
+error and never a wrong result.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -23,116 +27,133 @@ from areaindex.llm.common import rebatch, texts
 
 BLOCK_WORDS = 4_000_000
 
-DICTIONARY = "block long, code int, word binary, times long, learned long"
-SEQUENCES = "block long, check long, doc_id long, words binary"
+#: Rows of the word shuffle that a task works on at a time.
+CHUNK_ROWS = 1 << 20
 
+DICTIONARY = "block long, code int, word binary, learned long"
+SEQUENCES = "block long, doc_id long, words binary"
+PACKED = "block long, columns binary"
 
-class Ranks:
-    """Words of one block by first appearance; ``close`` gives the ranks by frequency."""
 
-    def __init__(self, units):
-        outer = self
-        self.codes: dict[bytes, int] = {}
+def pack(*columns: np.ndarray) -> bytes:
+    """Byte planes of unsigned 32-bit columns, compressed: high bytes are mostly zero and cost next to nothing."""
+    head = struct.pack(f"<{len(columns) + 1}I", len(columns), *map(len, columns))
+    planes = b"".join(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+    return head + zstandard.ZstdCompressor(level=1).compress(planes)
 
-        class Pieces(dict):
-            """Codes of the words of a unit, split once per block."""
 
-            def __missing__(self, unit):
-                codes = outer.codes
-                self[unit] = found = [codes.setdefault(w, len(codes)) for w in units(unit)]
-                return found
-
-        self.pieces = Pieces()
+def unpack(data: bytes) -> list[np.ndarray]:
+    (n,) = struct.unpack_from("<I", data)
+    sizes = struct.unpack_from(f"<{n}I", data, 4)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4 + 4 * n :], max_output_size=4 * sum(sizes)), np.uint8)
+    out, at = [], 0
+    for size in sizes:
+        out.append(np.ascontiguousarray(planes[at : at + 4 * size].reshape(4, size).T).view("<u4").ravel())
+        at += 4 * size
+    return out
+
+
+class Block:
+    """Documents of one block as codes of their units, by first appearance; ``close`` cuts the distinct
+    units into words and ranks these by frequency."""
+
+    def __init__(self):
+        self.codes: dict = defaultdict(count().__next__)
+        self.ids: list = []
         self.rows: list[np.ndarray] = []
-        self.learned: list[np.ndarray] = []
+        self.learned: list[bool] = []
         self.size = 0
 
-    def add(self, unit_list, learned: bool) -> None:
-        get = self.pieces.__getitem__
-        row = np.fromiter((c for u in unit_list for c in get(u)), np.uint32)
-        self.rows.append(row)
-        self.size += len(row) + 1
-        if learned:
-            self.learned.append(row)
-
-    def close(self):
-        """Words in rank order, their counts in all documents and in learned ones, rank of each code, checksum."""
+    def add(self, doc_id, unit_list: list, learned: bool) -> None:
+        self.ids.append(doc_id)
+        self.rows.append(np.fromiter(map(self.codes.__getitem__, unit_list), np.uint32, len(unit_list)))
+        self.learned.append(learned)
+        self.size += len(unit_list) + 1
+
+    def close(self, place: int, units):
+        """Key of the block, its words by rank, their counts in learned documents, and the documents' words as
+        ranks, one after the other, with the place where each ends."""
+        flat = np.concatenate(self.rows).astype(np.int64)
+        ends = np.cumsum([len(r) for r in self.rows])
         words = list(self.codes)
-        times = np.bincount(np.concatenate([*self.rows, np.zeros(0, np.uint32)]).astype(np.int64), minlength=len(words))
-        learned = np.bincount(np.concatenate([*self.learned, np.zeros(0, np.uint32)]).astype(np.int64), minlength=len(words))
-        order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
+        self.codes.clear()
+        if units is not None:
+            codes: dict = defaultdict(count().__next__)
+            pieces = [tuple(map(codes.__getitem__, units(u))) for u in words]
+            words = list(codes)
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            piece = np.fromiter(chain.from_iterable(pieces), np.int64)
+            flat, last = gather(piece, np.cumsum(size) - size, size, flat)
+            ends = np.concatenate([[0], last])[ends]
+        words = [w if isinstance(w, bytes) else w.encode("utf-8") for w in words]
+        times = np.bincount(flat, minlength=len(words))
+        order = np.argsort(-times, kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
         ranked = [words[i] for i in order]
-        check = xxhash.xxh3_64_intdigest(b"\x00".join(ranked)) - (1 << 63)
-        return ranked, times[order], learned[order], rank, check
-
+        key = xxhash.xxh3_64_intdigest(b"\x00".join(ranked), seed=place) - (1 << 63)
+        from_learned = np.repeat(np.array(self.learned, bool), np.diff(ends, prepend=0))
+        learned = np.bincount(flat[from_learned], minlength=len(words))[order]
+        return key, ranked, learned, rank[flat], ends
 
-def pack(ranks: np.ndarray) -> bytes:
-    """Byte planes of the ranks, compressed: high bytes are mostly zero and cost next to nothing."""
-    planes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return struct.pack("<I", len(ranks)) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-
-def unpack(data: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<I", data)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:], max_output_size=4 * n), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``values[starts[r] : starts[r] + sizes[r]]`` of all ``rows``, joined, and where each ends."""
+    n = sizes[rows]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(starts[rows] - (ends - n), n)], ends
 
 
 def _blocks(batches, split, units, learns, size):
-    """(number, Ranks, ids) of each block of this partition."""
-    part, number, ranks, ids = TaskContext.get().partitionId(), 0, Ranks(units), []
+    """Each block of this partition, closed, with its ids."""
+    part, number, block = TaskContext.get().partitionId(), 0, Block()
     for batch in rebatch(batches):
-        doc_ids = batch.column("doc_id").to_pylist()
-        for doc_id, text in zip(doc_ids, texts(batch), strict=True):
-            ranks.add(split(text), learns(doc_id))
-            ids.append(doc_id)
-            if ranks.size >= size:
-                yield (part << 24) + number, ranks, ids
-                number, ranks, ids = number + 1, Ranks(units), []
-    if ids:
-        yield (part << 24) + number, ranks, ids
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            block.add(doc_id, split(text), learns(doc_id))
+            if block.size >= size:
+                yield block.ids, *block.close((part << 24) + number, units)
+                number, block = number + 1, Block()
+    if block.ids:
+        yield block.ids, *block.close((part << 24) + number, units)
 
 
 def _dictionary(batches, split, units, learns, size):
-    for block, ranks, _ in _blocks(batches, split, units, learns, size):
-        words, times, learned, _, _ = ranks.close()
-        n = len(words)
-        for i in range(0, n, 100_000):
-            m = min(100_000, n - i)
+    for _, key, words, learned, _, _ in _blocks(batches, split, units, learns, size):
+        for i in range(0, len(words), 100_000):
+            part = words[i : i + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, block)), pa.array(np.arange(i, i + m, dtype=np.int32)), pa.array(words[i : i + m], pa.binary()), pa.array(times[i : i + m]), pa.array(learned[i : i + m])],
-                names=["block", "code", "word", "times", "learned"],
+                [
+                    pa.array(np.full(len(part), key, np.int64)),
+                    pa.array(np.arange(i, i + len(part), dtype=np.int32)),
+                    pa.array(part, pa.binary()),
+                    pa.array(learned[i : i + len(part)]),
+                ],
+                names=["block", "code", "word", "learned"],
             )
 
 
 def _sequences(batches, split, units, learns, size):
-    for block, ranks, ids in _blocks(batches, split, units, learns, size):
-        *_, rank, check = ranks.close()
+    for ids, key, _, _, ranks, ends in _blocks(batches, split, units, learns, size):
+        rows = np.split(ranks, ends[:-1])
         for i in range(0, len(ids), 500):
-            rows = [pack(rank[r]) for r in ranks.rows[i : i + 500]]
-            m = len(rows)
+            packed = [pack(r) for r in rows[i : i + 500]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, block)), pa.array(np.full(m, check, np.int64)), pa.array(ids[i : i + 500], pa.int64()), pa.array(rows, pa.binary())],
-                names=["block", "check", "doc_id", "words"],
+                [pa.array(np.full(len(packed), key, np.int64)), pa.array(ids[i : i + 500], pa.int64()), pa.array(packed, pa.binary())],
+                names=["block", "doc_id", "words"],
             )
 
 
-def _one(word: bytes):
-    return (word,)
-
-
 def _never(doc_id) -> bool:
     return False
 
 
-def word_blocks(docs: DataFrame, split, units=_one, learns=_never, size: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def word_blocks(docs: DataFrame, split, units=None, learns=_never, size: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Two lazy frames over ``docs`` (doc_id, text): the dictionaries, one row per block and distinct
     word, and the sequences, one row per document.
 
     ``split`` cuts the bytes of a text into units, ``units`` cuts a unit into words (once per block and
-    distinct unit), ``learns`` tells by doc_id whose words also count as ``learned``.  ``docs`` must be
+    distinct unit; without it units are words), ``learns`` tells by doc_id whose words also count as ``learned``.  ``docs`` must be
     a file scan, possibly filtered and projected, so that both passes meet the same partitions."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return (
@@ -141,5 +162,80 @@ def word_blocks(docs: DataFrame, split, units=_one, learns=_never, size: int = B
     )
 
 
-def check_of(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b"\x00".join(words)) - (1 << 63)
+def by_word(dictionary: DataFrame) -> DataFrame:
+    """All rows of a word in one partition, next to each other.  A word has a row per block at most."""
+    return dictionary.repartition("word").sortWithinPartitions("word")
+
+
+def whole_words(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows, cut between words, with the place of each word's first row."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        firsts = _firsts(table)
+        last = int(firsts[-1])
+        if last:
+            yield table.slice(0, last), firsts[:-1]
+        held, n = table.slice(last).to_batches(), table.num_rows - last
+    if n:
+        table = pa.Table.from_batches(held)
+        yield table, _firsts(table)
+
+
+def _firsts(table: pa.Table) -> np.ndarray:
+    words = table.column("word").combine_chunks()
+    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+    new = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def pack_by_block(blocks: np.ndarray, codes: np.ndarray, *columns: np.ndarray, sizes: np.ndarray | None = None, flat: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row per block: its codes in order, as steps, and the columns; with ``sizes``, row i also has that
+    many entries of ``flat``."""
+    order = np.lexsort((codes, blocks))
+    blocks, codes = blocks[order], codes[order].astype(np.int64)
+    columns = [c[order] for c in columns]
+    if sizes is not None:
+        starts = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        ends = np.cumsum(sizes)
+        flat, _ = gather(flat, starts, sizes, np.arange(len(sizes)))
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
+    keys, packed = [], []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = [np.diff(codes[a:b], prepend=0), *(c[a:b] for c in columns)]
+        if sizes is not None:
+            own += [sizes[a:b], flat[ends[a] - sizes[a] : ends[b - 1]]]
+        keys.append(int(blocks[a]))
+        packed.append(pack(*own))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["block", "columns"])
+
+
+def unpack_block(rows: list[bytes], n_columns: int, lists: bool) -> list[np.ndarray]:
+    """Columns of a block in code order, from all its packed rows; with ``lists`` the last two are the
+    sizes and their entries."""
+    parts = [unpack(r) for r in rows]
+    if not parts:
+        return [np.zeros(0, np.int64) for _ in range(n_columns + 2 * lists)]
+    codes = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
+    order = np.argsort(codes, kind="stable")
+    if not np.array_equal(codes[order], np.arange(len(codes))):
+        raise ValueError("a block's words are not whole")
+    out = [np.concatenate([p[1 + i] for p in parts])[order].astype(np.int64) for i in range(n_columns)]
+    if lists:
+        sizes = np.concatenate([p[1 + n_columns] for p in parts]).astype(np.int64)
+        flat = np.concatenate([p[2 + n_columns] for p in parts])
+        out += [sizes[order], gather(flat, np.cumsum(sizes) - sizes, sizes, order)[0].astype(np.int64)]
+    return out
+
+
+def need_words(sequences: list[np.ndarray], n_words: int) -> None:
+    """Stop where the documents' words are not those of the dictionary."""
+    most = max((int(s.max()) for s in sequences if len(s)), default=-1)
+    if most >= n_words:
+        raise ValueError("blocks differ between the passes: the documents must be a repeatable file scan")
