@@ -1,11 +1,7 @@
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 #: Columns of the odd documents beyond those of the table: names that operators use inside.
 CLASHING = ["block", "code", "word", "words", "ids", "node", "core", "span", "spans", "_spans", "anchor", "value", "doc", "key", "good", "matches", "a", "b", "component_id", "kept", "n", "check"]
 

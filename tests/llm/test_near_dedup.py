@@ -1,6 +1,6 @@
 import random
 
-import brute
+from llm import brute
 import pytest
 
 from areaindex.llm import near_dedup

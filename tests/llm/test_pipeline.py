@@ -2,7 +2,7 @@
 
 import hashlib
 
-import brute
+from llm import brute
 import public_tokenizers
 import pytest
 import tiktoken

@@ -2,7 +2,7 @@ import math
 import zlib
 from collections import Counter
 
-import brute
+from llm import brute
 import numpy as np
 import pytest
 
@@ -112,4 +112,4 @@ def test_learning_lowers_the_loss():
     w, n = lm.learn(start, rows, classes)
     sizes = np.array([120])
     one, two = (lm.class_scores(x, classes, rows[0], np.array([0]), sizes)[0] for x in (start, w))
-    assert n > 3000 and two > 0.5 * one
+    assert n > 3000 and two > 0.6 * one
