@@ -167,11 +167,12 @@ def exact_top_k(rows: DataFrame, is_query, k: int, segments: int = SEGMENTS, sca
         limits = spark.sparkContext.broadcast(thresholds)
         enough = chunks.mapInArrow(lambda it, sent=sent, limits=limits: _above(it, sent.value, limits.value, width, segments), ENTRY)
 
-        sure = spark.createDataFrame([(q, s, t) for q, ts in thresholds.items() for s, t in enumerate(ts)], "query_id long, segment int, floor long")
+        floors = [(q, s, t if q in cutoff else None) for q, ts in thresholds.items() for s, t in enumerate(ts)]
+        sure = spark.createDataFrame(floors, "query_id long, segment int, floor long")
         above = enough.join(F.broadcast(sure), ["query_id", "segment"]).groupBy("query_id", "vec_id")
         known = above.agg(F.sum(F.col("part") - F.col("floor")).alias("over"), F.count("*").alias("known"))
         # The floors sum to the cutoff, and an unknown part is at least one below its floor.
-        able = known.filter(F.col("over") >= segments - F.col("known")).select("query_id", "vec_id")
+        able = known.filter(F.col("over").isNull() | (F.col("over") >= segments - F.col("known"))).select("query_id", "vec_id")
         last = _exact(land(able, "able"), vectors, queries, spark)
         ranked = last.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         parts.append(land(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top"))
