@@ -19,23 +19,32 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import uuid
 import zlib
+from collections import defaultdict
+from itertools import chain, count, islice
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import land, rebatch, texts
+from areaindex.llm.common import LOWER, land, rebatch, texts
+from areaindex.llm.wordblocks import gather
 from areaindex.sources.landing import scratch_dir
 
 BLOCK = 4096
 PERCENTILE = 90
 END_ID = 1
 MAGIC = b"PFOR0001"
+
+#: Marks that stand behind words.
+MARKS = ",.;:!?"
 HEAD = "<IBHH"  # minimum, width, ids, exceptions
 FOOT = "<QQQ8s"  # blocks, documents, place of the index, magic
 
@@ -137,57 +146,99 @@ def _open(path: str):
 
 
 class WordIds:
-    """Ids of white-space separated words by a tokenizer that drops white space and never merges over
-    it: each distinct word is encoded once, then documents are gathered from the ids of their words."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never merges over it or between
+    letters and marks: each distinct word is encoded once, documents are gathered from their words."""
+
+    #: Words of letters that one call encodes; their ids part after each token that ends a word.
+    JOINED = 400
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
-        outer = self
-        self.new: list[bytes] = []
+        self.codes: dict[bytes, int] = defaultdict(count().__next__)
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        class Codes(dict):
-            def __missing__(self, word):
-                self[word] = code = len(self)
-                outer.new.append(word)
-                return code
-
-        self.codes = Codes()
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the words."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return size, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, in one call; one by one where the parts are not as many as the words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._encode_each(words)
+        return np.diff(ends, prepend=0), ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words not met before.  A word is letters and at most one mark that the tokenizer parts from
+        them, two units, or else a unit of its own."""
+        letters: dict[str, int] = defaultdict(count().__next__)
+        others, first, second = [], [], []
+        for word in words:
+            text = word.decode("utf-8")
+            mark = MARKS.find(text[-1]) if len(text) > 1 else -1
+            body = text if mark < 0 else text[:-1]
+            if body.isalpha():
+                first.append(letters[body])
+                second.append(mark)
+            else:
+                first.append(-1 - len(others))
+                second.append(-1)
+                others.append(text)
+        plain = list(letters)
+        parts = [self._encode_letters(plain[i : i + self.JOINED]) for i in range(0, len(plain), self.JOINED)]
+        parts += [self._encode_each(list(MARKS)), self._encode_each(others)]
+        size, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first, second = np.array(first, np.int64), np.array(second, np.int64)
+        first = np.where(first < 0, len(plain) + len(MARKS) - 1 - first, first)
+        units = np.stack([first, len(plain) + second], 1)
+        units = units[np.stack([first >= 0, second >= 0], 1)]
+        joined, _ = gather(flat, np.cumsum(size) - size, size, units)
+        whole = size[first] + np.where(second >= 0, size[len(plain) + np.maximum(second, 0)], 0)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(whole) - whole])
+        self.size = np.concatenate([self.size, whole])
+        self.flat = np.concatenate([self.flat, joined])
 
     def encode(self, docs: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of the documents, each with its end id."""
         if len(self.codes) > REMEMBERED:
             self._clear()
-        split = [d.split() for d in docs]
-        get = self.codes.__getitem__
-        codes = np.fromiter((c for words in split for c in map(get, words)), np.int64)
-        if self.new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in self.new], add_special_tokens=False)]
-            size = np.array([len(f) for f in found], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint32)])
-            self.new.clear()
-        n = self.size[codes]
-        stops = np.cumsum(n)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[codes] - (stops - n), n)]
+        # Marks of special tokens are told by their case too; other texts have fewer words in lower case.
+        split = [(d if b"<|" in d else d.translate(LOWER)).split() for d in docs]
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64)
+        if len(self.codes) > len(self.size):
+            self._learn(list(islice(self.codes, len(self.size), None)))
+        ids, stops = gather(self.flat, self.start, self.size, codes)
         doc_ends = np.concatenate([[0], stops])[np.cumsum([len(w) for w in split])]
         sizes = np.diff(np.concatenate([[0], doc_ends])) + 1
         return sizes, np.insert(ids, doc_ends, end_id)
 
 
+def _word_ids(tokenizer_json: str) -> WordIds:
+    """The words that this worker process has met already: tasks that it runs later start with them."""
+    held = sys.modules.setdefault("areaindex_worker_words", ModuleType("areaindex_worker_words")).__dict__
+    key = xxhash.xxh3_128_hexdigest(tokenizer_json)
+    if held.get("key") != key:
+        held.update(key=key, words=WordIds(tokenizer_json))
+    return held["words"]
+
+
 MANIFEST = "path string, shard int, docs long, tokens long"
 
 
 def _write_shard(batches, folder, tokenizer_json, end_id, block, percentile):
-    words, writer, shard = WordIds(tokenizer_json), None, TaskContext.get().partitionId()
+    words, writer, shard = _word_ids(tokenizer_json), None, TaskContext.get().partitionId()
     final = f"{folder}/shard-{shard:06d}.pfor"
     part = f"{folder}/.{uuid.uuid4().hex}.part"
     filesystem, part_path = _open(part)
@@ -246,7 +297,7 @@ def read_token_files(manifest: DataFrame, block: int = BLOCK, digest: bool = Fal
     """Per document of the shards: doc_id, start, n_tokens and ``ids``; with ``digest`` their crc32 as
     little-endian unsigned 32-bit integers instead."""
     last = "ids_crc32 long" if digest else "ids array<int>"
-    shards = manifest.select("path", "start").repartition("path")
+    shards = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
     return shards.mapInArrow(lambda it: _read_shards(it, block, digest), f"doc_id long, start long, n_tokens long, {last}")
 
 
