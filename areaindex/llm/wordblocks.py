@@ -1,8 +1,8 @@
 """Blocks of documents with a dictionary each: the compact form of exploding words with positions.
 
 A block is a run of documents of one input partition, about BLOCK_WORDS words long.  Its distinct words
-are ranked by frequency, ties by first appearance; a document's words are then a row of ranks, in order.  So the
-word shuffle moves each word once per block, not once per occurrence, and positions never leave
+have codes by first appearance, so frequent words have small ones; a document's words are a row of codes, in
+order.  So the word shuffle moves each word once per block, not once per occurrence, and positions never leave
 the block.  Two passes derive the same blocks from the same input partitions; a block's key is a hash
 of its place and its dictionary, so blocks that differ between the passes don't meet, which is an
 error and never a wrong result.
@@ -13,7 +13,7 @@ from __future__ import annotations
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -54,47 +54,31 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Block:
-    """Documents of one block as codes of their units, by first appearance; ``close`` cuts the distinct
-    units into words and ranks these by frequency."""
+    """Documents of one block as codes of their words, by first appearance."""
 
     def __init__(self):
         self.codes: dict = defaultdict(count().__next__)
         self.ids: list = []
         self.rows: list[np.ndarray] = []
-        self.learned: list[bool] = []
+        self.learned: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id, unit_list: list, learned: bool) -> None:
+    def add(self, doc_id, words: list, learned: bool) -> None:
+        row = np.fromiter(map(self.codes.__getitem__, words), np.uint32, len(words))
         self.ids.append(doc_id)
-        self.rows.append(np.fromiter(map(self.codes.__getitem__, unit_list), np.uint32, len(unit_list)))
-        self.learned.append(learned)
-        self.size += len(unit_list) + 1
-
-    def close(self, place: int, units):
-        """Key of the block, its words by rank, their counts in learned documents, and the documents' words as
-        ranks, one after the other, with the place where each ends."""
-        flat = np.concatenate(self.rows).astype(np.int64)
-        ends = np.cumsum([len(r) for r in self.rows])
-        words = list(self.codes)
-        self.codes.clear()
-        if units is not None:
-            codes: dict = defaultdict(count().__next__)
-            pieces = [tuple(map(codes.__getitem__, units(u))) for u in words]
-            words = list(codes)
-            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            piece = np.fromiter(chain.from_iterable(pieces), np.int64)
-            flat, last = gather(piece, np.cumsum(size) - size, size, flat)
-            ends = np.concatenate([[0], last])[ends]
-        words = [w if isinstance(w, bytes) else w.encode("utf-8") for w in words]
-        times = np.bincount(flat, minlength=len(words))
-        order = np.argsort(-times, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        ranked = [words[i] for i in order]
-        key = xxhash.xxh3_64_intdigest(b"\x00".join(ranked), seed=place) - (1 << 63)
-        from_learned = np.repeat(np.array(self.learned, bool), np.diff(ends, prepend=0))
-        learned = np.bincount(flat[from_learned], minlength=len(words))[order]
-        return key, ranked, learned, rank[flat], ends
+        self.rows.append(row)
+        if learned:
+            self.learned.append(row)
+        self.size += len(row) + 1
+
+    def words(self, place: int) -> tuple[int, list[bytes]]:
+        """Key of the block, and its words by code."""
+        words = [w if isinstance(w, bytes) else w.encode("utf-8") for w in self.codes]
+        return xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=place) - (1 << 63), words
+
+    def counts(self, n: int) -> np.ndarray:
+        """How often each word stands in learned documents."""
+        return np.bincount(np.concatenate([*self.learned, np.zeros(0, np.uint32)]).astype(np.int64), minlength=n)
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,21 +89,23 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.n
     return values[np.arange(total) + np.repeat(starts[rows] - (ends - n), n)], ends
 
 
-def _blocks(batches, split, units, learns, size):
-    """Each block of this partition, closed, with its ids."""
+def _blocks(batches, split, learns, size):
+    """(place, Block) of this partition's blocks."""
     part, number, block = TaskContext.get().partitionId(), 0, Block()
     for batch in rebatch(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
             block.add(doc_id, split(text), learns(doc_id))
             if block.size >= size:
-                yield block.ids, *block.close((part << 24) + number, units)
+                yield (part << 24) + number, block
                 number, block = number + 1, Block()
     if block.ids:
-        yield block.ids, *block.close((part << 24) + number, units)
+        yield (part << 24) + number, block
 
 
-def _dictionary(batches, split, units, learns, size):
-    for _, key, words, learned, _, _ in _blocks(batches, split, units, learns, size):
+def _dictionary(batches, split, learns, size):
+    for place, block in _blocks(batches, split, learns, size):
+        key, words = block.words(place)
+        learned = block.counts(len(words))
         for i in range(0, len(words), 100_000):
             part = words[i : i + 100_000]
             yield pa.RecordBatch.from_arrays(
@@ -133,13 +119,13 @@ def _dictionary(batches, split, units, learns, size):
             )
 
 
-def _sequences(batches, split, units, learns, size):
-    for ids, key, _, _, ranks, ends in _blocks(batches, split, units, learns, size):
-        rows = np.split(ranks, ends[:-1])
-        for i in range(0, len(ids), 500):
-            packed = [pack(r) for r in rows[i : i + 500]]
+def _sequences(batches, split, learns, size):
+    for place, block in _blocks(batches, split, learns, size):
+        key, _ = block.words(place)
+        for i in range(0, len(block.ids), 500):
+            rows = [pack(r) for r in block.rows[i : i + 500]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(packed), key, np.int64)), pa.array(ids[i : i + 500], pa.int64()), pa.array(packed, pa.binary())],
+                [pa.array(np.full(len(rows), key, np.int64)), pa.array(block.ids[i : i + 500], pa.int64()), pa.array(rows, pa.binary())],
                 names=["block", "doc_id", "words"],
             )
 
@@ -148,17 +134,17 @@ def _never(doc_id) -> bool:
     return False
 
 
-def word_blocks(docs: DataFrame, split, units=None, learns=_never, size: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def word_blocks(docs: DataFrame, split, learns=_never, size: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Two lazy frames over ``docs`` (doc_id, text): the dictionaries, one row per block and distinct
     word, and the sequences, one row per document.
 
-    ``split`` cuts the bytes of a text into units, ``units`` cuts a unit into words (once per block and
-    distinct unit; without it units are words), ``learns`` tells by doc_id whose words also count as ``learned``.  ``docs`` must be
-    a file scan, possibly filtered and projected, so that both passes meet the same partitions."""
+    ``split`` cuts the bytes of a text into words, ``learns`` tells by doc_id whose words also count as
+    ``learned``.  ``docs`` must be a file scan, possibly filtered and projected, so that both passes meet
+    the same partitions."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return (
-        rows.mapInArrow(lambda it: _dictionary(it, split, units, learns, size), DICTIONARY),
-        rows.mapInArrow(lambda it: _sequences(it, split, units, learns, size), SEQUENCES),
+        rows.mapInArrow(lambda it: _dictionary(it, split, learns, size), DICTIONARY),
+        rows.mapInArrow(lambda it: _sequences(it, split, learns, size), SEQUENCES),
     )
 
 
