@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,7 +227,7 @@ def learn(w, rows: list[np.ndarray], classes: np.ndarray, rate: float = RATE, wi
 
 def _learn_part(batches, words, classes, weights):
     """Weights after this task's part, times its tokens."""
-    items, rows, held = Items(words), [], 0
+    items, rows, held, part = Items(words), [], 0, TaskContext.get().partitionId()
     w, total, learned = weights, {k: np.zeros_like(v, np.float64) for k, v in weights.items()}, 0
     for batch in rebatch(batches):
         for text in texts(batch):
@@ -240,7 +241,7 @@ def _learn_part(batches, words, classes, weights):
     if learned:
         for k in sorted(w):
             total[k] += w[k].astype(np.float64) * learned
-            yield pa.RecordBatch.from_pydict({"name": [k], "tokens": [learned], "weights": pa.array([total[k].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [k], "tokens": [learned], "weights": pa.array([total[k].tobytes()], pa.binary())})
 
 
 def _sum_parts(key, table):
@@ -248,15 +249,31 @@ def _sum_parts(key, table):
     for data in table.column("weights").to_pylist():
         part = np.frombuffer(data, np.float64)
         total = part.copy() if total is None else total + part
-    return pa.table({"name": [key[0].as_py()], "tokens": [sum(table.column("tokens").to_pylist())], "weights": pa.array([total.tobytes()], pa.binary())})
+    return pa.table(
+        {
+            "part": pa.array([key[1].as_py()], pa.int32()),
+            "name": [key[0].as_py()],
+            "tokens": [sum(table.column("tokens").to_pylist())],
+            "weights": pa.array([total.tobytes()], pa.binary()),
+        }
+    )
+
+
+PARTS = "part int, name string, tokens long, weights binary"
+
+#: Parts that one task sums at a time.
+FAN = 16
 
 
 def _average(parts: DataFrame, weights):
-    """Mean of the weights over tasks, weighted by tokens.  Parts are first summed in groups, so no task holds more than a few."""
-    kind = "name string, tokens long, weights binary"
-    some = parts.groupBy("name", F.pmod(F.xxhash64("weights"), F.lit(16)).alias("group")).applyInArrow(_sum_parts, kind)
+    """Mean of the weights over tasks, weighted by tokens.  Parts are summed FAN at a time, level by
+    level, so no task ever holds more, however many tasks there were."""
+    most = parts.agg(F.max("part")).first()[0]
+    while most is not None and most > 0:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("name", "part").applyInArrow(_sum_parts, PARTS)
+        most //= FAN
     out = dict(weights)
-    for r in some.groupBy("name").applyInArrow(_sum_parts, kind).collect():  # one row per weight matrix
+    for r in parts.collect():  # one row per weight matrix
         mean = np.frombuffer(r["weights"], np.float64) / r["tokens"]
         out[r["name"]] = mean.reshape(weights[r["name"]].shape).astype(np.float32)
     return out
@@ -275,8 +292,8 @@ def train(docs: DataFrame, words: list[bytes], class_counts, hidden: int = HIDDE
     weights = start_weights(n_items, class_counts(which), hidden)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((words, which, weights))
-        part = sample.filter(F.col("round") == k).select("text")
-        parts = land(part.mapInArrow(lambda it, sent=sent: _learn_part(it, *sent.value), "name string, tokens long, weights binary"), "weights")
+        own = sample.filter(F.col("round") == k).select("text")
+        parts = land(own.mapInArrow(lambda it, sent=sent: _learn_part(it, *sent.value), PARTS), "weights")
         weights = _average(parts, weights)
     return which, weights
 
