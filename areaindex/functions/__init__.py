@@ -15,7 +15,6 @@ from areaindex.functions.expr import (
     flag_not_in,
     gap,
     idw,
-    in_set_flag,
     null_if,
     parent_id,
     proportional_change,
@@ -24,8 +23,6 @@ from areaindex.functions.expr import (
     row_sum,
     row_sum0,
     share,
-    strict_avg,
-    strict_median,
     sum0,
     to_double,
     to_text,

@@ -82,10 +82,6 @@ def above(value: ColumnLike, benchmark: ColumnLike) -> Column:
     return F.when(col_of(value) > col_of(benchmark), 1).otherwise(0)
 
 
-def in_set_flag(c: ColumnLike, labels: Iterable[object]) -> Column:
-    return F.when(col_of(c).isin(*labels), 1).otherwise(0)
-
-
 def flag_not_in(c: ColumnLike, labels: Iterable[object]) -> Column:
     """0 for the listed labels, 1 for everything else, missing included."""
     return F.when(col_of(c).isin(*labels), 0).otherwise(1)
@@ -115,18 +111,3 @@ def to_text(c: ColumnLike) -> Column:
 def sum0(c: ColumnLike) -> Column:
     """Aggregate sum skipping missing values; nothing to sum gives 0."""
     return F.coalesce(F.sum(col_of(c)), F.lit(0))
-
-
-def _if_complete(c: Column, aggregate: Column) -> Column:
-    return F.when(F.count(F.lit(1)) == F.count(c), aggregate)
-
-
-def strict_avg(c: ColumnLike) -> Column:
-    """Aggregate mean that is missing as soon as one value is."""
-    return _if_complete(col_of(c), F.avg(col_of(c)))
-
-
-def strict_median(c: ColumnLike) -> Column:
-    """Aggregate median that is missing as soon as one value is.  For groups of bounded size only;
-    ``operators.order_stats`` has the version for groups of any size."""
-    return _if_complete(col_of(c), F.median(col_of(c)))

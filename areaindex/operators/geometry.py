@@ -19,9 +19,10 @@ def with_srid(df: DataFrame, srid: int) -> DataFrame:
 
 def same_srid(left: DataFrame, right: DataFrame) -> DataFrame:
     """``left`` with a check that both layers carry one and the same tag; a mismatch raises when the
-    frame runs.  The right side enters as one aggregated scalar."""
+    frame runs.  The right side enters as one aggregated scalar; an empty one agrees with any."""
     tag = right.agg(F.min("srid").alias("lo"), F.max("srid").alias("hi")).select(F.struct("lo", "hi")).scalar()
     agrees = (tag.getField("lo") == tag.getField("hi")) & (F.col("srid") == tag.getField("lo"))
+    agrees = agrees | tag.getField("lo").isNull()  # a layer without rows or tags: nothing to check
     stop = F.raise_error(F.lit("layers carry different reference systems")).cast("int")
     return left.withColumn("srid", F.when(agrees, F.col("srid")).otherwise(stop))
 
@@ -99,51 +100,76 @@ def label_point(poly_vertex: DataFrame) -> DataFrame:
     return shells.groupBy("geo_id").agg(largest).select("geo_id", "p.x", "p.y")
 
 
-def _grid_size(boxes: DataFrame) -> float:
-    """Cell side for which boxes cover a few cells each on average."""
-    row = boxes.agg(
+# Edges of an area that a strip holds on average.
+EDGES_PER_STRIP = 8
+
+
+def _area_grid(poly_vertex: DataFrame) -> DataFrame:
+    """Box of each area, the level whose cells of side 2^level just hold it, and the height of the strips
+    into which its edges are cut.  Landed."""
+    boxes = poly_vertex.groupBy("geo_id").agg(
+        F.min("x").alias("xmin"),
+        F.max("x").alias("xmax"),
+        F.min("y").alias("ymin"),
+        F.max("y").alias("ymax"),
         F.count(F.lit(1)).alias("n"),
-        F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"),
-        F.sum((F.col("xmax") - F.col("xmin")) + (F.col("ymax") - F.col("ymin"))).alias("sides"),
-    ).first()
-    if not row.n or not row.sides:
-        return 1.0
-    return max((row.area / row.n) ** 0.5, row.sides / (2 * row.n))
+    )
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    level = F.when(side > 0, F.greatest(F.lit(-60.0), F.ceil(F.log2(side)).cast("double"))).otherwise(-60.0)
+    height = F.col("ymax") - F.col("ymin")
+    strip = height / F.ceil(F.col("n") / EDGES_PER_STRIP)
+    return land(
+        boxes.withColumn("level", level.cast("int")).withColumn("strip", F.when(strip > 0, strip).otherwise(1.0)),
+        "areas",
+    )
 
 
 def points_in_polygons(points: DataFrame, poly_vertex: DataFrame, point_id: str = "point_id") -> DataFrame:
     """(point, geo_id) for every point inside or on the boundary of an area.
 
-    Points meet areas through the grid cells of the areas' boxes, then only those edges of the area
-    that pass through the point's strip of the grid; edges crossed to the right decide by parity.
+    Points meet areas through grid cells of the area's own size, so a large area fills as few cells as a
+    small one; a point looks into one cell for each size that occurs.  Then it meets only those edges
+    of the area that pass through its strip, whose height follows the area's number of edges; edges
+    crossed to the right decide by parity.  Crowded cells and strips are dealt over several tasks.
     """
-    boxes = poly_vertex.groupBy("geo_id").agg(
-        F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax")
-    )
-    size = F.lit(_grid_size(boxes))
+    areas = _area_grid(poly_vertex)
+    levels = [r.level for r in areas.select("level").distinct().collect()] or [0]  # one per power of two
+    size = F.pow(F.lit(2.0), F.col("level"))
 
     def cell(c):
         return F.floor(F.col(c) / size)
 
-    box_cells = boxes.withColumn("_cx", F.explode(F.sequence(cell("xmin"), cell("xmax")))).withColumn(
-        "_cy", F.explode(F.sequence(cell("ymin"), cell("ymax")))
+    box_cells = (
+        areas.withColumn("_cx", F.explode(F.sequence(cell("xmin"), cell("xmax"))))
+        .withColumn("_cy", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
+        .drop("n")
+    )
+    placed = (
+        points.select(F.col(point_id), F.col("x").alias("px"), F.col("y").alias("py"))
+        .withColumn("level", F.explode(F.array(*[F.lit(level) for level in levels])))
+        .withColumns({"_cx": cell("px"), "_cy": cell("py")})
     )
-    placed = points.select(
-        F.col(point_id), F.col("x").alias("px"), F.col("y").alias("py")
-    ).withColumns({"_cx": cell("px"), "_cy": cell("py")})
-    candidates = (
-        placed.join(box_cells, ["_cx", "_cy"])
+    candidates = land(
+        salted_join(placed, box_cells, ["level", "_cx", "_cy"])
         .filter(F.col("px").between(F.col("xmin"), F.col("xmax")))
         .filter(F.col("py").between(F.col("ymin"), F.col("ymax")))
-        .select(point_id, "px", "py", "_cy", "geo_id")
+        .select(
+            point_id, "px", "py", "geo_id", F.floor((F.col("py") - F.col("ymin")) / F.col("strip")).alias("_strip")
+        ),
+        "candidates",
     )
+
+    def strip_of(c):
+        return F.floor((F.col(c) - F.col("ymin")) / F.col("strip"))
+
     strips = (
         ring_edges(poly_vertex)
         .withColumns({"ylo": F.least("y1", "y2"), "yhi": F.greatest("y1", "y2")})
-        .withColumn("_cy", F.explode(F.sequence(cell("ylo"), cell("yhi"))))
-        .select("geo_id", "_cy", "x1", "y1", "x2", "y2", "ylo", "yhi", F.greatest("x1", "x2").alias("xhi"))
+        .join(areas.select("geo_id", "ymin", "strip"), "geo_id")
+        .withColumn("_strip", F.explode(F.sequence(strip_of("ylo"), strip_of("yhi"))))
+        .select("geo_id", "_strip", "x1", "y1", "x2", "y2", "ylo", "yhi", F.greatest("x1", "x2").alias("xhi"))
     )
-    met = candidates.join(strips, ["geo_id", "_cy"]).filter(
+    met = salted_join(candidates, strips, ["geo_id", "_strip"]).filter(
         (F.col("xhi") >= F.col("px")) & F.col("py").between(F.col("ylo"), F.col("yhi"))
     )
     side = (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) - (F.col("px") - F.col("x1")) * (

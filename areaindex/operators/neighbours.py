@@ -11,12 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areaindex.functions.expr import idw, proportional_change
-from areaindex.operators.pairs import near_pairs, salted_join
+from areaindex.operators.pairs import CHUNK, lookup_join, near_pairs, salted_join
 from areaindex.sources.landing import land
 
 # Points in the fullest grid cell at which the nearest-neighbour search starts.
 START_OCCUPANCY = 32
-MAX_REFINEMENTS = 30
+# So few open places may look far at once: each meets at most all places.
+FEW_OPEN = 1000
 
 
 def _lowest(df: DataFrame, by: Sequence[str], item: str, k: int, name: str) -> DataFrame:
@@ -48,7 +49,7 @@ def _start_cell(places: DataFrame) -> tuple[float, float]:
     width, height = box.xmax - box.xmin, box.ymax - box.ymin
     extent = max(width, height)
     side = max((width * height / box.n) ** 0.5, extent / box.n)
-    for _ in range(MAX_REFINEMENTS):
+    while extent / side < 2.0**52:  # distinct places part before
         cells = places.groupBy(F.floor(F.col("x") / side), F.floor(F.col("y") / side)).count()
         fullest = cells.agg(F.max("count")).first()[0]
         if fullest <= START_OCCUPANCY:
@@ -74,9 +75,10 @@ def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
     right = places.select("x", "y", F.slice("ids", 1, k).alias("ids"))
     open_places = places.filter(F.col("need") > 0).select("x", "y", "need")
     rounds = []
-    while not open_places.isEmpty():
+    left, factor = open_places.count(), 2.0
+    while left:
         found = (
-            near_pairs(open_places, right, side, chunk=None)
+            near_pairs(open_places, right, side, chunk=CHUNK if rounds else None, few_left=bool(rounds))
             .filter(F.col("dist") > 0)
             .select("x", "y", "dist", F.explode("ids_2").alias("id"))
             .select("x", "y", F.struct("dist", "id").alias("near"))
@@ -91,7 +93,10 @@ def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
         if last:
             break
         open_places = state.filter(~enough).select("x", "y", "need")
-        side *= 2
+        before, left = left, open_places.count()
+        # Nothing near: the empty sizes between are skipped.
+        factor = factor * factor if left == before and left <= FEW_OPEN else 2.0
+        side = min(side * factor, max(4 * extent, 2 * side))
 
     # Places meet their partners first, so that points, of which many may share a place, join once.
     none = F.array().cast(f"array<struct<dist:double,id:{dict(ids.dtypes)['id']}>>")
@@ -178,16 +183,19 @@ def spatial_lag(
     area_id: str = "geo_id",
     zero_policy: bool = True,
     on_null: str = "null",
+    default: float | None = None,
 ) -> DataFrame:
     """Weighted mean over neighbours for all columns in one pass, as ``<col>_lag``.  An area without
-    neighbours gets 0 (missing without ``zero_policy``); a missing neighbour value makes the lag
-    missing, or raises with ``on_null="error"``."""
+    neighbours gets 0 (missing without ``zero_policy``); a missing neighbour value, also of a neighbour
+    that has no row, is ``default``, and without one makes the lag missing, or raises with
+    ``on_null="error"``."""
     weighted = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     values = areas.select(F.col(area_id).alias("dst"), *cols)
+    met = lookup_join(weighted.select("src", "dst", "w"), values, ["dst"])
+    if default is not None:
+        met = met.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in cols})
     sums = (
-        weighted.select("src", "dst", "w")
-        .join(values, "dst")
-        .groupBy("src")
+        met.groupBy("src")
         .agg(
             F.sum("w").alias("_weight"),
             *[F.sum(F.col("w") * F.col(c)).alias(f"_sum_{c}") for c in cols],
@@ -240,8 +248,9 @@ def _place_value_pairs(places: DataFrame, d2: float) -> DataFrame:
 
 
 def neighbour_share(areas: DataFrame, edges: DataFrame, flag: str, area_id: str = "geo_id") -> DataFrame:
-    """Share of an area's neighbours carrying a 0/1 flag, as ``<flag>_lag``."""
-    return spatial_lag(areas, edges.select("src", "dst"), [flag], area_id)
+    """Share of an area's neighbours carrying a 0/1 flag, as ``<flag>_lag``.  A neighbour without a row
+    or value counts as one without the flag."""
+    return spatial_lag(areas, edges.select("src", "dst"), [flag], area_id, default=0.0)
 
 
 def lag_change(df: DataFrame, new: str, old: str, name: str) -> DataFrame:

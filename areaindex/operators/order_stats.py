@@ -1,10 +1,10 @@
-"""Exact order statistics for groups of any size.
+"""Exact order statistics for groups of any size, by one path.
 
-Spark's own ``median`` keeps every distinct value of a group in one task.  Here a bounded sketch
-only decides how a group is cut into value ranges; the answers come from exact counts, so no task
-ever holds a whole large group, and every value is counted.  The sketch is computed and landed when
-the function is called, and tells the largest group's size: where all groups are small, Spark's own
-aggregate or window does the rest.
+Equal values of a group become one row with a count.  These rows are dealt over range partitions of
+(group, value), whose number follows the session's shuffle partitions and not the group, so a large group
+is spread over many tasks and a repeated value is one row.  Positions are running counts inside a range,
+offset by the counts of the group's earlier ranges.  Every answer comes from these positions: no sketch,
+no size switch.  The positions are landed when the function is called.
 """
 
 from __future__ import annotations
@@ -19,14 +19,8 @@ from areaindex.operators.joins import natural_left_join
 from areaindex.operators.pairs import lookup_join
 from areaindex.sources.landing import land
 
-SKETCH_ACCURACY = 10_000
-# Half width of the kept bracket around a wanted rank, as a share of the group, for groups above a
-# size.  It must exceed the sketch's rank error (1 / SKETCH_ACCURACY) by two ranks from that size on.
-# Smaller groups are kept whole.
-BRACKETS = [(500, 0.005), (10_000, 0.0005)]
-# Where no group is larger than this, one task may hold each of them.
-WHOLE_GROUP = 10_000
-RANK_RANGES = 256
+# Parts over which the missing values of a frame are dealt when ranks are joined back.
+NULL_PARTS = 1024
 
 
 def _number(c: str) -> Column:
@@ -48,81 +42,47 @@ def _ranks(n: Column, p: float) -> tuple[Column, Column, Column]:
     return F.floor(h) + 1, F.ceil(h) + 1, h - F.floor(h)
 
 
-def _sketch(long: DataFrame, keys: Sequence[str], edges: Sequence[float]) -> DataFrame:
-    """Size, extremes and approximate bracket edges per group, landed."""
-    return land(
-        long.groupBy(*keys).agg(
-            F.count("_v").alias("_n"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.percentile_approx("_v", list(edges), SKETCH_ACCURACY).alias("_edges"),
-        ),
-        "sketch",
+def _positions(long: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Distinct values per key with _c, how many rows hold the value, _upto, how many hold it or a
+    smaller one, and _n, how many values the key has."""
+    counts = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = [*keys, "_v"]
+    dealt = counts.repartitionByRange(ranges, *order) if ranges else counts.repartitionByRange(*order)
+    ranged = land(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    # A row per key and range: as many rows as there are keys and range partitions.
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = (
+        ranged.groupBy(*keys, "_range")
+        .agg(F.sum("_c").alias("_in_range"))
+        .select(
+            *keys,
+            "_range",
+            F.coalesce(F.sum("_in_range").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_in_range").over(W.partitionBy(*keys)).alias("_n"),
+        )
     )
+    within = W.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    running = ranged.withColumn("_upto", F.sum("_c").over(within))
+    placed = natural_left_join(running, totals, [*keys, "_range"])
+    return placed.select(*keys, "_v", "_c", (F.col("_offset") + F.col("_upto")).alias("_upto"), "_n")
 
 
-def _largest(sizes: DataFrame, n: str = "_n") -> int:
-    return sizes.agg(F.max(n)).first()[0] or 0
-
-
-def _edges(probs: Sequence[float]) -> list[float]:
-    """Ranks to sketch: per probability a lower and an upper edge for each bracket width."""
-    return [
-        min(max(p + side * width, 0.0), 1.0) for p in probs for side in (-1, 1) for _, width in BRACKETS
-    ]
-
-
-def _bracket_bounds(sketch: DataFrame, keys: Sequence[str], n_probs: int) -> DataFrame:
-    """Per key the size _n and for each probability the bracket from _e<2i> to _e<2i+1>."""
-    out = []
-    for i in range(2 * n_probs):
-        edge = F.when(F.col("_n") <= BRACKETS[0][0], F.col("_max" if i % 2 else "_min"))
-        for j in range(len(BRACKETS)):
-            value = F.col("_edges")[i * len(BRACKETS) + j]
-            last = j + 1 == len(BRACKETS)
-            edge = edge.otherwise(value) if last else edge.when(F.col("_n") <= BRACKETS[j + 1][0], value)
-        out.append(edge.alias(f"_e{i}"))
-    return sketch.select(*keys, "_n", *out)
-
-
-def _bracketed_quantiles(
-    long: DataFrame, sketch: DataFrame, keys: Sequence[str], probs: Sequence[float]
+def _quantiles(
+    long: DataFrame, keys: Sequence[str], probs: Sequence[float], ranges: int | None = None
 ) -> DataFrame:
     """One row per key with columns _q0, _q1, ... in the order of ``probs``."""
-    bounds = _bracket_bounds(sketch, keys, len(probs))
-
-    # Values inside a bracket stay as they are; each stretch between brackets shrinks to a count.
-    v = F.col("_v")
-    inside = F.lit(False)
-    stretch = F.lit(0)
-    for i in range(0, 2 * len(probs), 2):
-        inside = inside | v.between(F.col(f"_e{i}"), F.col(f"_e{i + 1}"))
-        stretch = stretch + (v > F.col(f"_e{i + 1}")).cast("int")
-    counted = (
-        lookup_join(long, bounds, keys)
-        .withColumns({"_kept": F.when(inside, v), "_stretch": F.when(inside, -1).otherwise(stretch)})
-        .groupBy(*keys, "_n", "_kept", "_stretch")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"))
-    )
-
-    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    counted = counted.withColumn("_upto", upto)
-
+    placed = _positions(long, keys, ranges)
     picks = []
     for i, p in enumerate(probs):
         lo, hi, _ = _ranks(F.col("_n"), p)
         for side, rank in (("lo", lo), ("hi", hi)):
             hit = (F.col("_upto") - F.col("_c") < rank) & (F.col("_upto") >= rank)
-            picks.append(F.max(F.when(hit, F.col("_kept"))).alias(f"_{side}{i}"))
-    picked = counted.groupBy(*keys).agg(F.first("_n").alias("_n"), *picks)
-
-    missed = F.raise_error(F.lit("order statistic outside its sketch bracket")).cast("double")
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
+    picked = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
     out = []
     for i, p in enumerate(probs):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        weight = _ranks(F.col("_n"), p)[2]
-        value = lo + (hi - lo) * weight
-        out.append(F.when(lo.isNull() | hi.isNull(), missed).otherwise(value).alias(f"_q{i}"))
+        out.append((lo + (hi - lo) * _ranks(F.col("_n"), p)[2]).alias(f"_q{i}"))
     return picked.select(*keys, *out)
 
 
@@ -131,93 +91,44 @@ def group_quantiles(
     by: Sequence[str],
     cols: Sequence[str],
     probs: Sequence[float],
-    whole_group: int = WHOLE_GROUP,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) skipping missing values, long form: by, measure,
-    q0, q1, ...  A (group, measure) without values has no row."""
-    keys = [*by, "_m"]
-    long = _long(df, by, cols)
-    sketch = _sketch(long, keys, _edges(probs))
-    if _largest(sketch) <= whole_group:
-        exact = long.groupBy(*keys).agg(F.percentile("_v", list(probs)).alias("_q"))
-        out = exact.select(*keys, *[F.col("_q")[i].alias(f"_q{i}") for i in range(len(probs))])
-    else:
-        out = _bracketed_quantiles(long, sketch, keys, probs)
+    q0, q1, ...  A (group, measure) without values has no row.  ``ranges`` sets the number of range
+    partitions; results don't depend on it."""
+    out = _quantiles(_long(df, by, cols), [*by, "_m"], probs, ranges)
     return out.withColumnsRenamed({"_m": "measure", **{f"_q{i}": f"q{i}" for i in range(len(probs))}})
 
 
 def group_medians(
-    df: DataFrame, by: Sequence[str], outputs: dict[str, str], whole_group: int = WHOLE_GROUP
+    df: DataFrame, by: Sequence[str], outputs: dict[str, str], ranges: int | None = None
 ) -> DataFrame:
     """One row per group that has any value, ``{output name: column}``, all columns in one pass."""
     cols = list(dict.fromkeys(outputs.values()))
-    long = _long(df, by, cols)
-    sketch = _sketch(long, [*by, "_m"], _edges([0.5]))
-    if _largest(sketch) <= whole_group:
-        medians = df.groupBy(*by).agg(*[F.median(_number(c)).alias(name) for name, c in outputs.items()])
-        return medians.filter(F.coalesce(*outputs).isNotNull())
-    exact = _bracketed_quantiles(long, sketch, [*by, "_m"], [0.5])
+    exact = _quantiles(_long(df, by, cols), [*by, "_m"], [0.5], ranges)
     return exact.groupBy(*by).agg(
         *[F.max(F.when(F.col("_m") == c, F.col("_q0"))).alias(name) for name, c in outputs.items()]
     )
 
 
-def _cuts_below(cuts: str, value: str, ranges: int) -> Column:
-    """How many of the sorted cuts are below the value, by bisection; beyond the array's end counts
-    as not below."""
-    steps = [1 << i for i in reversed(range(max(ranges - 1, 1).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(step) for step in steps]),
-        F.lit(0),
-        lambda at, step: at + F.when(F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0),
-    )
-
-
-def rank_share(
-    df: DataFrame, by: str, value: str, name: str, ranges: int = RANK_RANGES, whole_group: int = WHOLE_GROUP
-) -> DataFrame:
+def rank_share(df: DataFrame, by: str, value: str, name: str, ranges: int | None = None) -> DataFrame:
     """Ascending rank (ties share their average) over the group's row count, missing values counted
     in the denominator and themselves unranked.
 
-    Groups known to be small are ranked by a window.  Otherwise each group is cut into value ranges;
-    ranks inside a range are offset by the exact number of values in the ranges before it.
-    """
+    Ranks are joined back on (group, value): a value that many rows share is dealt over tasks, and
+    missing values are spread, as they meet no rank."""
     rows = df.select(F.col(by).alias("_g"), _number(value).alias("_v"))
-    cuts = F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], SKETCH_ACCURACY)
-    size = F.count(F.lit(1))
-    sizes = land(
-        rows.groupBy("_g").agg(size.alias("_size"), F.when(size > whole_group, cuts).alias("_cuts")), "sizes"
-    )
-    if _largest(sizes, "_size") <= whole_group:
-        group = W.partitionBy(by)
-        key = _number(value)
-        tied = F.count(F.lit(1)).over(W.partitionBy(by, key))
-        average = F.rank().over(group.orderBy(key.asc_nulls_last())) + (tied - 1) / F.lit(2.0)
-        return df.withColumn(name, F.when(key.isNotNull(), average / F.count(F.lit(1)).over(group)))
-
-    counts = rows.filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranged = lookup_join(counts, sizes, ["_g"]).select(
-        "_g",
-        "_v",
-        "_c",
-        "_size",
-        _cuts_below("_cuts", "_v", ranges).alias("_range"),
-    )
-    before = W.partitionBy("_g").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_g", "_range")
-        .agg(F.sum("_c").alias("_in_range"))
-        .select("_g", "_range", F.coalesce(F.sum("_in_range").over(before), F.lit(0)).alias("_offset"))
-    )
-    within = W.partitionBy("_g", "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranks = natural_left_join(
-        ranged.withColumn("_upto", F.sum("_c").over(within)), offsets, ["_g", "_range"]
-    ).select(
+    sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"))
+    placed = _positions(rows.filter(F.col("_v").isNotNull()), ["_g"], ranges)
+    average = F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)
+    ranks = natural_left_join(placed, sizes, ["_g"]).select(
         F.col("_g").alias(by),
         F.col("_v").alias("_rank_key"),
-        (
-            (F.col("_offset") + F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)) / F.col("_size")
-        ).alias(name),
+        F.lit(0).cast("long").alias("_spread"),
+        (average / F.col("_size")).alias(name),
     )
-    keyed = df.withColumn("_rank_key", _number(value))
-    return natural_left_join(keyed, ranks, [by, "_rank_key"]).drop("_rank_key")
+    spread = F.when(
+        F.col("_rank_key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_PARTS)) + 1
+    ).otherwise(F.lit(0).cast("long"))
+    keyed = df.withColumn("_rank_key", _number(value)).withColumn("_spread", spread)
+    return lookup_join(keyed, ranks, [by, "_rank_key", "_spread"]).drop("_rank_key", "_spread")

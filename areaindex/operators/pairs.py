@@ -14,8 +14,8 @@ from areaindex.sources.landing import land
 CHUNK = 20_000
 # The same where each left row meets a single right row.
 LOOKUP_CHUNK = 1_000_000
-# Group tables up to this many rows are broadcast.
-BROADCAST_ROWS = 100_000
+# Group tables of up to this many cells (rows times columns) are broadcast, some 16 MB.
+BROADCAST_CELLS = 500_000
 
 
 def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int):
@@ -29,8 +29,10 @@ def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int):
         return None
     hot = land(hot, "hot-keys")
     salts = F.coalesce("_salts", F.lit(1))
+    # By the row's place, not its content: equal rows of a hot key are dealt out too.  Right rows
+    # stand under every salt, so any dealing gives the same pairs.
     dealt = natural_left_join(left, hot, keys).withColumn(
-        "_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")
+        "_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts).cast("int")
     )
     copied = natural_left_join(right, hot, keys).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
@@ -51,7 +53,7 @@ def lookup_join(
     left: DataFrame,
     groups: DataFrame,
     on: Sequence[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
     chunk: int = LOOKUP_CHUNK,
 ) -> DataFrame:
     """Natural left join to a table with one row per group, for groups of any size.
@@ -60,7 +62,7 @@ def lookup_join(
     for a larger one the hot groups are split.
     """
     stats = land(groups, "groups")
-    if stats.count() <= broadcast_rows:
+    if stats.count() * len(stats.columns) <= broadcast_cells:
         return natural_left_join(left, F.broadcast(stats), on)
     sides = _deal(left, stats, on, chunk)
     if sides is None:
@@ -68,17 +70,24 @@ def lookup_join(
     return natural_left_join(sides[0], sides[1], [*on, "_salt"]).drop("_salt")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, chunk: int | None = CHUNK) -> DataFrame:
+def near_pairs(
+    left: DataFrame, right: DataFrame, radius: float, chunk: int | None = CHUNK, few_left: bool = False
+) -> DataFrame:
     """Row pairs with planar distance at most ``radius``: all left columns, all right columns with
     the suffix ``_2``, and ``dist``.  Cells have the radius as side, so partners lie in the 3 x 3
-    cells around a row.  ``chunk=None`` skips the hot cell check where occupancy is known."""
+    cells around a row; the right rows are copied to these cells, or the left ones where they are
+    few.  ``chunk=None`` skips the hot cell check where occupancy is known."""
     size = F.lit(float(radius))
-    placed = left.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    spread_out = right.withColumnsRenamed({c: f"{c}_2" for c in right.columns})
-    for cell, c in (("_cx", "x_2"), ("_cy", "y_2")):
-        home = F.floor(F.col(c) / size)
-        spread_out = spread_out.withColumn(cell, F.explode(F.sequence(home - 1, home + 1)))
-    keys = ["_cx", "_cy"]
-    joined = placed.join(spread_out, keys) if chunk is None else salted_join(placed, spread_out, keys, chunk)
+    home = {"_cx": "x", "_cy": "y"}
+    placed, around = (right, left) if few_left else (left, right)
+    right_names = {c: f"{c}_2" for c in right.columns}
+    placed = placed.withColumns({cell: F.floor(F.col(c) / size) for cell, c in home.items()})
+    for cell, c in home.items():
+        at = F.floor(F.col(c) / size)
+        around = around.withColumn(cell, F.explode(F.sequence(at - 1, at + 1)))
+    one, two = (around, placed) if few_left else (placed, around)
+    two = two.withColumnsRenamed(right_names)
+    keys = list(home)
+    joined = one.join(two, keys) if chunk is None else salted_join(one, two, keys, chunk)
     dx, dy = F.col("x") - F.col("x_2"), F.col("y") - F.col("y_2")
     return joined.drop(*keys).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= size)

@@ -104,6 +104,9 @@ def assess(
 ) -> DataFrame:
     """One scored row per area.
 
+    The distance band is searched by place and never listed; with a band as wide as the map, its
+    work still grows with the pairs of places within it, as the lag is defined over them.
+
     ``wide`` one row per area with the named estimates, medrent12 and the group; ``burden`` the long
     income x burden cells; ``points`` the label points (area id, x, y); ``neighbour_edges`` the
     contiguity edges; ``band`` the distance band if it is already known.  Tables used by more than one later step are landed once, which also bounds
@@ -143,11 +146,14 @@ def assess_estimates(
     t: Thresholds = DEFAULT,
 ) -> DataFrame:
     """The assessment from landed inputs: tidy estimates of two vintages, income x burden cells, area
-    polygons (geo_id = geoid) and big-city layers.  Centroids select cities; label points, the
+    polygons (geo_id = geoid) and big-city layers.  The polygons make the rows: one without estimates
+    stays, with missing measures and flags of 0.  Centroids select cities; label points, the
     centres of the largest parts, carry the neighbour weights."""
-    wide = land(wide_vintages(new, old), "wide")
+    estimates = wide_vintages(new, old).drop("county")
     centres = centroid(poly_vertex).select(F.col("geo_id").alias("geoid"), "x", "y")
     labels = land(label_point(poly_vertex).select(F.col("geo_id").alias("geoid"), "x", "y"), "points")
+    wide = natural_left_join(labels.select("geoid"), estimates, ["geoid"])
+    wide = land(wide.withColumn("county", parent_id("geoid", 5)), "wide")
     edges = contiguity(poly_vertex, snap)
     return assess(
         wide,

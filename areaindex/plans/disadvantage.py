@@ -13,30 +13,38 @@ from areaindex.operators.groups import zscore_index
 from areaindex.operators.joins import reduce_left_join
 
 
-def _codes(table: str, numbers: Sequence[int]) -> list[str]:
-    return [f"{table}{n:03d}" for n in numbers]
-
-
 # Counts per share and period, share -> (numerator columns, total column).
-UNDER_18 = [3, 4, 5, 6, 27, 28, 29, 30, 31]
-UNEMPLOYED_2009 = [
-    8, 15, 22, 29, 36, 43, 50, 57, 64, 71, 76, 81, 86,
-    94, 101, 108, 115, 122, 129, 136, 143, 150, 157, 162, 167, 172,
-]
 INPUTS_2009 = {
-    "PChi00": (_codes("RKYE", UNDER_18), "RKYE001"),
+    "PChi00": (
+        [
+            "RKYE003", "RKYE004", "RKYE005", "RKYE006", "RKYE027", "RKYE028", "RKYE029", "RKYE030", "RKYE031",
+        ],
+        "RKYE001",
+    ),
     "PFem00": (["RL4E006"], "RL4E001"),
     "PWel00": (["ROAE002"], "ROAE001"),
     "PPov00": (["R1HE002"], "R1HE001"),
-    "PUne00": (_codes("R5CE", UNEMPLOYED_2009), "R5CE001"),
-}
+    "PUne00": (
+        [
+            "R5CE008", "R5CE015", "R5CE022", "R5CE029", "R5CE036", "R5CE043", "R5CE050", "R5CE057", "R5CE064",
+            "R5CE071", "R5CE076", "R5CE081", "R5CE086", "R5CE094", "R5CE101", "R5CE108", "R5CE115", "R5CE122",
+            "R5CE129", "R5CE136", "R5CE143", "R5CE150", "R5CE157", "R5CE162", "R5CE167", "R5CE172",
+        ],
+        "R5CE001",
+    ),
+}
 INPUTS_2014 = {
-    "PChi14": (_codes("ABAQE", UNDER_18), "ABAQE001"),
+    "PChi14": (
+        [
+            "ABAQE003", "ABAQE004", "ABAQE005", "ABAQE006", "ABAQE027", "ABAQE028", "ABAQE029", "ABAQE030", "ABAQE031",
+        ],
+        "ABAQE001",
+    ),
     "PFem14": (["ABBYE006"], "ABBYE001"),
     "PWel14": (["ABEIE002"], "ABEIE001"),
     "PPov14": (["ABTBE002"], "ABTBE001"),
     "PUne14": (["ABGFE005"], "ABGFE001"),
-}
+}
 
 # Share names and source columns by census year.
 CENSUS_COLUMNS = {

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from areaindex.functions.expr import col_of, to_text
 from areaindex.functions.text import fmt_comma, fmt_dollar, fmt_percent, paste0, str_c, yes_no
 from areaindex.operators.columns import cols_starting
-from areaindex.operators.groups import collapse, strict_agg, subset_share
+from areaindex.operators.groups import attach_group, collapse, strict_agg, subset_share
 from areaindex.operators.joins import union_layers
+from areaindex.operators.order_stats import group_medians
 from areaindex.plans.scoring import HEIGHTENED
 from areaindex.sources.features import feature_lines
 
@@ -41,9 +42,6 @@ TYPE_GROUPS = {
         "White-Black-Asian-Other",
     ],
 }
-# Types that do not count as areas of colour in the variant flag.
-MOSTLY_WHITE_TYPES = ["All White", "White-Shared"]
-
 # Transit layers, name -> label.
 TRANSIT_LABELS = {"Bus": "High-Quality Bus Corridor Buffer", "Rail": "Fixed Transit Stop Buffer"}
 
@@ -69,8 +67,10 @@ def palette(c: str, colours: dict[str, str]) -> Column:
 
 
 def final_projection(df: DataFrame) -> DataFrame:
+    """Ids, every result column by its prefix, and the label and popup texts."""
     ids = [c for c in ID_COLUMNS if c in df.columns]
-    return df.select(*ids, *[c for c in cols_starting(df, RESULT_PREFIXES) if c not in ids])
+    shown = [c for c in cols_starting(df, RESULT_PREFIXES) if c not in ids]
+    return df.select(*ids, *shown, label_text().alias("text"), popup().alias("popup_text"))
 
 
 def label_text(area: str = "geoid") -> Column:
@@ -197,6 +197,18 @@ def type_shares(result: DataFrame, by: str = "neigh_type", digits: int = 1) -> D
     return out.withColumn("p", fmt_percent("p", digits))
 
 
+def type_group_shares(result: DataFrame) -> DataFrame:
+    """The same over the broad groups of types, as ``nt2``."""
+    return type_shares(collapse_types(result), "nt2")
+
+
+def tier_medians(result: DataFrame, c: str = "tr_VLI_prop", tier: str = "tier1") -> DataFrame:
+    """Areas per tier and the median of one share, missing values skipped; areas without a tier are
+    a tier of their own."""
+    counted = result.groupBy(tier).agg(F.count(F.lit(1)).alias("n"))
+    return attach_group(counted, group_medians(result, [tier], {f"median_{c}": c}), [tier])
+
+
 def tier_counts(result: DataFrame, population_from: float = 500) -> DataFrame:
     return (
         result.filter(F.col("tr_population") >= population_from)

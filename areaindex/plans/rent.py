@@ -17,7 +17,7 @@ from areaindex.functions.expr import (
     sum0,
 )
 from areaindex.operators.columns import separate
-from areaindex.operators.groups import INCOME_LIMITS, impute_group_median, with_group_median
+from areaindex.operators.groups import INCOME_LIMITS, with_group_median
 from areaindex.operators.joins import natural_left_join
 from areaindex.sources.landing import land
 
@@ -102,12 +102,15 @@ def rent_change(
     df: DataFrame, new: str = "medrent", old: str = "medrent12", by: Sequence[str] = ("county",)
 ) -> DataFrame:
     """Both rents with missing values imputed by the group median, their change, and the group
-    median of the imputed old rent."""
-    out = impute_group_median(df, by, {new: new, f"tr_{old}": old})
+    median of the imputed old rent.  That median is the one imputed: copies of a median, put among
+    the values, leave it where it is.  So one pass serves all."""
+    out = with_group_median(df, by, {"_median_new": new, f"co_{old}": old})
     out = out.withColumns(
+        {new: F.coalesce(F.col(new), F.col("_median_new")), f"tr_{old}": F.coalesce(F.col(old), F.col(f"co_{old}"))}
+    )
+    return out.drop("_median_new").withColumns(
         {
             "tr_chrent": change(new, f"tr_{old}"),
             "tr_pchrent": proportional_change(new, f"tr_{old}"),
         }
     )
-    return with_group_median(out, by, {f"co_{old}": f"tr_{old}"})

@@ -66,31 +66,3 @@ def burden_variables() -> dict[str, str]:
     names = ["ir_tot_tot"]
     names += [f"ir_{burden}_{income}" for income in BURDEN_INCOMES for burden in BURDEN_CLASSES]
     return {name: f"{BURDEN_TABLE}_{position:03d}" for position, name in enumerate(names, start=1)}
-
-
-# The variables of the profile notes, name -> source table code.
-PROFILE_VARIABLES = {
-    "totrent": "B25003_003",
-    "totten": "B25003_001",
-    "colenroll": "B14007_017",
-    "proenroll": "B14007_018",
-    "totenroll": "B14007_001",
-    "rb_55": "B25070_010",
-    "rb_tot": "B25070_001",
-    "medrent": "B25064_001",
-    "totrace": "B03002_001",
-    "White": "B03002_003",
-    "Black": "B03002_004",
-    "Asian": "B03002_006",
-    "Latinx": "B03002_012",
-    "totwelf": "B19057_001",
-    "welf": "B19057_002",
-    "povfamh": "B17017_003",
-    "povnonfamh": "B17017_020",
-    "totpov": "B17017_001",
-    "unemp": "B23025_005",
-    "totunemp": "B23025_001",
-    "femfamheadch": "B11005_007",
-    "femnonfamheadch": "B11005_010",
-    "totfhc": "B11005_001",
-}

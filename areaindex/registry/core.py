@@ -279,6 +279,13 @@ FROM areas a JOIN areas b ON a.area_key <> b.area_key
 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) > 0
   AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= (SELECT max(dist) * {BAND_FACTOR}e0 FROM nn)""",
 )
+SQL_VIEWS["area_touch"] = (
+    ("areas",),
+    """SELECT a.area_key AS src, b.area_key AS dst FROM
+  (SELECT area_key, floor(x * k / 10009e0) AS cx, floor(y * k / 10009e0) AS cy FROM areas, (SELECT ceil(sqrt(count(*) / 2e0)) AS k FROM areas)) a
+  JOIN (SELECT area_key, floor(x * k / 10009e0) AS cx, floor(y * k / 10009e0) AS cy FROM areas, (SELECT ceil(sqrt(count(*) / 2e0)) AS k FROM areas)) b
+  ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND a.area_key <> b.area_key""",
+)
 SQL_VIEWS["idw"] = (
     ("band",),
     """SELECT e.src, e.dst, e.dist, (1 / (e.dist * e.dist)) / t.total AS w
@@ -336,15 +343,35 @@ def _sales(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def acs_long(spark: SparkSession, sf: str) -> DataFrame:
-    sums = (
-        _sales(spark, sf)
-        .groupBy("o_custkey", "l_linenumber")
-        .agg(
-            F.sum("l_quantity").alias("q"),
-            F.sum(F.col("l_quantity") * F.round(F.col("l_tax") * 100).cast("int")).alias("m"),
+def sales_by_area(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that the indicators take from lineitem, in one pass: per area the sums of each line
+    number, and both median prices."""
+    margin = F.col("l_quantity") * F.round(F.col("l_tax") * 100).cast("int")
+    lines = [
+        f(F.when(F.col("l_linenumber") == i, c)).alias(f"{name}{i}")
+        for i in range(1, len(VARIABLES) + 1)
+        for name, f, c in (("q", F.sum, F.col("l_quantity")), ("m", F.sum, margin), ("n", F.count, F.lit(1)))
+    ]
+    return _sales(spark, sf).groupBy("o_custkey").agg(*lines, *_rent_medians())
+
+
+def acs_long(spark: SparkSession, sf: str, sales: DataFrame | None = None) -> DataFrame:
+    """Estimates and margins; ``sales`` is a landed ``sales_by_area`` if there is one."""
+    if sales is None:
+        sums = (
+            _sales(spark, sf)
+            .groupBy("o_custkey", "l_linenumber")
+            .agg(
+                F.sum("l_quantity").alias("q"),
+                F.sum(F.col("l_quantity") * F.round(F.col("l_tax") * 100).cast("int")).alias("m"),
+            )
         )
-    )
+    else:
+        line = [
+            F.struct(F.lit(i).alias("l_linenumber"), F.col(f"q{i}").alias("q"), F.col(f"m{i}").alias("m"), F.col(f"n{i}").alias("n"))
+            for i in range(1, len(VARIABLES) + 1)
+        ]
+        sums = sales.select("o_custkey", F.explode(F.array(*line)).alias("s")).select("o_custkey", "s.*").filter("n > 0")
     key, line = F.col("o_custkey"), F.col("l_linenumber")
     return sums.select(
         key.alias("area_key"),
@@ -424,18 +451,18 @@ def burden_long(spark: SparkSession, sf: str) -> DataFrame:
     return cells.unionByName(totals)
 
 
-def rent(spark: SparkSession, sf: str) -> DataFrame:
+def _rent_medians() -> list[Column]:
     # Unit prices in whole currency units: bounded values per group, as above.
     price = F.floor(F.col("l_extendedprice") / F.col("l_quantity"))
     year = F.year("l_shipdate")
-    out = (
-        _sales(spark, sf)
-        .groupBy("o_custkey")
-        .agg(
-            F.median(F.when(year <= 1997, price)).alias("medrent12"),
-            F.median(F.when(year >= 1999, price)).alias("m17"),
-        )
-    )
+    return [
+        F.median(F.when(year <= 1997, price)).alias("medrent12"),
+        F.median(F.when(year >= 1999, price)).alias("m17"),
+    ]
+
+
+def rent(spark: SparkSession, sf: str, sales: DataFrame | None = None) -> DataFrame:
+    out = _sales(spark, sf).groupBy("o_custkey").agg(*_rent_medians()) if sales is None else sales
     return out.select(
         F.col("o_custkey").alias("area_key"),
         "medrent12",
@@ -467,17 +494,39 @@ def poly_vertex(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def wide(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(acs_long(spark, sf), ["area_key"], "variable", "estimate", VARIABLES)
+def wide(spark: SparkSession, sf: str, sales: DataFrame | None = None) -> DataFrame:
+    return spread(acs_long(spark, sf, sales), ["area_key"], "variable", "estimate", VARIABLES)
 
 
-def area_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return areas(spark, sf).join(wide(spark, sf), "area_key", "left")
+def area_wide(spark: SparkSession, sf: str, sales: DataFrame | None = None) -> DataFrame:
+    return areas(spark, sf).join(wide(spark, sf, sales), "area_key", "left")
 
 
 def area_rent(spark: SparkSession, sf: str) -> DataFrame:
     return areas(spark, sf).join(rent(spark, sf), "area_key", "left")
 
 
+def area_vertex(spark: SparkSession, sf: str) -> DataFrame:
+    """Polygons of the areas: the square of the grid in which the area's point lies, in units of the
+    grid, whose squares hold two areas on average."""
+    places = areas(spark, sf)
+    number = places.agg(F.ceil(F.sqrt(F.count(F.lit(1)) / 2.0)).alias("k")).scalar()
+    square = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    corner = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(square)])
+    return places.select(
+        F.col("area_key").alias("geo_id"),
+        F.floor(F.col("x") * number / 10009.0).alias("cx"),
+        F.floor(F.col("y") * number / 10009.0).alias("cy"),
+        F.explode(corner).alias("c"),
+    ).select(
+        "geo_id",
+        F.lit(0).alias("part_no"),
+        F.lit(0).alias("ring_no"),
+        F.col("c.i").alias("vertex_no"),
+        (F.col("cx") + F.col("c.dx")).cast("double").alias("x"),
+        (F.col("cy") + F.col("c.dy")).cast("double").alias("y"),
+    )
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     return areas(spark, sf).select("area_key", "x", "y")

@@ -325,19 +325,25 @@ def profiled(spark, sf, *cols):
 
 @query(
     "group_benchmarks",
-    f"""SELECT p.geoid, {R("tr_POC_rank=CASE WHEN p.ppoc IS NULL THEN NULL ELSE (p.r + (p.same - 1) / 2e0) / p.size END",
-        "co_pstudents=m.a", "co_prenters=m.b", "co_pPOC=m.c")} FROM (
-  SELECT *, rank() OVER (PARTITION BY county ORDER BY ppoc ASC NULLS LAST) AS r,
-         count(*) OVER (PARTITION BY county, ppoc) AS same, count(*) OVER (PARTITION BY county) AS size FROM profile) p
-LEFT JOIN (SELECT county, median(pstudents) AS a, median(prenters) AS b, median(ppoc) AS c FROM profile GROUP BY county) m
-  ON p.county = m.county""",
-    ["profile"],
+    f"""WITH b AS (
+  SELECT p.*, g.gap, g.gapprop, g.pch, m.vli50p, round(i.li / nullif(i.tot, 0), 12) AS li_p,
+         round(i.vli / nullif(i.tot, 0), 12) AS vli_p, round(i.eli / nullif(i.tot, 0), 12) AS eli_p,
+         rank() OVER (PARTITION BY p.county ORDER BY p.ppoc ASC NULLS LAST) AS r,
+         count(*) OVER (PARTITION BY p.county, p.ppoc) AS same, count(*) OVER (PARTITION BY p.county) AS size
+  FROM profile p LEFT JOIN income i ON p.area_key = i.area_key LEFT JOIN measures m ON p.area_key = m.area_key
+  LEFT JOIN gaps g ON p.area_key = g.area_key)
+SELECT b.geoid, {R("tr_POC_rank=CASE WHEN b.ppoc IS NULL THEN NULL ELSE (b.r + (b.same - 1) / 2e0) / b.size END",
+        *[f"{k}=c.{k}" for k in profile.BENCHMARKS])}
+FROM b LEFT JOIN (SELECT county, {", ".join(f"median({c}) AS {k}" for k, c in zip(profile.BENCHMARKS,
+        ["gap", "gapprop", "pstudents", "vli50p", "pch", "prenters", "ppoc", "li_p", "vli_p", "eli_p"]))} FROM b GROUP BY county) c
+  ON b.county = c.county""",
+    ["profile", "income", "measures", "gaps"],
 )
 def group_benchmarks(spark, sf):
-    df = land(profiled(spark, sf, "geoid", "county", "tr_pstudents", "tr_prenters", "tr_pPOC"), "profile")
-    chosen = {k: profile.BENCHMARKS[k] for k in ("co_pstudents", "co_prenters", "co_pPOC")}
-    out = profile.group_benchmarks(df, "county", chosen)
-    return rounded(out.select("geoid", "tr_POC_rank", *chosen))
+    """The rank and all ten medians, as the scored table carries them."""
+    from areaindex.registry.outputs import scored
+
+    return rounded(scored(spark, sf).select("geoid", "tr_POC_rank", *profile.BENCHMARKS))
 
 
 _GEN = {
@@ -456,7 +462,15 @@ def _z(c: str, source: str) -> str:
     return f"coalesce(({c} - (SELECT avg({c}) FROM {source})) / nullif((SELECT stddev_samp({c}) FROM {source}), 0), 0)"
 
 
-_PERIODS = {"dis1": VARIABLES[:5], "dis2": VARIABLES[2:]}
+# The driver table's seven variables, in turn, under the names of the census columns.
+_CENSUS = {
+    source: VARIABLES[i % 7]
+    for i, source in enumerate(c for columns in disadvantage.CENSUS_COLUMNS.values() for c in columns.values())
+}
+_PERIODS = {
+    period: [_CENSUS[c] for c in columns.values()]
+    for period, columns in zip(disadvantage.CENSUS_PERIODS, disadvantage.CENSUS_COLUMNS.values())
+}
 core.SQL_VIEWS["wide_even"] = (
     ("wide", "areas"),
     "SELECT w.* FROM wide w JOIN areas a ON w.area_key = a.area_key WHERE a.neigh_type <> 'BUILDING'",
@@ -471,21 +485,60 @@ core.SQL_VIEWS["wide_even"] = (
     ["wide_even"],
 )
 def disadvantage_index(spark, sf):
-    """-999 as missing, subset by id, then scored over the subset."""
+    """All four census periods: -999 as missing, subset by id, then scored over the subset."""
     coded = land(core.wide(spark, sf), "wide").fillna(-999.0)
+    census = coded.select("area_key", *[F.col(v).alias(c) for c, v in _CENSUS.items()])
     members = core.areas(spark, sf).filter(F.col("neigh_type") != "BUILDING")
-    return rounded(
-        disadvantage.disadvantage_index(coded, _PERIODS, members, "area_key", sentinel=-999.0)
+    shares = disadvantage.census_shares(census, "area_key")
+    return rounded(disadvantage.disadvantage_index(shares, disadvantage.CENSUS_PERIODS, members, "area_key"))
+
+
+# Both survey periods with their own columns, and the areas of each: all but one type.
+_SURVEYS = {
+    "dis09": (disadvantage.INPUTS_2009, "BUILDING"),
+    "dis14": (disadvantage.INPUTS_2014, "MACHINERY"),
+}
+
+
+def _survey_columns(spec) -> dict[str, str]:
+    """The driver table's seven variables, in turn, under the names of the counts."""
+    used = dict.fromkeys(c for num, den in spec.values() for c in [*num, den])
+    return {c: VARIABLES[i % 7] for i, c in enumerate(used)}
+
+
+def _survey_sql(spec, left_out: str) -> str:
+    of = _survey_columns(spec)
+    shares = ", ".join(
+        "(" + " + ".join(f"coalesce({of[n]}, 0)" for n in num) + f") / nullif(coalesce({of[den]}, 0), 0) AS {name}"
+        for name, (num, den) in spec.items()
     )
+    return f"SELECT w.area_key, {shares} FROM wide w JOIN areas a ON w.area_key = a.area_key WHERE a.neigh_type <> '{left_out}'"
+
+
+for _period, (_inputs, _left_out) in _SURVEYS.items():
+    core.SQL_VIEWS[f"survey_{_period}"] = (("wide", "areas"), _survey_sql(_inputs, _left_out))
 
 
 @query(
     "disadvantage_index_acs",
-    "SELECT area_key, " + R("dis=" + " + ".join(_z(c, "shares5") for c in _SPEC)) + " FROM shares5",
-    ["shares5"],
+    " UNION ALL ".join(
+        f"SELECT area_key, '{period}' AS period, "
+        + R("dis=" + " + ".join(_z(c, f"survey_{period}") for c in spec))
+        + f" FROM survey_{period}"
+        for period, (spec, _) in _SURVEYS.items()
+    ),
+    [f"survey_{period}" for period in _SURVEYS],
 )
 def disadvantage_index_acs(spark, sf):
-    shares = disadvantage.disadvantage_inputs(core.wide(spark, sf), _SPEC, "area_key")
-    return rounded(
-        disadvantage.disadvantage_index(land(shares, "shares"), {"dis": list(_SPEC)}, area_id="area_key")
-    )
+    """Shares of nine and twenty-six counts, each period scored over its own areas."""
+    counts = land(core.wide(spark, sf), "wide")
+    out = []
+    for period, (spec, left_out) in _SURVEYS.items():
+        named = counts.select("area_key", *[F.col(v).alias(c) for c, v in _survey_columns(spec).items()])
+        shares = land(disadvantage.disadvantage_inputs(named, spec, "area_key"), "shares")
+        members = core.areas(spark, sf).filter(F.col("neigh_type") != left_out)
+        index = disadvantage.disadvantage_index(
+            shares, {"dis": disadvantage.SURVEY_PERIODS[period]}, members, "area_key"
+        )
+        out.append(index.select("area_key", F.lit(period).alias("period"), "dis"))
+    return rounded(out[0].unionByName(out[1]))

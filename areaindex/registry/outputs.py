@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areaindex import functions as fn
-from areaindex.operators.neighbours import band_limit, distance_band
+from areaindex.operators.geometry import contiguity
+from areaindex.operators.neighbours import band_limit
 from areaindex.plans import assess, export, income
 from areaindex.registry import core
 from areaindex.registry.core import BAND_FACTOR, R, query, rounded, table
@@ -15,22 +16,23 @@ from areaindex.sources import land, scratch_dir, write_features
 
 
 def scored(spark, sf):
-    """All areas scored.  The areas are points, so the distance band also stands for contiguity."""
+    """All areas scored: one pass over lineitem, and neighbours that share a vertex of their polygons."""
     points = land(core.points(spark, sf), "points")
     d2 = band_limit(points, BAND_FACTOR, "area_key")
-    edges = distance_band(points, d2, "area_key").select("src", "dst")
+    edges = contiguity(core.area_vertex(spark, sf))
+    sales = land(core.sales_by_area(spark, sf), "sales")
     keyed = (
-        core.area_wide(spark, sf)
+        core.area_wide(spark, sf, sales)
         .drop("x", "y")
         .join(core.area_income(spark, sf), "area_key", "left")
         .join(core.income_wide(spark, sf), "area_key", "left")
-        .join(core.rent(spark, sf).withColumnRenamed("medrent17", "medrent"), "area_key", "left")
+        .join(core.rent(spark, sf, sales).withColumnRenamed("medrent17", "medrent"), "area_key", "left")
     )
     types = keyed.select("area_key", "neigh_type")
     return assess.assess(
         wide=land(profile_inputs(keyed.drop("neigh_type")), "wide"),
         burden=core.burden_long(spark, sf),
-        low_quality_ids=income.low_quality(core.acs_long(spark, sf), "v1", 0.6, "area_key"),
+        low_quality_ids=income.low_quality(core.acs_long(spark, sf, sales), "v1", 0.6, "area_key"),
         big_city=assess.big_city_ids(points, city_layers(spark, sf), "area_key"),
         points=points,
         neighbour_edges=edges,
@@ -68,12 +70,12 @@ core.SQL_VIEWS["scen1"] = (
   ELSE 0 END AS scen1 FROM scen_base""",
 )
 core.SQL_VIEWS["scen3"] = (
-    ("scen1", "band"),
+    ("scen1", "area_touch"),
     """SELECT s.*, CASE WHEN big_city = 1 THEN scen1
   WHEN big_city = 0 AND pstudents < 0.2e0 AND population >= 500 AND v_VLI = 1 AND v_Renters + v_RB50VLI + v_POC >= 2
        AND dp_PChRent + dp_RentGap = 2 THEN 1 ELSE 0 END AS scen3, coalesce(n.nshare, 0) AS nshare
 FROM scen1 s LEFT JOIN (SELECT b.src, CAST(sum(t.scen1) AS DOUBLE) / count(*) AS nshare
-                        FROM band b JOIN scen1 t ON b.dst = t.area_key GROUP BY b.src) n ON s.area_key = n.src""",
+                        FROM area_touch b JOIN scen1 t ON b.dst = t.area_key GROUP BY b.src) n ON s.area_key = n.src""",
 )
 core.SQL_VIEWS["tiered"] = (
     ("scen3",),
@@ -147,6 +149,40 @@ def type_shares(spark, sf):
     return export.type_shares(scored(spark, sf))
 
 
+_GROUPED = {"BUILDING": "White-Shared", "HOUSEHOLD": "All White", "MACHINERY": "Asian-Shared", "FURNITURE": "Integrated"}
+
+
+@query(
+    "type_group_shares",
+    """SELECT nt2, count(*) AS count_ca, nullif(count(CASE WHEN tier1 = 'Heightened Sensitivity' THEN 1 END), 0) AS count_sc,
+  format('{:,.1f}', CAST(nullif(count(CASE WHEN tier1 = 'Heightened Sensitivity' THEN 1 END), 0) AS DOUBLE) / count(*) * 100) || '%' AS p
+FROM (SELECT *, CASE WHEN neigh_type IN ('BUILDING', 'HOUSEHOLD') THEN 'Mostly White' WHEN neigh_type = 'MACHINERY' THEN 'Mostly POC'
+  WHEN neigh_type = 'FURNITURE' THEN 'Diverse' ELSE neigh_type END AS nt2 FROM tiered) t GROUP BY nt2""",
+    ["tiered"],
+)
+def type_group_shares(spark, sf):
+    """The segments stand for four of the published types; the fifth is in no group."""
+    df = scored(spark, sf)
+    named = F.coalesce(*[F.when(F.col("neigh_type") == s, t) for s, t in _GROUPED.items()], "neigh_type")
+    return export.type_group_shares(df.withColumn("neigh_type", named))
+
+
+@query(
+    "tier_medians",
+    f"SELECT tier1, count(*) AS n, {R('median_tr_VLI_prop=median(vli_prop)')} FROM tiered GROUP BY tier1",
+    ["tiered"],
+)
+def tier_medians(spark, sf):
+    """From the final table as written and read again."""
+    written = land(export.final_projection(scored(spark, sf)), "final")
+    return rounded(export.tier_medians(written))
+
+
+@query("small_areas", "SELECT count(*) AS n FROM tiered WHERE population < 500", ["tiered"])
+def small_areas(spark, sf):
+    return export.small_areas(scored(spark, sf))
+
+
 @query(
     "tier_summary",
     "SELECT "

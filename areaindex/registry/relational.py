@@ -62,6 +62,20 @@ def estimates_tidy(spark, sf):
     return rounded(read_estimates(spark, path, NAMED, state="06", year=2017))
 
 
+# Two names stand on one code.
+SHARED = {**NAMED, "tenants": "v1"}
+
+
+@query(
+    "estimates_shared_code",
+    f"""SELECT l.area_key, d.name AS variable, {R("estimate", "moe")} FROM acs_long l
+JOIN (VALUES {", ".join(f"('{name}', '{code}')" for name, code in SHARED.items())}) AS d(name, code) ON l.variable = d.code""",
+    ["acs_long"],
+)
+def estimates_shared_code(spark, sf):
+    return rounded(estimates_from(core.acs_long(spark, sf), SHARED))
+
+
 @query(
     "estimates_wide",
     "SELECT area_key, "

@@ -218,6 +218,27 @@ def pressure_flags(spark, sf):
     return with_pressure_flags(df).select("area_key", "dp_PChRent", "dp_RentGap")
 
 
+@query(
+    "lag_missing_areas",
+    f"""SELECT w.area_key, {R("v2_lag=CASE WHEN l.src IS NULL THEN 0 ELSE l.v2_lag END", "flag_lag=coalesce(l.flag_lag, 0)")}
+FROM wide w LEFT JOIN (
+  SELECT t.src, CASE WHEN count(*) = count(g.v2) THEN sum(g.v2) / count(*) END AS v2_lag,
+         CAST(sum(CASE WHEN g.v1 > g.v2 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS flag_lag
+  FROM area_touch t LEFT JOIN wide g ON t.dst = g.area_key GROUP BY t.src) l ON w.area_key = l.src""",
+    ["wide", "area_touch"],
+)
+def lag_missing_areas(spark, sf):
+    """Lags where a third of the polygons have no estimates: a neighbour's value is missing then, its
+    flag counts as 0."""
+    held = land(
+        core.wide(spark, sf).select("area_key", "v2", F.when(F.col("v1") > F.col("v2"), 1).otherwise(0).alias("flag")),
+        "held",
+    )
+    edges = land(geo.contiguity(core.area_vertex(spark, sf)), "edges")
+    lagged = nb.neighbour_share(nb.spatial_lag(held, edges, ["v2"], "area_key"), edges, "flag", "area_key")
+    return rounded(lagged.select("area_key", "v2_lag", "flag_lag"))
+
+
 @query(
     "neighbour_share",
     f"""SELECT f.geo_id, f.flag, {R("flag_lag=coalesce(s.lag, 0)")} FROM

@@ -3,10 +3,9 @@ from areaindex.sources.estimates import (
     apply_dict,
     estimates_from,
     read_estimates,
-    variable_dict,
     write_estimates,
 )
 from areaindex.sources.features import feature_lines, read_polygons, write_features
-from areaindex.sources.landing import land, scratch_dir
+from areaindex.sources.landing import drop_landed, land, scratch_dir
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -25,15 +25,17 @@ ESTIMATES_SCHEMA = T.StructType(
 )
 
 
-def variable_dict(spark: SparkSession, names_to_codes: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(names_to_codes.items()), "name string, code string")
-
-
 def apply_dict(df: DataFrame, names_to_codes: dict[str, str], on: str = "variable") -> DataFrame:
-    """Keep the listed codes and replace each by its name.  The membership test reaches the scan;
-    the names come from a literal map, so no join is planned."""
-    codes_to_names = {code: name for name, code in names_to_codes.items()}
-    return df.filter(F.col(on).isin(*codes_to_names)).withColumn(on, recode(on, codes_to_names))
+    """Keep the listed codes and replace each by its name; a code with several names gives a row for
+    each.  The membership test reaches the scan; the names come from literals, so no join is planned."""
+    names: dict[str, list[str]] = {}
+    for name, code in names_to_codes.items():
+        names.setdefault(code, []).append(name)
+    kept = df.filter(F.col(on).isin(*names))
+    if len(names) == len(names_to_codes):
+        return kept.withColumn(on, recode(on, {code: own[0] for code, own in names.items()}))
+    pairs = [x for code, own in names.items() for x in (F.lit(code), F.array(*map(F.lit, own)))]
+    return kept.withColumn(on, F.explode(F.element_at(F.create_map(*pairs), F.col(on))))
 
 
 def estimates_from(

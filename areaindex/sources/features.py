@@ -56,7 +56,7 @@ def _ordered(order: str, item: str) -> F.Column:
 
 def feature_lines(df: DataFrame, poly_vertex: DataFrame, geo_id: str = "geo_id") -> DataFrame:
     """One JSON feature text per row of ``df``; every column but the id stays beside it, and all
-    columns become properties.  A feature is one value by its format, so its vertices meet in one
+    columns become properties; an area without vertices has a null geometry.  A feature is one value by its format, so its vertices meet in one
     row; areas are spread over tasks by id, and one shuffle serves all three nesting levels."""
     rings = (
         poly_vertex.repartition("geo_id")
@@ -66,12 +66,13 @@ def feature_lines(df: DataFrame, poly_vertex: DataFrame, geo_id: str = "geo_id")
     )
     parts = rings.groupBy("geo_id", "part_no").agg(_ordered("ring_no", "ring").alias("part"))
     shapes = parts.groupBy("geo_id").agg(_ordered("part_no", "part").alias("coordinates"))
-    joined = df.join(shapes.withColumnRenamed("geo_id", geo_id), geo_id)
+    joined = df.join(shapes.withColumnRenamed("geo_id", geo_id), geo_id, "left")
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.col("coordinates"))
     feature = F.to_json(
         F.struct(
             F.lit("Feature").alias("type"),
             F.struct(*df.columns).alias("properties"),
-            F.struct(F.lit("MultiPolygon").alias("type"), F.col("coordinates")).alias("geometry"),
+            F.when(F.col("coordinates").isNotNull(), shape).alias("geometry"),
         ),
         {"ignoreNullFields": "false"},
     )

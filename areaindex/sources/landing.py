@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _root(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``, or under the warehouse where that is
+    unset; all executors share either.  Nothing is written to the session's settings."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/areaindex/{spark.sparkContext.applicationId}"
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder named by ``spark.checkpoint.dir``.  Only a local session may go
-    without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="areaindex-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/areaindex/{name}-{uuid.uuid4().hex}"
+    """A new path under this application's folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def land(df: DataFrame, name: str = "table") -> DataFrame:
@@ -26,3 +25,10 @@ def land(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_landed(spark: SparkSession) -> None:
+    """Remove what this application has landed.  Call it when results are written: frames that read
+    landed tables are of no use afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

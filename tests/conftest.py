@@ -19,6 +19,10 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.dir", tmp_path_factory.mktemp("events").as_uri())
+        .config("spark.eventLog.rolling.enabled", "false")
+        .config("spark.eventLog.compress", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
         .getOrCreate()
     )

@@ -7,8 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from areaindex import operators as op
-from areaindex.operators import order_stats
+from areaindex.operators import pairs
 from areaindex.operators.pairs import lookup_join, salted_join
+from areaindex.plans.rent import rent_change
 from areaindex.plans.disadvantage import census_shares, disadvantage_index, CENSUS_COLUMNS, CENSUS_PERIODS
 
 
@@ -52,7 +53,7 @@ def test_rank_share_against_a_window(spark, rows):
     random.seed(1)
     data = [(random.choice("aab"), random.choice([None, 1.0, 2.5, random.random()])) for _ in range(3000)]
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)], "id int, g string, v double")
-    cut = rows(op.rank_share(df, "g", "v", "r", ranges=7, whole_group=10).select("id", F.round("r", 9)))
+    cut = rows(op.rank_share(df, "g", "v", "r", ranges=7).select("id", F.round("r", 9)))
     got = rows(op.rank_share(df, "g", "v", "r").select("id", F.round("r", 9)))
     assert got == cut
     df.createOrReplaceTempView("ranked")
@@ -115,7 +116,7 @@ def test_quantiles_of_small_groups(spark, data):
 
 
 @pytest.mark.parametrize("shape", ["spread", "tied", "two"])
-def test_quantiles_of_large_groups_use_brackets(spark, shape):
+def test_quantiles_of_large_groups_(spark, shape):
     n = 40_000
     v = {
         "spread": F.sin(F.col("id") * 12.9898) * 43758.5453,
@@ -157,8 +158,8 @@ def test_lookup_join_without_broadcast_keeps_all_rows(spark, rows):
     stats = df.filter("g is null or g <> 2").groupBy("g").agg(F.sum("id").alias("s"))
     small = rows(lookup_join(df, stats, ["g"]))
     assert len(small) == 5000
-    assert rows(lookup_join(df, stats, ["g"], broadcast_rows=1)) == small
-    assert rows(lookup_join(df, stats, ["g"], broadcast_rows=1, chunk=100)) == small
+    assert rows(lookup_join(df, stats, ["g"], broadcast_cells=1)) == small
+    assert rows(lookup_join(df, stats, ["g"], broadcast_cells=1, chunk=100)) == small
 
 
 def test_salted_join_equals_plain_join(spark, rows):
@@ -172,6 +173,29 @@ def test_impute_keeps_groups_without_values_missing(spark, rows):
     assert rows(op.impute_group_median(df, ["g"], {"v": "v"})) == sorted([("a", 2.0), ("a", 2.0), ("b", None)], key=repr)
 
 
-def test_bracket_is_wider_than_the_sketch_error():
-    for n, width in order_stats.BRACKETS:
-        assert width * n >= n / order_stats.SKETCH_ACCURACY + 2
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+def test_order_statistics_do_not_depend_on_the_ranges(spark, rows, ranges):
+    df = spark.range(6000).select(
+        "id",
+        F.concat(F.lit("g"), F.col("id") % 40).alias("g"),
+        F.when(F.col("id") % 11 > 0, F.sin(F.col("id") * 12.9898) * 43758.5453).alias("v"),
+    )
+    quantiles = op.group_quantiles(df, ["g"], ["v"], [0.25, 0.5, 0.75])
+    assert rows(op.group_quantiles(df, ["g"], ["v"], [0.25, 0.5, 0.75], ranges)) == rows(quantiles)
+    assert rows(op.rank_share(df, "g", "v", "r", ranges)) == rows(op.rank_share(df, "g", "v", "r"))
+
+
+def test_equal_rows_of_a_hot_key_use_all_salts(spark):
+    left = spark.range(50_000).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
+    right = spark.createDataFrame([(1, "r")], "k int, r string")
+    dealt, copied = pairs._deal(left, right, ["k"], 1000)
+    assert dealt.select("_salt").distinct().count() == copied.count() == 50
+    assert salted_join(left, right, ["k"], 1000).count() == 50_000
+
+
+def test_imputed_median_stays_the_median(spark):
+    df = spark.createDataFrame(
+        [("a", 1.0, 2.0), ("a", None, None), ("a", 4.0, 9.0), ("b", None, 3.0), ("b", None, None)], "county string, medrent double, medrent12 double"
+    )
+    got = {(r.county, r.tr_medrent12): (r.medrent, r.co_medrent12) for r in rent_change(df).collect()}
+    assert got == {("a", 2.0): (1.0, 5.5), ("a", 5.5): (2.5, 5.5), ("a", 9.0): (4.0, 5.5), ("b", 3.0): (None, 3.0)}

@@ -12,11 +12,14 @@ from areaindex.sources import (
     read_estimates,
     read_polygons,
     scratch_dir,
-    variable_dict,
+    drop_landed,
+    estimates_from,
+    feature_lines,
     write_estimates,
     write_features,
     write_table,
 )
+from areaindex.sources import landing
 from areaindex.sources.estimates import ESTIMATES_SCHEMA
 
 from test_spatial import VERTEX, square
@@ -49,10 +52,26 @@ def test_estimates_prune_to_one_partition(spark):
     assert kept.count() == 16 and not set(kept.inputFiles()) & set(tidy.inputFiles())
 
 
-def test_variable_dictionary_as_a_table(spark, rows):
-    names = {"totrent": "B25003_003", "totten": "B25003_001"}
-    assert rows(variable_dict(spark, names)) == sorted(names.items())
-    assert {r.variable for r in apply_dict(estimates(spark), names).collect()} == set(names)
+def test_two_names_on_one_code(spark, rows):
+    df = spark.createDataFrame([("a", "B1", 1.0), ("a", "B2", 2.0), ("a", "B3", 3.0)], "geoid string, variable string, estimate double")
+    names = {"x": "B1", "y": "B1", "z": "B2"}
+    assert rows(estimates_from(df, names).select("variable", "estimate")) == [("x", 1.0), ("y", 1.0), ("z", 2.0)]
+    assert rows(estimates_from(df, names, "wide", id_cols=["geoid"])) == [("a", 1.0, 1.0, 2.0)]
+
+
+def test_areas_without_vertices_have_a_null_geometry(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "geo_id string")
+    poly = spark.createDataFrame(square("a", 0, 0), VERTEX)
+    lines = {r.geo_id: r.feature for r in feature_lines(df, poly).collect()}
+    assert '"geometry":null' in lines["b"] and '"MultiPolygon"' in lines["a"]
+
+
+def test_dropped_tables_are_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "_root", lambda spark: (tmp_path / "own").as_uri())
+    landed = land(spark.range(3).toDF("id"))
+    assert landed.count() == 3
+    drop_landed(spark)
+    assert not (tmp_path / "own").exists()
 
 
 def test_csv_tokens_and_leading_zeros(spark, tmp_path):

@@ -146,7 +146,7 @@ def test_nearest_of_few_points(spark, rows):
 
 @pytest.mark.parametrize("chunk", [20_000, 3])
 def test_distance_band_against_brute_force(spark, rows, monkeypatch, chunk):
-    monkeypatch.setattr(nb.near_pairs, "__defaults__", (chunk,))
+    monkeypatch.setattr(nb.near_pairs, "__defaults__", (chunk, False))
     pts = clustered(200)
     got = nb.distance_band(spark.createDataFrame(pts, "geo_id int, x double, y double"), 300.0)
     want = []
@@ -194,6 +194,42 @@ def test_no_band_means_no_neighbours(spark):
     assert nb.spatial_lag(areas, nb.distance_band(areas, 0.0), ["medrent"], zero_policy=False).first().medrent_lag is None
 
 
+def test_neighbours_without_a_row_count_without_the_flag(spark):
+    areas = spark.createDataFrame([("a", 0), ("b", 1)], "geo_id string, flag int")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "src string, dst string")
+    got = {r.geo_id: r.flag_lag for r in nb.neighbour_share(areas, edges, "flag").collect()}
+    assert got == {"a": 0.5, "b": 0.0}
+    lags = {r.geo_id: r.flag_lag for r in nb.spatial_lag(areas, edges, ["flag"]).collect()}
+    assert lags == {"a": None, "b": 0.0}
+
+
+def test_one_large_polygon_among_small_ones(spark, rows):
+    draw = random.Random(5)
+    small = [square(f"s{i}", i % 20, i // 20) for i in range(400)]
+    large = square("large", -1000, -1000, 5000)
+    poly = spark.createDataFrame([v for p in small for v in p] + large, VERTEX)
+    places = [(i, draw.uniform(-2, 22), draw.uniform(-2, 22)) for i in range(300)]
+    points = spark.createDataFrame(places, "point_id int, x double, y double")
+    want = [(i, "large") for i, _, _ in places]
+    want += [(i, f"s{int(y) * 20 + int(x)}") for i, x, y in places if 0 <= x < 20 and 0 <= y < 20]
+    assert rows(geo.points_in_polygons(points, poly)) == sorted(want, key=repr)
+
+
+def test_nearest_with_remote_points(spark):
+    draw = random.Random(9)
+    places = [(f"p{i}", draw.random(), draw.random()) for i in range(300)] + [("far", 1e6, 1e6), ("farther", -3e7, 2.0)]
+    got = {r.src: (r.dst, r.dist) for r in nb.knn(spark.createDataFrame(places, POINT), 1).collect()}
+    for name, x, y in places:
+        dist, near = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), n) for n, a, b in places if n != name)
+        assert got[name] == (near, pytest.approx(dist))
+
+
+def test_an_empty_layer_has_nothing_to_check(spark):
+    points = geo.with_srid(spark.createDataFrame([("a", 0.0, 0.0)], POINT), 1)
+    empty = geo.with_srid(spark.createDataFrame([], POINT), 2)
+    assert geo.same_srid(points, empty).count() == 1
+
+
 def test_srid_mismatch_raises(spark):
     poly = spark.createDataFrame(square("a", 0, 0), VERTEX)
     points = spark.createDataFrame([("p", 0.0, 0.0)], POINT)
