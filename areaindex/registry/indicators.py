@@ -323,29 +323,6 @@ def profiled(spark, sf, *cols):
     return profile.area_profile(profile_inputs(core.area_wide(spark, sf))).select(*cols)
 
 
-@query(
-    "group_benchmarks",
-    f"""WITH b AS (
-  SELECT p.*, g.gap, g.gapprop, g.pch, m.vli50p, round(i.li / nullif(i.tot, 0), 12) AS li_p,
-         round(i.vli / nullif(i.tot, 0), 12) AS vli_p, round(i.eli / nullif(i.tot, 0), 12) AS eli_p,
-         rank() OVER (PARTITION BY p.county ORDER BY p.ppoc ASC NULLS LAST) AS r,
-         count(*) OVER (PARTITION BY p.county, p.ppoc) AS same, count(*) OVER (PARTITION BY p.county) AS size
-  FROM profile p LEFT JOIN income i ON p.area_key = i.area_key LEFT JOIN measures m ON p.area_key = m.area_key
-  LEFT JOIN gaps g ON p.area_key = g.area_key)
-SELECT b.geoid, {R("tr_POC_rank=CASE WHEN b.ppoc IS NULL THEN NULL ELSE (b.r + (b.same - 1) / 2e0) / b.size END",
-        *[f"{k}=c.{k}" for k in profile.BENCHMARKS])}
-FROM b LEFT JOIN (SELECT county, {", ".join(f"median({c}) AS {k}" for k, c in zip(profile.BENCHMARKS,
-        ["gap", "gapprop", "pstudents", "vli50p", "pch", "prenters", "ppoc", "li_p", "vli_p", "eli_p"]))} FROM b GROUP BY county) c
-  ON b.county = c.county""",
-    ["profile", "income", "measures", "gaps"],
-)
-def group_benchmarks(spark, sf):
-    """The rank and all ten medians, as the scored table carries them."""
-    from areaindex.registry.outputs import scored
-
-    return rounded(scored(spark, sf).select("geoid", "tr_POC_rank", *profile.BENCHMARKS))
-
-
 _GEN = {
     "White": "v4", "Black": "v2", "Asian": "v3", "Latinx": "v5", "totrace": "v6",
     "welf": "v7", "totwelf": "v1", "povfamh": "v3", "povnonfamh": "v5", "totpov": "v1",

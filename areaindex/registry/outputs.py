@@ -8,6 +8,7 @@ from areaindex import functions as fn
 from areaindex.operators.geometry import contiguity
 from areaindex.operators.neighbours import band_limit
 from areaindex.plans import assess, export, income
+from areaindex.plans.profile import BENCHMARKS
 from areaindex.registry import core
 from areaindex.registry.core import BAND_FACTOR, R, query, rounded, table
 from areaindex.registry.indicators import profile_inputs
@@ -112,23 +113,6 @@ def tiers(spark, sf):
     return rounded(out)
 
 
-@query(
-    "final_projection",
-    f"""SELECT geoid, county, neigh_type, big_city, {R("tr_population=population", "tr_pPOC=ppoc", "tr_pstudents=pstudents",
-        "tr_prenters=prenters", "tr_VLI_prop=vli_prop", "tr_rentgap=gap", "co_pchrent=co_pch")},
-       v_VLI, v_POC, dp_RentGap, scen1 AS scen1_VLI50RB, tier1, tier2 FROM tiered""",
-    ["tiered"],
-)
-def final_projection(spark, sf):
-    """Prefix selection, of which a part is compared."""
-    out = export.final_projection(scored(spark, sf))
-    shown = [
-        *export.ID_COLUMNS, "tr_population", "tr_pPOC", "tr_pstudents", "tr_prenters", "tr_VLI_prop",
-        "tr_rentgap", "co_pchrent", "v_VLI", "v_POC", "dp_RentGap", "scen1_VLI50RB", "tier1", "tier2",
-    ]
-    return rounded(out.select(*shown))
-
-
 @query(
     "tier_counts",
     "SELECT tier1, count(*) AS n FROM tiered WHERE population >= 500 GROUP BY tier1",
@@ -149,6 +133,36 @@ def type_shares(spark, sf):
     return export.type_shares(scored(spark, sf))
 
 
+core.SQL_VIEWS["benched"] = (
+    ("profile", "income", "measures", "gaps"),
+    """SELECT p.*, g.gap, g.gapprop, g.pch, m.vli50p, round(i.li / nullif(i.tot, 0), 12) AS li_p,
+       round(i.vli / nullif(i.tot, 0), 12) AS vli_p, round(i.eli / nullif(i.tot, 0), 12) AS eli_p,
+       rank() OVER (PARTITION BY p.county ORDER BY p.ppoc ASC NULLS LAST) AS r,
+       count(*) OVER (PARTITION BY p.county, p.ppoc) AS same, count(*) OVER (PARTITION BY p.county) AS size
+FROM profile p LEFT JOIN income i ON p.area_key = i.area_key LEFT JOIN measures m ON p.area_key = m.area_key
+LEFT JOIN gaps g ON p.area_key = g.area_key""",
+)
+_BENCHED = dict(
+    zip(
+        BENCHMARKS,
+        ["gap", "gapprop", "pstudents", "vli50p", "pch", "prenters", "ppoc", "li_p", "vli_p", "eli_p"],
+    )
+)
+
+
+@query(
+    "group_benchmarks",
+    f"""SELECT b.geoid, {R("tr_POC_rank=CASE WHEN b.ppoc IS NULL THEN NULL ELSE (b.r + (b.same - 1) / 2e0) / b.size END",
+        *[f"{k}=c.{k}" for k in _BENCHED])}
+FROM benched b LEFT JOIN (SELECT county, {", ".join(f"median({c}) AS {k}" for k, c in _BENCHED.items())} FROM benched GROUP BY county) c
+  ON b.county = c.county""",
+    ["benched"],
+)
+def group_benchmarks(spark, sf):
+    """The rank and all ten medians, as the scored table carries them."""
+    return rounded(scored(spark, sf).select("geoid", "tr_POC_rank", *BENCHMARKS))
+
+
 _GROUPED = {"BUILDING": "White-Shared", "HOUSEHOLD": "All White", "MACHINERY": "Asian-Shared", "FURNITURE": "Integrated"}
 
 
@@ -273,14 +287,62 @@ def _popup_sql() -> str:
     return " || ".join(f"({p})" for p in parts)
 
 
-@query(
-    "popup_text",
-    f"""SELECT geoid, {_popup_sql()} AS popup FROM
+core.SQL_VIEWS["popups"] = (
+    ("tiered",),
+    f"""SELECT area_key, geoid, {_popup_sql()} AS popup FROM
 (SELECT t.*, m.co_ppoc, m.co_prenters, m.co_vli_prop FROM tiered t LEFT JOIN
   (SELECT county, median(ppoc) AS co_ppoc, median(prenters) AS co_prenters, median(vli_prop) AS co_vli_prop
    FROM tiered GROUP BY county) m ON t.county = m.county) s""",
-    ["tiered"],
 )
+_FINAL = {
+    "tr_medrent12": "g.old", "tr_chrent": "g.ch", "tr_pchrent": "g.pch",
+    "tr_totinc_count": "i.tot", "tr_LI_count": "i.li", "tr_VLI_count": "i.vli", "tr_ELI_count": "i.eli",
+    "tr_LI_prop": "b.li_p", "tr_VLI_prop": "b.vli_p", "tr_ELI_prop": "b.eli_p",
+    "tr_irLI_30rb_ct": "m.li30", "tr_irLI_50rb_ct": "m.li50", "tr_irVLI_30rb_ct": "m.vli30", "tr_irVLI_50rb_ct": "m.vli50",
+    "tr_irLI_30p": "m.li30p", "tr_irLI_50p": "m.li50p", "tr_irVLI_30p": "m.vli30p", "tr_irVLI_50p": "m.vli50p",
+    "tr_pchrent_lag": "g.pchrent_lag", "tr_chrent_lag": "g.chrent_lag", "tr_medrent_lag": "g.medrent_lag",
+    "tr_rentgap": "g.gap", "tr_rentgapprop": "g.gapprop", "tr_medrent": "g.medrent", "tr_POC_rank": "t.poc_rank",
+    "co_medrent12": "g.co_old", "co_mhhinc": "i.co_mhhinc", "co_LI_val": "i.co_li_val", "co_VLI_val": "i.co_vli_val", "co_ELI_val": "i.co_eli_val",
+    "co_irLI_30_med": "m.li30m", "co_irLI_50_med": "m.li50m", "co_irVLI_30_med": "m.vli30m", "co_irVLI_50_med": "m.vli50m",
+    "scen1_VLI50RB_lag": "t.nshare",
+    **{k: f"c.{k}" for k in _BENCHED},
+    **{k: f"t.{v}" for k, v in {
+        "tr_population": "population", "tr_households": "households", "tr_pstudents": "pstudents", "tr_prenters": "prenters", "tr_pPOC": "ppoc",
+    }.items()},
+    "tr_povstudents": "coalesce(t.v6, 0) + coalesce(t.v3, 0)",
+    "tr_rb": "(coalesce(t.v1, 0) + coalesce(t.v3, 0) + coalesce(t.v5, 0) + coalesce(t.v7, 0)) / nullif(t.total, 0)",
+    "tr_pWhite": "t.v4 / nullif(t.total, 0)", "tr_pBlack": "t.v2 / nullif(t.total, 0)",
+    "tr_pAsian": "t.v3 / nullif(t.total, 0)", "tr_pLatinx": "t.v5 / nullif(t.total, 0)",
+    "tr_pOther": "(t.total - t.v4 - t.v2 - t.v3 - t.v5) / nullif(t.total, 0)",
+    "tr_pwelf": "t.v7 / nullif(t.total, 0)", "tr_ppoverty": "(coalesce(t.v3, 0) + coalesce(t.v5, 0)) / nullif(t.v1, 0)",
+    "tr_punemp": "t.v6 / nullif(t.v1, 0)", "tr_pfemhhch": "(coalesce(t.v3, 0) + coalesce(t.v4, 0)) / nullif(t.v2, 0)",
+}
+_BURDENS = {"LI_30": "li30", "LI_50": "li50", "VLI_30": "vli30", "VLI_50": "vli50"}
+_FINAL_FLAGS = {
+    **{f"v_rb{k}rb": f"CASE WHEN m.{c}p > m.{c}m THEN 1 ELSE 0 END" for k, c in _BURDENS.items()},
+    **{f"v_RB{k[-2:]}{k[:-3]}": f"CASE WHEN m.{c}p > m.{c}m THEN 1 ELSE 0 END" for k, c in _BURDENS.items()},
+    "scen1_VLI50RB": "t.scen1",
+    "scen3_VLI50RB": "t.scen3",
+    **{c: f"t.{c}" for c in ("tr_dq", "v_VLI", "v_Renters", "v_POC", "dp_PChRent", "dp_RentGap", "tier1", "tier2", "tier3")},
+}
+
+
+@query(
+    "final_projection",
+    f"""SELECT t.geoid, t.county, t.neigh_type, t.big_city, {R(*[f"{k}={v}" for k, v in _FINAL.items()])},
+  {", ".join(f"{v} AS {k}" for k, v in _FINAL_FLAGS.items())}, 'Tract: ' || t.geoid AS text, x.popup AS popup_text
+FROM tiered t LEFT JOIN benched b ON t.area_key = b.area_key LEFT JOIN income i ON t.area_key = i.area_key
+LEFT JOIN measures m ON t.area_key = m.area_key LEFT JOIN gaps g ON t.area_key = g.area_key
+LEFT JOIN (SELECT county, {", ".join(f"median({c}) AS {k}" for k, c in _BENCHED.items())} FROM benched GROUP BY county) c ON t.county = c.county
+LEFT JOIN popups x ON t.area_key = x.area_key""",
+    ["tiered", "benched", "income", "measures", "gaps", "popups"],
+)
+def final_projection(spark, sf):
+    """Every result column of the final table, and its two texts."""
+    return rounded(export.final_projection(scored(spark, sf)))
+
+
+@query("popup_text", "SELECT geoid, popup FROM popups", ["popups"])
 def popup_text(spark, sf):
     return scored(spark, sf).select("geoid", export.popup().alias("popup"))
 
