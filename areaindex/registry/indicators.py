@@ -9,7 +9,8 @@ from areaindex import operators as op
 from areaindex.plans import disadvantage, income, profile, rent, scoring
 from areaindex.registry import core
 from areaindex.registry.core import VARIABLES, R, fraction, query, rounded
-from areaindex.sources import land
+from areaindex.registry.relational import stored_estimates
+from areaindex.sources import land, read_estimates
 
 
 @query(
@@ -371,6 +372,17 @@ def gentrification_profile(spark, sf):
     return rounded(profile.gentrification_profile(named).select("area_key", *_GEN_OUT))
 
 
+@query(
+    "gentrification_from_estimates",
+    "SELECT a.geoid, " + R(*[f"{k}={v}" for k, v in _GEN_OUT.items()]) + " FROM wide w JOIN areas a ON w.area_key = a.area_key",
+    ["wide", "areas"],
+)
+def gentrification_from_estimates(spark, sf):
+    """The profile from landed estimates read wide; several names stand on each code."""
+    read = read_estimates(spark, stored_estimates(spark, sf), _GEN, state="06", year=2017, output="wide")
+    return rounded(profile.gentrification_profile(read).select("geoid", *_GEN_OUT))
+
+
 @query(
     "variant_flags",
     f"""SELECT p.geoid, CASE WHEN p.prenters >= 0.4e0 THEN 1 ELSE 0 END AS v_renters_40p,
