@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,8 +52,18 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(F.broadcast(small) if size <= BROADCAST_CELLS else small, on, how)
 
 
-def rebatch(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``most_bytes``, at least one row each."""
+def release_memory() -> None:
+    """Give freed memory of this process back, as reused workers otherwise keep the most they ever had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def rebatch(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``most_bytes``, at least one row each.  What earlier tasks of
+    this worker process have freed goes back to the system first."""
+    release_memory()
     for batch in batches:
         if batch.num_rows == 0:
             continue
