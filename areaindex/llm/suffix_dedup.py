@@ -98,7 +98,7 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 def _first_round(batches, length):
     ranges = nodes(length)[0]
-    for batch in rebatch(batches, 4 << 20):
+    for batch in rebatch(batches, 1 << 20):
         docs, ids = texts(batch), batch.column("doc_id").to_pylist()
         data = b"".join(docs)
         if len(data) < length:
@@ -121,7 +121,7 @@ def _first_round(batches, length):
                 lo, hi = max(low, a - last), min(high, a - first)
                 if lo <= hi:
                     rows.append((node, *_signature(node, view, a, begin, stop, low, high, length), ids[d], a - begin, lo, hi, True))
-            if len(rows) >= 50_000:
+            if len(rows) >= 20_000:
                 yield _emit(rows)
                 rows = []
         if rows:
@@ -162,7 +162,7 @@ def _next_round(batches, ranges, kind, length):
                 if lo <= hi:
                     signature = _signature(kind + node, view, r["before"], 0, len(view), low, high, length)
                     rows.append((node, *signature, r["doc_id"], r["anchor"], lo, hi, r["fresh"]))
-            if len(rows) >= 50_000:
+            if len(rows) >= 20_000:
                 yield _emit(rows)
                 rows = []
         if rows:
@@ -264,19 +264,23 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _kept_texts(batches):
+def _kept_texts(batches, name):
     for batch in batches:
+        spans = batch.column(name).to_pylist()
         out = [
             None if not ok else _cut(t, s).decode("utf-8", "ignore")
-            for ok, t, s in zip(batch.column("text").is_valid().to_pylist(), texts(batch), batch.column("_spans").to_pylist(), strict=True)
+            for ok, t, s in zip(batch.column("text").is_valid().to_pylist(), texts(batch), spans, strict=True)
         ]
         place = batch.schema.get_field_index("text")
-        yield batch.set_column(place, batch.schema.field("text"), pa.array(out, batch.schema.field("text").type)).drop_columns(["_spans"])
+        yield batch.set_column(place, batch.schema.field("text"), pa.array(out, batch.schema.field("text").type)).drop_columns([name])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all their columns, with every repeated passage cut out of ``text``.  A character
     of which only some bytes are cut goes too; a document that is cut whole keeps an empty text."""
-    spans = repeated_spans(docs, length).withColumnRenamed("spans", "_spans")
-    joined = join_small(docs, spans, ["doc_id"], "left", F.size("_spans")).select(*docs.columns, "_spans")
-    return joined.mapInArrow(_kept_texts, docs.schema)
+    name = "_spans"
+    while name in docs.columns:
+        name += "_"
+    spans = repeated_spans(docs, length).withColumnRenamed("spans", name)
+    joined = join_small(docs, spans, ["doc_id"], "left", F.size(name)).select(*docs.columns, name)
+    return joined.mapInArrow(lambda it: _kept_texts(it, name), docs.schema)
