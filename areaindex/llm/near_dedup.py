@@ -103,6 +103,11 @@ def shingles(words: list[bytes], seen: WordHashes, size: int = SHINGLE) -> np.nd
     return np.unique(out ^ (out >> np.uint64(33)))
 
 
+def retained(full: np.ndarray, sketch: int) -> np.ndarray:
+    """The ``sketch`` smallest hashes as signed longs of the same order, as Spark sorts signed."""
+    return (full[:sketch] ^ np.uint64(1 << 63)).view(np.int64)
+
+
 SKETCHES = "doc_id long, n_shingles long, print1 long, print2 long, sketch array<long>"
 
 
@@ -113,7 +118,7 @@ def _sketches(batches, size, sketch):
         for text in texts(batch):
             full = shingles(space_words(text), seen, size)
             print_ = xxhash.xxh3_128_digest(full.tobytes())
-            rows.append((len(full), *np.frombuffer(print_, np.int64).tolist(), full[:sketch].view(np.int64)))
+            rows.append((len(full), *np.frombuffer(print_, np.int64).tolist(), retained(full, sketch)))
         n, p1, p2, values = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (n, p1, p2)), pa.array(values, pa.list_(pa.int64()))],
@@ -143,7 +148,7 @@ def _finer(batches, size, sketch):
     for batch in rebatch(batches):
         sets = [shingles(space_words(t), seen, size) for t in texts(batch)]
         words = np.stack([signature(s) for s in sets])
-        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([retained(s, sketch) for s in sets], pa.list_(pa.int64()))]
         columns += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(SIGNATURE))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "sketch", *SIGNATURE])
 

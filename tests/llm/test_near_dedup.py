@@ -51,6 +51,20 @@ def test_similar_only_to_a_member_that_never_led(spark):
     assert dict(result(df)) == brute.near_duplicates(rows)
 
 
+def test_texts_contained_in_longer_ones(spark):
+    """Sets of some 240 to 560 shingles, whose retained hashes reach past the middle of the range."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    rows = []
+    for n in range(240, 570, 10):
+        words = [word() for _ in range(n + 4)]
+        inside = -(-n * draw.choice([751, 770, 800]) // 1000)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: inside + 4]))]
+    want = brute.near_duplicates(rows)
+    assert sum(not kept for _, _, kept in want.values()) == len(rows) // 2
+    assert dict(result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
+
+
 def test_least_common_is_safe():
     need = near_dedup.least_common(64, 75)
     assert 20 <= need <= 32
