@@ -7,7 +7,7 @@ to the tasks, in blocks of bounded size.
 
 Defined cases: null and empty texts have no words; an item of fewer than thirteen words, but not
 none, is one window; rows that repeat an item id are one item; items with a null id mark words, yet
-are not listed; an empty benchmark or table gives no hits or no rows; other columns are ignored.
+are not listed; rows that repeat a doc_id, or have none, each keep a row of their own; an empty benchmark or table gives no hits or no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ BLOCK_BYTES = 8 << 20
 MATCHES = "array<struct<item_id:string,doc_start:int,item_start:int,n_words:int>>"
 SCHEMA = f"doc_id long, n_words long, matches {MATCHES}"
 
+#: With the number of the row, by which the passes of a larger benchmark meet.
+NUMBERED = f"number long, {SCHEMA}"
+
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
@@ -127,34 +130,39 @@ def _search_batches(batches, items, window):
                 ]
             )
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())]))
+        names = [c for c in ("number", "doc_id") if c in batch.schema.names]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, kind)],
-            names=["doc_id", "n_words", "matches"],
+            [*(batch.column(c).cast(pa.int64()) for c in names), pa.array(sizes, pa.int64()), pa.array(found, kind)],
+            names=[*names, "n_words", "matches"],
         )
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, and ``matches``, its maximal verbatim matches with test items of
-    at least a window.  A benchmark beyond ``block_bytes`` is searched in several passes over the
-    documents, whose matches are joined by document."""
+    """Per row of ``docs``: doc_id, n_words, and ``matches``, its maximal verbatim matches with test items
+    of at least a window.  A benchmark beyond ``block_bytes`` is searched in several passes over the
+    documents, landed with a number for each row, by which the matches are joined."""
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     tests = tests.filter(F.length("text") > 0).distinct()
     total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     rows = docs.select("doc_id", "text")
+    if blocks > 1:
+        rows = land(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
     passes = []
     for block in range(blocks):
         part = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = [(r.item_id, bytes(r.text)) for r in part.collect()]  # about block_bytes
         items.sort(key=lambda r: (r[0] is None, r[0] or "", r[1]))
         sent = docs.sparkSession.sparkContext.broadcast(items)
-        passes.append(rows.mapInArrow(lambda it, sent=sent: _search_batches(it, sent.value, window), SCHEMA))
+        found = rows.mapInArrow(lambda it, sent=sent: _search_batches(it, sent.value, window), NUMBERED if blocks > 1 else SCHEMA)
+        passes.append(found.filter(F.size("matches") > 0) if block else found)  # the first pass has every row
     if blocks == 1:
         return passes[0]
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    merged = out.groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    return merged.drop("number")
 
 
 def hit_words(matches):

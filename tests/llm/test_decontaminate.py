@@ -31,6 +31,16 @@ def test_against_brute_force(spark, odd_documents, odd_rows, items, block_bytes)
     assert got == sorted(brute.contamination(rows, items))
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_rows_without_an_id_or_with_a_repeated_one(spark, odd_documents, odd_rows, items, block_bytes):
+    """Each row stays one, of equal and of different texts, whatever the number of passes."""
+    more = [(None, t) for _, t in odd_rows] + [(3, t) for _, t in odd_rows]
+    docs = odd_documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, benchmark, block_bytes=block_bytes).select(*COLUMNS).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute.contamination(odd_rows + more, items), key=repr)
+
+
 def test_matches_tell_their_places(spark):
     words = [f"w{i}" for i in range(40)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(words[5:35]) + " c")], "doc_id long, text string")
