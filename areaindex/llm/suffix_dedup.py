@@ -14,8 +14,9 @@ round to round up to the whole ``length``:
 
 The last round compares whole windows, so the result is exact.  Ranks are two independent 64-bit hashes.
 
-Defined cases: null texts are empty; texts shorter than ``length`` keep all bytes; doc_id names a
-document, so rows that repeat one must have the same text; other columns are ignored.
+Defined cases: null texts are empty; texts shorter than ``length`` keep all bytes; every row is a text
+of its own, under an internal number, whether its doc_id is null, repeated or neither; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ GRAM = 17
 STEP = 16
 SLICE = 1 << 17
 
-RANKED = "node int, core long, span long, doc_id long, anchor int, low int, high int, fresh boolean"
+RANKED = "node int, core long, span long, row long, anchor int, low int, high int, fresh boolean"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -92,14 +93,14 @@ def _signature(kind: int, view, at: int, begin: int, stop: int, low: int, high:
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 8
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-    names = ["node", "core", "span", "doc_id", "anchor", "low", "high", "fresh"]
+    names = ["node", "core", "span", "row", "anchor", "low", "high", "fresh"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _first_round(batches, length):
     ranges = nodes(length)[0]
     for batch in rebatch(batches, 1 << 20):
-        docs, ids = texts(batch), batch.column("doc_id").to_pylist()
+        docs, ids = texts(batch), batch.column("row").to_pylist()
         data = b"".join(docs)
         if len(data) < length:
             continue
@@ -108,7 +109,7 @@ def _first_round(batches, length):
         at = anchors_of_windows(np.frombuffer(data, np.uint8), length)
         new = np.ones(len(at) + 1, bool)
         new[1:-1] = at[1:] != at[:-1]
-        long = (ends - starts >= length) & np.array([i is not None for i in ids])
+        long = ends - starts >= length
         new[starts[starts <= len(at)]] = True
         new[(ends - length + 1)[long]] = True
         runs = np.flatnonzero(new)
@@ -128,7 +129,7 @@ def _first_round(batches, length):
             yield _emit(rows)
 
 
-SNIPPET = "doc_id long, anchor int, before int, bytes binary, low int, high int, fresh boolean"
+SNIPPET = "row long, anchor int, before int, bytes binary, low int, high int, fresh boolean"
 
 
 def _snippets(batches, length):
@@ -136,14 +137,14 @@ def _snippets(batches, length):
     reach = length - GRAM
     for batch in rebatch(batches, 4 << 20):
         rows = []
-        for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("wanted").to_pylist(), strict=True):
+        for row, text, wanted in zip(batch.column("row").to_pylist(), texts(batch), batch.column("wanted").to_pylist(), strict=True):
             for w in wanted:
                 a = w["anchor"]
                 begin = max(0, a - reach)
-                rows.append((doc_id, a, a - begin, text[begin : a + length], w["low"], w["high"], w["fresh"]))
+                rows.append((row, a, a - begin, text[begin : a + length], w["low"], w["high"], w["fresh"]))
         if rows:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
-            names = ["doc_id", "anchor", "before", "bytes", "low", "high", "fresh"]
+            names = ["row", "anchor", "before", "bytes", "low", "high", "fresh"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -161,7 +162,7 @@ def _next_round(batches, ranges, kind, length):
                 lo, hi = max(low, r["low"]), min(high, r["high"])
                 if lo <= hi:
                     signature = _signature(kind + node, view, r["before"], 0, len(view), low, high, length)
-                    rows.append((node, *signature, r["doc_id"], r["anchor"], lo, hi, r["fresh"]))
+                    rows.append((node, *signature, r["row"], r["anchor"], lo, hi, r["fresh"]))
             if len(rows) >= 20_000:
                 yield _emit(rows)
                 rows = []
@@ -179,12 +180,12 @@ def _rank(ranked: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     kept = land(ranked.join(often.hint("merge"), "core", "left_semi"), "repeated")
     classes = land(
         kept.groupBy("core", "span").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "anchor", "low", "high")).alias("one"), F.bool_or("fresh").alias("fresh")
+            F.count("*").alias("n"), F.min(F.struct("row", "anchor", "low", "high")).alias("one"), F.bool_or("fresh").alias("fresh")
         ),
         "classes",
     )
     same = kept.filter("fresh").join(classes.filter("n > 1").select("core", "span").hint("merge"), ["core", "span"], "left_semi")
-    covered = same.select("doc_id", (F.col("anchor") - F.col("high")).alias("a"), (F.col("anchor") - F.col("low") + length).alias("b"))
+    covered = same.select("row", (F.col("anchor") - F.col("high")).alias("a"), (F.col("anchor") - F.col("low") + length).alias("b"))
     open_cores = land(classes.filter("n = 1 and fresh").select("core").distinct(), "open")
     # Members of a class have the same offsets too, as a window's text alone decides its anchor.
     again = classes.join(open_cores.hint("merge"), "core", "left_semi").select("one.*", ((F.col("n") == 1) & F.col("fresh")).alias("fresh"))
@@ -193,7 +194,7 @@ def _rank(ranked: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
 def _merged(batches):
     for batch in batches:
-        ids, out = batch.column("doc_id"), []
+        ids, out = batch.column("row"), []
         for spans in batch.column("spans").to_pylist():
             merged: list[list[int]] = []
             for s in sorted((s["a"], s["b"]) for s in spans):
@@ -203,33 +204,38 @@ def _merged(batches):
                     merged.append(list(s))
             out.append([{"a": a, "b": b} for a, b in merged])
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(out, kind)], names=["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(out, kind)], names=["row", "spans"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per document with repeats: doc_id and ``spans``, its maximal runs [a, b) of bytes that lie in a
-    repeated string of ``length`` bytes, in order.  Landed."""
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents, landed with a number ``name`` for each row, which later scans find again."""
+    return land(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """From landed rows (row, text), ``row`` being the number of each: per row with repeats its number
+    and ``spans``, its maximal runs [a, b) of bytes that lie in a repeated string of ``length`` bytes, in
+    order.  Landed."""
     rounds = nodes(length)
-    rows = docs.select("doc_id", "text")
     ranked = land(rows.mapInArrow(lambda it: _first_round(it, length), RANKED), "ranked")
     covered, again = _rank(ranked, length)
     parts = [land(covered, "covered")]
     kind = len(rounds[0])
     wanted = land(
-        again.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "low", "high", "fresh")).alias("wanted")), "wanted"
+        again.groupBy("row").agg(F.collect_list(F.struct("anchor", "low", "high", "fresh")).alias("wanted")), "wanted"
     )
-    with_text = join_small(rows, wanted, ["doc_id"], cells=F.size("wanted")).select("doc_id", "text", "wanted")
+    with_text = join_small(rows, wanted, ["row"], cells=F.size("wanted")).select("row", "text", "wanted")
     snippets = land(with_text.mapInArrow(lambda it: _snippets(it, length), SNIPPET), "snippets")
-    surroundings = snippets.select("doc_id", "anchor", "before", "bytes").dropDuplicates(["doc_id", "anchor"])
+    surroundings = snippets.select("row", "anchor", "before", "bytes").dropDuplicates(["row", "anchor"])
     for k, ranges in enumerate(rounds[1:]):
-        source = snippets if k == 0 else land(again, "again").join(surroundings, ["doc_id", "anchor"])
-        source = source.select("doc_id", "anchor", "before", "bytes", "low", "high", "fresh")
+        source = snippets if k == 0 else land(again, "again").join(surroundings, ["row", "anchor"])
+        source = source.select("row", "anchor", "before", "bytes", "low", "high", "fresh")
         ranked = land(source.mapInArrow(lambda it, r=ranges, kind=kind: _next_round(it, r, kind, length), RANKED), "ranked")
         covered, again = _rank(ranked, length)
         parts.append(land(covered, "covered"))
         kind += len(ranges)
-    spans = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return land(spans.mapInArrow(_merged, "doc_id long, spans array<struct<a:int,b:int>>"), "spans")
+    spans = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return land(spans.mapInArrow(_merged, "row long, spans array<struct<a:int,b:int>>"), "spans")
 
 
 def _cut(text: bytes, spans) -> bytes:
@@ -259,8 +265,9 @@ def _digests(batches):
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay."""
-    spans = repeated_spans(docs, length)
-    joined = join_small(docs.select("doc_id", "text"), spans, ["doc_id"], "left", F.size("spans"))
+    rows = _numbered(docs.select("doc_id", "text"), "row")
+    spans = repeated_spans(rows.select("row", "text"), length)
+    joined = join_small(rows, spans, ["row"], "left", F.size("spans")).drop("row")
     return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -278,9 +285,13 @@ def _kept_texts(batches, name):
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all their columns, with every repeated passage cut out of ``text``.  A character
     of which only some bytes are cut goes too; a document that is cut whole keeps an empty text."""
-    name = "_spans"
+    name, number = "_spans", "_row"
     while name in docs.columns:
         name += "_"
-    spans = repeated_spans(docs, length).withColumnRenamed("spans", name)
-    joined = join_small(docs, spans, ["doc_id"], "left", F.size(name)).select(*docs.columns, name)
+    while number in docs.columns:
+        number += "_"
+    rows = _numbered(docs, number)
+    spans = repeated_spans(rows.select(F.col(number).alias("row"), "text"), length)
+    spans = spans.withColumnsRenamed({"row": number, "spans": name})
+    joined = join_small(rows, spans, [number], "left", F.size(name)).select(*docs.columns, name)
     return joined.mapInArrow(lambda it: _kept_texts(it, name), docs.schema)

@@ -42,6 +42,20 @@ def test_edges_of_repeats(spark, seed):
     assert digests(df) == sorted(brute.repeats(rows))
 
 
+def test_rows_without_an_id_or_with_a_repeated_one(spark):
+    draw = random.Random(8)
+    text = lambda n: "".join(draw.choice("abcdefghijklmnop ") for _ in range(n))
+    one, two, three = text(430), text(500), text(410)
+    rows = [(1, text(90) + one), (None, one + text(70)), (None, text(20) + two), (None, two), (7, three + text(30)), (7, text(600) + three), (7, text(450)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(brute.repeats(rows), key=repr)
+    assert sum(r[2] > 0 for r in want) == 6
+    assert sorted((tuple(r) for r in suffix_dedup.dedup_digests(df).select(*COLUMNS).collect()), key=repr) == want
+    kept = [brute.cut((t or "").encode(), s).decode() if t is not None else None for (_, t), s in zip(rows, brute.spans([(t or "").encode() for _, t in rows]), strict=True)]
+    got = [(r.doc_id, r.text) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert sorted(got, key=repr) == sorted(((d, k) for (d, _), k in zip(rows, kept, strict=True)), key=repr)
+
+
 def test_anchors_depend_on_the_window_alone():
     import numpy as np
 
