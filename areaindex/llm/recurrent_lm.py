@@ -11,10 +11,9 @@ Tokens are white-space words and one end.  The output is factored by class:
 
 The ITEMS most frequent words are items of their own; other words are items by a hash of their last two
 bytes.  Items with like neighbours form a class (spherical k-means of their neighbour counts).  Counts,
-class sums and the unigram base cover all training documents.  The unit is trained by truncated
-backpropagation in numpy on a SHARE of the training documents, so what it learns from grows with the
-corpus: in each round every task starts from the same weights and learns from its own part, and the
-results are averaged by tokens.
+class sums, the unigram base and the neighbours cover all training documents.  The unit is trained by
+truncated backpropagation in numpy on all of them, each in one of ROUNDS rounds: in a round every task
+starts from the same weights and learns from its own part, and the results are averaged by tokens.
 
 Defined cases: a null text is empty and has the end alone; a null id is never in training, nor held
 out; without training documents every word is unknown; every row gives a row, repeated ones too; other
@@ -55,9 +54,6 @@ FEATURES = 256
 WINDOW = 16
 LANES = 32
 ROUNDS = 3
-
-#: Share of the training documents that each round learns from.
-SHARE = 1 / 48
 RATE = 0.08
 
 
@@ -101,11 +97,10 @@ def _neighbours(batches, words):
     yield pa.RecordBatch.from_pydict({"cell": at, "times": counts[at].astype(np.int64)})
 
 
-def cluster(cells: list[tuple[int, int]], n_items: int, features: int, classes: int, rounds: int = 12) -> np.ndarray:
+def cluster(cells: np.ndarray, times: np.ndarray, n_items: int, features: int, classes: int, rounds: int = 12) -> np.ndarray:
     """Class of every item by spherical k-means; items without neighbours share class 0."""
     matrix = np.zeros((n_items, max(1, 2 * features)), np.float32)
-    for cell, times in cells:
-        matrix[cell // (2 * features), cell % (2 * features)] = times
+    matrix[cells // max(1, 2 * features), cells % max(1, 2 * features)] = times
     weight = matrix.sum(1)
     total = max(1.0, float(weight.sum()))
     expected = np.outer(weight, matrix.sum(0)) / total
@@ -172,28 +167,32 @@ def _learn_window(w, memory, state, inputs, targets, rate):
         state, back = step(w, state, inputs[t])
         trail.append(back)
         states.append(state)
-    flow, rows, row_grads = np.zeros_like(state), [], []
-    hidden = state.shape[1]
+    flow, rows, row_grads, before_all = np.zeros_like(state), [], [], []
+    hidden, wanted = state.shape[1], targets.ravel()
+    after = np.concatenate(states)
+    error = np.exp(log_classes(w, after))
+    error[np.arange(len(error)), np.maximum(wanted, 0)] -= 1
+    error[wanted < 0] = 0
+    grads["out"] += after.T @ error
+    grads["bias"] += error.sum(0)
+    from_out = (error @ w["out"].T).reshape(len(inputs), *state.shape)
     for t in reversed(range(len(inputs))):
-        wanted = targets[t] >= 0
-        error = np.exp(log_classes(w, states[t]))
-        error[np.arange(len(error)), np.maximum(targets[t], 0)] -= 1
-        error[~wanted] = 0
-        grads["out"] += states[t].T @ error
-        grads["bias"] += error.sum(0)
-        flow = flow + error @ w["out"].T
+        flow = flow + from_out[t]
         items, before, keep, reset, gated, new = trail[t]
         d_new = flow * (1 - keep) * (1 - new * new)
         d_gated = d_new @ w["new"].T
         d_keep = flow * (before - new) * keep * (1 - keep)
         d_reset = d_gated * before * reset * (1 - reset)
         d_gates = np.concatenate([d_keep, d_reset], 1)
-        grads["new"] += gated.T @ d_new
-        grads["gates"] += before.T @ d_gates
         rows.append(items)
         row_grads.append(np.concatenate([d_gates, d_new], 1))
+        before_all.append((gated, before))
         flow = flow * keep + d_gated * reset + d_gates @ w["gates"].T
         flow[items == len(w["input"]) - 1] = 0
+    row_grads = np.concatenate(row_grads)
+    gated, before = (np.concatenate(x) for x in zip(*before_all, strict=True))
+    grads["new"] += gated.T @ row_grads[:, 2 * hidden :]
+    grads["gates"] += before.T @ row_grads[:, : 2 * hidden]
     scale = np.float32(1 / max(1, int((targets >= 0).sum())) ** 0.5)
     for k, g in grads.items():
         g *= scale
@@ -201,7 +200,7 @@ def _learn_window(w, memory, state, inputs, targets, rate):
         w[k] -= rate * g / np.sqrt(memory[k] + 1e-6)
     items, inverse = np.unique(np.concatenate(rows), return_inverse=True)
     g = np.zeros((len(items), 3 * hidden), np.float32)
-    np.add.at(g, inverse, np.concatenate(row_grads) * scale)
+    np.add.at(g, inverse, row_grads * scale)
     memory["input"][items] += g * g
     w["input"][items] -= rate * g / np.sqrt(memory["input"][items] + 1e-6)
     return state
@@ -215,14 +214,15 @@ def learn(w, rows: list[np.ndarray], classes: np.ndarray, rate: float = RATE, wi
     inputs = np.concatenate([np.concatenate([[first], r[:-1]]) for r in rows])
     targets = classes[np.concatenate(rows)]
     lanes = max(1, min(lanes, len(inputs) // (4 * window)))
-    n = len(inputs) // lanes
-    inputs, targets = (x[: n * lanes].reshape(lanes, n).T for x in (inputs, targets))
+    learned = len(inputs)
+    n = -(-learned // lanes)
+    inputs, targets = (np.pad(x, (0, n * lanes - learned), constant_values=v).reshape(lanes, n).T for x, v in ((inputs, first), (targets, -1)))
     w = {k: v.copy() for k, v in w.items()}
     memory = {k: np.full_like(v, 1e-2) for k, v in w.items()}
     state = np.zeros((lanes, w["new"].shape[0]), np.float32)
     for i in range(0, n, window):
         state = _learn_window(w, memory, state, inputs[i : i + window], targets[i : i + window], rate)
-    return w, n * lanes
+    return w, learned
 
 
 def _learn_part(batches, words, classes, weights):
@@ -279,20 +279,19 @@ def _average(parts: DataFrame, weights):
     return out
 
 
-def train(docs: DataFrame, words: list[bytes], class_counts, hidden: int = HIDDEN, classes: int = CLASSES, rounds: int = ROUNDS, share: float = SHARE):
-    """(class of each item, weights) from training documents (doc_id, text); ``class_counts`` gives the
-    corpus counts of the classes."""
+def train(docs: DataFrame, words: list[bytes], class_counts, hidden: int = HIDDEN, classes: int = CLASSES, rounds: int = ROUNDS):
+    """(class of each item, weights) from all training documents (doc_id, text), which are scanned once
+    for the neighbours and once a round; ``class_counts`` gives the corpus counts of the classes."""
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = land(docs.select(F.floor(place / share).cast("int").alias("round"), "text").filter(F.col("round") < rounds), "sample")
+    dealt = docs.select(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)).alias("round"), "text")
     features, n_items = min(FEATURES, len(words)), len(words) + ENDINGS
-    near = sample.select("text").mapInArrow(lambda it: _neighbours(it, words), "cell long, times long")
-    cells = [tuple(r) for r in near.groupBy("cell").agg(F.sum("times")).collect()]  # at most items x features
-    which = cluster(cells, n_items, features, classes)
+    near = docs.select("text").mapInArrow(lambda it: _neighbours(it, words), "cell long, times long")
+    cells = near.groupBy("cell").agg(F.sum("times").alias("times")).toArrow()  # at most items x features
+    which = cluster(cells["cell"].to_numpy(), cells["times"].to_numpy(), n_items, features, classes)
     weights = start_weights(n_items, class_counts(which), hidden)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((words, which, weights))
-        own = sample.filter(F.col("round") == k).select("text")
+        own = dealt.filter(F.col("round") == k).select("text")
         parts = land(own.mapInArrow(lambda it, sent=sent: _learn_part(it, *sent.value), PARTS), "weights")
         weights = _average(parts, weights)
     return which, weights

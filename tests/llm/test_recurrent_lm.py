@@ -49,6 +49,26 @@ def test_nothing_to_learn_from(spark, no_documents):
     assert got == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
 
 
+def test_every_training_document_teaches(spark, monkeypatch):
+    """Each document has a word of its own; its input row must have moved, and its neighbours be counted."""
+    words = [b"", b"the", *(f"w{i}".encode() for i in range(40))]
+    docs = spark.createDataFrame([(i, f"the w{i} the w{i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    counted, cluster = [], lm.cluster
+    monkeypatch.setattr(lm, "cluster", lambda cells, *rest: counted.extend(cells // (2 * len(words))) or cluster(cells, *rest))
+    _, w = lm.train(docs, words, lambda which: np.full(lm.CLASSES, 1 / lm.CLASSES))
+    start = lm.start_weights(len(words) + lm.ENDINGS, np.full(lm.CLASSES, 1 / lm.CLASSES))
+    moved = (w["input"] != start["input"]).any(1)
+    assert moved[1 : len(words)].all() and not moved[len(words) : -1].any()  # an end is never read
+    assert set(counted) == set(range(len(words)))
+
+
+def test_the_last_tokens_of_the_lanes_are_learned():
+    start = lm.start_weights(60, np.array([0.5, 0.5]), 4)
+    rows = [np.arange(40) for _ in range(100)] + [np.array([50, 51, 52])]
+    w, n = lm.learn(start, rows, np.arange(60) % 2)
+    assert n == 4003 and (w["input"][[50, 51]] != start["input"][[50, 51]]).any(1).all()
+
+
 def weights(n_items=7, classes=3, hidden=4):
     draw = np.random.default_rng(2)
     w = lm.start_weights(n_items, np.array([0.5, 0.3, 0.2]), hidden)
