@@ -65,10 +65,10 @@ def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> list[tup
     if not 1 <= order <= 5:
         raise ValueError("order is 1 to 5")
     rows = docs.filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = land(rows.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("size"))
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.join(F.broadcast(sizes.limit(10_000)), "lang").filter(place < share).select("lang", "text")
+    taken = join_small(rows, sizes, ["lang"]).filter(place < share).select("lang", "text")
     grams = taken.mapInArrow(lambda it: _count_grams(it, order), "lang string, gram long, times long")
     summed = land(grams.groupBy("lang", "gram").agg(F.sum("times").alias("times")), "grams")
     return [tuple(r) for r in summed.collect()]  # bounded by the sample

@@ -87,6 +87,11 @@ def test_training_is_a_bounded_sample(spark):
     assert 50 <= total <= 170
 
 
+def test_every_language_teaches(spark):
+    df = spark.range(10_050).selectExpr("id as doc_id", "'w' as text", "concat('l', id) as lang")
+    assert len({lang for lang, _, _ in language_id.train(df)}) == 10_050
+
+
 def test_rejection_keeps_the_rest(odd_documents, odd_rows):
     got = language_id.keep_known_languages(odd_documents)
     assert got.columns == odd_documents.columns
