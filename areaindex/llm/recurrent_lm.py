@@ -328,7 +328,8 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 
 def _score_block(sequences, packed, model, total: int, distinct: int):
     which, weights, class_sums = model["classes"], model["weights"], model["sums"]
-    c, item = unpack_block(packed.column("columns").to_pylist(), 2, False)
+    low, high, item = unpack_block(packed.column("columns").to_pylist(), 3, False)
+    c = low + (high << 32)
     base = np.log10((c + 1) / (total + distinct + 1))
     inside = np.log10((c + 1) / class_sums[which[item]])
     ids = sequences.column("doc_id").to_pylist()
@@ -371,7 +372,7 @@ def _send_back(batches, words):
         c = np.concatenate([b.column("c").to_numpy() for b in held])
         times = np.concatenate([pc.list_value_length(b.column("blocks")).to_numpy() for b in held])
         blocks, codes = (np.concatenate([b.column(k).flatten().to_numpy() for b in held]) for k in ("blocks", "codes"))
-        return pack_by_block(blocks, codes, np.repeat(np.minimum(c, 0xFFFFFFFF), times), np.repeat(item, times))
+        return pack_by_block(blocks, codes, *(np.repeat(x, times) for x in (c & 0xFFFFFFFF, c >> 32, item)))
 
     held, rows = [], 0
     for batch in batches:

@@ -4,10 +4,12 @@ from collections import Counter
 
 from llm import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from areaindex.llm import recurrent_lm as lm
 from areaindex.llm.queries import QUERIES
+from areaindex.llm.wordblocks import pack
 from conftest import SF
 
 
@@ -69,6 +71,17 @@ def test_the_last_tokens_of_the_lanes_are_learned():
     assert n == 4003 and (w["input"][[50, 51]] != start["input"][[50, 51]]).any(1).all()
 
 
+def test_counts_beyond_32_bits_come_back_whole():
+    counts = [3, (1 << 32) - 1, (1 << 33) + 5, 0]
+    words = pa.record_batch({"word": pa.array([b"a", b"b", b"c", b"d"]), "c": pa.array(counts), "blocks": [[5]] * 4, "codes": pa.array([[0], [1], [2], [3]], pa.list_(pa.int32()))})
+    (packed,) = lm._send_back([words], [b"a", b"b", b"c", b"d"])
+    sequences = pa.table({"doc_id": [1], "words": pa.array([pack(np.array([0, 1, 2], np.uint32))])})
+    w = lm.start_weights(4, np.ones(1), 4)
+    model = {"classes": np.zeros(4, np.int64), "weights": w, "sums": np.array([1 << 40])}
+    (row,) = lm._score_block(sequences, pa.Table.from_batches([packed]), model, 0, 0).to_pylist()
+    assert row["n_known"] == 3 and row["base_score"] == pytest.approx(sum(math.log10(c + 1) for c in counts), rel=1e-12)
+
+
 def weights(n_items=7, classes=3, hidden=4):
     draw = np.random.default_rng(2)
     w = lm.start_weights(n_items, np.array([0.5, 0.3, 0.2]), hidden)
