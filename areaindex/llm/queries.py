@@ -13,6 +13,7 @@ from areaindex.llm import (
     decontaminate,
     language_id,
     near_dedup,
+    pair_bpe,
     preference,
     recurrent_lm,
     resample,
@@ -82,6 +83,11 @@ def op10_suffix_array_dedup(spark, sf):
     return suffix_dedup.dedup_digests(documents(spark, sf))
 
 
+@query
+def op11_pair_index_bpe(spark, sf):
+    return pair_bpe.encoding_digests(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
 ORACLES["op4_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
