@@ -17,6 +17,7 @@ from areaindex.llm import (
     preference,
     recurrent_lm,
     resample,
+    spelling,
     suffix_dedup,
     token_files,
     topk,
@@ -88,6 +89,11 @@ def op11_pair_index_bpe(spark, sf):
     return pair_bpe.encoding_digests(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op12_spelling_variants(spark, sf):
+    return spelling.spelling_variants(documents(spark, sf))
+
+
 ORACLES["op4_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -186,3 +192,47 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d JOIN m ON m.x = d.doc_id LEFT JOIN n USING (doc_id)
 """.replace("LOWERED", _LOWER.format("text"))
 )
+
+#: crc32 by its table, then words that share what is left when one code point goes from either or both.
+ORACLES["op12_spelling_variants"] = (
+    """
+WITH RECURSIVE step AS (
+  SELECT CAST(range AS BIGINT) AS i, CAST(range AS BIGINT) AS c, 0 AS b FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b + 1 FROM step WHERE b < 8
+),
+crc AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM step WHERE b = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS head, unnest(regexp_extract_all(LOWERED, '[A-Za-zÀ-ÿ]+')) AS w FROM documents
+),
+found AS (SELECT head, w, count(*) AS k FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT w, k, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(head || w, ''), lambda x:
+      CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+  FROM found, crc
+),
+damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN w[: h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, k FROM hashed
+),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+),
+near AS (
+  SELECT word, count(*) AS n_near, min({'minus': -other_n, 'form': other}) FILTER (other_n >= 10 * n) AS best FROM pairs GROUP BY word
+),
+forms AS (SELECT word, n_near, best.form AS form, -best.minus AS form_n FROM near),
+chain AS (
+  SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL
+),
+roots AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM forms WHERE form IS NOT NULL))
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+""".replace("LOWERED", _LOWER.format("text"))
+)
