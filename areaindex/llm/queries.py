@@ -21,6 +21,7 @@ from areaindex.llm import (
     suffix_dedup,
     token_files,
     topk,
+    whitening,
 )
 from areaindex.llm.common import documents
 
@@ -94,6 +95,11 @@ def op12_spelling_variants(spark, sf):
     return spelling.spelling_variants(documents(spark, sf))
 
 
+@query
+def op13_spectrum_whitening(spark, sf):
+    return whitening.whiten(documents(spark, sf, "embeddings"))
+
+
 ORACLES["op4_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
