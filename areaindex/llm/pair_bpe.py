@@ -23,19 +23,19 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
-from itertools import chain, count, islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import LOWER, rebatch, texts
+from areaindex.llm.common import rebatch
 from areaindex.llm.wordblocks import gather
 
-#: Units that a task remembers before it starts anew, and bytes of text whose new words are merged together.
-REMEMBERED = 1 << 20
-BLOCK_BYTES = 32 << 20
+#: Words that a task remembers before it starts anew.
+REMEMBERED = 1 << 19
 
 #: Words of one call that cuts them.
 JOINED = 1000
@@ -59,9 +59,6 @@ _NEAR_UNITS = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[{_near('L')}]+|[{_near('N')}]|[^\t-\r \x85\xa0{_near('L')}{_near('N')}]+|\n"
 ).findall
 
-ENCODED = "doc_id long, ids array<int>"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
 
 def _byte_characters() -> list[str]:
     """The character that byte-level vocabularies write for each byte: printable Latin-1 ones stand for
@@ -88,6 +85,7 @@ class Merges:
         keys = self.left * self.width + self.right
         self.rank_of_key = np.argsort(keys, kind="stable")
         self.keys = np.concatenate([keys[self.rank_of_key], [-1]])
+        self.rank_type = np.uint16 if len(pairs) <= 1 << 16 else np.int64
         # The last rank that makes a symbol: a merge that uses the symbol at a lower rank comes late.
         made = np.full(self.width, -1)
         np.maximum.at(made, self.result, np.arange(len(pairs)))
@@ -127,7 +125,7 @@ class Merges:
             """Put the pairs that start at ``places`` into the index."""
             ranks = self.ranks(symbol[places], symbol[after[places]])
             places, ranks = places[ranks >= 0], ranks[ranks >= 0]
-            order = np.argsort(ranks, kind="stable")
+            order = np.argsort(ranks.astype(self.rank_type), kind="stable")  # by digits where 16 bits hold a rank
             places, ranks = places[order], ranks[order]
             cuts = np.flatnonzero(np.diff(ranks)) + 1
             for rank, part in zip(ranks[np.append(0, cuts)].tolist() if len(ranks) else [], np.split(places, cuts), strict=False):
@@ -172,12 +170,10 @@ class Merges:
         return np.bincount(unit[kept], minlength=len(sizes)), symbol[:n][kept]
 
 
-class PairEncoder:
-    """Ids of texts as a tokenizer file with byte symbols has them, by the pair index."""
+class Vocabulary:
+    """A tokenizer file with byte symbols: what all tasks read and none changes."""
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(tokenizer_json)
         model = spec["model"]
         unfit = [k for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "unk_token") if model.get(k)]
@@ -189,9 +185,7 @@ class PairEncoder:
         cuts = _steps(spec["pre_tokenizer"], "pretokenizers")
         if not cuts or cuts[-1]["type"] != "ByteLevel" or cuts[-1].get("add_prefix_space"):
             raise ValueError("the last pre-tokenizer must give bytes, without a space before them")
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.normalize = tokenizer.normalizer.normalize_str if kinds else str
-        self.pieces = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spec, self.library = tokenizer_json, None
         self.lower = "Lowercase" in kinds
         self.twin = self.lower and [c.get("pattern", {}).get("Regex") for c in cuts] == [_PATTERN, None]
         self.merges = Merges(model["vocab"], model["merges"])
@@ -199,14 +193,49 @@ class PairEncoder:
         suffix = model.get("end_of_word_suffix") or ""
         self.inner, self.last = (np.array([model["vocab"].get(c + s, -1) for c in _byte_characters()]) for s in ("", suffix))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.marks = [t.encode() for t in self.special]
+        known = {i: t for t, i in {**model["vocab"], **self.special}.items()}
+        self.tokens = [known.get(i) for i in range(max(known, default=0) + 1)]
+        self.plain_join = spec["decoder"] is None
+
+    def tokenizer(self):
+        """The library's own, made when first needed."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        return self.library
+
+    def __getstate__(self):
+        return {**self.__dict__, "library": None}
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Text of each list: its tokens without unknown ids, joined by a space where the file has no decoder."""
+        flat, offsets = ids.flatten(), np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()))
+        tokens = pa.array([*self.tokens, None], pa.large_string())
+        at = flat.to_numpy()
+        known = (at >= 0) & (at < len(self.tokens))
+        found = tokens.take(pa.array(np.where(known, at, len(self.tokens))))
+        if found.null_count:
+            kept = found.is_valid().to_numpy(zero_copy_only=False)
+            found, offsets = found.drop_null(), np.append(0, np.cumsum(kept))[offsets]
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), found)
+        if self.plain_join:
+            return pc.binary_join(lists, " ").cast(pa.string())
+        return pa.array(map(self.tokenizer().decoder.decode, lists.to_pylist()), pa.string())
+
+
+class PairEncoder:
+    """Ids of texts by the pair index; words and units met before are remembered."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.special = vocabulary, vocabulary.special
         longest_first = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.split_special = re.compile("(" + "|".join(longest_first) + ")").split if self.special else lambda text: [text]
         self.clear()
 
     def clear(self) -> None:
         """Forget all words and units."""
-        self.words: dict[bytes, int] = defaultdict(count().__next__)
+        self.words: dict[str, int] = defaultdict(count().__next__)
         self.units: dict[str, int] = defaultdict(count().__next__)
         # Ids of the units, and units of the words, as flat lists with their sizes.  A special token is a
         # unit by its own text behind a space, which no other unit holds.
@@ -215,10 +244,11 @@ class PairEncoder:
 
     def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and units of plain words, by the library: one call for many."""
-        joined = [self.normalize(w) for w in words]
+        tokenizer = self.vocabulary.tokenizer()
+        joined = list(map(tokenizer.normalizer.normalize_str, words)) if tokenizer.normalizer else words
         start = np.cumsum([0] + [len(w) + 1 for w in joined])
         text = " ".join(joined)
-        spans = [span for _, span in self.pieces(text)]
+        spans = [span for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         units = np.fromiter((self.units[text[a:b]] for a, b in spans), np.int64, len(spans))
         word = np.searchsorted(start, np.fromiter((a for a, _ in spans), np.int64, len(spans)), "right") - 1
         return np.bincount(word, minlength=len(words)), units
@@ -240,17 +270,17 @@ class PairEncoder:
             units += found
         return np.array(sizes, np.int64), np.concatenate(units)
 
-    def _learn(self, words: list[bytes], special: bool) -> None:
+    def _learn(self, words: list[str], special: bool) -> None:
         """Ids of words not met before; ``special`` tells that some may hold special tokens."""
         order, sizes, units = [], [], []
         for first in range(0, len(words), JOINED):
-            data = b"\n".join(words[first : first + JOINED]).decode("utf-8")
-            held, every = data.split("\n"), np.arange(first, min(first + JOINED, len(words)))
-            if self.twin and not special and _is_near(data):
+            held = words[first : first + JOINED]
+            every = np.arange(first, first + len(held))
+            if self.vocabulary.twin and not special and _is_near("".join(held)):
                 kinds = [(self._cut_near, every)]
             else:
                 odd = np.array([special and len(self.split_special(w)) > 1 for w in held])
-                near = np.array([self.twin and _is_near(w) for w in held]) & ~odd
+                near = np.array([self.vocabulary.twin and _is_near(w) for w in held]) & ~odd
                 kinds = [(self._cut_special, every[odd]), (self._cut_near, every[near]), (self._cut, every[~odd & ~near])]
             for cut, places in kinds:
                 if len(places):
@@ -269,78 +299,85 @@ class PairEncoder:
         data = [u.encode("utf-8") if s < 0 else b"" for u, s in zip(units, special.tolist(), strict=True)]
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         values = np.frombuffer(b"".join(data), np.uint8)
-        symbols = self.inner[values]
+        symbols = self.vocabulary.inner[values]
         ends = np.cumsum(sizes)[sizes > 0] - 1
-        symbols[ends] = self.last[values[ends]]
+        symbols[ends] = self.vocabulary.last[values[ends]]
         unit = np.repeat(np.arange(len(units)), sizes)[symbols >= 0]
-        sizes, ids = self.merges.apply(symbols[symbols >= 0], np.bincount(unit, minlength=len(units)))
+        sizes, ids = self.vocabulary.merges.apply(symbols[symbols >= 0], np.bincount(unit, minlength=len(units)))
         own = np.flatnonzero(special >= 0)
         self.unit_ids = np.concatenate([self.unit_ids, np.insert(ids, np.cumsum(sizes)[own], special[own])])
         self.unit_size = np.concatenate([self.unit_size, np.where(special >= 0, 1, sizes)])
 
-    def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents in a row, and where each one ends."""
+    def encode(self, text: pa.StringArray) -> pa.ListArray:
+        """Ids of each text; null is empty."""
         if len(self.words) > REMEMBERED:
             self.clear()
+        text = text.fill_null("").cast(pa.large_string())
         # Special tokens are told by their case; other texts have fewer words in lower case.
-        special = [any(m in d for m in self.marks) for d in docs]
-        split = [(d.translate(LOWER) if self.lower and not s else d).split() for d, s in zip(docs, special, strict=True)]
-        codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
+        special = np.zeros(len(text), bool)
+        for mark in self.special:
+            special |= pc.match_substring(text, mark).to_numpy(zero_copy_only=False)
+        if self.vocabulary.lower:
+            text = pc.if_else(pa.array(special), text, pc.ascii_lower(text))
+        split = pc.ascii_split_whitespace(text)
+        words = split.flatten().dictionary_encode()
+        held = words.dictionary.to_pylist()
+        code = np.fromiter(map(self.words.__getitem__, held), np.int64, len(held))
         if len(self.words) > len(self.word_size):
-            self._learn(list(islice(self.words, len(self.word_size), None)), any(special))
-        starts = np.cumsum(self.unit_size) - self.unit_size
-        units, unit_ends = gather(self.word_units, np.cumsum(self.word_size) - self.word_size, self.word_size, codes)
-        ids, id_ends = gather(self.unit_ids, starts, self.unit_size, units)
-        doc_words = np.cumsum([len(w) for w in split])
-        ends = np.append(0, id_ends)[np.append(0, unit_ends)[doc_words]]
-        return ids.astype(np.int32), ends
+            self._learn(list(islice(self.words, len(self.word_size), None)), bool(special.any()))
+        # From words of this call to their units, and on to ids.
+        own_units, own_ends = gather(self.word_units, np.cumsum(self.word_size) - self.word_size, self.word_size, code)
+        own, own_unit_ends = gather(self.unit_ids, np.cumsum(self.unit_size) - self.unit_size, self.unit_size, own_units)
+        ends = np.append(0, own_unit_ends)[own_ends]
+        sizes = np.diff(ends, prepend=0)
+        ids, word_ends = gather(own.astype(np.int32), ends - sizes, sizes, words.indices.to_numpy())
+        doc_words = np.cumsum(pc.list_value_length(split).to_numpy())
+        bounds = np.append(0, np.append(0, word_ends)[doc_words])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+
+
+_FIELDS = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+ENCODED = "doc_id long, ids array<int>"
 
 
-def _encode_batches(batches, tokenizer_json):
-    encoder = PairEncoder(tokenizer_json)
-    for batch in rebatch(batches, BLOCK_BYTES):
-        ids, ends = encoder.encode(texts(batch))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema=_SCHEMA)
+def _encode_batches(batches, vocabulary, decoded):
+    encoder = PairEncoder(vocabulary)
+    for batch in rebatch(batches):
+        ids = encoder.encode(batch.column("text"))
+        columns = [batch.column("doc_id"), ids] + ([vocabulary.decode(ids)] if decoded else [])
+        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(_FIELDS[: len(columns)]))
 
 
-def _read(path: str) -> str:
+def _vocabulary(spark: SparkSession, path: str):
     with open(path, encoding="utf-8") as file:
-        return file.read()
+        return spark.sparkContext.broadcast(Vocabulary(file.read()))  # bounded by the tokenizer, not by data
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id and ``ids``, as the tokenizer file's library gives them without added
-    special tokens, truncation or padding."""
-    tokenizer_json = _read(tokenizer_path)
-    PairEncoder(tokenizer_json)  # an unfit vocabulary is told here
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary, not data
+    special tokens, truncation or padding; with ``decoded`` also the text that these ids decode to."""
+    sent = _vocabulary(docs.sparkSession, tokenizer_path)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda it: _encode_batches(it, sent.value), ENCODED)
-
+    schema = ENCODED + ", decoded string" * decoded
+    return rows.mapInArrow(lambda it: _encode_batches(it, sent.value, decoded), schema)
 
-def _decode_batches(batches, tokenizer_json):
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    table = {i: t for t, i in tokenizer.get_vocab().items()}
-    join = tokenizer.decoder.decode if tokenizer.decoder else " ".join
+def _decode_batches(batches, vocabulary):
     for batch in rebatch(batches):
-        column = batch.column("ids").to_pylist()
-        text = [join([table[i] for i in ids or () if i in table]) for ids in column]
-        yield batch.append_column("decoded", pa.array(text, pa.string()))
+        lists = batch.column("ids").fill_null([])
+        yield batch.append_column("decoded", vocabulary.decode(lists))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text that the library decodes its ids to, special tokens kept."""
-    sent = encoded.sparkSession.sparkContext.broadcast(_read(tokenizer_path))
+    sent = _vocabulary(encoded.sparkSession, tokenizer_path)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(lambda it: _decode_batches(it, sent.value), f"{names}, decoded string")
 
 
 def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 of the decimal ids joined by a space, decoded_sha256."""
-    return decode(encode(docs, tokenizer_path), tokenizer_path).select(
+    return encode(docs, tokenizer_path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
