@@ -211,16 +211,16 @@ class Vocabulary:
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Text of each list: its tokens without unknown ids, joined by a space where the file has no decoder."""
         flat, offsets = ids.flatten(), np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()))
-        tokens = pa.array([*self.tokens, None], pa.large_string())
+        tokens = pa.array([*self.tokens, None], pa.string())
         at = flat.to_numpy()
         known = (at >= 0) & (at < len(self.tokens))
         found = tokens.take(pa.array(np.where(known, at, len(self.tokens))))
         if found.null_count:
             kept = found.is_valid().to_numpy(zero_copy_only=False)
             found, offsets = found.drop_null(), np.append(0, np.cumsum(kept))[offsets]
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), found)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
         if self.plain_join:
-            return pc.binary_join(lists, " ").cast(pa.string())
+            return pc.binary_join(lists, " ")
         return pa.array(map(self.tokenizer().decoder.decode, lists.to_pylist()), pa.string())
 
 
