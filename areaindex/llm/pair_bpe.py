@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import rebatch
+from areaindex.llm.common import LOWER, rebatch
 from areaindex.llm.wordblocks import gather
 
 #: Words that a task remembers before it starts anew.
@@ -46,6 +46,11 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _FAR, _DOTTED = "\u0180", "\u0130"
 
 
+#: Byte tables: white space to a space, and that with A-Z to a-z.  All other bytes stay.
+_SPACE = np.array([32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
+_FOLD = np.frombuffer(LOWER, np.uint8)[_SPACE]
+
+
 def _is_near(text: str) -> bool:
     return text.isascii() or (max(text) < _FAR and _DOTTED not in text)
 
@@ -224,6 +229,19 @@ class Vocabulary:
         return pa.array(map(self.tokenizer().decoder.decode, lists.to_pylist()), pa.string())
 
 
+def _translate(text: pa.LargeStringArray, as_is: np.ndarray) -> pa.LargeStringArray:
+    """White space of one byte becomes a space, and A-Z a-z but for the rows ``as_is``."""
+    _, offsets, data = text.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    out = _FOLD[data]
+    for row in np.flatnonzero(as_is).tolist():
+        place = slice(offsets[row], offsets[row + 1])
+        out[place] = _SPACE[data[place]]
+    return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(offsets), pa.py_buffer(out))
+
+
 class PairEncoder:
     """Ids of texts by the pair index; words and units met before are remembered."""
 
@@ -312,14 +330,12 @@ class PairEncoder:
         """Ids of each text; null is empty."""
         if len(self.words) > REMEMBERED:
             self.clear()
-        text = text.fill_null("").cast(pa.large_string())
         # Special tokens are told by their case; other texts have fewer words in lower case.
+        text = text.fill_null("").cast(pa.large_string())
         special = np.zeros(len(text), bool)
         for mark in self.special:
             special |= pc.match_substring(text, mark).to_numpy(zero_copy_only=False)
-        if self.vocabulary.lower:
-            text = pc.if_else(pa.array(special), text, pc.ascii_lower(text))
-        split = pc.ascii_split_whitespace(text)
+        split = pc.split_pattern(_translate(text, special if self.vocabulary.lower else np.ones(len(text), bool)), " ")
         words = split.flatten().dictionary_encode()
         held = words.dictionary.to_pylist()
         code = np.fromiter(map(self.words.__getitem__, held), np.int64, len(held))
