@@ -45,6 +45,10 @@ MAGIC = b"PFOR0001"
 
 #: Marks that stand behind words.
 MARKS = ",.;:!?"
+
+#: Letters below this one stay single letters in lower case, and no later standard changes them; the one
+#: exception, a capital I with a dot, becomes two characters.  Words with others go whole to the library.
+FAR, DOTTED = "\u0180", "\u0130"
 HEAD = "<IBHH"  # minimum, width, ids, exceptions
 FOOT = "<QQQ8s"  # blocks, documents, place of the index, magic
 
@@ -189,7 +193,7 @@ class WordIds:
             text = word.decode("utf-8")
             mark = MARKS.find(text[-1]) if len(text) > 1 else -1
             body = text if mark < 0 else text[:-1]
-            if body.isalpha():
+            if body.isalpha() and (body.isascii() or (max(body) < FAR and DOTTED not in body)):
                 first.append(letters[body])
                 second.append(mark)
             else:

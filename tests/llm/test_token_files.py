@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -45,6 +46,23 @@ def test_empty_table(no_documents):
     assert token_files.token_file_digests(no_documents, PATH).count() == 0
 
 
+def test_every_letter_before_every_mark():
+    """The ids of words must be the library's, whatever the letter and the mark behind it."""
+    with open(PATH, encoding="utf-8") as file:
+        words = token_files.WordIds(file.read())
+    library = Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x20000) if chr(c).isalpha()]
+    docs = [" ".join(f"a{c}{m} {c}{m}{m} {c}{m}b" for m in token_files.MARKS + "'\u0307") for c in letters]
+    draw = random.Random(2)
+    pool = "aAZ\u0130\u00e9\u01c5\u00dfsK\u03a3'stT\u0307\u0345\u4e00 12\u00bd   \x85\x1c\n.,!?<|>\ufb01\ud55c\u200d\U0001f600"
+    docs += ["".join(draw.choice(pool) for _ in range(draw.randint(0, 40))) for _ in range(10_000)]
+    sizes, ids = words.encode([d.encode() for d in docs], token_files.END_ID)
+    ends = np.cumsum(sizes)
+    got = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    want = [[*e.ids, token_files.END_ID] for e in library.encode_batch(docs, add_special_tokens=False)]
+    assert [d for d, g, w in zip(docs, got, want, strict=True) if g != w] == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), min_size=1, max_size=400), st.sampled_from([0, 50, 90, 100]))
 def test_blocks_round_trip(values, percentile):
