@@ -3,7 +3,7 @@ ring 0 the outer ring and further rings holes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaindex.operators.pairs import near_pairs, salted_join
@@ -100,13 +100,15 @@ def label_point(poly_vertex: DataFrame) -> DataFrame:
     return shells.groupBy("geo_id").agg(largest).select("geo_id", "p.x", "p.y")
 
 
-# Edges of an area that a strip holds on average.
+# Edges of an area for each of the lowest strips.
 EDGES_PER_STRIP = 8
+# Halvings of an area's height at most.
+MOST_HALVINGS = 40
 
 
 def _area_grid(poly_vertex: DataFrame) -> DataFrame:
-    """Box of each area, the level whose cells of side 2^level just hold it, and the height of the strips
-    into which its edges are cut.  Landed."""
+    """Box of each area, the level whose cells of side 2^level just hold it, and how often its height is
+    halved into strips, so that there is one lowest strip to about EDGES_PER_STRIP edges.  Landed."""
     boxes = poly_vertex.groupBy("geo_id").agg(
         F.min("x").alias("xmin"),
         F.max("x").alias("xmax"),
@@ -116,11 +118,38 @@ def _area_grid(poly_vertex: DataFrame) -> DataFrame:
     )
     side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     level = F.when(side > 0, F.greatest(F.lit(-60.0), F.ceil(F.log2(side)).cast("double"))).otherwise(-60.0)
-    height = F.col("ymax") - F.col("ymin")
-    strip = height / F.ceil(F.col("n") / EDGES_PER_STRIP)
+    halvings = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / EDGES_PER_STRIP)))
+    halvings = F.when(F.col("ymax") > F.col("ymin"), F.least(F.lit(MOST_HALVINGS), halvings)).otherwise(0)
     return land(
-        boxes.withColumn("level", level.cast("int")).withColumn("strip", F.when(strip > 0, strip).otherwise(1.0)),
-        "areas",
+        boxes.withColumns({"level": level.cast("int"), "halvings": halvings.cast("int")}).drop("n"), "areas"
+    )
+
+
+def _lowest_strip(y: str) -> Column:
+    """Number of the lowest strip at height ``y``, among the nodes of the tree: the whole height is node
+    1, and node i is halved into 2i and 2i + 1."""
+    strips = F.pow(F.lit(2.0), F.col("halvings"))
+    at = F.floor((F.col(y) - F.col("ymin")) / (F.col("ymax") - F.col("ymin")) * strips)
+    at = F.least(strips - 1, F.greatest(F.lit(0.0), at.cast("double")))
+    return F.when(F.col("halvings") > 0, at + strips).otherwise(1.0).cast("long")
+
+
+def edges_by_strip(poly_vertex: DataFrame, areas: DataFrame) -> DataFrame:
+    """Polygon edges under the few ``node`` s of their area's strip tree that tile the edge's height
+    together: two of each size at most, so an area of n edges makes some n log n rows, however long they are."""
+    edges = (
+        ring_edges(poly_vertex)
+        .withColumns({"ylo": F.least("y1", "y2"), "yhi": F.greatest("y1", "y2"), "xhi": F.greatest("x1", "x2")})
+        .join(areas.select("geo_id", "ymin", "ymax", "halvings"), "geo_id")
+        .withColumns({"_from": _lowest_strip("ylo"), "_to": _lowest_strip("yhi") + 1})
+    )
+    # Halved k times, the range still to tile is [first, end); an odd bound is a node of its own.
+    first, end = "shiftright(_from + shiftleft(1L, k) - 1, k)", "shiftright(_to, k)"
+    tiles = f"""flatten(transform(sequence(0, halvings), k -> array(
+        if({first} % 2 = 1 AND {first} < {end}, {first}, NULL),
+        if({end} % 2 = 1 AND {first} < {end}, {end} - 1, NULL))))"""
+    return edges.withColumn("node", F.explode(F.array_compact(F.expr(tiles)))).select(
+        "geo_id", "node", "x1", "y1", "x2", "y2", "ylo", "yhi", "xhi"
     )
 
 
@@ -129,8 +158,9 @@ def points_in_polygons(points: DataFrame, poly_vertex: DataFrame, point_id: str
 
     Points meet areas through grid cells of the area's own size, so a large area fills as few cells as a
     small one; a point looks into one cell for each size that occurs.  Then it meets only those edges
-    of the area that pass through its strip, whose height follows the area's number of edges; edges
-    crossed to the right decide by parity.  Crowded cells and strips are dealt over several tasks.
+    of the area that pass its height: it looks up the path from its lowest strip to the root of the area's
+    tree of halved strips, where each edge is stored once for each height.  Edges crossed to the right
+    decide by parity.  Crowded cells and strips are dealt over several tasks.
     """
     areas = _area_grid(poly_vertex)
     levels = [r.level for r in areas.select("level").distinct().collect()] or [0]  # one per power of two
@@ -139,37 +169,24 @@ def points_in_polygons(points: DataFrame, poly_vertex: DataFrame, point_id: str
     def cell(c):
         return F.floor(F.col(c) / size)
 
-    box_cells = (
-        areas.withColumn("_cx", F.explode(F.sequence(cell("xmin"), cell("xmax"))))
-        .withColumn("_cy", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
-        .drop("n")
+    box_cells = areas.withColumn("_cx", F.explode(F.sequence(cell("xmin"), cell("xmax")))).withColumn(
+        "_cy", F.explode(F.sequence(cell("ymin"), cell("ymax")))
     )
     placed = (
         points.select(F.col(point_id), F.col("x").alias("px"), F.col("y").alias("py"))
         .withColumn("level", F.explode(F.array(*[F.lit(level) for level in levels])))
         .withColumns({"_cx": cell("px"), "_cy": cell("py")})
     )
+    path = F.expr("transform(sequence(0, halvings), k -> shiftright(_strip, k))")
     candidates = land(
         salted_join(placed, box_cells, ["level", "_cx", "_cy"])
         .filter(F.col("px").between(F.col("xmin"), F.col("xmax")))
         .filter(F.col("py").between(F.col("ymin"), F.col("ymax")))
-        .select(
-            point_id, "px", "py", "geo_id", F.floor((F.col("py") - F.col("ymin")) / F.col("strip")).alias("_strip")
-        ),
+        .withColumn("_strip", _lowest_strip("py"))
+        .select(point_id, "px", "py", "geo_id", F.explode(path).alias("node")),
         "candidates",
     )
-
-    def strip_of(c):
-        return F.floor((F.col(c) - F.col("ymin")) / F.col("strip"))
-
-    strips = (
-        ring_edges(poly_vertex)
-        .withColumns({"ylo": F.least("y1", "y2"), "yhi": F.greatest("y1", "y2")})
-        .join(areas.select("geo_id", "ymin", "strip"), "geo_id")
-        .withColumn("_strip", F.explode(F.sequence(strip_of("ylo"), strip_of("yhi"))))
-        .select("geo_id", "_strip", "x1", "y1", "x2", "y2", "ylo", "yhi", F.greatest("x1", "x2").alias("xhi"))
-    )
-    met = salted_join(candidates, strips, ["geo_id", "_strip"]).filter(
+    met = salted_join(candidates, edges_by_strip(poly_vertex, areas), ["geo_id", "node"]).filter(
         (F.col("xhi") >= F.col("px")) & F.col("py").between(F.col("ylo"), F.col("yhi"))
     )
     side = (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) - (F.col("px") - F.col("x1")) * (

@@ -72,6 +72,46 @@ def test_points_in_irregular_polygons(spark, rows):
     assert rows(got) == sorted(want, key=repr) and want
 
 
+def zigzag(n, height=1000.0):
+    """A comb of n teeth: all its edges but the base are nearly as long as it is high."""
+    teeth = [(float(i), 1.0 + (i * 37 % 11) / 7 if i % 2 else height - (i * 53 % 13) / 3) for i in range(n + 1)]
+    return [*teeth, (float(n), 0.0), (0.0, 0.0)]
+
+
+def test_strip_tree_tiles_each_edge_once(spark):
+    """Every height of an edge is under exactly one of its nodes on the path of that height, and the rows of
+    long edges grow as n log n."""
+    sizes = {}
+    for n in (256, 4096):
+        poly = spark.createDataFrame(ring("z", 0, 0, zigzag(n)), VERTEX)
+        areas = geo._area_grid(poly)
+        halvings = areas.first().halvings
+        nodes = geo.edges_by_strip(poly, areas)
+        sizes[n] = nodes.count()
+        assert 2**halvings >= n / geo.EDGES_PER_STRIP and sizes[n] <= (n + 4) * 2 * max(1, halvings)
+        if n == 256:
+            ymin, ymax = areas.first().ymin, areas.first().ymax
+            edges = {}
+            for r in nodes.collect():
+                edges.setdefault((r.x1, r.y1, r.x2, r.y2), []).append(r.node)
+            for (_, y1, _, y2), held in edges.items():
+                lowest = [int(min(2**halvings - 1, (y - ymin) / (ymax - ymin) * 2**halvings)) for y in sorted((y1, y2))]
+                for leaf in range(2**halvings):
+                    path = [(leaf + 2**halvings) >> k for k in range(halvings + 1)]
+                    assert sum(node in path for node in held) == (lowest[0] <= leaf <= lowest[1])
+    assert sizes[4096] < 4096 * 512 / 16
+
+
+def test_points_in_a_zigzag(spark, rows):
+    draw = random.Random(8)
+    corners = zigzag(600)
+    poly = spark.createDataFrame(ring("z", 0, 0, corners) + square("flat", 700, 0), VERTEX)
+    pts = [(j, draw.uniform(-5, 610), draw.uniform(-5, 1005)) for j in range(500)] + [(900, 300.0, 0.0), (901, 0.0, 0.0), (902, 700.5, 0.5)]
+    got = geo.points_in_polygons(spark.createDataFrame(pts, "point_id int, x double, y double"), poly)
+    want = [(j, "z") for j, x, y in pts[:500] if winding(x, y, corners)] + [(900, "z"), (901, "z"), (902, "flat")]
+    assert rows(got) == sorted(want, key=repr) and len(want) > 100
+
+
 def block():
     return [s for i, (x, y) in enumerate([(0, 0), (1, 0), (0, 1), (1, 1)]) for s in square(str(i), x, y)] + square("far", 9, 9)
 
