@@ -1,3 +1,4 @@
+from areaindex.sources.catalogue import fetched_once, release
 from areaindex.sources.csv import read_csv_clean, write_table
 from areaindex.sources.estimates import (
     apply_dict,

@@ -7,11 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _root(spark: SparkSession) -> str:
-    """This application's folder under ``spark.checkpoint.dir``, or under the warehouse where that is
-    unset; all executors share either.  Nothing is written to the session's settings."""
+def shared_root(spark: SparkSession) -> str:
+    """The library's folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset; all
+    executors share either.  Nothing is written to the session's settings."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/areaindex/{spark.sparkContext.applicationId}"
+    return f"{root.rstrip('/')}/areaindex"
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's folder."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

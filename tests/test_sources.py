@@ -15,10 +15,13 @@ from areaindex.sources import (
     drop_landed,
     estimates_from,
     feature_lines,
+    fetched_once,
+    release,
     write_estimates,
     write_features,
     write_table,
 )
+from areaindex.sources import estimates as estimates_module
 from areaindex.sources import landing
 from areaindex.sources.estimates import ESTIMATES_SCHEMA
 
@@ -52,6 +55,83 @@ def test_estimates_prune_to_one_partition(spark):
     assert kept.count() == 16 and not set(kept.inputFiles()) & set(tidy.inputFiles())
 
 
+def test_fetched_once_and_found_again(spark, rows):
+    path = scratch_dir(spark, "t")
+    write_estimates(estimates(spark), path)
+    names = {"totrent": "B25003_003", "totten": "B25003_001"}
+    plain = read_estimates(spark, path, names, "06", 2017)
+    first = read_estimates(spark, path, names, "06", 2017, cache=True)
+    again = read_estimates(spark, path + "/", dict(names), ["06"], 2017, cache=True)
+    assert rows(again) == rows(plain) and again.schema == plain.schema
+    assert set(again.inputFiles()) == set(first.inputFiles()) and not set(again.inputFiles()) & set(plain.inputFiles())
+    # Other selections have copies of their own.
+    others = [({"totten": "B25003_001"}, "06", 2017, {}), (names, "53", 2017, {}), (names, "06", 2012, {}), (names, "06", 2017, {"output": "wide"})]
+    files = [set(read_estimates(spark, path, n, s, y, cache=True, **more).inputFiles()) for n, s, y, more in others]
+    assert not any(f & set(first.inputFiles()) for f in files)
+    # A change elsewhere leaves the copy; a change of what it was made from does not.
+    more = estimates(spark).withColumn("geoid", F.concat("geoid", F.lit("x")))
+    more.filter("state = '53'").write.mode("append").partitionBy("year", "state").parquet(path)
+    assert set(read_estimates(spark, path, names, "06", 2017, cache=True).inputFiles()) == set(first.inputFiles())
+    more.filter("state = '06'").write.mode("append").partitionBy("year", "state").parquet(path)
+    changed = read_estimates(spark, path, names, "06", 2017, cache=True)
+    assert changed.count() == 2 * first.count() and not set(changed.inputFiles()) & set(first.inputFiles())
+
+
+def test_released_copies_are_fetched_anew(spark):
+    calls, paths = [], [scratch_dir(spark, "t"), scratch_dir(spark, "t")]
+    for path in paths:
+        spark.range(5).write.parquet(path)
+
+    def fetch(path):
+        def build():
+            calls.append(path)
+            return spark.read.parquet(path)
+
+        return fetched_once(spark, path, [path], {"what": "all"}, build)
+
+    for path in [*paths, *paths]:
+        assert fetch(path).count() == 5
+    assert calls == paths
+    release(spark, paths[0])
+    assert fetch(paths[0]).count() == fetch(paths[1]).count() == 5 and calls == [*paths, paths[0]]
+    release(spark)
+    assert fetch(paths[1]).count() == 5 and len(calls) == 4
+
+
+def test_two_sessions_that_fetch_at_once_leave_one_copy(spark):
+    path = scratch_dir(spark, "t")
+    spark.range(5).write.parquet(path)
+
+    def build():
+        fetched_once(spark, path, [path], {}, lambda: spark.read.parquet(path))  # the other is first
+        return spark.read.parquet(path)
+
+    copy = fetched_once(spark, path, [path], {}, build)
+    assert copy.count() == 5 and len({f.rsplit("/", 1)[0] for f in copy.inputFiles()}) == 1
+
+
+@pytest.mark.parametrize("cells", [10**7, 0])
+def test_dictionary_table_of_any_size(spark, rows, cells):
+    """Broadcast or shuffled, a table gives what its literals give; missing names and codes match nothing."""
+    df = spark.createDataFrame([("a", f"B{i % 3}", float(i)) for i in range(60)] + [("n", None, 1.0)], "geoid string, variable string, _x double")
+    literal = {"x": "B1", "y": "B1", "z": "B2"}
+    many = spark.range(100_000).selectExpr("concat('name', id) AS name", "concat('code', id) AS code")
+    own = spark.createDataFrame([*literal.items(), ("x", "B1"), (None, "B0"), ("w", None)], "name string, code string")
+    got = estimates_module._apply_table(df, many.unionByName(own), "variable", broadcast_cells=cells)
+    assert rows(got) == rows(apply_dict(df, literal)) and got.columns == df.columns
+
+
+def test_dictionary_table_in_a_read(spark, rows):
+    path = scratch_dir(spark, "t")
+    write_estimates(estimates(spark), path)
+    names = spark.createDataFrame([("totrent", "B25003_003")], "name string, code string")
+    want = read_estimates(spark, path, {"totrent": "B25003_003"}, "06", 2017)
+    for cache in (False, True, True):
+        assert rows(read_estimates(spark, path, names, "06", 2017, cache=cache)) == rows(want)
+    with pytest.raises(ValueError, match="listed"):
+        read_estimates(spark, path, names, "06", 2017, output="wide")
+
+
 def test_two_names_on_one_code(spark, rows):
     df = spark.createDataFrame([("a", "B1", 1.0), ("a", "B2", 2.0), ("a", "B3", 3.0)], "geoid string, variable string, estimate double")
     names = {"x": "B1", "y": "B1", "z": "B2"}
