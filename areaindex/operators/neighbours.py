@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areaindex.functions.expr import idw, proportional_change
-from areaindex.operators.pairs import CHUNK, lookup_join, near_pairs, salted_join
+from areaindex.operators.pairs import CHUNK, lookup_join, near_pairs, near_pairs_bound, salted_join
 from areaindex.sources.landing import land
 
 # Points in the fullest grid cell at which the nearest-neighbour search starts.
@@ -136,6 +136,12 @@ def _place_pairs(points: DataFrame, d2: float) -> DataFrame:
     return near_pairs(places, places, d2).filter(F.col("dist") > 0)
 
 
+def band_pairs_bound(points: DataFrame, d2: float) -> int:
+    """The most pairs of distinct places that a band can have, counted before any is listed."""
+    places = land(points.select("x", "y").distinct(), "places")
+    return near_pairs_bound(places, places, d2) if d2 > 0 else 0
+
+
 def distance_band(points: DataFrame, d2: float, point_id: str = "geo_id") -> DataFrame:
     """Edges (src, dst, dist) with 0 < dist <= d2.  Distinct places are paired, then named."""
     ids = points.select(F.col(point_id).alias("src"), "x", "y")

@@ -127,8 +127,9 @@ def rank_share(df: DataFrame, by: str, value: str, name: str, ranges: int | None
         F.lit(0).cast("long").alias("_spread"),
         (average / F.col("_size")).alias(name),
     )
+    # By content, so that a task that runs again deals its rows as before.
     spread = F.when(
-        F.col("_rank_key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_PARTS)) + 1
+        F.col("_rank_key").isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(NULL_PARTS)) + 1
     ).otherwise(F.lit(0).cast("long"))
     keyed = df.withColumn("_rank_key", _number(value)).withColumn("_spread", spread)
     return lookup_join(keyed, ranks, [by, "_rank_key", "_spread"]).drop("_rank_key", "_spread")

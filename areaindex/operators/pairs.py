@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from areaindex.operators.joins import natural_left_join
 from areaindex.sources.landing import land
 
-# Left rows of one key that one task may hold against that key's right rows.
+# Rows of one key and side that one task may hold.
 CHUNK = 20_000
 # The same where each left row meets a single right row.
 LOOKUP_CHUNK = 1_000_000
@@ -18,35 +18,65 @@ LOOKUP_CHUNK = 1_000_000
 BROADCAST_CELLS = 500_000
 
 
+def key_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of each key on both sides, ``_left`` and ``_right``, in one pass over each."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = left.select(*keys, one.alias("_left"), none.alias("_right")).unionByName(
+        right.select(*keys, none.alias("_left"), one.alias("_right"))
+    )
+    return sides.groupBy(*keys).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+
+
+def pair_count(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> int:
+    """Pairs that an inner join on ``keys`` lists, from the counts of the keys alone."""
+    counts = key_counts(left, right, keys).dropna(subset=list(keys))
+    pairs = F.sum(F.col("_left").cast("decimal(38,0)") * F.col("_right"))
+    return int(counts.agg(pairs).first()[0] or 0)
+
+
 def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int):
-    """Both sides with a ``_salt``, or None where no key has more than ``chunk`` left rows.  A hot
-    key's left rows are dealt over ``rows / chunk`` salts and its right rows copied to each."""
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > chunk).select(
-        *keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("_salts")
+    """Both sides with ``_block`` and ``_block_2``, or None where no key has more than ``chunk`` rows on a
+    side.  A hot key's rows are dealt over ``rows / chunk`` blocks on either side, and copied to
+    each block of the other, so a task holds one block of each and every pair meets once."""
+
+    def blocks(c):
+        return F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(chunk)).cast("int"))
+
+    hot = (
+        key_counts(left, right, keys)
+        .filter((F.col("_left") > chunk) | (F.col("_right") > chunk))
+        .select(*keys, blocks("_left").alias("_blocks"), blocks("_right").alias("_blocks_2"))
     )
-    if hot.isEmpty():
+    most = hot.agg(F.max("_blocks"), F.max("_blocks_2")).first()
+    if most[0] is None:
         return None
     hot = land(hot, "hot-keys")
-    salts = F.coalesce("_salts", F.lit(1))
-    # By the row's place, not its content: equal rows of a hot key are dealt out too.  Right rows
-    # stand under every salt, so any dealing gives the same pairs.
-    dealt = natural_left_join(left, hot, keys).withColumn(
-        "_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts).cast("int")
-    )
-    copied = natural_left_join(right, hot, keys).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    )
-    return dealt.drop("_salts"), copied.drop("_salts")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        # By a number that is landed with the row, not by its content, as equal rows are dealt out too, nor by
+        # its place in a plan, which another run of the same task need not find again.
+        if most[own == "_block_2"] > 1:
+            side = land(side.withColumn("_number", F.monotonically_increasing_id()), "dealt")
+        else:
+            side = side.withColumn("_number", F.lit(0).cast("long"))
+        many, others = (F.coalesce(c.replace("_block", "_blocks"), F.lit(1)) for c in (own, other))
+        return (
+            natural_left_join(side, hot, keys)
+            .withColumn(own, F.pmod(F.xxhash64("_number"), many).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), others - 1)))
+            .drop("_number", "_blocks", "_blocks_2")
+        )
+
+    return dealt(left, "_block", "_block_2"), dealt(right, "_block_2", "_block")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Inner join on ``keys``, hot keys split; without a hot key a plain join.  No pair is lost
-    either way."""
+    """Inner join on ``keys``, hot keys of either side split; without a hot key a plain join.  No pair is
+    lost either way."""
     sides = _deal(left, right, keys, chunk)
     if sides is None:
         return left.join(right, list(keys))
-    return sides[0].join(sides[1], [*keys, "_salt"]).drop("_salt")
+    return sides[0].join(sides[1], [*keys, "_block", "_block_2"]).drop("_block", "_block_2")
 
 
 def lookup_join(
@@ -67,27 +97,38 @@ def lookup_join(
     sides = _deal(left, stats, on, chunk)
     if sides is None:
         return natural_left_join(left, stats, on)
-    return natural_left_join(sides[0], sides[1], [*on, "_salt"]).drop("_salt")
+    return natural_left_join(sides[0], sides[1], [*on, "_block", "_block_2"]).drop("_block", "_block_2")
 
 
-def near_pairs(
-    left: DataFrame, right: DataFrame, radius: float, chunk: int | None = CHUNK, few_left: bool = False
-) -> DataFrame:
-    """Row pairs with planar distance at most ``radius``: all left columns, all right columns with
-    the suffix ``_2``, and ``dist``.  Cells have the radius as side, so partners lie in the 3 x 3
-    cells around a row; the right rows are copied to these cells, or the left ones where they are
-    few.  ``chunk=None`` skips the hot cell check where occupancy is known."""
+def _cells(left: DataFrame, right: DataFrame, radius: float, few_left: bool = False):
+    """Both sides with the grid cells in which partners within ``radius`` meet."""
     size = F.lit(float(radius))
     home = {"_cx": "x", "_cy": "y"}
     placed, around = (right, left) if few_left else (left, right)
-    right_names = {c: f"{c}_2" for c in right.columns}
     placed = placed.withColumns({cell: F.floor(F.col(c) / size) for cell, c in home.items()})
     for cell, c in home.items():
         at = F.floor(F.col(c) / size)
         around = around.withColumn(cell, F.explode(F.sequence(at - 1, at + 1)))
-    one, two = (around, placed) if few_left else (placed, around)
-    two = two.withColumnsRenamed(right_names)
-    keys = list(home)
+    return (around, placed) if few_left else (placed, around)
+
+
+def near_pairs_bound(left: DataFrame, right: DataFrame, radius: float) -> int:
+    """How many pairs ``near_pairs`` looks at, from the counts of the cells: no pair is listed for it.  At
+    most this many lie within the radius, and at least a few percent of them do where points are spread."""
+    return pair_count(*_cells(left.select("x", "y"), right.select("x", "y"), radius), ["_cx", "_cy"])
+
+
+def near_pairs(
+    left: DataFrame, right: DataFrame, radius: float, chunk: int | None = CHUNK, few_left: bool = False
+) -> DataFrame:
+    """Row pairs with planar distance at most ``radius``: all left columns, all right columns with
+    the suffix ``_2``, and ``dist``.  Cells have the radius as side, so partners lie in the 3 x 3
+    cells around a row; the right rows are copied to these cells, or the left ones where they are
+    few.  A crowded cell is split into blocks of left by blocks of right rows.  ``chunk=None`` skips the hot
+    cell check where occupancy is known."""
+    one, two = _cells(left, right, radius, few_left)
+    two = two.withColumnsRenamed({c: f"{c}_2" for c in right.columns})
+    keys = ["_cx", "_cy"]
     joined = one.join(two, keys) if chunk is None else salted_join(one, two, keys, chunk)
     dx, dy = F.col("x") - F.col("x_2"), F.col("y") - F.col("y_2")
-    return joined.drop(*keys).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= size)
+    return joined.drop(*keys).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= float(radius))

@@ -185,14 +185,46 @@ def test_order_statistics_do_not_depend_on_the_ranges(spark, rows, ranges):
     assert rows(op.rank_share(df, "g", "v", "r", ranges)) == rows(op.rank_share(df, "g", "v", "r"))
 
 
-def test_equal_rows_of_a_hot_key_use_all_salts(spark):
+@pytest.mark.parametrize("chunk", [10, 40, 100])
+def test_hot_keys_of_both_sides_are_split(spark, rows, chunk):
+    """No task holds a whole side: every block pair has at most its share of rows of each."""
+    left = spark.range(900).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = spark.range(700).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 60).alias("k"), F.col("id").alias("r"))
+    plain = left.join(right, ["k"]).select("k", "id", "r")
+    assert rows(salted_join(left, right, ["k"], chunk)) == rows(plain)
+    assert pairs.pair_count(left, right, ["k"]) == plain.count()
+    sides = pairs._deal(left, right, ["k"], chunk)
+    for side in sides:
+        sizes = side.filter("k = 0").groupBy("_block", "_block_2").count()
+        assert sizes.count() == math.ceil(510 / chunk) * math.ceil(307 / chunk)
+        assert sizes.agg(F.max("count")).first()[0] <= 2 * chunk
+
+
+def test_equal_rows_of_a_hot_key_use_all_blocks(spark):
     left = spark.range(50_000).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
     right = spark.createDataFrame([(1, "r")], "k int, r string")
     dealt, copied = pairs._deal(left, right, ["k"], 1000)
-    assert dealt.select("_salt").distinct().count() == copied.count() == 50
+    assert dealt.select("_block").distinct().count() == copied.count() == 50
     assert salted_join(left, right, ["k"], 1000).count() == 50_000
 
 
+def test_rows_are_dealt_alike_when_a_task_runs_again(spark):
+    """The side comes from a shuffle whose rows arrive in any order; another run finds the same blocks."""
+    drawn = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    left = spark.range(20_000).withColumn("_o", drawn("id")).repartition(5, "_o").sortWithinPartitions("_o").select(F.lit(1).alias("k"), "id")
+    assert [r.id for r in left.head(50)] != [r.id for r in left.head(50)]
+    dealt, _ = pairs._deal(left, spark.createDataFrame([(1, "r")], "k int, r string"), ["k"], 500)
+    first = {r.id: r._block for r in dealt.collect()}
+    assert {r.id: r._block for r in dealt.orderBy(F.rand()).collect()} == first and len(first) == 20_000
+
+
+def test_missing_values_are_spread_alike_when_a_task_runs_again(spark, rows):
+    df = spark.range(4000).select("id", F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, F.col("id") * 1.0).alias("v"))
+    out = op.rank_share(df, "g", "v", "r")
+    assert rows(out) == rows(op.rank_share(df.repartition(7, "id"), "g", "v", "r"))
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_imputed_median_stays_the_median(spark):
     df = spark.createDataFrame(
         [("a", 1.0, 2.0), ("a", None, None), ("a", 4.0, 9.0), ("b", None, 3.0), ("b", None, None)], "county string, medrent double, medrent12 double"

@@ -198,6 +198,19 @@ def test_distance_band_against_brute_force(spark, rows, monkeypatch, chunk):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_distance_band_in_one_crowded_cell(spark, rows, monkeypatch):
+    """All points in one cell: blocks of left by blocks of right rows, and the pairs counted beforehand."""
+    draw = random.Random(12)
+    pts = [(i, draw.random(), draw.random()) for i in range(400)]
+    points = spark.createDataFrame(pts, "geo_id int, x double, y double")
+    assert nb.band_pairs_bound(points, 10.0) == 400 * 400 and nb.band_pairs_bound(points, 0.0) == 0
+    monkeypatch.setattr(nb.near_pairs, "__defaults__", (30, False))
+    got = {(r.src, r.dst) for r in nb.distance_band(points, 10.0).collect()}
+    assert len(got) == 400 * 399
+    few = {(r.src, r.dst) for r in nb.distance_band(points, 0.05).collect()}
+    assert few == {(i, j) for i, x, y in pts for j, u, v in pts if i != j and math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= 0.05}
+
+
 def test_lag_of_two_neighbours(spark):
     areas = spark.createDataFrame([("s", 0.0, 0.0, 1.0), ("a", 1.0, 0.0, 10.0), ("b", 0.0, 2.0, 20.0), ("z", 99.0, 99.0, 5.0)], POINT + ", v double")
     weights = nb.idw_weights(nb.distance_band(areas, 2.0))
