@@ -6,16 +6,20 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from areaindex.functions.expr import idw, proportional_change
-from areaindex.operators.pairs import CHUNK, lookup_join, near_pairs, near_pairs_bound, salted_join
+from areaindex.operators.pairs import lookup_join, near_pairs, near_pairs_bound, salted_join
 from areaindex.sources.landing import land
 
-# Points in the fullest grid cell at which the nearest-neighbour search starts.
-START_OCCUPANCY = 32
+# Places that a leaf of the quadtree holds at most.
+LEAF_PLACES = 16
+# The finest level: cells of the extent over 2^40, whose numbers doubles still tell apart.
+FINEST = 40
+# Of a cell's side, what counts as near: partners that near are in the 3 x 3 cells around, rounding included.
+REACH = 0.99
 # So few open places may look far at once: each meets at most all places.
 FEW_OPEN = 1000
 
@@ -33,52 +37,99 @@ def _lowest(df: DataFrame, by: Sequence[str], item: str, k: int, name: str) -> D
     )
 
 
-def _start_cell(places: DataFrame) -> tuple[float, float]:
-    """(cell side, extent): a side with about one place per cell overall, refined until the fullest
-    cell is within START_OCCUPANCY.  Halving a side quarters an evenly filled cell, which tells how
-    often to halve before looking again."""
-    box = places.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("xmin"),
-        F.max("x").alias("xmax"),
-        F.min("y").alias("ymin"),
-        F.max("y").alias("ymax"),
-    ).first()
-    if box.n < 2:
-        return 1.0, 0.0
-    width, height = box.xmax - box.xmin, box.ymax - box.ymin
-    extent = max(width, height)
-    side = max((width * height / box.n) ** 0.5, extent / box.n)
-    while extent / side < 2.0**52:  # distinct places part before
-        cells = places.groupBy(F.floor(F.col("x") / side), F.floor(F.col("y") / side)).count()
-        fullest = cells.agg(F.max("count")).first()[0]
-        if fullest <= START_OCCUPANCY:
-            break
-        side /= 2 ** max(1, round(math.log(fullest / START_OCCUPANCY, 4)))
-    return side, extent
+class Quadtree:
+    """Cells over the box of some places: those of level t have the side extent / 2^t, so each cell of a
+    level has four halves on the next."""
+
+    def __init__(self, places: DataFrame):
+        self.box = places.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("x").alias("xmin"),
+            F.max("x").alias("xmax"),
+            F.min("y").alias("ymin"),
+            F.max("y").alias("ymax"),
+        ).first()
+        self.extent = max(self.box.xmax - self.box.xmin, self.box.ymax - self.box.ymin) if self.box.n else 0.0
+        self.start = min(FINEST, max(0, math.ceil(math.log2(max(1.0, self.box.n / LEAF_PLACES)) / 2) + 1))
+        #: No cell of the start level is crowded, so all leaves are cells of that level.
+        self.even = False
+
+    def cell(self, axis: str, level: Column) -> Column:
+        low = self.box[f"{axis}min"]
+        return F.floor((F.col(axis) - F.lit(low)) * F.pow(F.lit(2.0), level) / F.lit(self.extent))
+
+    def side(self, level: Column) -> Column:
+        return F.lit(self.extent) / F.pow(F.lit(2.0), level)
+
+    def leaves(self, places: DataFrame) -> DataFrame:
+        """The places with the ``level`` of their leaf, the cell where splitting ends as it holds few
+        enough.  A crowded cell is split at once to the level that its own count and its own box of places
+        ask for, so a dense cluster takes a round more, however small it is, and sparse parts keep
+        large cells.  ``places`` are landed."""
+        open_places, done = places.withColumn("level", F.lit(self.start)), []
+        keys = ["level", "_cx", "_cy"]
+        while True:
+            placed = open_places.withColumns({f"_c{c}": self.cell(c, F.col("level")) for c in "xy"})
+            spread = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+            cells = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), spread.alias("_spread"))
+            side = F.col("_spread") / F.sqrt(F.col("_n") / F.lit(float(LEAF_PLACES)))
+            finer = F.floor(F.log2(F.lit(self.extent) / side)).cast("int") + 1
+            finer = F.least(F.lit(FINEST), F.greatest(F.col("level") + 1, finer))
+            crowded = cells.filter((F.col("_n") > LEAF_PLACES) & (F.col("level") < FINEST))
+            if crowded.isEmpty():
+                break
+            state = land(lookup_join(placed, crowded.select(*keys, finer.alias("_finer")), keys).drop("_cx", "_cy"), "split")
+            done.append(state.filter("_finer IS NULL").drop("_finer"))
+            open_places = state.filter("_finer IS NOT NULL").withColumn("level", F.col("_finer")).drop("_finer")
+        self.even = not done
+        return open_places if self.even else land(reduce(DataFrame.unionByName, done, open_places), "leaves")
+
+    def near(self, left: DataFrame, right: DataFrame, first: bool) -> DataFrame:
+        """Pairs of left rows, which have a ``level``, with the right rows within reach: REACH of a cell of
+        that level.  The right rows stand once under each level in use; where leaves differ, or above them, a
+        cell may be crowded and is split.  In the ``first`` round left rows have their leaves' levels."""
+        levels = [self.start]
+        if not first or not self.even:
+            levels = [r.level for r in left.select("level").distinct().collect()]  # at most one for each doubling
+        around = left
+        for c in "xy":
+            at = self.cell(c, F.col("level"))
+            around = around.withColumn(f"_c{c}", F.explode(F.sequence(at - 1, at + 1)))
+        placed = right.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+        placed = placed.withColumns({f"_c{c}": self.cell(c, F.col("level")) for c in "xy"})
+        keys = ["level", "_cx", "_cy"]
+        placed = placed.withColumnsRenamed({c: f"{c}_2" for c in right.columns})
+        plain = first and self.even
+        met = around.join(placed, keys) if plain else salted_join(around, placed, keys, both=True)
+        dx, dy = F.col("x") - F.col("x_2"), F.col("y") - F.col("y_2")
+        met = met.withColumn("dist", F.sqrt(dx * dx + dy * dy))
+        return met.filter(F.col("dist") <= REACH * self.side(F.col("level"))).drop("_cx", "_cy")
 
 
 def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
     """Edges (src, dst, dist) to the k nearest other points, ties by id.
 
-    Works on distinct places, so a stack of coincident points never pairs with itself.  A place is
-    settled once enough partners lie within the cell side, since everything that near is in the
-    3 x 3 cells around it; the others retry with a doubled side.  Only far-apart places are left in
-    each round, so the candidates of a round stay linear in the number of points.
+    Works on distinct places, so a stack of coincident points never pairs with itself.  Each place
+    starts with the cells of its own quadtree leaf's size and is settled once enough partners lie within reach,
+    since everything that near is in the 3 x 3 cells around it; the others go up to the parent cell.  A
+    place is looked at by the few places of the leaves beside it on each level, and places that go on are far
+    from each other, so the candidates of a round stay linear in the number of points.
     """
     ids = points.select(F.col(point_id).alias("id"), "x", "y")
     places = land(
         _lowest(ids, ["x", "y"], "id", k + 1, "ids").withColumn("need", F.lit(k + 1) - F.size("ids")),
         "places",
     )
-    side, extent = _start_cell(places)
+    tree = Quadtree(places)
     right = places.select("x", "y", F.slice("ids", 1, k).alias("ids"))
-    open_places = places.filter(F.col("need") > 0).select("x", "y", "need")
     rounds = []
-    left, factor = open_places.count(), 2.0
+    open_places, left, step = None, 0, 1
+    if tree.extent > 0:
+        open_places = tree.leaves(places.select("x", "y", "need")).filter(F.col("need") > 0)
+        left = open_places.count()
     while left:
         found = (
-            near_pairs(open_places, right, side, chunk=CHUNK if rounds else None, few_left=bool(rounds))
+            tree.near(open_places, right, first=not rounds)
             .filter(F.col("dist") > 0)
             .select("x", "y", "dist", F.explode("ids_2").alias("id"))
             .select("x", "y", F.struct("dist", "id").alias("near"))
@@ -87,16 +138,14 @@ def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
             open_places.join(_lowest(found, ["x", "y"], "near", k, "others"), ["x", "y"], "left"),
             "nearest",
         )
-        enough = F.coalesce(F.size("others"), F.lit(0)) >= F.col("need")
-        last = side > 2 * extent
-        rounds.append(state if last else state.filter(enough))
-        if last:
-            break
-        open_places = state.filter(~enough).select("x", "y", "need")
+        # Beyond twice the extent there is nothing left to find.
+        settled = (F.coalesce(F.size("others"), F.lit(0)) >= F.col("need")) | (F.col("level") < -1)
+        rounds.append(state.filter(settled).drop("level"))
+        open_places = state.filter(~settled).drop("others")
         before, left = left, open_places.count()
         # Nothing near: the empty sizes between are skipped.
-        factor = factor * factor if left == before and left <= FEW_OPEN else 2.0
-        side = min(side * factor, max(4 * extent, 2 * side))
+        step = 2 * step if left == before and left <= FEW_OPEN else 1
+        open_places = open_places.withColumn("level", F.greatest(F.col("level") - step, F.lit(-2)))
 
     # Places meet their partners first, so that points, of which many may share a place, join once.
     none = F.array().cast(f"array<struct<dist:double,id:{dict(ids.dtypes)['id']}>>")
@@ -132,7 +181,7 @@ def band_limit(points: DataFrame, factor: float = 0.1, point_id: str = "geo_id")
 def _place_pairs(points: DataFrame, d2: float) -> DataFrame:
     places = land(points.select("x", "y").distinct(), "places")
     if not d2 > 0:
-        return near_pairs(places, places, 1.0, chunk=None).filter(F.lit(False))
+        return near_pairs(places, places, 1.0).filter(F.lit(False))
     return near_pairs(places, places, d2).filter(F.col("dist") > 0)
 
 
@@ -249,7 +298,7 @@ def band_lag(
 def _place_value_pairs(places: DataFrame, d2: float) -> DataFrame:
     left = places.select("x", "y")
     if not d2 > 0:
-        return near_pairs(left, places, 1.0, chunk=None).filter(F.lit(False))
+        return near_pairs(left, places, 1.0).filter(F.lit(False))
     return near_pairs(left, places, d2).filter(F.col("dist") > 0)
 
 

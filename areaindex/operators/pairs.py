@@ -34,18 +34,20 @@ def pair_count(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> int:
     return int(counts.agg(pairs).first()[0] or 0)
 
 
-def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int):
-    """Both sides with ``_block`` and ``_block_2``, or None where no key has more than ``chunk`` rows on a
-    side.  A hot key's rows are dealt over ``rows / chunk`` blocks on either side, and copied to
-    each block of the other, so a task holds one block of each and every pair meets once."""
+def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int, both: bool = False):
+    """Both sides with ``_block`` and ``_block_2``, or None where no key has more than ``chunk`` rows on the
+    left, or with ``both`` on a side.  A hot key's rows are dealt over ``rows / chunk`` blocks, and copied
+    to each block of the other side, so a task holds one block of each and every pair meets once."""
+    if both:
+        counts = key_counts(left, right, keys)
+    else:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_left")).withColumn("_right", F.lit(1))
 
     def blocks(c):
         return F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(chunk)).cast("int"))
 
-    hot = (
-        key_counts(left, right, keys)
-        .filter((F.col("_left") > chunk) | (F.col("_right") > chunk))
-        .select(*keys, blocks("_left").alias("_blocks"), blocks("_right").alias("_blocks_2"))
+    hot = counts.filter((F.col("_left") > chunk) | (F.col("_right") > chunk)).select(
+        *keys, blocks("_left").alias("_blocks"), blocks("_right").alias("_blocks_2")
     )
     most = hot.agg(F.max("_blocks"), F.max("_blocks_2")).first()
     if most[0] is None:
@@ -70,10 +72,12 @@ def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int):
     return dealt(left, "_block", "_block_2"), dealt(right, "_block_2", "_block")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Inner join on ``keys``, hot keys of either side split; without a hot key a plain join.  No pair is
-    lost either way."""
-    sides = _deal(left, right, keys, chunk)
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int = CHUNK, both: bool = False
+) -> DataFrame:
+    """Inner join on ``keys``, the left rows of hot keys split, with ``both`` the right rows too, which costs a
+    count of them; without a hot key a plain join.  No pair is lost either way."""
+    sides = _deal(left, right, keys, chunk, both)
     if sides is None:
         return left.join(right, list(keys))
     return sides[0].join(sides[1], [*keys, "_block", "_block_2"]).drop("_block", "_block_2")
@@ -100,35 +104,31 @@ def lookup_join(
     return natural_left_join(sides[0], sides[1], [*on, "_block", "_block_2"]).drop("_block", "_block_2")
 
 
-def _cells(left: DataFrame, right: DataFrame, radius: float, few_left: bool = False):
+def _cells(left: DataFrame, right: DataFrame, radius: float):
     """Both sides with the grid cells in which partners within ``radius`` meet."""
     size = F.lit(float(radius))
     home = {"_cx": "x", "_cy": "y"}
-    placed, around = (right, left) if few_left else (left, right)
-    placed = placed.withColumns({cell: F.floor(F.col(c) / size) for cell, c in home.items()})
     for cell, c in home.items():
         at = F.floor(F.col(c) / size)
-        around = around.withColumn(cell, F.explode(F.sequence(at - 1, at + 1)))
-    return (around, placed) if few_left else (placed, around)
+        left = left.withColumn(cell, at)
+        right = right.withColumn(cell, F.explode(F.sequence(at - 1, at + 1)))
+    return left, right
 
 
 def near_pairs_bound(left: DataFrame, right: DataFrame, radius: float) -> int:
-    """How many pairs ``near_pairs`` looks at, from the counts of the cells: no pair is listed for it.  At
-    most this many lie within the radius, and at least a few percent of them do where points are spread."""
+    """How many pairs ``near_pairs`` looks at, from the counts of the cells: no pair is listed for it, and
+    no more than these lie within the radius."""
     return pair_count(*_cells(left.select("x", "y"), right.select("x", "y"), radius), ["_cx", "_cy"])
 
 
-def near_pairs(
-    left: DataFrame, right: DataFrame, radius: float, chunk: int | None = CHUNK, few_left: bool = False
-) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, chunk: int = CHUNK) -> DataFrame:
     """Row pairs with planar distance at most ``radius``: all left columns, all right columns with
     the suffix ``_2``, and ``dist``.  Cells have the radius as side, so partners lie in the 3 x 3
-    cells around a row; the right rows are copied to these cells, or the left ones where they are
-    few.  A crowded cell is split into blocks of left by blocks of right rows.  ``chunk=None`` skips the hot
-    cell check where occupancy is known."""
-    one, two = _cells(left, right, radius, few_left)
+    cells around a row, to which the right rows are copied.  A crowded cell is split into blocks of left
+    by blocks of right rows."""
+    one, two = _cells(left, right, radius)
     two = two.withColumnsRenamed({c: f"{c}_2" for c in right.columns})
     keys = ["_cx", "_cy"]
-    joined = one.join(two, keys) if chunk is None else salted_join(one, two, keys, chunk)
+    joined = salted_join(one, two, keys, chunk, both=True)
     dx, dy = F.col("x") - F.col("x_2"), F.col("y") - F.col("y_2")
     return joined.drop(*keys).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= float(radius))

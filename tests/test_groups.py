@@ -191,9 +191,10 @@ def test_hot_keys_of_both_sides_are_split(spark, rows, chunk):
     left = spark.range(900).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     right = spark.range(700).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 60).alias("k"), F.col("id").alias("r"))
     plain = left.join(right, ["k"]).select("k", "id", "r")
-    assert rows(salted_join(left, right, ["k"], chunk)) == rows(plain)
+    for both in (False, True):
+        assert rows(salted_join(left, right, ["k"], chunk, both)) == rows(plain)
     assert pairs.pair_count(left, right, ["k"]) == plain.count()
-    sides = pairs._deal(left, right, ["k"], chunk)
+    sides = pairs._deal(left, right, ["k"], chunk, both=True)
     for side in sides:
         sizes = side.filter("k = 0").groupBy("_block", "_block_2").count()
         assert sizes.count() == math.ceil(510 / chunk) * math.ceil(307 / chunk)

@@ -169,13 +169,44 @@ def test_nearest_against_brute_force(spark, rows, k):
     assert rows(got) == brute_nearest(pts, k)
 
 
-def test_nearest_with_a_crowded_start_cell(spark, rows, monkeypatch):
-    monkeypatch.setattr(nb, "START_OCCUPANCY", 4)
+@pytest.mark.parametrize("places", [1, 4])
+def test_nearest_with_small_leaves(spark, rows, monkeypatch, places):
+    monkeypatch.setattr(nb, "LEAF_PLACES", places)
     pts = clustered(150)
     got = nb.knn(spark.createDataFrame(pts, "geo_id int, x double, y double"))
     assert rows(got) == brute_nearest(pts, 1)
 
 
+def spread_and_dense(side):
+    """Scattered places, and as many in one square of the given side."""
+    draw = random.Random(21)
+    scattered = [(i, draw.uniform(0, 1000), draw.uniform(0, 1000)) for i in range(400)]
+    return scattered + [(400 + i, 500 + draw.random() * side, 500 + draw.random() * side) for i in range(400)]
+
+
+def test_dense_and_sparse_parts_have_their_own_cells(spark):
+    places = spark.createDataFrame(spread_and_dense(1e-5), "id int, x double, y double").select("x", "y")
+    tree = nb.Quadtree(places)
+    leaves = tree.leaves(places)
+    keys = ["level", *(tree.cell(c, F.col("level")).alias(f"c{c}") for c in "xy")]
+    held = leaves.groupBy(*keys).count().toPandas()
+    assert held["count"].max() <= nb.LEAF_PLACES and held["count"].sum() == 800
+    levels = {bool(r.dense): (r.low, r.high) for r in leaves.groupBy((F.abs(F.col("x") - 500) < 1e-4).alias("dense")).agg(F.min("level").alias("low"), F.max("level").alias("high")).collect()}
+    assert levels[False][1] <= 8 and levels[True][0] >= 24
+
+
+def test_rounds_do_not_grow_with_a_dense_cluster(spark, rows, monkeypatch):
+    searched, plain = [], nb.Quadtree.near
+    monkeypatch.setattr(nb.Quadtree, "near", lambda *args, **named: searched.append(1) or plain(*args, **named))
+    rounds = {}
+    for side in (1000.0, 1e-2, 1e-7):
+        searched.clear()
+        pts = spread_and_dense(side)
+        assert rows(nb.knn(spark.createDataFrame(pts, "geo_id int, x double, y double"))) == brute_nearest(pts, 1)
+        rounds[side] = len(searched)
+    assert rounds[1e-7] <= rounds[1e-2] <= 4
+
+
 def test_nearest_of_few_points(spark, rows):
     schema = "geo_id int, x double, y double"
     assert nb.knn(spark.createDataFrame([(1, 0.0, 0.0)], schema)).count() == 0
@@ -186,7 +217,7 @@ def test_nearest_of_few_points(spark, rows):
 
 @pytest.mark.parametrize("chunk", [20_000, 3])
 def test_distance_band_against_brute_force(spark, rows, monkeypatch, chunk):
-    monkeypatch.setattr(nb.near_pairs, "__defaults__", (chunk, False))
+    monkeypatch.setattr(nb.near_pairs, "__defaults__", (chunk,))
     pts = clustered(200)
     got = nb.distance_band(spark.createDataFrame(pts, "geo_id int, x double, y double"), 300.0)
     want = []
@@ -204,7 +235,7 @@ def test_distance_band_in_one_crowded_cell(spark, rows, monkeypatch):
     pts = [(i, draw.random(), draw.random()) for i in range(400)]
     points = spark.createDataFrame(pts, "geo_id int, x double, y double")
     assert nb.band_pairs_bound(points, 10.0) == 400 * 400 and nb.band_pairs_bound(points, 0.0) == 0
-    monkeypatch.setattr(nb.near_pairs, "__defaults__", (30, False))
+    monkeypatch.setattr(nb.near_pairs, "__defaults__", (30,))
     got = {(r.src, r.dst) for r in nb.distance_band(points, 10.0).collect()}
     assert len(got) == 400 * 399
     few = {(r.src, r.dst) for r in nb.distance_band(points, 0.05).collect()}
