@@ -45,6 +45,20 @@ def crc_of_id(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def numbered(docs: DataFrame, name: str = "numbered") -> tuple[DataFrame, str]:
+    """The documents, landed with a number for each row, which later scans find again, and the column's name.
+    Stages that drop rows go by it, as rows may share a doc_id or have none."""
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    return land(docs.withColumn(number, F.monotonically_increasing_id()), name), number
+
+
+def without(rows: DataFrame, number: str, gone: DataFrame) -> DataFrame:
+    """The numbered rows but for those whose number is in the landed ``gone`` (doc_id), without it."""
+    return join_small(rows, gone.withColumnRenamed("doc_id", number), [number], "left_anti").drop(number)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", cells=None) -> DataFrame:
     """Join a landed ``small`` frame to ``big``: broadcast when its cells, one a row or as counted by
     ``cells``, are at most BROADCAST_CELLS, else by a shuffle, so what is sent never grows with the data."""
@@ -72,4 +86,4 @@ def rebatch(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Ite
             yield batch.slice(i, step)
 
 
-__all__ = ["BROADCAST_CELLS", "LOWER", "WORD_BYTES", "crc_of_id", "documents", "join_small", "land", "rebatch", "space_words", "texts"]
+__all__ = ["BROADCAST_CELLS", "LOWER", "WORD_BYTES", "crc_of_id", "documents", "join_small", "land", "numbered", "rebatch", "space_words", "texts", "without"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import WORD_BYTES, join_small, land, rebatch
+from areaindex.llm.common import WORD_BYTES, land, numbered, rebatch, without
 
 WINDOW = 13
 
@@ -194,6 +194,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all their columns, without the contaminated ones; rows with a null id stay."""
-    bad = land(contamination(docs, benchmark, **options).filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return join_small(docs, bad, ["doc_id"], "left_anti").select(*docs.columns)
+    """The documents, all their columns, without the contaminated ones.  Each row goes by its own text, whether
+    its doc_id is null, repeated or neither."""
+    rows, number = numbered(docs)
+    found = contamination(rows.select(F.col(number).alias("doc_id"), "text"), benchmark, **options)
+    return without(rows, number, land(found.filter("contaminated").select("doc_id"), "contaminated"))

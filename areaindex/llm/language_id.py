@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import crc_of_id, join_small, land, rebatch, texts
+from areaindex.llm.common import crc_of_id, join_small, land, numbered, rebatch, texts, without
 
 ORDER = 3
 
@@ -174,6 +174,9 @@ def language_predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns, that have a letter and so a language; the others are rejected."""
-    und = land(language_predictions(docs).filter("lang_pred = 'und'").select("doc_id").distinct(), "rejected")
-    return join_small(docs, und, ["doc_id"], "left_anti").select(*docs.columns)
+    """The documents, all their columns, that have a letter and so a language; the others are rejected.  Each
+    row goes by its own text, whether its doc_id is null, repeated or neither."""
+    rows, number = numbered(docs)
+    counts = train(docs.filter(crc_of_id() % 4 != 2))
+    predicted = predict(rows.select(F.col(number).alias("doc_id"), "text"), counts)
+    return without(rows, number, land(predicted.filter("lang_pred = 'und'").select("doc_id"), "rejected"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import BROADCAST_CELLS, join_small, land, rebatch, space_words, texts
+from areaindex.llm.common import BROADCAST_CELLS, join_small, land, numbered, rebatch, space_words, texts, without
 from areaindex.llm.graph import components
 
 SHINGLE = 5
@@ -309,6 +309,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def remove_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all their columns, one of each group: the smallest id.  Rows with a null id stay."""
-    gone = land(near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct(), "gone")
-    return join_small(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """The documents, all their columns, one of each group: that of the smallest doc_id, a null one last, and
+    of rows that share it any one.  Each row is a document of its own, whether its doc_id is null,
+    repeated or neither; rows without a word stay."""
+    rows, number = numbered(docs)
+    found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), **options)
+    # Only groups of several rows need their ids compared.
+    found = land(found.filter("n_shingles > 0").select("doc_id", "component_id"), "groups")
+    groups = found.filter("doc_id <> component_id").select("component_id").distinct()
+    members = found.join(land(groups, "several").hint("merge"), "component_id", "left_semi").withColumnRenamed("doc_id", number)
+    named = members.join(rows.select(number, F.col("doc_id").cast("long").alias("_id")).hint("merge"), number)
+    place = F.struct(F.col("_id").isNull(), "_id", number)
+    stays = land(named.groupBy("component_id").agg(F.min(place).alias("p")).select(F.col(f"p.{number}").alias("doc_id")), "stays")
+    gone = land(members.select(F.col(number).alias("doc_id")).join(stays.hint("merge"), "doc_id", "left_anti"), "gone")
+    return without(rows, number, gone)
