@@ -8,6 +8,7 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +47,21 @@ def crc_of_id(col: str = "doc_id"):
 
 
 def numbered(docs: DataFrame, name: str = "numbered") -> tuple[DataFrame, str]:
-    """The documents, landed with a number for each row, which later scans find again, and the column's name.
-    Stages that drop rows go by it, as rows may share a doc_id or have none."""
+    """The documents with a number for each row, which every scan finds again, and the column's name.  Stages
+    that drop rows go by it, as rows may share a doc_id or have none.  Rows of a file scan are numbered by
+    their place in its files, without a copy; other frames are landed."""
     number = "_row"
-    while number in docs.columns:
-        number += "_"
-    return land(docs.withColumn(number, F.monotonically_increasing_id()), name), number
+    while any(c.startswith(number) for c in docs.columns):
+        number = "_" + number
+    file, place = f"{number}_file", f"{number}_place"
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return land(docs.withColumn(number, F.monotonically_increasing_id()), name), number
+    # A number for each file; the list is no longer than the one that Spark plans the scan from.
+    files = land(placed.select(file).distinct().coalesce(1).withColumn(number, F.monotonically_increasing_id()), "files")
+    row = F.shiftleft(number, 40) + F.col(place)
+    return join_small(placed, files, [file]).withColumn(number, row).drop(file, place), number
 
 
 def without(rows: DataFrame, number: str, gone: DataFrame) -> DataFrame:
