@@ -34,7 +34,13 @@ from areaindex.operators.joins import (
     reduce_left_join,
     union_layers,
 )
-from areaindex.operators.order_stats import group_medians, group_quantiles, rank_share
+from areaindex.operators.order_stats import (
+    approx_group_quantiles,
+    group_medians,
+    group_quantiles,
+    rank_share,
+    with_medians_and_rank,
+)
 from areaindex.operators.reshape import gather, spread
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -50,7 +50,8 @@ def income_limits(
     median_name: str = "co_mhhinc",
     fractions: dict[str, float] = INCOME_LIMITS,
 ) -> DataFrame:
-    out = with_group_median(df, by, {median_name: income})
+    """A ``median_name`` that the rows already carry is taken as the group's median."""
+    out = df if median_name in df.columns else with_group_median(df, by, {median_name: income})
     return out.withColumns(
         {f"co_{k}_val": F.col(median_name) * F.lit(f) for k, f in fractions.items()}
     )

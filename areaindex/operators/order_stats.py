@@ -3,12 +3,16 @@
 Equal values of a group become one row with a count.  These rows are dealt over range partitions of
 (group, value), whose number follows the session's shuffle partitions and not the group, so a large group
 is spread over many tasks and a repeated value is one row.  Positions are running counts inside a range,
-offset by the counts of the group's earlier ranges.  Every answer comes from these positions: no sketch,
-no size switch.  The positions are landed when the function is called.
+offset by the counts of the group's earlier ranges.  Every exact answer comes from these positions: no
+sketch, no size switch.  The positions are landed when the function is called.
+
+``approx_group_quantiles`` is the one function beside that path, for callers that ask for it: a mergeable
+sketch per group, whose rank error is bounded by a parameter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -71,7 +75,10 @@ def _quantiles(
     long: DataFrame, keys: Sequence[str], probs: Sequence[float], ranges: int | None = None
 ) -> DataFrame:
     """One row per key with columns _q0, _q1, ... in the order of ``probs``."""
-    placed = _positions(long, keys, ranges)
+    return _picked(_positions(long, keys, ranges), keys, probs)
+
+
+def _picked(placed: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     picks = []
     for i, p in enumerate(probs):
         lo, hi, _ = _ranks(F.col("_n"), p)
@@ -100,12 +107,36 @@ def group_quantiles(
     return out.withColumnsRenamed({"_m": "measure", **{f"_q{i}": f"q{i}" for i in range(len(probs))}})
 
 
+def approx_group_quantiles(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], error: float = 0.001
+) -> DataFrame:
+    """``group_quantiles`` by a mergeable sketch per group and column: by, measure, q0, q1, ...
+
+    Each answer is a value of the group whose rank is off by at most ``error`` times the group's number of
+    values.  One shuffle of sketches of some 1 / ``error`` entries, which map-side merging makes as many as
+    there are groups and tasks; nothing is landed and no row is sorted.  Missing values are skipped, a
+    (group, measure) without values has no row; values are not interpolated."""
+    if not 0 < error <= 1:
+        raise ValueError("error is a share of the rows, above 0 and at most 1")
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    sketched = (
+        _long(df, by, cols)
+        .groupBy(*by, F.col("_m").alias("measure"))
+        .agg(F.percentile_approx("_v", ps, math.ceil(1 / error)).alias("_qs"))
+    )
+    return sketched.select(*by, "measure", *[F.col("_qs")[i].alias(f"q{i}") for i in range(len(probs))])
+
+
 def group_medians(
     df: DataFrame, by: Sequence[str], outputs: dict[str, str], ranges: int | None = None
 ) -> DataFrame:
     """One row per group that has any value, ``{output name: column}``, all columns in one pass."""
     cols = list(dict.fromkeys(outputs.values()))
-    exact = _quantiles(_long(df, by, cols), [*by, "_m"], [0.5], ranges)
+    return _median_columns(_positions(_long(df, by, cols), [*by, "_m"], ranges), by, outputs)
+
+
+def _median_columns(placed: DataFrame, by: Sequence[str], outputs: dict[str, str]) -> DataFrame:
+    exact = _picked(placed, [*by, "_m"], [0.5])
     return exact.groupBy(*by).agg(
         *[F.max(F.when(F.col("_m") == c, F.col("_q0"))).alias(name) for name, c in outputs.items()]
     )
@@ -118,8 +149,29 @@ def rank_share(df: DataFrame, by: str, value: str, name: str, ranges: int | None
     Ranks are joined back on (group, value): a value that many rows share is dealt over tasks, and
     missing values are spread, as they meet no rank."""
     rows = df.select(F.col(by).alias("_g"), _number(value).alias("_v"))
-    sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"))
     placed = _positions(rows.filter(F.col("_v").isNotNull()), ["_g"], ranges)
+    return _with_ranks(df, placed, by, value, name)
+
+
+def with_medians_and_rank(
+    df: DataFrame,
+    by: str,
+    outputs: dict[str, str],
+    ranked: str,
+    name: str,
+    ranges: int | None = None,
+) -> DataFrame:
+    """``rank_share`` of ``ranked`` and the group medians ``outputs``, written back on every row, from one
+    positions table of all columns."""
+    cols = list(dict.fromkeys([*outputs.values(), ranked]))
+    placed = _positions(_long(df, [by], cols), [by, "_m"], ranges)
+    own = placed.filter(F.col("_m") == ranked).withColumnRenamed(by, "_g").drop("_m")
+    medians = _median_columns(placed.filter(F.col("_m").isin(*outputs.values())), [by], outputs)
+    return lookup_join(_with_ranks(df, own, by, ranked, name), medians, [by])
+
+
+def _with_ranks(df: DataFrame, placed: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    sizes = df.groupBy(F.col(by).alias("_g")).agg(F.count(F.lit(1)).alias("_size"))
     average = F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)
     ranks = natural_left_join(placed, sizes, ["_g"]).select(
         F.col("_g").alias(by),

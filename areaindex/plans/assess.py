@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from areaindex.functions.expr import parent_id
 from areaindex.operators.columns import ids, scale_col, semi_filter
 from areaindex.operators.geometry import centroid, contiguity, label_point, points_in_polygons
+from areaindex.operators.groups import attach_group
 from areaindex.operators.joins import flag_in, natural_left_join, reduce_left_join
 from areaindex.operators.neighbours import band_lag, band_limit, neighbour_share
+from areaindex.operators.order_stats import group_medians
 from areaindex.operators.reshape import spread
 from areaindex.plans.income import income_shares, low_quality
 from areaindex.plans.profile import area_profile, group_benchmarks, quality_flag, rent_gap
@@ -20,6 +22,7 @@ from areaindex.plans.rent import (
     rent_burden_cells,
     rent_burden_measures,
     rent_change,
+    rent_medians,
     split_cells,
 )
 from areaindex.plans.scoring import (
@@ -112,13 +115,16 @@ def assess(
     contiguity edges; ``band`` the distance band if it is already known.  Tables used by more than one later step are landed once, which also bounds
     the lineage and lets Catalyst see the true size of group tables before it joins them.
     """
+    # One positions table for all group medians of the input columns.
+    medians = group_medians(wide, [by], {"co_mhhinc": "mhhinc", **rent_medians()})
+    wide = attach_group(wide, medians, [by])
     income = land(income_shares(wide, area_id, [by]), "income")
     cells = split_cells(burden)
     totals = natural_left_join(burden_totals(cells, area_id), income.select(area_id, by), [area_id])
     measures = rent_burden_measures(
         rent_burden_cells(cells, income.select(area_id, "co_mhhinc"), area_id), totals, [by], area_id
     )
-    rent = rent_change(wide, by=[by])
+    rent = rent_change(wide.drop("co_mhhinc"), by=[by])
     base = reduce_left_join([rent, income.drop(by, "mhhinc"), measures.drop(by)], [area_id])
     if neigh_type is not None:
         base = natural_left_join(base, neigh_type, [area_id])

@@ -34,8 +34,9 @@ def income_shares(
 ) -> DataFrame:
     """Per area the group's median income, the limits, and count and share of households under each
     limit.  ``df`` has one column per band, so the sum over bands is a row expression and the only
-    shuffle is the group median."""
-    out = income_limits(df.select(area_id, *by, income, *bands), by, income, fractions=fractions)
+    shuffle is the group median, which a ``co_mhhinc`` already on the rows replaces."""
+    known = [c for c in ["co_mhhinc"] if c in df.columns]
+    out = income_limits(df.select(area_id, *by, income, *known, *bands), by, income, fractions=fractions)
     total = row_sum0(*bands).cast("double")
     counts = {f"tr_{k}_count": count_under(f"co_{k}_val", bands, fix_band_75) for k in fractions}
     shares = {

@@ -17,7 +17,7 @@ from areaindex.functions.expr import (
 )
 from areaindex.operators.groups import with_group_median
 from areaindex.operators.joins import flag_in
-from areaindex.operators.order_stats import rank_share
+from areaindex.operators.order_stats import with_medians_and_rank
 
 RACES = ["White", "Black", "Asian", "Latinx"]
 
@@ -70,8 +70,8 @@ BENCHMARKS = {
 def group_benchmarks(
     df: DataFrame, by: str = "county", benchmarks: dict[str, str] = BENCHMARKS, ranked: str = "tr_pPOC"
 ) -> DataFrame:
-    """Percent rank of one share within the group, and the group medians in one pass."""
-    return with_group_median(rank_share(df, by, ranked, "tr_POC_rank"), [by], benchmarks)
+    """Percent rank of one share within the group, and the group medians, from one positions table."""
+    return with_medians_and_rank(df, by, benchmarks, ranked, "tr_POC_rank")
 
 
 AGES = ["under5", "fiveto9", "tento14", "fiftto17"]

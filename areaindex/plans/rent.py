@@ -98,13 +98,20 @@ def rent_burden_measures(
     return out.withColumns({f"v_rb{m}rb": above(f"tr_ir{m}p", f"co_ir{m}_med") for m in qualified})
 
 
+def rent_medians(new: str = "medrent", old: str = "medrent12") -> dict[str, str]:
+    """The group medians that ``rent_change`` needs, name -> column."""
+    return {"_median_new": new, f"co_{old}": old}
+
+
 def rent_change(
     df: DataFrame, new: str = "medrent", old: str = "medrent12", by: Sequence[str] = ("county",)
 ) -> DataFrame:
     """Both rents with missing values imputed by the group median, their change, and the group
     median of the imputed old rent.  That median is the one imputed: copies of a median, put among
-    the values, leave it where it is.  So one pass serves all."""
-    out = with_group_median(df, by, {"_median_new": new, f"co_{old}": old})
+    the values, leave it where it is.  So one pass serves all, which is left out where the rows already
+    carry both medians (``rent_medians``)."""
+    medians = rent_medians(new, old)
+    out = df if set(medians) <= set(df.columns) else with_group_median(df, by, medians)
     out = out.withColumns(
         {new: F.coalesce(F.col(new), F.col("_median_new")), f"tr_{old}": F.coalesce(F.col(old), F.col(f"co_{old}"))}
     )

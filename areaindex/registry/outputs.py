@@ -414,6 +414,40 @@ def feature_json(spark, sf):
     )
 
 
+core.SQL_VIEWS["area_shapes"] = (
+    ("areas",),
+    f"""SELECT area_key, '[[[' || {" || ',' || ".join(
+        f"'[' || CAST(CAST(cx + {dx} AS DOUBLE) AS STRING) || ',' || CAST(CAST(cy + {dy} AS DOUBLE) AS STRING) || ']'"
+        for dx, dy in [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    )} || ']]]' AS coords FROM
+  (SELECT area_key, floor(x * k / 10009e0) AS cx, floor(y * k / 10009e0) AS cy FROM areas, (SELECT ceil(sqrt(count(*) / 2e0)) AS k FROM areas)) g""",
+)
+
+
+@query(
+    "scored_layers",
+    f"""SELECT l.area_key, l.label, l.color, l.popup, l.layer,
+  '{{"type":"Feature","properties":{{"area_key":' || CAST(l.area_key AS STRING) || ',"label":' || {_json_text("l.label")} || ',"color":"' || l.color
+  || '","popup":' || {_json_text("l.popup")} || ',"layer":"' || l.layer || '"}},"geometry":{{"type":"MultiPolygon","coordinates":'
+  || s.coords || '}}}}' AS feature
+FROM (
+  SELECT t.area_key, tier1 AS label, CASE tier1 WHEN 'Heightened Sensitivity' THEN '#FF6633' WHEN 'Poor Data Quality' THEN '#CCCCCC' ELSE 'transparent' END AS color,
+         p.popup, 'Heightened Sensitivity' AS layer FROM tiered t LEFT JOIN popups p ON t.area_key = p.area_key
+  UNION ALL SELECT t.area_key, tier2, '#6699FF', p.popup, 'Vulnerable' FROM tiered t LEFT JOIN popups p ON t.area_key = p.area_key WHERE tier2 IS NOT NULL
+  UNION ALL SELECT area_key, neigh_type, '#CCCCCC', NULL, CASE neigh_type WHEN 'MACHINERY' THEN 'Bus' ELSE 'Rail' END
+  FROM areas WHERE neigh_type IN ('MACHINERY', 'BUILDING')
+) l JOIN area_shapes s ON l.area_key = s.area_key""",
+    ["tiered", "popups", "areas", "area_shapes"],
+)
+def scored_layers(spark, sf):
+    """Map layers of the scored table: both tier layers with the whole popup, and the transit buffers."""
+    vertices = core.area_vertex(spark, sf)
+    stops = core.areas(spark, sf).select(F.col("area_key").alias("geo_id"), F.col("neigh_type").alias("label"))
+    return export.feature_layers(
+        scored(spark, sf), vertices, stops, vertices, labels={"Bus": "MACHINERY", "Rail": "BUILDING"}, area_id="area_key"
+    )
+
+
 @query(
     "features_file",
     """SELECT '{"type":"Feature","properties":{"geo_id":"' || n.geo_id || '","name":"' || n.n_name

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from areaindex import operators as op
-from areaindex.operators import pairs
+from areaindex.operators import order_stats, pairs
 from areaindex.operators.pairs import lookup_join, salted_join
 from areaindex.plans.rent import rent_change
 from areaindex.plans.disadvantage import census_shares, disadvantage_index, CENSUS_COLUMNS, CENSUS_PERIODS
@@ -49,6 +49,48 @@ def test_rank_share_ties_and_missing(spark):
     assert [r.r for r in got] == [None, 0.375, 0.375, 0.75]
 
 
+def test_medians_and_rank_from_one_positions_table(spark, rows, tmp_path):
+    random.seed(4)
+    values = [None, float("nan"), 1.0, 1.0, 2.5, 7.0]
+    data = [(i, random.choice(["a", "b", None]), random.choice(values), random.choice(values)) for i in range(500)]
+    data += [(500, "empty", None, None)]
+    df = spark.createDataFrame(data, "id int, g string, v double, w double")
+    medians = {"mv": "v", "mw": "w"}
+    apart = op.with_group_median(op.rank_share(df, "g", "v", "r"), ["g"], medians)
+    landed = []
+    keep, order_stats.land = order_stats.land, lambda d, name: landed.append(name) or keep(d, name)
+    try:
+        together = op.with_medians_and_rank(df, "g", medians, "v", "r", ranges=3)
+        alone = op.with_medians_and_rank(df, "g", {"mw": "w"}, "v", "r")
+    finally:
+        order_stats.land = keep
+    assert landed == ["ranges", "ranges"]
+    cols = ["id", "r", "mv", "mw"]
+    assert rows(together.select(cols)) == rows(apart.select(cols))
+    assert rows(alone.select("id", "r", "mw")) == rows(apart.select("id", "r", "mw"))
+
+
+@pytest.mark.parametrize("error", [0.2, 0.01, 0.001])
+def test_approximate_quantiles_keep_their_rank_error(spark, error):
+    random.seed(5)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    data = [("a", random.choice([1.0, 2.0, random.gauss(0, 9)])) for _ in range(20000)]
+    data += [("b", float(i)) for i in range(7)] + [("b", None), ("b", float("nan")), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(9)
+    got = {r.g: r for r in op.approx_group_quantiles(df, ["g"], ["v"], probs, error).collect()}
+    assert set(got) == {"a", "b"}
+    for g, r in got.items():
+        values = [v for h, v in data if h == g and v is not None and v == v]
+        for i, p in enumerate(probs):
+            q, n = r[f"q{i}"], len(values)
+            assert q in values
+            assert sum(v < q for v in values) - error * n - 1 <= p * n <= sum(v <= q for v in values) + error * n + 1
+    empty = op.approx_group_quantiles(df.limit(0), ["g"], ["v"], probs, error)
+    assert empty.columns == ["g", "measure", "q0", "q1", "q2", "q3", "q4"] and empty.isEmpty()
+    with pytest.raises(ValueError, match="share of the rows"):
+        op.approx_group_quantiles(df, ["g"], ["v"], probs, 0.0)
+
+
 def test_rank_share_against_a_window(spark, rows):
     random.seed(1)
     data = [(random.choice("aab"), random.choice([None, 1.0, 2.5, random.random()])) for _ in range(3000)]
