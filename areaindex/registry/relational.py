@@ -505,16 +505,16 @@ _QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 @query(
     "approx_quantiles",
-    f"""SELECT l_shipmode, count(l_extendedprice) AS n, {", ".join(f"1 AS {q}_within" for q in _QUARTILES)}
-FROM lineitem GROUP BY l_shipmode""",
+    f"""SELECT l_returnflag, count(l_extendedprice) AS n, {", ".join(f"1 AS {q}_within" for q in _QUARTILES)}
+FROM lineitem GROUP BY l_returnflag""",
 )
 def approx_quantiles(spark, sf, error=0.002):
     """The quartiles that the sketch gives, each held against its rank among all rows: within is 1 where
     it is off by no more than the error stated, and one row for the rounding of ranks."""
-    prices = core.table(spark, sf, "lineitem").select("l_shipmode", F.col("l_extendedprice").cast("double").alias("price"))
-    found = op.approx_group_quantiles(prices, ["l_shipmode"], ["price"], list(_QUARTILES.values()), error)
-    met = op.attach_group(prices, found, ["l_shipmode"])
-    counted = met.groupBy("l_shipmode").agg(
+    prices = core.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    found = op.approx_group_quantiles(prices, ["l_returnflag"], ["price"], list(_QUARTILES.values()), error)
+    met = op.attach_group(prices, found, ["l_returnflag"])
+    counted = met.groupBy("l_returnflag").agg(
         F.count("price").alias("n"),
         *[F.count_if(F.col("price") < F.col(f"q{i}")).alias(f"_below{i}") for i in range(len(_QUARTILES))],
         *[F.count_if(F.col("price") <= F.col(f"q{i}")).alias(f"_upto{i}") for i in range(len(_QUARTILES))],
@@ -525,7 +525,7 @@ def approx_quantiles(spark, sf, error=0.002):
         & (F.col(f"_upto{i}") + slack >= F.col("n") * F.lit(p))
         for i, (q, p) in enumerate(_QUARTILES.items())
     }
-    return counted.select("l_shipmode", "n", *[c.cast("int").alias(name) for name, c in within.items()])
+    return counted.select("l_returnflag", "n", *[c.cast("int").alias(name) for name, c in within.items()])
 
 
 @query(
