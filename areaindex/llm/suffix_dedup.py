@@ -36,6 +36,8 @@ GRAM = 17
 STEP = 16
 SLICE = 1 << 17
 
+# Of all rows of a round, a key that holds over one in so many is hot.
+HOT_KEYS = 256
 RANKED = "node int, core long, span long, row long, anchor int, low int, high int, fresh boolean"
 
 
@@ -170,21 +172,34 @@ def _next_round(batches, ranges, kind, length):
             yield _emit(rows)
 
 
+def _members(rows: DataFrame, keys: list[str], listed: DataFrame, total: int) -> DataFrame:
+    """The rows whose keys are ``listed``, with how many ``n`` of all ``total`` rows hold each.  Fewer than
+    ``HOT_KEYS`` keys can hold over 1 / ``HOT_KEYS`` of all rows each: these are broadcast, so their rows
+    stay where they are, and only rows of the others cross a shuffle, by sort-merge."""
+    is_hot = F.col("n") > total / HOT_KEYS
+    hot = F.broadcast(listed.filter(is_hot).select(*keys))
+    other = listed.filter(~is_hot).select(*keys).hint("merge")
+    return rows.join(hot, keys, "left_semi").unionByName(
+        rows.join(hot, keys, "left_anti").join(other, keys, "left_semi")
+    )
+
+
 def _rank(ranked: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Split a landed round: the covered byte ranges of its repeated pairs, and the pairs to rank again.
 
     Pairs are first counted by class, (core, span), on the map side, so a passage in any number of
-    documents is one row when classes meet by core.  Only the way back to the members of a repeated
-    class is a join on a key that may be hot; Spark splits such partitions of a sort-merge join."""
-    often = ranked.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    kept = land(ranked.join(often.hint("merge"), "core", "left_semi"), "repeated")
+    documents is one row when classes meet by core.  The way back to the members of a repeated class is
+    a join on a key that may be hot: see ``_members``."""
+    total = ranked.count()
+    often = land(ranked.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    kept = land(_members(ranked, ["core"], often, total), "repeated")
     classes = land(
         kept.groupBy("core", "span").agg(
             F.count("*").alias("n"), F.min(F.struct("row", "anchor", "low", "high")).alias("one"), F.bool_or("fresh").alias("fresh")
         ),
         "classes",
     )
-    same = kept.filter("fresh").join(classes.filter("n > 1").select("core", "span").hint("merge"), ["core", "span"], "left_semi")
+    same = _members(kept.filter("fresh"), ["core", "span"], classes.filter("n > 1"), total)
     covered = same.select("row", (F.col("anchor") - F.col("high")).alias("a"), (F.col("anchor") - F.col("low") + length).alias("b"))
     open_cores = land(classes.filter("n = 1 and fresh").select("core").distinct(), "open")
     # Members of a class have the same offsets too, as a window's text alone decides its anchor.
