@@ -33,14 +33,14 @@ def ring_edges(poly_vertex: DataFrame) -> DataFrame:
     nxt = poly_vertex.select(
         *RING, (F.col("vertex_no") - 1).alias("vertex_no"), F.col("x").alias("x2"), F.col("y").alias("y2")
     )
-    return poly_vertex.withColumnsRenamed({"x": "x1", "y": "y1"}).join(nxt, [*RING, "vertex_no"])
+    return poly_vertex.withColumnsRenamed({"x": "x1", "y": "y1"}).join(nxt.hint("merge"), [*RING, "vertex_no"])
 
 
 def _ring_moments(poly_vertex: DataFrame) -> DataFrame:
     """Area and first moments per ring about the lower left corner of its area, orientation
     removed.  The shift keeps the products small, so nothing cancels for far-off coordinates."""
     corner = poly_vertex.groupBy("geo_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
-    local = poly_vertex.join(corner, "geo_id").select(
+    local = poly_vertex.join(corner.hint("merge"), "geo_id").select(
         *RING,
         "vertex_no",
         "x0",
@@ -140,7 +140,7 @@ def edges_by_strip(poly_vertex: DataFrame, areas: DataFrame) -> DataFrame:
     edges = (
         ring_edges(poly_vertex)
         .withColumns({"ylo": F.least("y1", "y2"), "yhi": F.greatest("y1", "y2"), "xhi": F.greatest("x1", "x2")})
-        .join(areas.select("geo_id", "ymin", "ymax", "halvings"), "geo_id")
+        .join(areas.select("geo_id", "ymin", "ymax", "halvings").hint("merge"), "geo_id")
         .withColumns({"_from": _lowest_strip("ylo"), "_to": _lowest_strip("yhi") + 1})
     )
     # Halved k times, the range still to tile is [first, end); an odd bound is a node of its own.

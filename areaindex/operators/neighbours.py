@@ -100,7 +100,7 @@ class Quadtree:
         keys = ["level", "_cx", "_cy"]
         placed = placed.withColumnsRenamed({c: f"{c}_2" for c in right.columns})
         plain = first and self.even
-        met = around.join(placed, keys) if plain else salted_join(around, placed, keys, both=True)
+        met = around.join(placed.hint("merge"), keys) if plain else salted_join(around, placed, keys, both=True)
         dx, dy = F.col("x") - F.col("x_2"), F.col("y") - F.col("y_2")
         met = met.withColumn("dist", F.sqrt(dx * dx + dy * dy))
         return met.filter(F.col("dist") <= REACH * self.side(F.col("level"))).drop("_cx", "_cy")
@@ -135,7 +135,7 @@ def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
             .select("x", "y", F.struct("dist", "id").alias("near"))
         )
         state = land(
-            open_places.join(_lowest(found, ["x", "y"], "near", k, "others"), ["x", "y"], "left"),
+            open_places.join(_lowest(found, ["x", "y"], "near", k, "others").hint("merge"), ["x", "y"], "left"),
             "nearest",
         )
         # Beyond twice the extent there is nothing left to find.
@@ -152,10 +152,10 @@ def knn(points: DataFrame, k: int = 1, point_id: str = "geo_id") -> DataFrame:
     known = places.select("x", "y", "ids")
     if rounds:
         partners = reduce(DataFrame.unionByName, rounds).select("x", "y", "others")
-        known = known.join(partners, ["x", "y"], "left").withColumn("others", F.coalesce("others", none))
+        known = known.join(partners.hint("merge"), ["x", "y"], "left").withColumn("others", F.coalesce("others", none))
     else:
         known = known.withColumn("others", none)
-    out = ids.join(land(known, "partners"), ["x", "y"])
+    out = ids.join(land(known, "partners").hint("merge"), ["x", "y"])
     stacked = F.transform(
         F.filter("ids", lambda i: i != F.col("id")),
         lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("id")),
@@ -197,8 +197,8 @@ def distance_band(points: DataFrame, d2: float, point_id: str = "geo_id") -> Dat
     named = ids.withColumnsRenamed({"src": "dst", "x": "x_2", "y": "y_2"})
     return (
         _place_pairs(points, d2)
-        .join(ids, ["x", "y"])
-        .join(named, ["x_2", "y_2"])
+        .join(ids.hint("merge"), ["x", "y"])
+        .join(named.hint("merge"), ["x_2", "y_2"])
         .select("src", "dst", "dist")
     )
 
@@ -262,7 +262,7 @@ def spatial_lag(
 
 
 def _with_lags(areas, sums, on, cols, zero_policy, on_null) -> DataFrame:
-    out = areas.join(sums, on, "left").withColumns(_lag_columns(cols, zero_policy, on_null))
+    out = areas.join(sums.hint("merge"), on, "left").withColumns(_lag_columns(cols, zero_policy, on_null))
     return out.drop("_weight", *[f"_{part}_{c}" for part in ("sum", "nulls") for c in cols])
 
 

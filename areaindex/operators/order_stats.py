@@ -67,7 +67,7 @@ def _positions(long: DataFrame, keys: Sequence[str], ranges: int | None = None)
     )
     within = W.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     running = ranged.withColumn("_upto", F.sum("_c").over(within))
-    placed = natural_left_join(running, totals, [*keys, "_range"])
+    placed = natural_left_join(running, totals, [*keys, "_range"], strategy=None)
     return placed.select(*keys, "_v", "_c", (F.col("_offset") + F.col("_upto")).alias("_upto"), "_n")
 
 
@@ -173,7 +173,7 @@ def with_medians_and_rank(
 def _with_ranks(df: DataFrame, placed: DataFrame, by: str, value: str, name: str) -> DataFrame:
     sizes = df.groupBy(F.col(by).alias("_g")).agg(F.count(F.lit(1)).alias("_size"))
     average = F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)
-    ranks = natural_left_join(placed, sizes, ["_g"]).select(
+    ranks = natural_left_join(placed, sizes, ["_g"], strategy=None).select(
         F.col("_g").alias(by),
         F.col("_v").alias("_rank_key"),
         F.lit(0).cast("long").alias("_spread"),

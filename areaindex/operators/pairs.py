@@ -63,7 +63,7 @@ def _deal(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int, bo
             side = side.withColumn("_number", F.lit(0).cast("long"))
         many, others = (F.coalesce(c.replace("_block", "_blocks"), F.lit(1)) for c in (own, other))
         return (
-            natural_left_join(side, hot, keys)
+            natural_left_join(side, hot, keys, "broadcast")  # one key for each ``chunk`` rows at most
             .withColumn(own, F.pmod(F.xxhash64("_number"), many).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), others - 1)))
             .drop("_number", "_blocks", "_blocks_2")
@@ -79,8 +79,14 @@ def salted_join(
     count of them; without a hot key a plain join.  No pair is lost either way."""
     sides = _deal(left, right, keys, chunk, both)
     if sides is None:
-        return left.join(right, list(keys))
-    return sides[0].join(sides[1], [*keys, "_block", "_block_2"]).drop("_block", "_block_2")
+        return left.join(right.hint("merge"), list(keys))
+    return sides[0].join(sides[1].hint("merge"), [*keys, "_block", "_block_2"]).drop("_block", "_block_2")
+
+
+def join_strategy(stats: DataFrame, broadcast_cells: int = BROADCAST_CELLS) -> str:
+    """How rows meet the landed ``stats``, by its cells as counted: the size of its files says little, as they
+    are compressed."""
+    return "broadcast" if stats.count() * len(stats.columns) <= broadcast_cells else "merge"
 
 
 def lookup_join(
@@ -96,8 +102,8 @@ def lookup_join(
     for a larger one the hot groups are split.
     """
     stats = land(groups, "groups")
-    if stats.count() * len(stats.columns) <= broadcast_cells:
-        return natural_left_join(left, F.broadcast(stats), on)
+    if join_strategy(stats, broadcast_cells) == "broadcast":
+        return natural_left_join(left, stats, on, "broadcast")
     sides = _deal(left, stats, on, chunk)
     if sides is None:
         return natural_left_join(left, stats, on)

@@ -31,15 +31,15 @@ def area_bands(spark, sf):
     return land(
         core.areas(spark, sf)
         .select("area_key", "geoid", "county")
-        .join(core.area_income(spark, sf), "area_key", "left")
-        .join(core.income_wide(spark, sf), "area_key", "left"),
+        .join(core.area_income(spark, sf).hint("merge"), "area_key", "left")
+        .join(core.income_wide(spark, sf).hint("merge"), "area_key", "left"),
         "bands",
     )
 
 
 def area_incomes(spark, sf):
     df = core.areas(spark, sf).select("area_key", "geoid", "county")
-    return land(df.join(core.area_income(spark, sf), "area_key", "left"), "incomes")
+    return land(df.join(core.area_income(spark, sf).hint("merge"), "area_key", "left"), "incomes")
 
 
 _BAND_CASE = "CASE band " + " ".join(f"WHEN '{name}' THEN {hi}" for name, hi in fn.INCOME_BANDS.items()) + " END"
@@ -91,7 +91,7 @@ FROM income_long i JOIN limits l ON i.area_key = l.area_key JOIN income_bands b
 )
 def band_share(spark, sf):
     limits = op.income_limits(area_incomes(spark, sf), ["county"], "mhhinc")
-    bands = core.income_long(spark, sf).withColumn("lo", fn.band_floor("hi")).join(limits, "area_key")
+    bands = core.income_long(spark, sf).withColumn("lo", fn.band_floor("hi")).join(limits.hint("merge"), "area_key")
     return rounded(
         bands.withColumns(
             {k.lower(): fn.band_fraction(f"co_{k}_val", "lo", F.col("hi").cast("double")) for k in ["LI", "VLI"]}
@@ -173,7 +173,7 @@ def rent_burden_cells(spark, sf):
 
 def burden_measures(spark, sf):
     totals = rent.burden_totals(rent.split_cells(core.burden_long(spark, sf)), "area_key").join(
-        core.areas(spark, sf).select("area_key", "county"), "area_key"
+        core.areas(spark, sf).select("area_key", "county").hint("merge"), "area_key"
     )
     return rent.rent_burden_measures(burden_cells(spark, sf), totals, area_id="area_key")
 
@@ -394,7 +394,7 @@ LEFT JOIN (SELECT county, median(round(vli / nullif(tot, 0), 12)) AS m FROM inco
 def variant_flags(spark, sf):
     df = profiled(spark, sf, "area_key", "geoid", "county", "tr_pstudents", "tr_prenters")
     shares = income.income_shares(area_bands(spark, sf), "area_key").select("area_key", "tr_VLI_prop")
-    out = profile.variant_flags(land(df.join(shares, "area_key", "left"), "profile"))
+    out = profile.variant_flags(land(df.join(shares.hint("merge"), "area_key", "left"), "profile"))
     return out.select("geoid", "v_renters_40p", "v_VLI_med")
 
 
@@ -413,7 +413,7 @@ def vulnerability_flags(spark, sf):
     df = profiled(spark, sf, "area_key", "geoid", "tr_pstudents", "tr_prenters", "tr_pPOC")
     shares = income.income_shares(area_bands(spark, sf), "area_key").select("area_key", "tr_VLI_prop")
     measures = burden_measures(spark, sf).drop("county")
-    out = scoring.vulnerability_flags(df.join(shares, "area_key", "left").join(measures, "area_key", "left"))
+    out = scoring.vulnerability_flags(df.join(shares.hint("merge"), "area_key", "left").join(measures.hint("merge"), "area_key", "left"))
     return out.select(
         "geoid", "v_VLI", "v_Renters", "v_RB30LI", "v_RB50LI", "v_RB30VLI", "v_RB50VLI", "v_POC"
     )

@@ -25,9 +25,9 @@ def scored(spark, sf):
     keyed = (
         core.area_wide(spark, sf, sales)
         .drop("x", "y")
-        .join(core.area_income(spark, sf), "area_key", "left")
-        .join(core.income_wide(spark, sf), "area_key", "left")
-        .join(core.rent(spark, sf, sales).withColumnRenamed("medrent17", "medrent"), "area_key", "left")
+        .join(core.area_income(spark, sf).hint("merge"), "area_key", "left")
+        .join(core.income_wide(spark, sf).hint("merge"), "area_key", "left")
+        .join(core.rent(spark, sf, sales).withColumnRenamed("medrent17", "medrent").hint("merge"), "area_key", "left")
     )
     types = keyed.select("area_key", "neigh_type")
     return assess.assess(

@@ -49,7 +49,7 @@ def stored_estimates(spark, sf):
     """Path of the landed copy."""
     recent = (
         core.acs_long(spark, sf)
-        .join(core.areas(spark, sf), "area_key")
+        .join(core.areas(spark, sf).hint("merge"), "area_key")
         .select(
             "geoid",
             F.concat(F.lit("Area "), F.col("area_key").cast("string")).alias("name"),
@@ -653,9 +653,9 @@ LEFT JOIN (SELECT i.area_key, i.mhhinc, t.estimate AS orders_n FROM area_income
 def natural_left_join(spark, sf):
     """Shared columns area_key and mhhinc; a missing income meets a missing income."""
     income = core.area_income(spark, sf)
-    left = core.areas(spark, sf).select("area_key", "county").join(income, "area_key", "left")
+    left = core.areas(spark, sf).select("area_key", "county").join(income.hint("merge"), "area_key", "left")
     totals = core.burden_long(spark, sf).filter(F.col("variable") == "ir_tot_tot")
-    right = income.join(totals.select("area_key", F.col("estimate").alias("orders_n")), "area_key")
+    right = income.join(totals.select("area_key", F.col("estimate").alias("orders_n")).hint("merge"), "area_key")
     return rounded(op.natural_left_join(left, right))
 
 

@@ -66,7 +66,7 @@ def feature_lines(df: DataFrame, poly_vertex: DataFrame, geo_id: str = "geo_id")
     )
     parts = rings.groupBy("geo_id", "part_no").agg(_ordered("ring_no", "ring").alias("part"))
     shapes = parts.groupBy("geo_id").agg(_ordered("part_no", "part").alias("coordinates"))
-    joined = df.join(shapes.withColumnRenamed("geo_id", geo_id), geo_id, "left")
+    joined = df.join(shapes.withColumnRenamed("geo_id", geo_id).hint("merge"), geo_id, "left")
     shape = F.struct(F.lit("MultiPolygon").alias("type"), F.col("coordinates"))
     feature = F.to_json(
         F.struct(

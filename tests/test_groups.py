@@ -274,3 +274,14 @@ def test_imputed_median_stays_the_median(spark):
     )
     got = {(r.county, r.tr_medrent12): (r.medrent, r.co_medrent12) for r in rent_change(df).collect()}
     assert got == {("a", 2.0): (1.0, 5.5), ("a", 5.5): (2.5, 5.5), ("a", 9.0): (4.0, 5.5), ("b", 3.0): (None, 3.0)}
+
+
+def test_joins_broadcast_only_what_was_counted(spark):
+    left = spark.range(100).withColumnRenamed("id", "k")
+    right = left.withColumn("v", F.col("k") * 2)
+    plan = op.natural_left_join(left, right, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = lookup_join(left, right, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    plan = lookup_join(left, right, ["k"], broadcast_cells=10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -320,3 +320,20 @@ def test_srid_mismatch_raises(spark):
     assert geo.same_srid(geo.with_srid(points, 4269), geo.with_srid(poly, 4269)).count() == 1
     with pytest.raises(Exception, match="different reference systems"):
         geo.same_srid(geo.with_srid(points, 4269), geo.with_srid(poly, 4326)).collect()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_areas_are_not_sent_through_the_driver(spark):
+    points = spark.range(400).select(
+        F.col("id").alias("geo_id"), (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y")
+    )
+    edges = nb.distance_band(points, 1.0)
+    assert "Broadcast" not in _plan(edges)
+    assert edges.count() == 4 * 20 * 19
+    values = points.withColumn("v", F.col("x"))
+    assert "Broadcast" not in _plan(nb.band_lag(values, 1.0, ["v"]))
+    assert "Broadcast" not in _plan(nb.idw_weights(edges))
+    assert "Broadcast" not in _plan(geo.contiguity(points.select("geo_id", "x", "y")))
