@@ -50,11 +50,23 @@ def scale_col(df: DataFrame, name: str, factor: float) -> DataFrame:
     return df.withColumn(name, F.col(name) * F.lit(factor))
 
 
-def separate(df: DataFrame, name: str, into: list[str], sep: str = "[^A-Za-z0-9]+") -> DataFrame:
-    """Split a composite text column; surplus pieces are dropped, absent ones are NULL."""
-    pieces = F.split(F.col(name), sep)
-    return df.withColumns({new: F.get(pieces, F.lit(i)) for i, new in enumerate(into)}).drop(
-        *({name} - set(into))
+SEPARATORS = "[^A-Za-z0-9]+"
+
+
+def separate(df: DataFrame, name: str, into: list[str], sep: str = SEPARATORS) -> DataFrame:
+    """Split a composite text column; surplus pieces are dropped, absent ones are NULL.  The pattern runs once
+    a row, not once a piece.  The usual one is brought to a single separator first, as a replacement compiles its
+    pattern once and a split for each row."""
+    pieces = "_pieces"
+    while pieces in df.columns:
+        pieces += "_"
+    if sep == SEPARATORS:
+        text, sep = F.regexp_replace(F.col(name), sep, "_"), "_"  # no piece holds one
+    else:
+        text = F.col(name)
+    split = df.withColumn(pieces, F.split(text, sep))
+    return split.withColumns({new: F.get(pieces, F.lit(i)) for i, new in enumerate(into)}).drop(
+        pieces, *({name} - set(into))
     )
 
 
@@ -64,4 +76,4 @@ def ids(df: DataFrame, name: str) -> DataFrame:
 
 
 def semi_filter(df: DataFrame, members: DataFrame, on: str) -> DataFrame:
-    return df.join(members.select(on), on, "left_semi")
+    return df.join(members.select(on).hint("merge"), on, "left_semi")

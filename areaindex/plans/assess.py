@@ -88,6 +88,8 @@ def score(
     flagged = pressure_flags(vulnerability_flags(flagged, t))
     scored = scenario_three(scenario_one(flagged, t), t)
     scored = land(scored, "scored")
+    # The lag counts the edges by neighbour and joins them: two passes.
+    neighbour_edges = land(neighbour_edges, "edges")
     return tiers(neighbour_share(scored, neighbour_edges, "scen1_VLI50RB", area_id), t)
 
 
@@ -119,7 +121,7 @@ def assess(
     medians = group_medians(wide, [by], {"co_mhhinc": "mhhinc", **rent_medians()})
     wide = attach_group(wide, medians, [by])
     income = land(income_shares(wide, area_id, [by]), "income")
-    cells = split_cells(burden)
+    cells = land(split_cells(burden), "cells")
     totals = natural_left_join(burden_totals(cells, area_id), income.select(area_id, by), [area_id])
     measures = rent_burden_measures(
         rent_burden_cells(cells, income.select(area_id, "co_mhhinc"), area_id), totals, [by], area_id

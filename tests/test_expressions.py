@@ -156,3 +156,14 @@ def test_column_selection(spark):
     assert op.cols_starting(df, ["co_", "tr_"]) == ["co_b", "TR_a", "tr_c"]
     assert op.cols_between(df, "TR_a", "co_b") == ["TR_a", "co_b"]
     assert op.cols_ending(df, "_A") == ["TR_a"]
+
+
+def test_separate_runs_its_pattern_once_a_row(spark):
+    df = spark.createDataFrame([("ir_5plus_9999",), ("--ir..tot_",), (None,), ("ir",), ("a_b c-d/e",)], "variable string")
+    out = op.separate(df, "variable", ["kind", "rb", "income"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert [tuple(r) for r in out.collect()] == [
+        ("ir", "5plus", "9999"), ("", "ir", "tot"), (None, None, None), ("ir", None, None), ("a", "b", "c")
+    ]
+    assert [tuple(r) for r in op.separate(df, "variable", ["x", "y"], "[.]+").collect()][1] == ("--ir", "tot_")
