@@ -43,8 +43,9 @@ PERCENTILE = 90
 END_ID = 1
 MAGIC = b"PFOR0001"
 
-#: Marks that stand behind words.
-MARKS = ",.;:!?"
+#: Marks that stand behind words, one or more: a run of them is a unit of its own for the tokenizer.  No apostrophe,
+#: as it may start a unit with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Letters below this one stay single letters in lower case, and no later standard changes them; the one
 #: exception, a capital I with a dot, becomes two characters.  Words with others go whole to the library.
@@ -176,40 +177,45 @@ class WordIds:
         size = np.fromiter(map(len, found), np.int64, len(found))
         return size, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
 
-    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words of letters, in one call; one by one where the parts are not as many as the words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return self._encode_each(words)
-        return np.diff(ends, prepend=0), ids
+    def _encode_letters(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for words of letters, JOINED at a time, in one call; one by one where the parts are not as many
+        as the words."""
+        groups = [words[i : i + self.JOINED] for i in range(0, len(words), self.JOINED)]
+        found, out = self.tokenizer.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False), []
+        for group, encoding in zip(groups, found, strict=True):
+            ids = np.array(encoding.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            whole = len(ends) == len(group) and ends[-1] == len(ids)
+            out.append((np.diff(ends, prepend=0), ids) if whole else self._encode_each(group))
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of words not met before.  A word is letters and at most one mark that the tokenizer parts from
-        them, two units, or else a unit of its own."""
+        """Ids of words not met before.  A word is letters and at most one run of marks that the tokenizer parts
+        from them, two units, or else a unit of its own."""
         letters: dict[str, int] = defaultdict(count().__next__)
+        marks: dict[str, int] = defaultdict(count().__next__)
         others, first, second = [], [], []
         for word in words:
             text = word.decode("utf-8")
-            mark = MARKS.find(text[-1]) if len(text) > 1 else -1
-            body = text if mark < 0 else text[:-1]
+            body = text.rstrip(MARKS)
             if body.isalpha() and (body.isascii() or (max(body) < FAR and DOTTED not in body)):
                 first.append(letters[body])
-                second.append(mark)
+                second.append(marks[text[len(body) :]] if len(body) < len(text) else -1)
             else:
                 first.append(-1 - len(others))
                 second.append(-1)
                 others.append(text)
         plain = list(letters)
-        parts = [self._encode_letters(plain[i : i + self.JOINED]) for i in range(0, len(plain), self.JOINED)]
-        parts += [self._encode_each(list(MARKS)), self._encode_each(others)]
+        parts = self._encode_letters(plain)
+        parts += [self._encode_each(list(marks)), self._encode_each(others)]
         size, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
         first, second = np.array(first, np.int64), np.array(second, np.int64)
-        first = np.where(first < 0, len(plain) + len(MARKS) - 1 - first, first)
+        first = np.where(first < 0, len(plain) + len(marks) - 1 - first, first)
         units = np.stack([first, len(plain) + second], 1)
         units = units[np.stack([first >= 0, second >= 0], 1)]
         joined, _ = gather(flat, np.cumsum(size) - size, size, units)
-        whole = size[first] + np.where(second >= 0, size[len(plain) + np.maximum(second, 0)], 0)
+        whole = size[first]
+        whole[second >= 0] += size[len(plain) + second[second >= 0]]
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(whole) - whole])
         self.size = np.concatenate([self.size, whole])
         self.flat = np.concatenate([self.flat, joined])

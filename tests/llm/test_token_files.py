@@ -97,3 +97,16 @@ def test_any_range_of_ids_can_be_read(block):
     assert (shard.doc_ids.tolist(), shard.nulls.tolist(), shard.ends.tolist()) == ([5, 0, 9], [False, True, False], [300, 300, 1000])
     for a, b in ((0, 1000), (0, 0), (299, 301), (999, 1000), (123, 777)):
         assert shard.ids(a, b).tolist() == ids[a:b].tolist()
+
+
+def test_runs_of_marks_are_units_that_words_share(monkeypatch):
+    with open(PATH, encoding="utf-8") as file:
+        words = token_files.WordIds(file.read())
+    alone, each = [], words._encode_each
+    monkeypatch.setattr(words, "_encode_each", lambda w: alone.extend(w) or each(w))
+    docs = ["ating### the%%% he%%% (no) don't x's. a<|endoftext|> <|endoftext|>. end,, **", "!", "\"it\" \u0130x. \u01c5,,"]
+    sizes, ids = words.encode([d.encode() for d in docs], token_files.END_ID)
+    tokenizer = Tokenizer.from_file(PATH)
+    wanted = [[*tokenizer.encode(d, add_special_tokens=False).ids, token_files.END_ID] for d in docs]
+    assert sizes.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+    assert not {"ating###", "the%%%", "he%%%", "end,,"} & set(alone) and alone.count("%%%") == 1
