@@ -52,7 +52,7 @@ CLASSES = 64
 HIDDEN = 24
 FEATURES = 256
 WINDOW = 16
-LANES = 32
+LANES = 128
 ROUNDS = 3
 RATE = 0.08
 
@@ -88,11 +88,14 @@ def _neighbours(batches, words):
     n, features = len(words) + ENDINGS, min(FEATURES, len(words))
     counts = np.zeros(n * 2 * features, np.int32)
     for batch in rebatch(batches):
-        for text in texts(batch):
-            row = items.row(text)
-            for side, (item, other) in enumerate(((row[1:], row[:-1]), (row[:-1], row[1:]))):
-                near = other < features
-                np.add.at(counts, item[near] * 2 * features + side * features + other[near], 1)
+        rows = [items.row(text) for text in texts(batch)]
+        flat = np.concatenate(rows)
+        inside = np.ones(max(0, len(flat) - 1), bool)
+        inside[np.cumsum([len(r) for r in rows])[:-1] - 1] = False  # neighbours stand in one document
+        for side, (item, other) in enumerate(((flat[1:], flat[:-1]), (flat[:-1], flat[1:]))):
+            near = inside & (other < features)
+            cells, times = np.unique(item[near] * 2 * features + side * features + other[near], return_counts=True)
+            counts[cells] += times.astype(np.int32)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_pydict({"cell": at, "times": counts[at].astype(np.int64)})
 
@@ -150,13 +153,26 @@ def step(w, state, items):
     return keep * state + (1 - keep) * new, (items, state, keep, reset, gated, new)
 
 
-def log_classes(w, state):
-    """Log probability of every class, natural logarithm."""
+def _logits(w, state):
+    """Of every class, the largest being 0."""
     logits = state @ w["out"] + w["bias"]
     logits -= logits.max(1, keepdims=True)
+    return logits
+
+
+def log_classes(w, state):
+    """Log probability of every class, natural logarithm."""
+    logits = _logits(w, state)
     return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
 
+def log_class(w, state, classes):
+    """Log probability of one class for each state."""
+    logits = _logits(w, state)
+    own = logits[np.arange(len(logits)), classes]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
+
+
 def _learn_window(w, memory, state, inputs, targets, rate):
     """One truncated pass over a window of (steps, lanes); a target below 0 doesn't count."""
     trail, states, grads = [], [], {k: np.zeros_like(v) for k, v in w.items() if k != "input"}
@@ -170,7 +186,9 @@ def _learn_window(w, memory, state, inputs, targets, rate):
     flow, rows, row_grads, before_all = np.zeros_like(state), [], [], []
     hidden, wanted = state.shape[1], targets.ravel()
     after = np.concatenate(states)
-    error = np.exp(log_classes(w, after))
+    error = _logits(w, after)
+    np.exp(error, out=error)
+    error /= error.sum(1, keepdims=True)
     error[np.arange(len(error)), np.maximum(wanted, 0)] -= 1
     error[wanted < 0] = 0
     grads["out"] += after.T @ error
@@ -198,9 +216,10 @@ def _learn_window(w, memory, state, inputs, targets, rate):
         g *= scale
         memory[k] += g * g
         w[k] -= rate * g / np.sqrt(memory[k] + 1e-6)
-    items, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    g = np.zeros((len(items), 3 * hidden), np.float32)
-    np.add.at(g, inverse, row_grads * scale)
+    rows = np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    items, firsts = np.unique(rows[order], return_index=True)
+    g = np.add.reduceat(row_grads[order], firsts) * scale
     memory["input"][items] += g * g
     w["input"][items] -= rate * g / np.sqrt(memory["input"][items] + 1e-6)
     return state
@@ -213,7 +232,7 @@ def learn(w, rows: list[np.ndarray], classes: np.ndarray, rate: float = RATE, wi
     first = len(w["input"]) - 1
     inputs = np.concatenate([np.concatenate([[first], r[:-1]]) for r in rows])
     targets = classes[np.concatenate(rows)]
-    lanes = max(1, min(lanes, len(inputs) // (4 * window)))
+    lanes = max(1, min(lanes, len(inputs) // (16 * window)))  # few documents still make many steps
     learned = len(inputs)
     n = -(-learned // lanes)
     inputs, targets = (np.pad(x, (0, n * lanes - learned), constant_values=v).reshape(lanes, n).T for x, v in ((inputs, first), (targets, -1)))
@@ -316,7 +335,7 @@ def class_scores(w, classes: np.ndarray, items: np.ndarray, starts: np.ndarray,
         n = int(running[t])
         state, _ = step(w, state[:n], read[:n])
         read = items[starts[:n] + t]
-        out[:n] += log_classes(w, state)[np.arange(n), classes[read]]
+        out[:n] += log_class(w, state, classes[read])
     back = np.empty(len(out))
     back[order] = out
     return back / np.log(10)

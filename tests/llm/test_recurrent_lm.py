@@ -146,3 +146,24 @@ def test_learning_lowers_the_loss():
     sizes = np.array([120])
     one, two = (lm.class_scores(x, classes, rows[0], np.array([0]), sizes)[0] for x in (start, w))
     assert n > 3000 and two > 0.6 * one
+
+
+def test_neighbours_stay_in_their_document(spark):
+    docs = spark.createDataFrame([("a b",), ("",), ("b a b",), ("z",)], "text string").coalesce(1)
+    words = [lm.END, b"a", b"b"]
+    rows = docs.mapInArrow(lambda it: lm._neighbours(it, words), "cell long, times long").collect()
+    items, counts = lm.Items(words), {}
+    for r in docs.collect():
+        row = items.row((r.text or "").encode()).tolist()
+        for x, y in zip(row, row[1:]):
+            for item, side, other in ((y, 0, x), (x, 1, y)):
+                if other < 3:
+                    cell = item * 6 + side * 3 + other
+                    counts[cell] = counts.get(cell, 0) + 1
+    assert {r.cell: r.times for r in rows} == counts
+
+
+def test_one_class_of_each_state():
+    w = lm.start_weights(3, np.array([0.2, 0.3, 0.5]), 4)
+    state, classes = np.random.default_rng(1).standard_normal((5, 4)).astype(np.float32), np.array([0, 2, 1, 1, 0])
+    assert np.allclose(lm.log_class(w, state, classes), lm.log_classes(w, state)[np.arange(5), classes], atol=1e-6)
