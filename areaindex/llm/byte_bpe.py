@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import rebatch
+from areaindex.llm.common import rebatch, release_memory
 from areaindex.llm.wordblocks import (
     BLOCK_WORDS,
     PACKED,
@@ -96,7 +96,9 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def _put_together(sequences, packed):
-    """Documents of a block from the ids of its words."""
+    """Documents of a block from the ids of its words.  Each call first gives back what the block before it
+    and earlier tasks of this worker have freed."""
+    release_memory()
     size, flat = unpack_block(packed.column("columns").to_pylist(), 0, True)
     starts = np.cumsum(size) - size
     ids, rows, out = sequences.column("doc_id").to_pylist(), sequences.column("words").to_pylist(), []

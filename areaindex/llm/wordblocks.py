@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from areaindex.llm.common import rebatch, texts
+from areaindex.llm.common import rebatch, release_memory, texts
 
 BLOCK_WORDS = 4_000_000
 
@@ -90,22 +90,26 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.n
 
 
 def _blocks(batches, split, learns, size):
-    """(place, Block) of this partition's blocks."""
+    """(place, [Block]) of this partition's blocks.  The caller takes the block out of its list and drops it
+    before it asks for the next one, so a worker holds one block at a time."""
     part, number, block = TaskContext.get().partitionId(), 0, Block()
     for batch in rebatch(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
             block.add(doc_id, split(text), learns(doc_id))
             if block.size >= size:
-                yield (part << 24) + number, block
-                number, block = number + 1, Block()
+                place, whole, block = (part << 24) + number, [block], Block()
+                number += 1
+                yield place, whole
     if block.ids:
-        yield (part << 24) + number, block
+        yield (part << 24) + number, [block]
 
 
 def _dictionary(batches, split, learns, size):
-    for place, block in _blocks(batches, split, learns, size):
+    for place, whole in _blocks(batches, split, learns, size):
+        block = whole.pop()
         key, words = block.words(place)
         learned = block.counts(len(words))
+        del block
         for i in range(0, len(words), 100_000):
             part = words[i : i + 100_000]
             yield pa.RecordBatch.from_arrays(
@@ -117,17 +121,23 @@ def _dictionary(batches, split, learns, size):
                 ],
                 names=["block", "code", "word", "learned"],
             )
+        del words, learned, part
+    release_memory()
 
 
 def _sequences(batches, split, learns, size):
-    for place, block in _blocks(batches, split, learns, size):
-        key, _ = block.words(place)
+    for place, whole in _blocks(batches, split, learns, size):
+        block = whole.pop()
+        key = block.words(place)[0]
+        block.codes = {}
         for i in range(0, len(block.ids), 500):
             rows = [pack(r) for r in block.rows[i : i + 500]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(rows), key, np.int64)), pa.array(block.ids[i : i + 500], pa.int64()), pa.array(rows, pa.binary())],
                 names=["block", "doc_id", "words"],
             )
+        del block, rows
+    release_memory()
 
 
 def _never(doc_id) -> bool:
@@ -157,6 +167,7 @@ def whole_words(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> It
     """Tables of about ``rows`` rows, cut between words, with the place of each word's first row."""
     held: list[pa.RecordBatch] = []
     n = 0
+    release_memory()
     for batch in batches:
         held.append(batch)
         n += batch.num_rows

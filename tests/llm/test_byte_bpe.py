@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import weakref
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -82,3 +85,24 @@ def test_passes_over_different_documents_do_not_mix(spark, ranks):
     none = pa.table({"block": pa.array([], pa.int64()), "columns": pa.array([], pa.binary())})
     with pytest.raises(ValueError, match="repeatable"):
         bpe._put_together(sequences, none)
+
+
+def test_a_worker_holds_one_block_at_a_time(monkeypatch):
+    held = []
+
+    class Watched(wordblocks.Block):
+        def __init__(self):
+            super().__init__()
+            held.append(weakref.ref(self))
+
+        def add(self, *document):
+            assert sum(block() is not None for block in held) == 1
+            super().add(*document)
+
+    monkeypatch.setattr(wordblocks, "Block", Watched)
+    monkeypatch.setattr(wordblocks.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(30)), "text": [f"a b c{i}" for i in range(30)]})
+    for part in (wordblocks._dictionary, wordblocks._sequences):
+        held.clear()
+        rows = sum(b.num_rows for b in part(iter([batch]), bytes.split, wordblocks._never, 9))
+        assert len(held) > 5 and rows >= 30
