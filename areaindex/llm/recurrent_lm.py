@@ -52,7 +52,10 @@ CLASSES = 64
 HIDDEN = 24
 FEATURES = 256
 WINDOW = 16
-LANES = 128
+LANES = 32
+#: With many tokens, more lanes make larger steps: a lane for so many, up to MOST_LANES.
+LANE_TOKENS = 8192
+MOST_LANES = 128
 ROUNDS = 3
 RATE = 0.08
 
@@ -226,13 +229,14 @@ def _learn_window(w, memory, state, inputs, targets, rate):
 
 
 def learn(w, rows: list[np.ndarray], classes: np.ndarray, rate: float = RATE, window: int = WINDOW, lanes: int = LANES):
-    """Train on documents (item rows): they are laid end to end in ``lanes`` streams."""
+    """Train on documents (item rows): they are laid end to end in ``lanes`` streams, or more where
+    there are many tokens."""
     if not rows:
         return w, 0
     first = len(w["input"]) - 1
     inputs = np.concatenate([np.concatenate([[first], r[:-1]]) for r in rows])
     targets = classes[np.concatenate(rows)]
-    lanes = max(1, min(lanes, len(inputs) // (16 * window)))  # few documents still make many steps
+    lanes = max(1, min(lanes, len(inputs) // (4 * window)), min(MOST_LANES, len(inputs) // LANE_TOKENS))
     learned = len(inputs)
     n = -(-learned // lanes)
     inputs, targets = (np.pad(x, (0, n * lanes - learned), constant_values=v).reshape(lanes, n).T for x, v in ((inputs, first), (targets, -1)))
