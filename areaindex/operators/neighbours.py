@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from areaindex.functions.expr import idw, proportional_change
 from areaindex.operators.pairs import lookup_join, near_pairs, near_pairs_bound, salted_join
@@ -20,6 +21,8 @@ LEAF_PLACES = 16
 FINEST = 40
 # Of a cell's side, what counts as near: partners that near are in the 3 x 3 cells around, rounding included.
 REACH = 0.99
+# For so few items a group, a maximum for each place in the order is cheaper than a list.
+FEW_LOWEST = 8
 # So few open places may look far at once: each meets at most all places.
 FEW_OPEN = 1000
 
@@ -29,12 +32,12 @@ def _lowest(df: DataFrame, by: Sequence[str], item: str, k: int, name: str) -> D
     if k == 1:
         return df.groupBy(*by).agg(F.array(F.min(item)).alias(name))
     order = F.row_number().over(W.partitionBy(*by).orderBy(item))
-    return (
-        df.withColumn("_order", order)
-        .filter(F.col("_order") <= k)
-        .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(item)).alias(name))
-    )
+    lowest = df.withColumn("_order", order).filter(F.col("_order") <= k).groupBy(*by)
+    if k <= FEW_LOWEST and not isinstance(df.schema[item].dataType, StructType):
+        # Numbers and dates aggregate in a hash table, lists in objects that are sorted beyond a few groups.
+        placed = [F.max(F.when(F.col("_order") == i, F.col(item))) for i in range(1, k + 1)]
+        return lowest.agg(F.array_compact(F.array(*placed)).alias(name))
+    return lowest.agg(F.array_sort(F.collect_list(item)).alias(name))
 
 
 class Quadtree:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +16,19 @@ from areaindex.operators.neighbours import band_lag, band_limit, neighbour_share
 from areaindex.operators.order_stats import group_medians
 from areaindex.operators.reshape import spread
 from areaindex.plans.income import income_shares, low_quality
-from areaindex.plans.profile import area_profile, group_benchmarks, quality_flag, rent_gap
+from areaindex.plans.profile import BENCHMARKS, area_profile, group_benchmarks, quality_flag, rent_gap
 from areaindex.plans.rent import (
     burden_totals,
     rent_burden_cells,
     rent_burden_measures,
     rent_change,
     rent_medians,
-    split_cells,
+    split_landed_cells,
 )
 from areaindex.plans.scoring import (
     DEFAULT,
+    FLAG_INPUTS,
+    TIER_INPUTS,
     Thresholds,
     pressure_flags,
     scenario_one,
@@ -75,21 +77,27 @@ def big_city_ids(
     return found.distinct()
 
 
+def _carried(df: DataFrame, needed: Collection[str], keep: Collection[str] | None) -> DataFrame:
+    """The columns that later steps need or that are to be kept; all of them where ``keep`` is None."""
+    return df if keep is None else df.select(*[c for c in df.columns if c in needed or c in keep])
+
+
 def score(
     df: DataFrame,
     neighbour_edges: DataFrame,
     t: Thresholds = DEFAULT,
     by: str = "county",
     area_id: str = "geoid",
+    keep: Collection[str] | None = None,
 ) -> DataFrame:
     """Benchmarks, flags, scenarios and tiers for one row per area that already carries profile,
-    burden measures, lags, tr_dq and big_city."""
+    burden measures, lags, tr_dq and big_city.  ``keep`` as in ``assess``."""
     flagged = group_benchmarks(df, by)
     flagged = pressure_flags(vulnerability_flags(flagged, t))
     scored = scenario_three(scenario_one(flagged, t), t)
-    scored = land(scored, "scored")
+    scored = land(_carried(scored, [area_id, *TIER_INPUTS], keep), "scored", dictionary=False)
     # The lag counts the edges by neighbour and joins them: two passes.
-    neighbour_edges = land(neighbour_edges, "edges")
+    neighbour_edges = land(neighbour_edges, "edges", dictionary=False)
     return tiers(neighbour_share(scored, neighbour_edges, "scen1_VLI50RB", area_id), t)
 
 
@@ -106,9 +114,14 @@ def assess(
     by: str = "county",
     area_id: str = "geoid",
     band: float | None = None,
+    keep: Collection[str] | None = None,
 ) -> DataFrame:
     """One scored row per area.
 
+    With ``keep`` the result has these columns, the flags, scenarios and tiers, and those that they come from.  Every
+    step runs as without it, but other columns are not carried through the tables that are landed between the
+    steps, across which Catalyst can't prune.
+
     The distance band is searched by place and never listed; with a band as wide as the map, its
     work still grows with the pairs of places within it, as the lag is defined over them.
 
@@ -120,8 +133,8 @@ def assess(
     # One positions table for all group medians of the input columns.
     medians = group_medians(wide, [by], {"co_mhhinc": "mhhinc", **rent_medians()})
     wide = attach_group(wide, medians, [by])
-    income = land(income_shares(wide, area_id, [by]), "income")
-    cells = land(split_cells(burden), "cells")
+    income = land(income_shares(wide, area_id, [by]), "income", dictionary=False)
+    cells = split_landed_cells(land(burden, "cells"))
     totals = natural_left_join(burden_totals(cells, area_id), income.select(area_id, by), [area_id])
     measures = rent_burden_measures(
         rent_burden_cells(cells, income.select(area_id, "co_mhhinc"), area_id), totals, [by], area_id
@@ -130,16 +143,17 @@ def assess(
     base = reduce_left_join([rent, income.drop(by, "mhhinc"), measures.drop(by)], [area_id])
     if neigh_type is not None:
         base = natural_left_join(base, neigh_type, [area_id])
-    base = land(natural_left_join(base, points, [area_id]), "base")
+    base = area_profile(natural_left_join(base, points, [area_id]))
+    inputs = [area_id, by, *FLAG_INPUTS, *BENCHMARKS.values()]
+    base = land(_carried(base, [*inputs, *LAGGED, "x", "y"], keep), "base", dictionary=False)
 
     d2 = band_limit(points, band_factor, area_id) if band is None else band
     lagged = band_lag(base, d2, LAGGED).withColumnRenamed("medrent_lag", "tr_medrent_lag")
-    profiled = area_profile(rent_gap(lagged, "medrent", "tr_medrent_lag")).withColumn(
-        "tr_medrent", F.col("medrent")
-    )
+    profiled = rent_gap(lagged, "medrent", "tr_medrent_lag").withColumn("tr_medrent", F.col("medrent"))
     profiled = quality_flag(profiled, low_quality_ids, area_id)
     profiled = flag_in(profiled, big_city, area_id, "big_city")
-    return score(land(profiled, "profiled"), neighbour_edges, t, by, area_id)
+    profiled = land(_carried(profiled, inputs, keep), "profiled", dictionary=False)
+    return score(profiled, neighbour_edges, t, by, area_id, keep)
 
 
 def assess_estimates(

@@ -19,6 +19,7 @@ from areaindex.functions.expr import (
 from areaindex.operators.columns import separate
 from areaindex.operators.groups import INCOME_LIMITS, with_group_median
 from areaindex.operators.joins import natural_left_join
+from areaindex.operators.pairs import lookup_join
 from areaindex.sources.landing import land
 
 # Burden classes of at least 30 % and at least 50 % of income.
@@ -31,6 +32,13 @@ def split_cells(cells: DataFrame) -> DataFrame:
     return separate(cells, "variable", ["ir_type", "rb", "income"])
 
 
+def split_landed_cells(cells: DataFrame) -> DataFrame:
+    """``split_cells`` of a landed table: each name is split once, however many areas have it."""
+    names = cells.select("variable").distinct().withColumn("_name", F.col("variable"))
+    split = split_cells(names).withColumnRenamed("_name", "variable")
+    return lookup_join(cells, split, ["variable"]).drop("variable")
+
+
 def burden_totals(split: DataFrame, area_id: str = "geoid") -> DataFrame:
     total = split.filter((F.col("rb") == "tot") & (F.col("income") == "tot"))
     return total.groupBy(area_id).agg(sum0("estimate").alias("tot_ir"))

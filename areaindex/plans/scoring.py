@@ -25,6 +25,17 @@ class Thresholds:
 
 DEFAULT = Thresholds()
 
+# Columns that the rules below read, but for the group benchmarks and their own results.
+FLAG_INPUTS = [
+    "tr_pstudents", "tr_population", "tr_VLI_prop", "tr_prenters", "tr_pPOC", "tr_pchrent", "tr_pchrent_lag",
+    "tr_rentgapprop", "big_city", "tr_dq",
+    *[c for k in ("LI_30", "LI_50", "VLI_30", "VLI_50") for c in (f"tr_ir{k}p", f"co_ir{k}_med")],
+]
+TIER_INPUTS = [
+    "tr_pstudents", "tr_population", "big_city", "tr_dq", "v_VLI", "v_Renters", "v_RB50VLI", "v_POC",
+    "scen1_VLI50RB", "scen3_VLI50RB",
+]
+
 # Tier labels.
 POOR_QUALITY = "Poor Data Quality"
 HEIGHTENED = "Heightened Sensitivity"

@@ -16,12 +16,13 @@ from areaindex.registry.spatial import city_layers, nations
 from areaindex.sources import land, scratch_dir, write_features
 
 
-def scored(spark, sf):
-    """All areas scored: one pass over lineitem, and neighbours that share a vertex of their polygons."""
+def scored(spark, sf, keep=None):
+    """All areas scored: one pass over lineitem, and neighbours that share a vertex of their polygons.  ``keep``
+    names the columns beside the flags and tiers that the query reads; without it all are carried."""
     points = land(core.points(spark, sf), "points")
     d2 = band_limit(points, BAND_FACTOR, "area_key")
     edges = contiguity(core.area_vertex(spark, sf))
-    sales = land(core.sales_by_area(spark, sf), "sales")
+    sales = land(core.sales_by_area(spark, sf), "sales", dictionary=False)
     keyed = (
         core.area_wide(spark, sf, sales)
         .drop("x", "y")
@@ -31,7 +32,7 @@ def scored(spark, sf):
     )
     types = keyed.select("area_key", "neigh_type")
     return assess.assess(
-        wide=land(profile_inputs(keyed.drop("neigh_type")), "wide"),
+        wide=land(profile_inputs(keyed.drop("neigh_type")), "wide", dictionary=False),
         burden=core.burden_long(spark, sf),
         low_quality_ids=income.low_quality(core.acs_long(spark, sf, sales), "v1", 0.6, "area_key"),
         big_city=assess.big_city_ids(points, city_layers(spark, sf), "area_key"),
@@ -40,6 +41,7 @@ def scored(spark, sf):
         neigh_type=types,
         area_id="area_key",
         band=d2,
+        keep=keep,
     )
 
 
@@ -95,12 +97,12 @@ FROM scen3""",
 
 @query("scenario_one", f"SELECT area_key, {R('tr_POC_rank=poc_rank')}, scen1 AS scen1_VLI50RB FROM scen1", ["scen1"])
 def scenario_one(spark, sf):
-    return rounded(scored(spark, sf).select("area_key", "tr_POC_rank", "scen1_VLI50RB"))
+    return rounded(scored(spark, sf, ["tr_POC_rank"]).select("area_key", "tr_POC_rank", "scen1_VLI50RB"))
 
 
 @query("scenario_three", "SELECT area_key, big_city, scen3 AS scen3_VLI50RB FROM scen3", ["scen3"])
 def scenario_three(spark, sf):
-    return scored(spark, sf).select("area_key", "big_city", "scen3_VLI50RB")
+    return scored(spark, sf, []).select("area_key", "big_city", "scen3_VLI50RB")
 
 
 @query(
@@ -109,7 +111,7 @@ def scenario_three(spark, sf):
     ["tiered"],
 )
 def tiers(spark, sf):
-    out = scored(spark, sf).select("area_key", "tr_dq", "scen1_VLI50RB_lag", "tier1", "tier2", "tier3")
+    out = scored(spark, sf, []).select("area_key", "tr_dq", "scen1_VLI50RB_lag", "tier1", "tier2", "tier3")
     return rounded(out)
 
 
@@ -119,7 +121,7 @@ def tiers(spark, sf):
     ["tiered"],
 )
 def tier_counts(spark, sf):
-    return export.tier_counts(scored(spark, sf))
+    return export.tier_counts(scored(spark, sf, ["tr_population"]))
 
 
 @query(
@@ -130,7 +132,7 @@ FROM tiered GROUP BY neigh_type""",
     ["tiered"],
 )
 def type_shares(spark, sf):
-    return export.type_shares(scored(spark, sf))
+    return export.type_shares(scored(spark, sf, ["neigh_type"]))
 
 
 core.SQL_VIEWS["benched"] = (
@@ -160,7 +162,7 @@ FROM benched b LEFT JOIN (SELECT county, {", ".join(f"median({c}) AS {k}" for k,
 )
 def group_benchmarks(spark, sf):
     """The rank and all ten medians, as the scored table carries them."""
-    return rounded(scored(spark, sf).select("geoid", "tr_POC_rank", *BENCHMARKS))
+    return rounded(scored(spark, sf, ["geoid", "tr_POC_rank", *BENCHMARKS]).select("geoid", "tr_POC_rank", *BENCHMARKS))
 
 
 _GROUPED = {"BUILDING": "White-Shared", "HOUSEHOLD": "All White", "MACHINERY": "Asian-Shared", "FURNITURE": "Integrated"}
@@ -176,7 +178,7 @@ FROM (SELECT *, CASE WHEN neigh_type IN ('BUILDING', 'HOUSEHOLD') THEN 'Mostly W
 )
 def type_group_shares(spark, sf):
     """The segments stand for four of the published types; the fifth is in no group."""
-    df = scored(spark, sf)
+    df = scored(spark, sf, ["neigh_type"])
     named = F.coalesce(*[F.when(F.col("neigh_type") == s, t) for s, t in _GROUPED.items()], "neigh_type")
     return export.type_group_shares(df.withColumn("neigh_type", named))
 
@@ -194,7 +196,7 @@ def tier_medians(spark, sf):
 
 @query("small_areas", "SELECT count(*) AS n FROM tiered WHERE population < 500", ["tiered"])
 def small_areas(spark, sf):
-    return export.small_areas(scored(spark, sf))
+    return export.small_areas(scored(spark, sf, ["tr_population"]))
 
 
 @query(
@@ -213,7 +215,7 @@ def small_areas(spark, sf):
     ["tiered"],
 )
 def tier_summary(spark, sf):
-    return rounded(export.tier_summary(scored(spark, sf)))
+    return rounded(export.tier_summary(scored(spark, sf, ["tr_pPOC", "tr_prenters", "tr_VLI_prop", "tr_irVLI_50p", "tr_pchrent"])))
 
 
 # ------------------------------------------------------------------ formats
@@ -344,7 +346,7 @@ def final_projection(spark, sf):
 
 @query("popup_text", "SELECT geoid, popup FROM popups", ["popups"])
 def popup_text(spark, sf):
-    return scored(spark, sf).select("geoid", export.popup().alias("popup"))
+    return scored(spark, sf, export.POPUP_COLUMNS).select("geoid", export.popup().alias("popup"))
 
 
 @query(
@@ -444,7 +446,7 @@ def scored_layers(spark, sf):
     vertices = core.area_vertex(spark, sf)
     stops = core.areas(spark, sf).select(F.col("area_key").alias("geo_id"), F.col("neigh_type").alias("label"))
     return export.feature_layers(
-        scored(spark, sf), vertices, stops, vertices, labels={"Bus": "MACHINERY", "Rail": "BUILDING"}, area_id="area_key"
+        scored(spark, sf, export.POPUP_COLUMNS), vertices, stops, vertices, labels={"Bus": "MACHINERY", "Rail": "BUILDING"}, area_id="area_key"
     )
 
 

@@ -3,8 +3,15 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from areaindex.plans import export
-from areaindex.plans.rent import burden_totals, rent_burden_cells, rent_burden_measures, rent_change, split_cells
+from areaindex.plans import assess, export
+from areaindex.plans.rent import (
+    burden_totals,
+    rent_burden_cells,
+    rent_burden_measures,
+    rent_change,
+    split_cells,
+    split_landed_cells,
+)
 from areaindex.plans.scoring import pressure_flags, scenario_one, scenario_three, tiers
 
 FLAGS = ["v_VLI", "v_Renters", "v_RB50VLI", "v_POC", "dp_PChRent", "dp_RentGap", "big_city", "tr_dq"]
@@ -189,3 +196,34 @@ def test_popup(spark):
     assert text.endswith("<b>Other</b><br>5.0%<br>")
     gone = df.withColumn("tr_rentgap", F.lit(None).cast("double"))
     assert gone.select(export.popup()).first()[0] is None
+
+
+def test_each_cell_name_is_split_once(spark, rows, monkeypatch):
+    from areaindex.plans import rent
+
+    names = ["ir_5plus_9999", "ir_tot_tot", "ir_19", "", None]
+    data = [(g, n, e) for g in ("a", "b", "b", None) for n in names for e in (1.0, None)]
+    df = spark.createDataFrame(data, "geoid string, variable string, estimate double")
+    want, split, seen = rows(split_cells(df)), rent.split_cells, []
+    monkeypatch.setattr(rent, "split_cells", lambda names: seen.append(names.count()) or split(names))
+    got = split_landed_cells(df)
+    assert got.columns == split_cells(df).columns and rows(got) == want and seen == [len(names)]
+
+
+def test_columns_that_nothing_reads_are_not_landed(spark, rows, monkeypatch):
+    """A narrow result equals the wide one's columns, and estimates don't go from step to step for it."""
+    from areaindex.registry import outputs
+
+    small, landed, land = "/root/testdata/sf0.001", {}, assess.land
+    wide = outputs.scored(spark, small).select("area_key", "tr_POC_rank", "scen1_VLI50RB_lag", "tier1", "tier2", "tier3")
+
+    def recorded(df, name="table", **options):
+        landed[name] = df.columns
+        return land(df, name, **options)
+
+    monkeypatch.setattr(assess, "land", recorded)
+    narrow = outputs.scored(spark, small, ["tr_POC_rank"])
+    assert rows(narrow.select(wide.columns)) == rows(wide)
+    for name in ("base", "profiled", "scored"):
+        assert not {"race_tot", "v1", "tr_punemp", "HHInc_10"} & set(landed[name]), name
+    assert "tr_POC_rank" in landed["scored"] and "tr_pPOC" not in landed["scored"]

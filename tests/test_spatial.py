@@ -207,6 +207,20 @@ def test_rounds_do_not_grow_with_a_dense_cluster(spark, rows, monkeypatch):
     assert rounds[1e-7] <= rounds[1e-2] <= 4
 
 
+def test_lowest_ids_without_lists(spark, rows):
+    """Few lowest numbers of a group come from a hash table; the same rows as from lists, missing ids left out."""
+    data = [(i % 7, i) for i in range(40)] + [(1, 1), (1, 1), (2, None), (9, None)]
+    df = spark.createDataFrame(data, "g int, id long")
+    for k in (2, 3, nb.FEW_LOWEST + 1):
+        got = nb._lowest(df, ["g"], "id", k, "ids")
+        want = []
+        for g in sorted({g for g, _ in data}):
+            ids = sorted((i for h, i in data if h == g), key=lambda i: (i is not None, i or 0))[:k]
+            want.append((g, [i for i in ids if i is not None]))
+        assert rows(got, "g") == want
+        assert ("collect_list" in _plan(got)) == (k > nb.FEW_LOWEST)
+
+
 def test_nearest_of_few_points(spark, rows):
     schema = "geo_id int, x double, y double"
     assert nb.knn(spark.createDataFrame([(1, 0.0, 0.0)], schema)).count() == 0
