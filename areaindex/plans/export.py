@@ -121,12 +121,12 @@ def _popup_parts() -> list:
     ]
 
 
-POPUP_COLUMNS = [
+POPUP_COLUMNS = (
     "geoid", "neigh_type", "tr_population", "tr_households", "v_VLI", "tr_VLI_prop", "co_VLI_prop", "tr_pstudents",
     "v_POC", "tr_pPOC", "co_pPOC", "v_Renters", "tr_prenters", "co_prenters", "v_RB50VLI", "tr_irVLI_50p", "co_irVLI_50p",
     "dp_PChRent", "tr_pchrent", "tr_pchrent_lag", "co_pchrent", "dp_RentGap", "tr_rentgap", "co_rentgap",
     "tr_medrent", "tr_medrent_lag", "tr_pWhite", "tr_pBlack", "tr_pAsian", "tr_pLatinx", "tr_pOther",
-]
+)
 
 
 def popup() -> Column:

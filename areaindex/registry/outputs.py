@@ -97,12 +97,12 @@ FROM scen3""",
 
 @query("scenario_one", f"SELECT area_key, {R('tr_POC_rank=poc_rank')}, scen1 AS scen1_VLI50RB FROM scen1", ["scen1"])
 def scenario_one(spark, sf):
-    return rounded(scored(spark, sf, ["tr_POC_rank"]).select("area_key", "tr_POC_rank", "scen1_VLI50RB"))
+    return rounded(scored(spark, sf, ("tr_POC_rank",)).select("area_key", "tr_POC_rank", "scen1_VLI50RB"))
 
 
 @query("scenario_three", "SELECT area_key, big_city, scen3 AS scen3_VLI50RB FROM scen3", ["scen3"])
 def scenario_three(spark, sf):
-    return scored(spark, sf, []).select("area_key", "big_city", "scen3_VLI50RB")
+    return scored(spark, sf, ()).select("area_key", "big_city", "scen3_VLI50RB")
 
 
 @query(
@@ -111,7 +111,7 @@ def scenario_three(spark, sf):
     ["tiered"],
 )
 def tiers(spark, sf):
-    out = scored(spark, sf, []).select("area_key", "tr_dq", "scen1_VLI50RB_lag", "tier1", "tier2", "tier3")
+    out = scored(spark, sf, ()).select("area_key", "tr_dq", "scen1_VLI50RB_lag", "tier1", "tier2", "tier3")
     return rounded(out)
 
 
@@ -121,7 +121,7 @@ def tiers(spark, sf):
     ["tiered"],
 )
 def tier_counts(spark, sf):
-    return export.tier_counts(scored(spark, sf, ["tr_population"]))
+    return export.tier_counts(scored(spark, sf, ("tr_population",)))
 
 
 @query(
@@ -132,7 +132,7 @@ FROM tiered GROUP BY neigh_type""",
     ["tiered"],
 )
 def type_shares(spark, sf):
-    return export.type_shares(scored(spark, sf, ["neigh_type"]))
+    return export.type_shares(scored(spark, sf, ("neigh_type",)))
 
 
 core.SQL_VIEWS["benched"] = (
@@ -162,7 +162,7 @@ FROM benched b LEFT JOIN (SELECT county, {", ".join(f"median({c}) AS {k}" for k,
 )
 def group_benchmarks(spark, sf):
     """The rank and all ten medians, as the scored table carries them."""
-    return rounded(scored(spark, sf, ["geoid", "tr_POC_rank", *BENCHMARKS]).select("geoid", "tr_POC_rank", *BENCHMARKS))
+    return rounded(scored(spark, sf, ("geoid", "tr_POC_rank", *BENCHMARKS)).select("geoid", "tr_POC_rank", *BENCHMARKS))
 
 
 _GROUPED = {"BUILDING": "White-Shared", "HOUSEHOLD": "All White", "MACHINERY": "Asian-Shared", "FURNITURE": "Integrated"}
@@ -178,7 +178,7 @@ FROM (SELECT *, CASE WHEN neigh_type IN ('BUILDING', 'HOUSEHOLD') THEN 'Mostly W
 )
 def type_group_shares(spark, sf):
     """The segments stand for four of the published types; the fifth is in no group."""
-    df = scored(spark, sf, ["neigh_type"])
+    df = scored(spark, sf, ("neigh_type",))
     named = F.coalesce(*[F.when(F.col("neigh_type") == s, t) for s, t in _GROUPED.items()], "neigh_type")
     return export.type_group_shares(df.withColumn("neigh_type", named))
 
@@ -196,7 +196,7 @@ def tier_medians(spark, sf):
 
 @query("small_areas", "SELECT count(*) AS n FROM tiered WHERE population < 500", ["tiered"])
 def small_areas(spark, sf):
-    return export.small_areas(scored(spark, sf, ["tr_population"]))
+    return export.small_areas(scored(spark, sf, ("tr_population",)))
 
 
 @query(
@@ -215,7 +215,7 @@ def small_areas(spark, sf):
     ["tiered"],
 )
 def tier_summary(spark, sf):
-    return rounded(export.tier_summary(scored(spark, sf, ["tr_pPOC", "tr_prenters", "tr_VLI_prop", "tr_irVLI_50p", "tr_pchrent"])))
+    return rounded(export.tier_summary(scored(spark, sf, ("tr_pPOC", "tr_prenters", "tr_VLI_prop", "tr_irVLI_50p", "tr_pchrent"))))
 
 
 # ------------------------------------------------------------------ formats
