@@ -26,11 +26,10 @@ def scored(spark, sf, keep=None):
     keyed = (
         core.area_wide(spark, sf, sales)
         .drop("x", "y")
-        .join(core.area_income(spark, sf).hint("merge"), "area_key", "left")
-        .join(core.income_wide(spark, sf).hint("merge"), "area_key", "left")
+        .join(core.incomes_by_area(spark, sf).hint("merge"), "area_key", "left")
         .join(core.rent(spark, sf, sales).withColumnRenamed("medrent17", "medrent").hint("merge"), "area_key", "left")
     )
-    types = keyed.select("area_key", "neigh_type")
+    types = core.areas(spark, sf).select("area_key", "neigh_type")
     return assess.assess(
         wide=land(profile_inputs(keyed.drop("neigh_type")), "wide", dictionary=False),
         burden=core.burden_long(spark, sf),

@@ -13,6 +13,7 @@ from areaindex.plans.rent import (
     split_landed_cells,
 )
 from areaindex.plans.scoring import pressure_flags, scenario_one, scenario_three, tiers
+from areaindex.registry import core
 
 FLAGS = ["v_VLI", "v_Renters", "v_RB50VLI", "v_POC", "dp_PChRent", "dp_RentGap", "big_city", "tr_dq"]
 
@@ -227,3 +228,52 @@ def test_columns_that_nothing_reads_are_not_landed(spark, rows, monkeypatch):
     for name in ("base", "profiled", "scored"):
         assert not {"race_tot", "v1", "tr_punemp", "HHInc_10"} & set(landed[name]), name
     assert "tr_POC_rank" in landed["scored"] and "tr_pPOC" not in landed["scored"]
+
+
+def _sold(spark, folder):
+    """Orders and lines of customers with no, one, two and many prices, and of no customer; 1998 is of no vintage."""
+    spark.createDataFrame(
+        [(o, c, t) for o, c, t in [(1, 1, 30000.0), (2, 1, None), (3, 2, 9.0), (4, None, 50001.0), (5, 3, 700000.0), (6, 1, 30003.0), (7, 4, 1.0)]],
+        "o_orderkey long, o_custkey long, o_totalprice double",
+    ).write.parquet(f"{folder}/orders.parquet")
+    lines = [
+        (1, 1, 2.0, 21.0, 0.02, 1995), (1, 2, 1.0, 7.5, 0.04, 1995), (2, 1, 4.0, 400.0, 0.0, 1996), (6, 1, 1.0, 9.0, 0.01, 1997),
+        (6, 3, 0.0, 9.0, 0.01, 1998), (6, 7, 3.0, None, 0.08, 1999), (3, 1, 5.0, 60.0, 0.03, 1999), (3, 2, 5.0, 75.0, 0.03, 2001),
+        (4, 1, 1.0, 3.0, None, 1992), (4, 2, 1.0, 4.0, 0.05, 1992), (5, 1, 1.0, 3.0, 0.05, None), (9, 1, 1.0, 3.0, 0.05, 1995),
+    ]
+    lines = spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, y int"
+    )
+    lines.selectExpr("* EXCEPT (y)", "CAST(make_date(y, 6, 1) AS timestamp_ntz) AS l_shipdate").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("hot_orders", [0, 1, 250_000])
+def test_customers_by_their_rows_hot_or_not(spark, tmp_path, rows, hot_orders):
+    sf = _sold(spark, tmp_path)
+    sales = core.sales_by_area(spark, sf, hot_orders)
+    margin = F.col("l_quantity") * F.round(F.col("l_tax") * 100).cast("int")
+    year, price = F.year("l_shipdate"), F.floor(F.col("l_extendedprice") / F.col("l_quantity"))
+    lines = [
+        f(F.when(F.col("l_linenumber") == i, c)) for i in range(1, 8) for f, c in ((F.sum, F.col("l_quantity")), (F.sum, margin), (F.count, F.lit(1)))
+    ]
+    medians = [F.median(F.when(year <= 1997, price)), F.median(F.when(year >= 1999, price))]
+    want = rows(core._sales(spark, sf).groupBy("o_custkey").agg(*lines, *medians))
+    assert rows(sales) == want and len(want) == 4
+    assert [t for _, t in sales.dtypes[-2:]] == ["double", "double"]
+    assert (1, 9.5, None) in [(r.o_custkey, r.medrent12, r.m17) for r in sales.collect()]
+    incomes = core.incomes_by_area(spark, sf, hot_orders)
+    # A missing area meets no area, so only the others are compared.
+    apart = core.area_income(spark, sf).join(core.income_wide(spark, sf), "area_key", "full")
+    assert incomes.dtypes == apart.dtypes
+    assert rows(incomes.filter("area_key IS NOT NULL")) == rows(apart.filter("area_key IS NOT NULL"))
+
+
+def test_customers_are_not_aggregated_before_their_rows_meet(spark, tmp_path):
+    """Medians of parts were sent as tables of values, for hardly fewer parts than rows."""
+    for df in (core.sales_by_area(spark, _sold(spark, tmp_path)), core.rent(spark, str(tmp_path)), core.incomes_by_area(spark, str(tmp_path))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan and "median" not in plan.lower().replace("medrent", "")
+        aggregates = [i for i, line in enumerate(plan.splitlines()) if "Aggregate" in line]
+        exchanges = [i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning(o_custkey" in line]
+        assert exchanges and max(aggregates) < min(exchanges)
