@@ -17,22 +17,24 @@ from areaindex.sources import land, scratch_dir, write_features
 
 
 def scored(spark, sf, keep=None):
-    """All areas scored: one pass over lineitem, and neighbours that share a vertex of their polygons.  ``keep``
+    """All areas scored: one pass over lineitem, one over orders, and neighbours that share a vertex of their polygons.  ``keep``
     names the columns beside the flags and tiers that the query reads; without it all are carried."""
     points = land(core.points(spark, sf), "points")
     d2 = band_limit(points, BAND_FACTOR, "area_key")
     edges = contiguity(core.area_vertex(spark, sf))
-    sales = land(core.sales_by_area(spark, sf), "sales", dictionary=False)
+    hot = core.hot_customers(spark, sf)
+    sales = land(core.sales_by_area(spark, sf, hot=hot), "sales", dictionary=False)
+    orders = land(core.orders_by_area(spark, sf, hot=hot), "orders")
     keyed = (
         core.area_wide(spark, sf, sales)
         .drop("x", "y")
-        .join(core.incomes_by_area(spark, sf).hint("merge"), "area_key", "left")
+        .join(core.incomes_by_area(spark, sf, orders=orders).hint("merge"), "area_key", "left")
         .join(core.rent(spark, sf, sales).withColumnRenamed("medrent17", "medrent").hint("merge"), "area_key", "left")
     )
     types = core.areas(spark, sf).select("area_key", "neigh_type")
     return assess.assess(
         wide=land(profile_inputs(keyed.drop("neigh_type")), "wide", dictionary=False),
-        burden=core.burden_long(spark, sf),
+        burden=core.burden_long(spark, sf, orders),
         low_quality_ids=income.low_quality(core.acs_long(spark, sf, sales), "v1", 0.6, "area_key"),
         big_city=assess.big_city_ids(points, city_layers(spark, sf), "area_key"),
         points=points,

@@ -277,3 +277,25 @@ def test_customers_are_not_aggregated_before_their_rows_meet(spark, tmp_path):
         aggregates = [i for i, line in enumerate(plan.splitlines()) if "Aggregate" in line]
         exchanges = [i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning(o_custkey" in line]
         assert exchanges and max(aggregates) < min(exchanges)
+
+
+@pytest.mark.parametrize("hot_orders", [0, 1, 250_000])
+def test_burden_cells_come_with_the_incomes(spark, tmp_path, rows, hot_orders):
+    """One pass over orders gives what three gave."""
+    data = [(c, p, t) for c in (1, 2, 2, None) for p in ("1-URGENT", "2-HIGH", "4-NOT", "5-LOW", "", None) for t in (39999.0, 40000.0, 9e5, None)]
+    orders = spark.createDataFrame(data, "o_custkey long, o_orderpriority string, o_totalprice double")
+    orders.withColumn("o_orderkey", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/orders.parquet")
+    sf = str(tmp_path)
+    both = core.orders_by_area(spark, sf, hot_orders)
+    assert core.burden_long(spark, sf, both).dtypes == core.burden_long(spark, sf).dtypes
+    assert rows(core.burden_long(spark, sf, both)) == rows(core.burden_long(spark, sf))
+    assert rows(core.incomes_by_area(spark, sf, orders=both)) == rows(core.incomes_by_area(spark, sf, hot_orders))
+
+
+def test_hot_customers_are_looked_for_once(spark, rows, monkeypatch):
+    from areaindex.registry import outputs
+
+    seen, land = [], core.land
+    monkeypatch.setattr(core, "land", lambda df, name="table", **options: seen.append(name) or land(df, name, **options))
+    outputs.scored(spark, "/root/testdata/sf0.001", ())
+    assert seen.count("hot-customers") == 1
