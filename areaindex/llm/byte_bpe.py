@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import rebatch, release_memory
+from areaindex.llm.common import rebatch, release_memory, trimmed
 from areaindex.llm.wordblocks import (
     BLOCK_WORDS,
     PACKED,
@@ -118,7 +118,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words:
     dictionary, sequences = word_blocks(docs, splitter(pattern), size=block_words)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, not data
     words = by_word(dictionary.select("block", "code", "word"))
-    packed = words.mapInArrow(lambda it: _encode_words(it, sent.value), PACKED)
+    packed = words.mapInArrow(lambda it: trimmed(_encode_words(it, sent.value)), PACKED)
 
     def put_together(s: pa.Table, w: pa.Table) -> pa.Table:
         return _put_together(s, w)
@@ -149,7 +149,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     table = {rank: token for token, rank in ranks.items()}
     sent = encoded.sparkSession.sparkContext.broadcast(table)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(lambda it: _decode_batches(it, sent.value), f"{names}, decoded binary")
+    return encoded.mapInArrow(lambda it: trimmed(_decode_batches(it, sent.value)), f"{names}, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

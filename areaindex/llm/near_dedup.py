@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaindex.llm.common import BROADCAST_CELLS, join_small, land, numbered, rebatch, space_words, texts, without
+from areaindex.llm.common import BROADCAST_CELLS, join_small, land, numbered, rebatch, space_words, texts, trimmed, without
 from areaindex.llm.graph import components
 
 SHINGLE = 5
@@ -204,7 +204,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, need: int, s
     both = both.withColumn("u", union).withColumn("c", F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")))
     likely = both.filter(F.when(F.size("u") < sketch, 100 * F.col("c") >= percent * F.size("u")).otherwise(F.col("c") >= need)).select("a", "b")
     with_text = likely.join(rows.toDF("a", "text_a"), "a").join(rows.toDF("b", "text_b"), "b")
-    return land(with_text.mapInArrow(lambda it: _linked(it, size, percent), "a long, b long"), "links")
+    return land(with_text.mapInArrow(lambda it: trimmed(_linked(it, size, percent)), "a long, b long"), "links")
 
 
 def _can_link(percent: int):
@@ -238,14 +238,14 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sketch: int = SKETCH, fine: int = FINE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = land(rows.mapInArrow(lambda it: _sketches(it, size, sketch), SKETCHES), "sketches")
+    sketches = land(rows.mapInArrow(lambda it: trimmed(_sketches(it, size, sketch)), SKETCHES), "sketches")
     same = ["n_shingles", "print1", "print2"]
     usable = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = land(usable.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     able = _entries(classes, least_common(sketch, percent), percent).select(F.col("doc").alias("doc_id")).distinct()
     able = land(able, "able")
     texts_of = land(join_small(rows, able, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]), "texts")
-    finer = land(texts_of.mapInArrow(lambda it: _finer(it, size, fine), FINER), "finer")
+    finer = land(texts_of.mapInArrow(lambda it: trimmed(_finer(it, size, fine)), FINER), "finer")
     need = least_common(fine, percent)
     entries = _entries(finer, need, percent).join(finer.drop("sketch"), "doc")
 

@@ -1,6 +1,8 @@
 import random
+import weakref
 
 from llm import brute
+import pyarrow as pa
 import pytest
 
 from areaindex.llm import common, suffix_dedup
@@ -81,3 +83,27 @@ def test_removal_keeps_columns_and_rows(odd_documents, odd_rows):
     texts = [(t or "").encode() for _, t in odd_rows]
     want = {d: brute.cut(b, s).decode("utf-8", "ignore") if t is not None else None for (d, t), b, s in zip(odd_rows, texts, brute.spans(texts), strict=True)}
     assert {r.doc_id: r.text for r in got.collect()} == want and got.count() == len(odd_rows)
+
+
+def test_texts_are_cut_a_few_at_a_time():
+    """A batch of Spark's is cut in parts of bounded size, whose texts and copies a worker holds."""
+    n, text = 64, "x" * (suffix_dedup.CUT_BYTES // 16)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [text] * n, "_spans": [[{"a": 0, "b": i}] for i in range(n)]})
+    cut = list(suffix_dedup._kept_texts(iter([batch]), "_spans"))
+    assert len(cut) > 2 and max(b.nbytes for b in cut) < 2 * suffix_dedup.CUT_BYTES
+    assert [t for b in cut for t in b.column("text").to_pylist()] == [text[i:] for i in range(n)]
+    assert [i for b in suffix_dedup._digests(iter([batch.rename_columns(["doc_id", "text", "spans"])])) for i in b.column("doc_id").to_pylist()] == list(range(n))
+
+
+def test_memory_goes_back_once_a_task_has_dropped_its_own(monkeypatch):
+    class Held:
+        pass
+
+    def task():
+        held = Held()
+        gone.append(weakref.ref(held))
+        yield 1
+
+    gone, left = [], []
+    monkeypatch.setattr(common, "release_memory", lambda: left.append(gone[0]()))
+    assert list(common.trimmed(task())) == [1] and left == [None]
